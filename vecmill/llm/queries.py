@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vecmill.llm import bpe
+from vecmill.llm import bpe, packing, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_packing": packing.op2_packing,
+    "op5_simhash": simhash.op5_simhash,
 }
 
 ORACLES: dict[str, str] = {}
