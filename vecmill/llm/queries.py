@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vecmill.llm import bpe, packing, simhash
+from vecmill.llm import bpe, packing, simhash, suffixes
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_packing": packing.op2_packing,
+    "op3_suffixes": suffixes.op3_suffixes,
     "op5_simhash": simhash.op5_simhash,
 }
 
