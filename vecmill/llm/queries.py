@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from vecmill.llm import bpe, packing, simhash, suffixes
+from vecmill.llm import bpe, languages, packing, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_packing": packing.op2_packing,
     "op3_suffixes": suffixes.op3_suffixes,
+    "op4_languages": languages.op4_languages,
     "op5_simhash": simhash.op5_simhash,
+    "op9_urls": urls.op9_urls,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_urls": urls.OP9_SQL}
