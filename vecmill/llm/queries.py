@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecmill.llm import bpe, languages, packing, simhash, suffixes, toxicity, urls
+from vecmill.llm import bpe, languages, licenses, media, packing, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_suffixes": suffixes.op3_suffixes,
     "op4_languages": languages.op4_languages,
     "op5_simhash": simhash.op5_simhash,
+    "op6_media": media.op6_media,
+    "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
 }
