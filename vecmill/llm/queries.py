@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecmill.llm import bpe, languages, licenses, media, packing, simhash, suffixes, toxicity, urls
+from vecmill.llm import bpe, forest, languages, licenses, media, packing, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_languages": languages.op4_languages,
     "op5_simhash": simhash.op5_simhash,
     "op6_media": media.op6_media,
+    "op7_forest": forest.op7_forest,
     "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
