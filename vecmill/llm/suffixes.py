@@ -130,10 +130,10 @@ def _window_rows(ctx: DataFrame, size: int) -> DataFrame:
     return ctx.select("kg", "n", "dkey", "a", "lo", "ctx", "open").mapInArrow(run, "kg long, window long, n long, dkey binary, start int")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, dkey): null texts as empty ones, and 128 bits of the text's SHA-256."""
+def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in `keep`, text and dkey: null texts as empty ones, and 128 bits of the text's SHA-256."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("dkey", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
+    return docs.select(*keep, text.alias("text")).withColumn("dkey", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
 
 
 def repeated_starts(texts: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_000) -> DataFrame:
@@ -185,27 +185,28 @@ def kept_ranges(n: int, lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.n
     return begin[keep], stop[keep]
 
 
-def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_000) -> DataFrame:
-    """The operator: (doc_id, n_bytes, n_removed, n_spans, kept binary) for each row; kept: the remaining bytes."""
+def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_000, keep: list[str] | None = None) -> DataFrame:
+    """The operator: the columns in `keep` (doc_id by default) with n_bytes, n_removed, n_spans and kept, the remaining bytes."""
     prepare(docs.sparkSession)
-    texts = keyed(docs)
+    keep = keep or ["doc_id"]
+    texts = keyed(docs, keep)
     starts = written(repeated_starts(texts, size, gram, few_keys), "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                data = batch.column(1)[i].as_py()
-                spans = batch.column(2)[i].values
+                data = batch.column(len(keep))[i].as_py()
+                spans = batch.column(len(keep) + 1)[i].values
                 n = len(data)
                 begin, stop = kept_ranges(n, spans.field(0).to_numpy(), spans.field(1).to_numpy(), size)
                 kept = b"".join(data[b:s] for b, s in zip(begin.tolist(), stop.tolist(), strict=True))
                 runs = len(begin) + 1 - int(len(begin) > 0 and begin[0] == 0) - int(len(stop) > 0 and stop[-1] == n)
                 rows.append((n, n - len(kept), runs, kept))
             c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     raw = F.col("text").cast("binary")
     if starts.count() <= few_keys:
         keys = F.broadcast(starts.select("dkey"))
@@ -214,8 +215,8 @@ def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_0
     else:
         some = both = texts.join(starts, "dkey", "left")
         some, none = both.where("spans is not null"), both.where("spans is null")
-    changed = some.select("doc_id", raw.alias("text"), "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    same = none.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept"))
+    changed = some.select(*keep, raw.alias("text"), "spans").mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    same = none.select(*keep, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept"))
     return changed.unionByName(same)
 
 
