@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from vecmill.llm.windows import Rolling, anchors, mixed
 from vecmill.session import prepare, table, written
 
-OUT_ROWS = 200_000
+OUT_ROWS = 100_000
+SLICE = 1024
 BLOCK = 16
 
 
@@ -47,6 +48,13 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: the working arrays take some fifty bytes for each byte of context."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -86,7 +94,7 @@ def _block_rows(ctx: DataFrame, size: int) -> DataFrame:
     """For each 16 starts of an anchor: hashes of what the windows share and of what they cover. Starts count back from a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             kg, n, a, lo, hi = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
             data, at = _flat(batch.column(6))
             one, two = Rolling(data, 0), Rolling(data, 1)
@@ -110,7 +118,7 @@ def _window_rows(ctx: DataFrame, size: int) -> DataFrame:
     """ctx with the arrays o1s and o2s of open blocks: a row per start, with its window's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             kg, n, a, lo = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
             data, at = _flat(batch.column(5))
             two = Rolling(data, 1)
