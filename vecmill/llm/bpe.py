@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from vecmill.session import prepare, table
 
 END = ""  # stands for the end-of-word suffix, so that no text can look like it
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 OUT_BYTES = 8_000_000
 if sys.byteorder != "little":
     raise ImportError("ids are packed in the machine's byte order, which has to be little-endian")
@@ -125,7 +125,7 @@ class Encoder(dict):
                 before, a = ra, parts[a][1]
             else:
                 before, b = rb + 1, parts[b][0]
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > 400_000:
             self.compatible.clear()
         self.compatible[key] = good
         return good
