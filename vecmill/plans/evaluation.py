@@ -1 +1,137 @@
+"""Ranking metrics, session metrics and the comparison of runs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vecmill.functions import statistics as S
+from vecmill.operators import analytics, metrics, search
+from vecmill.plans import base
+from vecmill.plans.base import r, sql_hits
+from vecmill.plans.registry import query
+
+KS = [1, 3, 5, 10]
+
+_JUDGED = f"""{sql_hits(11)}, {base.SQL_QRELS},
+run AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rk FROM hits WHERE query_id <> doc_id),
+jr AS (SELECT query_id, doc_id, rk, coalesce(rel, 0) AS rel, sum((coalesce(rel, 0) > 0)::INT) OVER (PARTITION BY query_id ORDER BY rk) / rk::DOUBLE AS prec FROM run LEFT JOIN qrels USING (query_id, doc_id)),
+ideal AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS ik FROM qrels)"""
+
+
+def _per_query_sql() -> str:
+    ideal = ", ".join(f"sum(CASE WHEN ik <= {k} THEN rel / log2(ik + 1) ELSE 0 END) AS i{k}" for k in KS)
+    seen = ", ".join(f"sum(CASE WHEN rk <= {k} THEN rel / log2(rk + 1) ELSE 0 END) AS d{k}, sum(CASE WHEN rk <= {k} AND rel > 0 THEN prec ELSE 0 END) AS a{k}, sum((rk <= {k} AND rel > 0)::INT) AS f{k}, min(CASE WHEN rk <= {k} AND rel > 0 THEN rk END) AS m{k}" for k in KS)
+    out = ", ".join(f"d{k} / i{k} AS ndcg_{k}, a{k} / n_rel AS map_{k}, f{k} / n_rel::DOUBLE AS recall_{k}, f{k} / {k}::DOUBLE AS p_{k}, coalesce(1.0::DOUBLE / m{k}, 0) AS mrr_{k}, (m{k} IS NOT NULL)::INT::DOUBLE AS hit_{k}" for k in KS)
+    return f"""{_JUDGED}, idl AS (SELECT query_id, count(*) AS n_rel, {ideal} FROM ideal GROUP BY query_id), seen AS (SELECT query_id, {seen} FROM jr GROUP BY query_id),
+pq AS (SELECT query_id, n_rel, {out} FROM idl JOIN seen USING (query_id))"""
+
+
+_PQ = _per_query_sql()
+_FAMILY = {"ndcg": "ir_ndcg", "map": "ir_map", "recall": "ir_recall", "p": "ir_precision", "mrr": "ir_mrr", "hit": "ir_hit"}
+
+
+def run_of(spark, sf_dir, k=10):
+    from pyspark.sql import Window
+
+    hits = base.hits(spark, sf_dir, k + 1).where("query_id <> doc_id").drop("rk")
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")
+    return hits.withColumn("rk", F.row_number().over(w))
+
+
+def _per_query(spark, sf_dir):
+    return metrics.per_query(run_of(spark, sf_dir).select("query_id", "doc_id", "rk"), base.qrels(spark, sf_dir), KS)
+
+
+def _metric_query(family: str, name: str) -> None:
+    columns = [f"{family}_{k}" for k in KS]
+
+    @query(name, f"WITH {_PQ} SELECT query_id, {', '.join(f'{r(c)} AS {c}' for c in columns)} FROM pq")
+    def each(spark, sf_dir):
+        return _per_query(spark, sf_dir).select("query_id", *[S.steady(F.col(c)).alias(c) for c in columns])
+
+
+for _family, _name in _FAMILY.items():
+    _metric_query(_family, _name)
+
+_MACRO = "macro AS (" + " UNION ALL ".join(f"SELECT '{metrics.NAMES[m]}@{k}' AS metric, avg({m}_{k}) AS value FROM pq" for m in metrics.NAMES for k in KS) + ")"
+
+
+@query("ir_macro_summary", f"WITH {_PQ}, {_MACRO} SELECT metric, {r('value', 4)} AS value FROM macro")
+def ir_macro_summary(spark, sf_dir):
+    return metrics.macro(_per_query(spark, sf_dir), KS).select("metric", S.steady(F.col("value"), 4).alias("value"))
+
+
+CLAIMED = [("nDCG@10", 0.15), ("NDCG@5", 0.1), ("MAP@10", 0.5), ("Recall@10", 0.03), ("Accuracy@10", 1.0), ("MRR@10", 0.2), ("P@7", 0.3)]
+
+
+@query("claimed_vs_computed", f"""WITH {_PQ}, {_MACRO}, c(metric, target) AS (VALUES {', '.join(f"('{m}', {t}::DOUBLE)" for m, t in CLAIMED)}),
+n AS (SELECT replace(replace(metric, 'NDCG', 'nDCG'), 'Accuracy', 'Hit') AS metric, target FROM c)
+SELECT n.metric, target, {r('value', 4)} AS value, CASE WHEN value IS NULL THEN 'MISSING' WHEN abs(value - target) <= CASE WHEN n.metric LIKE 'Recall%' OR n.metric LIKE 'Hit%' THEN 0.02 ELSE 0.01 END THEN 'PASS' ELSE 'FAIL' END AS status
+FROM n LEFT JOIN macro USING (metric)""")
+def claimed_vs_computed(spark, sf_dir):
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(t).alias("target")) for m, t in CLAIMED])
+    claimed = spark.range(1).select(F.explode(rows).alias("c")).select("c.*")
+    out = metrics.compared(claimed, metrics.macro(_per_query(spark, sf_dir), KS))
+    return out.select("metric", "target", S.steady(F.col("value"), 4).alias("value"), "status")
+
+
+# Two runs over the same questions: plain, and one that prefers hits of the query's label (a ranking policy).
+# A hit's session is its id modulo 40; gold sessions are those of the judged documents of grade 2 with id below 200.
+
+_RUNS = f"""{sql_hits(30)}, base_run AS (SELECT query_id, doc_id, doc_id % 40 AS session_id, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rk, label = query_label AS alike, sim FROM hits WHERE query_id <> doc_id),
+evo_run AS (SELECT query_id, doc_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim + CASE WHEN alike THEN 0.05::DOUBLE ELSE 0 END, 9) DESC, doc_id) AS rk FROM base_run),
+both_runs AS (SELECT 'dense' AS run, query_id, session_id, rk FROM base_run UNION ALL SELECT 'evolved', query_id, session_id, rk FROM evo_run),
+firsts AS (SELECT run, query_id, session_id, min(rk) AS rk FROM both_runs GROUP BY ALL),
+lists AS (SELECT run, query_id, list(session_id ORDER BY rk) AS ids FROM firsts GROUP BY run, query_id),
+{base.SQL_QRELS}, golds AS (SELECT query_id, list_sort(list(DISTINCT doc_id % 40)) AS gold FROM qrels WHERE rel = 2 AND doc_id < 200 GROUP BY query_id),
+sess AS (SELECT l.run, l.query_id, 'type' || (l.query_id // {base.EVERY}) % 3 AS question_type, ids, coalesce(gold, []) AS gold FROM lists l LEFT JOIN golds USING (query_id)),
+sm AS (SELECT run, query_id, question_type, {', '.join(f"CASE WHEN len(gold) > 0 THEN len(list_intersect(ids[1:{k}], gold)) / len(gold)::DOUBLE END AS recall_{k}, CASE WHEN len(gold) > 0 THEN (len(list_intersect(ids[1:{k}], gold)) = len(gold))::INT::DOUBLE END AS hit_all_{k}, CASE WHEN len(gold) > 0 THEN coalesce(list_sum([CASE WHEN list_contains(gold, ids[i]) THEN 1 / log2(i + 1) ELSE 0 END FOR i IN range(1, least({k}, len(ids)) + 1)]), 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least({k}, len(gold)) + 1)]) END AS ndcg_{k}" for k in (5, 10))},
+  list_min([i FOR i IN range(1, len(ids) + 1) IF list_contains(gold, ids[i])]) AS gold_rank FROM sess)"""
+
+
+def _session_rows(spark, sf_dir):
+    """run, query_id, question_type, ids, gold."""
+    hits = base.hits(spark, sf_dir, 30).where("query_id <> doc_id").drop("rk").withColumn("session_id", F.col("doc_id") % 40)
+    dense = search.top_k(hits, ["query_id"], "sim", "doc_id", 30)
+    liked = hits.withColumn("score", F.round(F.col("sim") + F.when(F.col("label") == F.col("query_label"), 0.05).otherwise(0.0), 9))
+    evolved = search.top_k(liked, ["query_id"], "score", "doc_id", 30)
+    both = dense.select(F.lit("dense").alias("run"), "query_id", "session_id", "rk").unionByName(evolved.select(F.lit("evolved").alias("run"), "query_id", "session_id", "rk"))
+    firsts = both.groupBy("run", "query_id", "session_id").agg(F.min("rk").alias("rk"))
+    lists = firsts.groupBy("run", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "session_id"))), lambda x: x["session_id"]).alias("ids"))
+    gold = base.qrels(spark, sf_dir).where("rel = 2 and doc_id < 200").groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("doc_id") % 40)).alias("gold"))
+    kind = F.concat(F.lit("type"), (F.floor(F.col("query_id") / base.EVERY) % 3).cast("string"))
+    return lists.join(gold, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<bigint>"))).withColumn("question_type", kind)
+
+
+def _session_metrics(spark, sf_dir):
+    ids, gold = F.col("ids"), F.col("gold")
+    columns = {f"{name}_{k}": f(ids, gold, k) for k in (5, 10) for name, f in (("recall", metrics.session_recall), ("hit_all", metrics.session_hit_all), ("ndcg", metrics.session_ndcg))}
+    return _session_rows(spark, sf_dir).withColumns(columns).withColumn("gold_rank", metrics.gold_rank(ids, gold).cast("long")).drop("ids", "gold")
+
+
+_SM = [f"{m}_{k}" for k in (5, 10) for m in ("recall", "ndcg", "hit_all")]
+
+
+@query("session_metrics", f"WITH {_RUNS} SELECT run, query_id, question_type, gold_rank::BIGINT AS gold_rank, {', '.join(f'{r(c)} AS {c}' for c in _SM)} FROM sm")
+def session_metrics(spark, sf_dir):
+    return _session_metrics(spark, sf_dir).select("run", "query_id", "question_type", "gold_rank", *[S.steady(F.col(c)).alias(c) for c in _SM])
+
+
+@query("type_summary", f"""WITH {_RUNS} SELECT run, coalesce(question_type, 'all') AS question_type, count(*) AS n, {', '.join(f'{r(f"avg({c})", 4)} AS {c}' for c in _SM)} FROM sm GROUP BY GROUPING SETS ((run, question_type), (run))""")
+def type_summary(spark, sf_dir):
+    return analytics.summary(_session_metrics(spark, sf_dir), ["run"], "question_type", _SM).select("run", "question_type", "n", *[S.steady(F.col(c), 4).alias(c) for c in _SM])
+
+
+@query("paired_runs", f"""WITH {_RUNS}, p AS (SELECT a.query_id, a.question_type, b.recall_10 - a.recall_10 AS d, a.gold_rank AS ra, b.gold_rank AS rb FROM sm a JOIN sm b USING (query_id) WHERE a.run = 'dense' AND b.run = 'evolved')
+SELECT question_type, count(*) AS n, sum((d > 1e-9)::INT)::BIGINT AS better, sum((d < -1e-9)::INT)::BIGINT AS worse, sum((abs(d) <= 1e-9)::INT)::BIGINT AS same, sum((rb < ra)::INT)::BIGINT AS up, sum((rb > ra)::INT)::BIGINT AS down FROM p GROUP BY question_type""")
+def paired_runs(spark, sf_dir):
+    m = _session_metrics(spark, sf_dir)
+    return analytics.paired(m.where("run = 'dense'"), m.where("run = 'evolved'"), "query_id", "question_type", "recall_10")
+
+
+@query("failure_modes", f"""WITH {_RUNS}, f AS (SELECT question_type, CASE WHEN recall_10 IS NULL THEN 'no_gold' WHEN recall_10 < 0.999 THEN 'not_retrieved' WHEN query_id % 100 = 0 THEN 'gate_abstain' WHEN gold_rank > 3 THEN 'reader_idk' ELSE 'answered' END AS mode FROM sm WHERE run = 'evolved')
+SELECT mode, question_type, count(*) AS n FROM f GROUP BY ALL""")
+def failure_modes(spark, sf_dir):
+    m = _session_metrics(spark, sf_dir).where("run = 'evolved'")
+    modes = analytics.failure_mode(F.col("recall_10"), F.col("query_id") % 100 == 0, F.col("gold_rank") > 3)
+    return m.groupBy(modes.alias("mode"), "question_type").agg(F.count("*").alias("n"))
