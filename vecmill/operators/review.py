@@ -77,7 +77,7 @@ def review(hits: DataFrame) -> DataFrame:
         _ids(F.col("relevant")).alias("relevant_ids"), _ids(~F.col("relevant") & ~hard).alias("soft_ids"), _ids(hard).alias("hard_ids"),
         F.sum((F.col("relevant") & (F.col("rk") <= 3)).cast("int")).alias("top_relevant"),
         F.count("time_days").alias("n_dated"), (F.max("time_days") - F.min("time_days")).alias("spread"),
-        F.bool_or(F.col("relevant") & F.coalesce(F.col("time_days") < F.coalesce("query_days", F.lit(1e18)) - YEAR, F.lit(False))).alias("old_relevant"),
+        F.coalesce(F.min(F.when(F.col("relevant"), F.col("time_days"))) < F.coalesce(F.max("query_days"), F.max("time_days")) - YEAR, F.lit(False)).alias("old_relevant"),
     )
     each = each.join(proxy(q.select("query_id", "rk", F.col("cov").alias("ov")), "query_id"), "query_id")
     mismatch = time_cue(F.col("question")) & (F.col("n_dated") >= 3) & ((F.col("spread") > HALF_YEAR) | F.col("old_relevant"))

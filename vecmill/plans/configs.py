@@ -1 +1,85 @@
+"""Settings checks and fingerprints."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from vecmill.operators import config_rules as C
+from vecmill.plans.registry import query
+from vecmill.plans.texts import lit, sql_list
+from vecmill.sources.files import fingerprint
+
+GOOD = {
+    "mode": "reproduce", "benchmark": "beir", "dataset": "scifact", "split": "test", "title_mode": "concat_space", "corpus_path": "c", "queries_path": "q", "qrels_path": "r", "is_symmetric": False,
+    "architecture": "auto", "model": "intfloat/e5-base-v2", "query_model": None, "doc_model": None, "pooling": "mean", "normalize": True, "score": "cos_sim", "query_max_length": 512, "doc_max_length": 512,
+    "query_prefix": "query: ", "passage_prefix": "passage: ", "append_eos": False, "padding_side": "right", "dtype": "float32", "override": False, "index_type": "flat", "main_metric": "nDCG@10", "k_values": [1, 5, 10],
+}
+VARIANTS = [
+    {}, {"corpus_path": ""}, {"pooling": "max"}, {"normalize": False}, {"index_type": "hnsw"}, {"main_metric": "nDCG@7"}, {"main_metric": "Rank@10"}, {"query_prefix": "query:"}, {"model": "own/model"},
+    {"model": "own/model", "override": True}, {"is_symmetric": True}, {"architecture": "dpr", "model": None}, {"dtype": None, "split": None}, {"model": "facebook/contriever", "normalize": False, "score": "ip", "query_prefix": "", "passage_prefix": ""},
+    {"model": "BAAI/bge-base-en", "pooling": "cls", "passage_prefix": "", "query_prefix": ""}, {"model": "BAAI/bge-m3", "pooling": "cls"}, {"model": "intfloat/e5-mistral-7b-instruct"}, {"mode": "explore", "model": "own/model", "index_type": "ivf"},
+    {"model": "sebastian/tas-b"}, {"model": None, "architecture": "dpr", "query_model": "facebook-dpr-question_encoder", "doc_model": "facebook-dpr-ctx_encoder", "pooling": "cls_pooler", "normalize": False, "score": "ip", "query_prefix": None, "passage_prefix": "", "title_mode": "dpr_sep"},
+]
+SETTINGS = [{"id": i, **GOOD, **v} for i, v in enumerate(VARIANTS)]
+
+
+def settings(spark):
+    rows = F.from_json(F.lit(json.dumps(SETTINGS, ensure_ascii=False)), f"array<struct<{', '.join(f'`{c.split()[0]}`: {c.split()[1]}' for c in C.COLUMNS.split(', '))}>>")
+    return spark.range(1).select(F.explode(rows).alias("s")).select("s.*")
+
+
+def _value(v, name):
+    if isinstance(v, list):
+        return str(v)
+    if v is None:
+        kind = next(c.split()[1] for c in C.COLUMNS.split(", ") if c.split()[0] == name)
+        return {"string": "NULL::VARCHAR", "int": "NULL::INT", "boolean": "NULL::BOOLEAN"}.get(kind, "NULL")
+    return {True: "true", False: "false"}[v] if isinstance(v, bool) else str(v) if isinstance(v, int) else lit(v)
+
+
+_NAMES = [c.split()[0] for c in C.COLUMNS.split(", ")]
+_TABLE = f"cfg({', '.join(_NAMES)}) AS (VALUES " + ", ".join("(" + ", ".join(_value(s[n], n) for n in _NAMES) + ")" for s in SETTINGS) + ")"
+
+
+def _errors_sql() -> str:
+    e = [f"CASE WHEN {k} IS NULL THEN 'missing {k}' END" for k in C.REQUIRED]
+    e += [f"CASE WHEN trim(coalesce({k}, '')) = '' THEN 'empty {k}' END" for k in C.PATHS]
+    e += [f"CASE WHEN NOT coalesce(list_contains({sql_list(v)}, {k}), false) THEN 'value of {k}' END" for k, v in C.ALLOWED.items()]
+    e += [
+        "CASE WHEN architecture IN ('dpr', 'bi_encoder') AND (coalesce(query_model, '') = '' OR coalesce(doc_model, '') = '') THEN 'two models needed' END",
+        "CASE WHEN architecture NOT IN ('dpr', 'bi_encoder') AND coalesce(model, '') = '' THEN 'model needed' END",
+        "CASE WHEN NOT coalesce(normalize, false) AND score = 'cos_sim' THEN 'cosine without normalizing' END",
+        "CASE WHEN mode = 'reproduce' AND index_type <> 'flat' THEN 'exact index needed' END",
+        "CASE WHEN is_symmetric AND coalesce(passage_prefix, '') <> '' AND passage_prefix <> coalesce(query_prefix, '') THEN 'symmetric prefixes differ' END",
+        r"CASE WHEN NOT regexp_matches(main_metric, '^(nDCG|NDCG|MAP|MRR|Recall|Hit|Accuracy|P)@(\d+)$') THEN 'unknown metric' WHEN NOT list_contains(k_values, regexp_extract(main_metric, '@(\d+)$', 1)::INT) THEN 'k of main metric not computed' END",
+    ]
+    for label, _, expected in C.FAMILIES:
+        for f, want in expected.items():
+            got = f"coalesce({f}, '')" if f.endswith("prefix") else f
+            e.append(f"CASE WHEN NOT override AND family = '{label}' AND {got} IS DISTINCT FROM {_value(want, f)} THEN 'family {label} {f}' END")
+    e += [
+        "CASE WHEN family IS NULL AND NOT override AND mode = 'reproduce' THEN 'unknown family' END",
+        f"CASE WHEN family = 'bge' AND NOT override AND NOT list_contains({sql_list(C.BGE_PREFIXES)}, coalesce(query_prefix, '')) THEN 'bge query prefix' END",
+        "CASE WHEN family = 'bge' AND NOT override AND mode = 'reproduce' AND coalesce(query_prefix, '') = '' THEN 'bge query prefix empty' END",
+        "CASE WHEN family = 'e5' AND is_symmetric AND NOT override AND coalesce(passage_prefix, '') <> 'query: ' THEN 'e5 symmetric prefix' END",
+    ]
+    whens = " ".join(f"WHEN {test} THEN '{label}'" for label, test, _ in C.FAMILIES)
+    return f"""WITH {_TABLE}, n AS (SELECT *, lower(coalesce(model, '') || ' ' || coalesce(query_model, '') || ' ' || coalesce(doc_model, '')) AS s FROM cfg),
+f AS (SELECT *, CASE {whens} END AS family FROM n) SELECT id, family, array_to_string(list_filter([{', '.join(e)}], lambda x: x IS NOT NULL), '; ') AS errors FROM f"""
+
+
+@query("config_errors", _errors_sql())
+def config_errors(spark, sf_dir):
+    """Every setting of the fixture with its family and all its errors."""
+    return C.with_errors(settings(spark)).select("id", "family", F.array_join("errors", "; ").alias("errors"))
+
+
+_CONTRACT = ["architecture", "model", "query_model", "doc_model", "pooling", "normalize", "score", "query_max_length", "doc_max_length", "query_prefix", "passage_prefix", "append_eos", "padding_side", "dtype"]
+
+
+@query("config_fingerprint", f"WITH {_TABLE} SELECT id, substr(sha256({' || chr(31) || '.join(f'coalesce({c}::VARCHAR, chr(0))' for c in _CONTRACT)}), 1, 16) AS fingerprint FROM cfg")
+def config_fingerprint(spark, sf_dir):
+    """The part of a setting that decides whether stored vectors may be used, as a short hash."""
+    return settings(spark).select("id", fingerprint([F.col(c) for c in _CONTRACT]).alias("fingerprint"))

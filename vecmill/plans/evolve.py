@@ -1 +1,39 @@
+"""The bounded retrieve-diagnose-adjust loop over all questions at once, and analytics of its log."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vecmill.functions import statistics as S
+from vecmill.operators import analytics, loop
+from vecmill.plans import base
+from vecmill.plans.registry import query
+
+
+def _run(spark, sf_dir):
+    u = base.units(spark, sf_dir)
+    corpus = u.select(F.col("vec_id").alias("doc_id"), F.col("u").alias("e")).join(base.dated(spark, sf_dir), "doc_id", "left")
+    # dates are stretched by 40, so that thresholds of months apply to the month that the events span
+    corpus = corpus.withColumn("time_days", (F.col("time_days") - 738886) * 40)
+    return loop.evolve(base.queries_of(u), corpus, k=20, max_rounds=3)
+
+
+@query("evolve_loop")
+def evolve_loop(spark, sf_dir):
+    """Final evidence of each question; checked for its invariants in the tests."""
+    hits, _ = _run(spark, sf_dir)
+    return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"))
+
+
+@query("evolve_log")
+def evolve_log(spark, sf_dir):
+    """One row per question and round: gap, slot, reason, and the ids on top."""
+    _, log = _run(spark, sf_dir)
+    return log.select("query_id", "round", "gap", "slot", "why", F.array_join(F.col("top").cast("array<string>"), ",").alias("top"))
+
+
+@query("slot_adoption")
+def slot_adoption(spark, sf_dir):
+    """How often each slot was changed, for which reason, in which round."""
+    _, log = _run(spark, sf_dir)
+    return analytics.adoption(log)

@@ -253,7 +253,7 @@ def leak_check(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", tight(F.col("text")).alias("s")).where(F.length("s") >= 24)
     pieces = b.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("s") - 24, F.lit(24)), lambda a: F.substring(F.col("s"), a + 1, F.lit(24)))).alias("piece")).distinct()
     d = table(spark, sf_dir, "documents").select("doc_id", tight(F.col("text")).alias("s")).where(F.length("s") >= 24)
-    windows = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("s") - 24), lambda a: F.substring(F.col("s"), a + 1, F.lit(24)))).alias("piece"))
+    windows = d.select("doc_id", F.explode(F.regexp_extract_all("s", F.lit("(?s)(?=(.{24}))"), F.lit(1))).alias("piece"))
     return windows.join(pieces, "piece").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_leaked"))
 
 
