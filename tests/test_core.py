@@ -116,7 +116,7 @@ def test_two_means_and_alias_gap(spark):
 
 def test_review(spark):
     hits = spark.createDataFrame(
-        [(1, "What color is the bedroom wall?", 10, 1, "The bedroom wall is painted grey.", 738000.0, 738900.0), (1, "What color is the bedroom wall?", 11, 2, "Nothing.", 738100.0, 738900.0), (1, "What color is the bedroom wall?", 12, 3, "The garden wall fell.", 738200.0, 738900.0),
+        [(1, "What color is the bedroom wall?", 10, 1, "The color of the bedroom wall is grey.", 738000.0, 738900.0), (1, "What color is the bedroom wall?", 11, 2, "Nothing.", 738100.0, 738900.0), (1, "What color is the bedroom wall?", 12, 3, "The garden wall fell.", 738200.0, 738900.0),
          (2, "When did I visit the Modern Museum?", 10, 1, "The museum is nice.", 738000.0, 738900.0)],
         "query_id int, question string, doc_id int, rk int, text string, time_days double, query_days double",
     )

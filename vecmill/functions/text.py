@@ -109,6 +109,11 @@ LABEL = r"(?i)^(?:label\s*[:\-]\s*)?(yes|no)$"
 JSON_LABEL = r'(?i)"correct"\s*:\s*(true|false)'
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
+
+
 def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -167,7 +172,7 @@ def bound(text: Column, terms: Column, binds: Column) -> Column:
 
 
 def question_body(question: Column) -> Column:
-    body = F.trim(F.regexp_replace(F.coalesce(question, F.lit("")), r"(?i)^Current date:.*\n", ""))
+    body = strip(F.regexp_replace(F.coalesce(question, F.lit("")), r"(?i)^Current date:.*\n", ""))
     return F.when(body == "", F.coalesce(question, F.lit(""))).otherwise(body)
 
 
@@ -228,16 +233,16 @@ def value_asserted(text: Column, terms: Column, question: Column, slot: Column,
 
 def clip_planning(text: Column, least: int = 24) -> Column:
     """The text before leaked planning, if that begins at `least` characters or later."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     at = F.regexp_instr(t, F.lit(PLANNING))
-    return F.when(at > least, F.trim(F.substring(t, F.lit(1), at - 1))).otherwise(t)
+    return F.when(at > least, strip(F.substring(t, F.lit(1), at - 1))).otherwise(t)
 
 
 def judge_label(verdict: Column) -> Column:
     """The last JSON label; else the last line that is only yes or no; else false."""
     v = F.coalesce(verdict, F.lit(""))
     packed = F.try_element_at(found(v, JSON_LABEL, 1), F.lit(-1))
-    lines = F.transform(F.split(v, r"\r?\n"), lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"[*`#_]", "")), r"[.!]+$", "")))
+    lines = F.transform(F.split(v, r"\r?\n"), lambda x: strip(F.regexp_replace(strip(F.regexp_replace(x, r"[*`#_]", "")), r"[.!]+$", "")))
     labels = F.filter(lines, lambda x: (x != "") & ~x.rlike(ECHO) & x.rlike(LABEL))
     last = F.try_element_at(labels, F.lit(-1))
     return F.when(packed.isNotNull(), F.lower(packed) == "true").otherwise(F.coalesce(F.lower(last).rlike("yes$"), F.lit(False)))
@@ -253,7 +258,7 @@ SLOTS = ["QUERY", "RANK", "FILTER"]
 
 
 def slot_body(text: Column, name: str) -> Column:
-    return F.trim(F.regexp_extract(text, rf"(?s)<!-- EVOLVE:{name}:START -->(.*?)<!-- EVOLVE:{name}:END -->", 1))
+    return strip(F.regexp_extract(text, rf"(?s)<!-- EVOLVE:{name}:START -->(.*?)<!-- EVOLVE:{name}:END -->", 1))
 
 
 def with_slot(text: Column, name: str, body: str) -> Column:

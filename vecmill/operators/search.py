@@ -78,8 +78,8 @@ def exact_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         q_blocks = -(-size["n"] // 1024)
         d_blocks = max(1, -(-held.count() // (16 * BLOCK)))
         spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("db", spread(d_blocks))
-        right = held.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(d_blocks)).cast("int")).withColumn("qb", spread(q_blocks).cast("long"))
+        left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("db", spread(d_blocks))
+        right = held.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(d_blocks)).cast("int")).withColumn("qb", spread(q_blocks))
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
             if not a.num_rows or not b.num_rows:

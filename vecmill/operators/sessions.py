@@ -14,7 +14,7 @@ HISTORY_CHARS = 6000
 
 def turn_lines(turns: Column) -> Column:
     """`role: content` for each turn of array<struct<role, content>>; the role is user where it is missing."""
-    return F.transform(turns, lambda t: F.concat(F.coalesce(t["role"], F.lit("user")), F.lit(": "), F.trim(F.coalesce(t["content"], F.lit("")))))
+    return F.transform(turns, lambda t: F.concat(F.coalesce(t["role"], F.lit("user")), F.lit(": "), T.strip(F.coalesce(t["content"], F.lit("")))))
 
 
 def session_text(date: Column, turns: Column) -> Column:
@@ -55,7 +55,7 @@ def reader_order(hits: DataFrame, by_time: Column) -> DataFrame:
 
 def history_entry(place: Column, session_id: Column, score: Column, date: Column, turns: Column, most: int = HISTORY_CHARS) -> Column:
     """One session as the reader sees it; turns without content are left out, a long body is cut and marked."""
-    said = F.filter(turns, lambda t: F.trim(F.coalesce(t["content"], F.lit(""))) != "")
+    said = F.filter(turns, lambda t: T.strip(F.coalesce(t["content"], F.lit(""))) != "")
     body = F.array_join(turn_lines(said), "\n")
     body = F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("\n[truncated]"))).otherwise(body)
     return F.concat(F.format_string("\n### Session %d (session_id=%s, score=%.4f)\nSession Date: %s\nSession Content:\n", place, session_id, score, date), body, F.lit("\n"))

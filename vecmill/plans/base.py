@@ -32,6 +32,9 @@ def sql_hits(k: int, name: str = "hits") -> str:
   LEFT JOIN dated t ON t.doc_id = h.doc_id WHERE rk <= {k})"""
 
 
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"  # what strip() takes off, in SQL
+
+
 def r(x: str, places: int = 6) -> str:
     """Rounded for comparison, in SQL, without negative zero."""
     return f"(round(({x})::DOUBLE, {places}) + 0.0::DOUBLE)"

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from vecmill.functions import statistics as S
 from vecmill.operators import analytics, search, sessions
 from vecmill.plans import base
-from vecmill.plans.base import r, sql_hits
+from vecmill.plans.base import SPACES, r, sql_hits
 from vecmill.plans.registry import query
 from vecmill.plans.texts import sql_terms
 from vecmill.session import table
 from vecmill.sources import files
 
-_CONV = """conv AS (SELECT conv_id, string_agg(role || ': ' || trim(text, ' '), chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations GROUP BY conv_id),
+_CONV = f"""conv AS (SELECT conv_id, string_agg(role || ': ' || trim(text, {SPACES}), chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations GROUP BY conv_id),
 dates AS (SELECT event_id AS conv_id, strftime(ts, '%Y/%m/%d') AS date FROM events),
 sess AS (SELECT conv_id, n, body, coalesce(date, '') AS date, '[session date: ' || coalesce(date, '') || ']' || chr(10) || body AS text FROM conv LEFT JOIN dates USING (conv_id))"""
 
@@ -32,7 +32,7 @@ def session_text(spark, sf_dir):
 
 @query("turn_windows", f"""WITH {_CONV}, c AS (SELECT conv_id, date, n, text, CASE WHEN length(text) <= 600 OR n <= 4 THEN 1 ELSE ceil((n - 4) / 3.0)::INT + 1 END AS k FROM sess),
 j AS (SELECT *, unnest(range(0, k)) AS j FROM c)
-SELECT j.conv_id, CASE WHEN k = 1 THEN j.conv_id::VARCHAR ELSE j.conv_id || '::c' || j END AS chunk_id, md5(CASE WHEN k = 1 THEN any_value(j.text) ELSE '[session date: ' || date || ']' || chr(10) || string_agg(role || ': ' || trim(t.text, ' '), chr(10) ORDER BY turn) END) AS digest
+SELECT j.conv_id, CASE WHEN k = 1 THEN j.conv_id::VARCHAR ELSE j.conv_id || '::c' || j END AS chunk_id, md5(CASE WHEN k = 1 THEN any_value(j.text) ELSE '[session date: ' || date || ']' || chr(10) || string_agg(role || ': ' || trim(t.text, {SPACES}), chr(10) ORDER BY turn) END) AS digest
 FROM j JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) t ON t.conv_id = j.conv_id AND (k = 1 OR (p >= j * 3 AND p < j * 3 + 4)) GROUP BY j.conv_id, j, k, date""")
 def turn_windows(spark, sf_dir):
     """Windows of four turns, overlapping by one, of conversations over 600 characters."""
@@ -75,7 +75,7 @@ def reader_history(spark, sf_dir):
     return joined.select("query_id", F.md5(F.array_join(F.transform("x", lambda y: y["entry"]), "")).alias("digest"))
 
 
-@query("compose_document", """SELECT doc_id, md5(trim(text, ' ')) AS text_only, md5(trim(source || ' ' || trim(text, ' '), ' ')) AS concat_space, md5(source || ' [SEP] ' || trim(text, ' ')) AS dpr_sep FROM documents""")
+@query("compose_document", f"""SELECT doc_id, md5(trim(text, {SPACES})) AS text_only, md5(source || ' ' || trim(text, {SPACES})) AS concat_space, md5(source || ' [SEP] ' || trim(text, {SPACES})) AS dpr_sep FROM documents""")
 def compose_document(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", *[F.md5(files.compose(F.col("source"), F.col("text"), m)).alias(m) for m in ("text_only", "concat_space", "dpr_sep")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vecmill.functions import dates, text as T
 from vecmill.functions import statistics as S
 from vecmill.operators import review
-from vecmill.plans.base import r
+from vecmill.plans.base import SPACES, r
 from vecmill.plans.registry import query
 from vecmill.session import table
 
@@ -52,7 +52,7 @@ def sql_terms(x: str) -> str:
 
 
 def sql_body(q: str) -> str:
-    b = f"trim(regexp_replace({q}, '(?i)^Current date:.*\n', ''))"
+    b = f"trim(regexp_replace({q}, '(?i)^Current date:.*\n', ''), {SPACES})"
     return f"CASE WHEN {b} = '' THEN {q} ELSE {b} END"
 
 
@@ -219,7 +219,7 @@ def parse_dates(spark, sf_dir):
 
 VERDICTS = ['{"correct": true}', '{"correct": true} then {"correct": FALSE}', "**Yes**.", "Label: no", "Yes or No", "", "I think so\nyes!", "Answer yes if right\nno.", "Yes, it is", "`No`\nLABEL - Yes"]
 _VERDICTS = "v(i, verdict) AS (VALUES " + ", ".join(f"({i}, {lit(x)})" for i, x in enumerate(VERDICTS)) + ")"
-_LINES = "list_filter(list_transform(string_split(verdict, chr(10)), lambda x: trim(regexp_replace(trim(regexp_replace(x, '[*`#_]', '', 'g')), '[.!]+$', ''))), lambda x: x <> '' AND NOT regexp_matches(x, " + lit(T.ECHO) + ") AND regexp_matches(x, " + lit(T.LABEL) + "))"
+_LINES = "list_filter(list_transform(string_split(verdict, chr(10)), lambda x: trim(regexp_replace(trim(regexp_replace(x, '[*`#_]', '', 'g'), " + SPACES + "), '[.!]+$', ''), " + SPACES + ")), lambda x: x <> '' AND NOT regexp_matches(x, " + lit(T.ECHO) + ") AND regexp_matches(x, " + lit(T.LABEL) + "))"
 
 
 @query("judge_labels", f"""WITH {_VERDICTS}, a AS (SELECT i, verdict FROM v UNION ALL SELECT 1000 + doc_id, text FROM documents),
@@ -235,8 +235,8 @@ HYPOTHESES = ["The answer is forty-five minutes each way.\nWe need to answer now
 _HYP = "h(i, t) AS (VALUES " + ", ".join(f"({i}, {lit(x)})" for i, x in enumerate(HYPOTHESES)) + ")"
 
 
-@query("clip_text", f"""WITH {_HYP}, a AS (SELECT i, trim(t, ' ') AS t FROM h UNION ALL SELECT 1000 + doc_id, trim(text, ' ') FROM documents), p AS (SELECT i, t, length(regexp_extract(t, '(?s)^(.*?)' || {lit(T.PLANNING[4:])}, 1, 'i')) AS pos, regexp_matches(t, {lit(T.PLANNING)}) AS leaked FROM a)
-SELECT i::BIGINT AS i, md5(CASE WHEN leaked AND pos >= 24 THEN trim(substr(t, 1, pos), ' ') ELSE t END) AS digest FROM p""")
+@query("clip_text", f"""WITH {_HYP}, a AS (SELECT i, trim(t, {SPACES}) AS t FROM h UNION ALL SELECT 1000 + doc_id, trim(text, {SPACES}) FROM documents), p AS (SELECT i, t, length(regexp_extract(t, '(?s)^(.*?)' || {lit(T.PLANNING[4:])}, 1, 'i')) AS pos, regexp_matches(t, {lit(T.PLANNING)}) AS leaked FROM a)
+SELECT i::BIGINT AS i, md5(CASE WHEN leaked AND pos >= 24 THEN trim(substr(t, 1, pos), {SPACES}) ELSE t END) AS digest FROM p""")
 def clip_text(spark, sf_dir):
     f = rows(spark, HYPOTHESES, "i", "t").select(F.col("i").cast("long").alias("i"), "t")
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("i"), F.col("text").alias("t"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecmill.functions.text import strip
 from vecmill.operators.search import top_k
 
 
@@ -47,7 +48,7 @@ def read_texts(spark: SparkSession, path: str, title_mode: str = "concat_space")
 
 def compose(title: Column, text: Column, mode: str) -> Column:
     """One string of title and text: text_only, concat_space or dpr_sep."""
-    t, x = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(text, F.lit("")))
+    t, x = strip(F.coalesce(title, F.lit(""))), strip(F.coalesce(text, F.lit("")))
     joined = {"text_only": x, "concat_space": F.concat(t, F.lit(" "), x), "dpr_sep": F.concat(t, F.lit(" [SEP] "), x)}
     if mode not in joined:
         raise ValueError(f"unknown title mode {mode}")
