@@ -11,6 +11,13 @@ that only compares what is not yet reached yields a star per component.  A bucke
 could meet than `bucket_limit` is indexed again by the other segment (two halves, one wildcard each), which
 leaves 18 free bits, so no group exceeds 2^18 fingerprints.  Nothing is dropped or capped.
 
+Similarity. Three bits of 64 find copies with very few changes; a pair of texts whose word shingles have a Jaccard
+similarity of 0.8 differs in about ten bits, which no index of one-wildcard segments reaches.  With `similarity` the
+operator therefore also links texts by signatures of 256 minima: texts meet where one of 14 bands of five minima is
+equal (99.6 % of pairs at 0.8, more above), and are linked if the share of equal minima is within 0.02 of the asked
+similarity or higher.  In a band's bucket, again, no pairs are written; buckets over `bucket_rows` are dealt by hash
+and their stars' centres meet once more.
+
 Edge cases. Null and empty texts have no words and fingerprint zero, linked like any other.  Repeated rows stay
 repeated rows.  A null doc_id is no candidate for component_id unless the whole component has none.
 """
@@ -25,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecmill.llm.components import connected
+from vecmill.llm.windows import Rolling
 from vecmill.session import prepare, table, written
 
 SEED = 42
@@ -160,8 +168,119 @@ def star_edges(distinct_fps: DataFrame, most: int = 3, bucket_limit: int = 100_0
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, bucket_limit: int = 100_000) -> DataFrame:
-    """The operator: (doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links."""
+MINIMA, BANDS, BAND_ROWS = 256, 14, 5
+_FACTORS = (np.random.default_rng(11).integers(0, 1 << 31, MINIMA, np.uint32) << np.uint32(1)) | np.uint32(1)
+_SHIFTS = np.random.default_rng(12).integers(0, 1 << 32, MINIMA, np.uint32)
+
+
+def minima(text: str | None, width: int) -> np.ndarray | None:
+    """Least of 256 hashes over the word shingles of a text; null without words."""
+    listed = (text or "").encode("utf-8").lower().split()
+    if not listed:
+        return None
+    joined = np.frombuffer(b" ".join(listed), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in listed]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(listed) - width + 1)
+    hashed = np.unique((Rolling(joined, 0).ranges(starts[:n], ends[-n:]) >> np.uint64(32)).astype(np.uint32))
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(hashed), 1024):
+        x = (hashed[at : at + 1024, None] ^ _SHIFTS) * _FACTORS
+        np.minimum(least, x.min(0), out=least)
+    return least
+
+
+def _signed_bands(least: np.ndarray) -> list[int]:
+    """One 64-bit key for each band; the band's number is part of it."""
+    from xxhash import xxh64_intdigest
+
+    rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+    keys = [xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)]
+    return [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows: int = 20_000) -> DataFrame:
+    """texts: (k, text), k a hash of the text. Edges (a, b) between hashes of texts at least that similar."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, least) for i in range(batch.num_rows) if (least := minima(batch.column(1)[i].as_py(), width)) is not None]
+            if found:
+                take = pa.array([i for i, _ in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([_signed_bands(x) for _, x in found], pa.list_(pa.int64())), pa.array([x.astype("<u2").tobytes() for _, x in found], pa.binary())], names=["k", "bands", "sig"])
+
+    prepare(texts.sparkSession)
+    signed = written(texts.select("k", "text").mapInArrow(sign, "k long, bands array<long>, sig binary"), "signatures")
+    keys = signed.select("k", F.explode("bands").alias("h")).distinct()
+    shared = written(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    met = written(keys.join(shared, "h"), "met")
+    one = signed.join(met.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("sig").alias("sig"))
+    cuts = F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int")
+    rows = met.join(one, "k").select("h", F.pmod(F.xxhash64("k", "h"), cuts).cast("int").alias("cut"), "k", "sig", (cuts > 1).alias("large"))
+    least_equal = int(np.ceil((similarity - 0.02) * MINIMA))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit(part: pa.Table) -> pa.RecordBatch | None:
+            h, cut, k, large = (part[c].to_numpy() for c in ("h", "cut", "k", "large"))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (cut[1:] != cut[:-1])
+            begin = np.flatnonzero(new)
+            out: list[tuple] = []
+            sig = part["sig"].combine_chunks()
+            for at, n in zip(begin.tolist(), np.diff(np.append(begin, len(h))).tolist(), strict=True):
+                block = np.stack([np.frombuffer(sig[i].as_buffer(), "<u2") for i in range(at, at + n)])
+                open_ = np.argsort(k[at : at + n])
+                while len(open_):
+                    root, frontier, open_ = open_[0], [open_[0]], open_[1:]
+                    if large[at]:
+                        out.append((k[at + root], k[at + root], h[at]))
+                    while frontier and len(open_):
+                        x = frontier.pop()
+                        near = (block[open_] == block[x]).sum(1) >= least_equal
+                        out += [(k[at + y], k[at + root], None) for y in open_[near]]
+                        frontier += open_[near].tolist()
+                        open_ = open_[~near]
+            if not out:
+                return None
+            a, b, again = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(again, pa.int64())], names=["a", "b", "h"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            h, cut = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            changed = np.flatnonzero((h[1:] != h[:-1]) | (cut[1:] != cut[:-1]))
+            last = changed[-1] + 1 if len(changed) else 0
+            if last == 0 and len(held) > 1 and (held[-2].column(0)[-1].as_py(), held[-2].column(1)[-1].as_py()) == (h[0], cut[0]):
+                continue
+            if (out := emit(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))) is not None:
+                yield out
+            held = [batch.slice(last)]
+        if held and (out := emit(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h", "cut").sortWithinPartitions("h", "cut").mapInArrow(link, "a long, b long, h long")
+
+    first = written(linked(rows), "stars")
+    centres = first.where("h is not null").select("h", F.col("a").alias("k"))
+    edges = first.where("a <> b").select("a", "b")
+    if not centres.isEmpty():
+        again = centres.join(one, "k").select("h", F.lit(0).alias("cut"), "k", "sig", F.lit(False).alias("large"))
+        edges = edges.unionByName(linked(again).select("a", "b"))
+    return edges.distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, bucket_limit: int = 100_000, similarity: float | None = None) -> DataFrame:
+    """The operator: (doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links.
+
+    With similarity, links of that Jaccard similarity of word shingles count too, and fp is left out.
+    """
+    if similarity is not None:
+        return _similar_duplicates(docs, width, most, bucket_limit, similarity)
     fps = written(fingerprints(docs, width), "fingerprints")
     vertices = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(star_edges(vertices.select("fp"), most, bucket_limit))
@@ -172,6 +291,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, bucket_limit
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _similar_duplicates(docs: DataFrame, width: int, most: int, bucket_limit: int, similarity: float) -> DataFrame:
+    """Components over both kinds of links: (doc_id, component_id). Each text is one vertex."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5))
+    by_bits = near_duplicates(docs, width, most, bucket_limit).groupBy("doc_id").agg(F.min("component_id").alias("group"))
+    texts = written(docs.select("doc_id", key.alias("k")).groupBy("k").agg(F.min("doc_id").alias("doc_id")), "texts")
+    grouped = written(texts.join(by_bits, "doc_id").select("k", "group"), "groups")
+    centre = grouped.groupBy("group").agg(F.min("k").alias("b"))
+    edges = grouped.join(centre, "group").where("k <> b").select(F.col("k").alias("a"), "b").unionByName(similar_texts(docs.select(key.alias("k"), "text"), width, similarity))
+    rooted = texts.join(connected(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(least, "root").select("k", "component_id")
+    return docs.select("doc_id", key.alias("k")).join(named, "k").select("doc_id", "component_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
