@@ -74,6 +74,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ. Unsigned: the bit count of a negative number is that of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def stars(fps: np.ndarray, sides: np.ndarray, most: int) -> list[tuple[int, int]]:
     """(member, least member of its component) within one bucket; links are within `most` bits and between sides.
 
@@ -87,7 +92,7 @@ def stars(fps: np.ndarray, sides: np.ndarray, most: int) -> list[tuple[int, int]
         root, frontier, open_ = open_[0], [open_[0]], open_[1:]
         while frontier and len(open_):
             x = frontier.pop()
-            near = np.bitwise_count(fps[open_] ^ fps[x]) <= most
+            near = differing(fps[open_], fps[x : x + 1]) <= most
             if sides[x] != 2:
                 near &= sides[open_] != sides[x]
             if near.any():
@@ -136,7 +141,7 @@ def star_edges(distinct_fps: DataFrame, most: int = 3, bucket_limit: int = 100_0
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(fp)))
             two = begin[size == 2]
-            ok = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= most) & ((side[two] == 2) | (side[two] != side[two + 1]))
+            ok = (differing(fp[two], fp[two + 1]) <= most) & ((side[two] == 2) | (side[two] != side[two + 1]))
             a, b = [fp[two[ok]]], [fp[two[ok] + 1]]
             more: list[tuple[int, int]] = []
             for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
