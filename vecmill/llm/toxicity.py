@@ -1,7 +1,8 @@
 """Toxicity grades (operator 10).
 
 Method. Cumulative-link ordinal regression: P(grade > k) = logistic(w.x - theta_k) with one weight vector for all
-ordered thresholds theta_0 <= theta_1 <= ...; x says which words a text has.  The output is the expected severity,
+ordered thresholds theta_0 <= theta_1 <= ...; x says which words, and which
+beginnings of words, a text has.  The output is the expected severity,
 the sum of these probabilities.  Weights are fitted by proximal gradient steps with an L1 penalty, so only words that
 tell keep a weight; words that training did not see weigh nothing.
 
@@ -25,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm.windows import Rolling
+from vecmill.llm.windows import Rolling, mixed
 from vecmill.session import prepare, table
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 CHUNK = 1 << 22
+PREFIXES = (4, 5, 6)
 
 
-def words(text: str | None) -> np.ndarray:
-    """Distinct 64-bit hashes of the words (letters and digits, lower-cased) of a text."""
+def features(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words (letters and digits, lower-cased) of a text and of their first 4, 5 and 6 bytes."""
     raw = (text or "").lower().encode("utf-8")
     found = []
     at = 0
@@ -46,9 +48,13 @@ def words(text: str | None) -> np.ndarray:
         inside = np.concatenate([[False], _WORD[data], [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         if len(edge):
-            found.append(np.unique(Rolling(data, 0).ranges(edge[::2], edge[1::2])))
+            roll, start, end = Rolling(data, 0), edge[::2], edge[1::2]
+            found.append(roll.ranges(start, end))
+            for n in PREFIXES:
+                longer = start[end - start > n]
+                found.append(mixed(roll.ranges(longer, longer + n) + np.uint64(n)))
         at = to
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 @dataclass
@@ -62,12 +68,12 @@ class Model:
         s = 0.0
         if len(self.vocabulary) and len(hashes):
             at = np.searchsorted(self.vocabulary, hashes).clip(max=len(self.vocabulary) - 1)
-            s = float(self.weights[at[self.vocabulary[at] == hashes]].sum())
+            s = float(self.weights[np.unique(at[self.vocabulary[at] == hashes])].sum())
         return 1 / (1 + np.exp(np.clip(self.thresholds - s, -50, 50)))
 
 
 def fit(docs: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, penalty: float = 2e-3, steps: int = 400) -> Model:
-    """docs: distinct word hashes of each; grades: 0..K."""
+    """docs: distinct feature hashes of each; grades: 0..K."""
     levels = int(grades.max())
     flat = np.concatenate(docs) if docs else np.empty(0, np.uint64)
     vocabulary, column, df = np.unique(flat, return_inverse=True, return_counts=True)
@@ -118,7 +124,7 @@ def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 6000) -> Model
         for batch in batches:
             texts = batch.column(1)
             for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([words(texts[i].as_py()).astype("<u8").tobytes()], pa.binary())], names=["grade", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([np.unique(features(texts[i].as_py())).astype("<u8").tobytes()], pa.binary())], names=["grade", "words"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, words binary").collect()
     known = np.array([r["grade"] for r in rows])
@@ -135,7 +141,7 @@ def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep))
-            above = [model.above(words(texts[i].as_py())) if model is not None else np.zeros(1) for i in range(batch.num_rows)]
+            above = [model.above(features(texts[i].as_py())) if model is not None else np.zeros(1) for i in range(batch.num_rows)]
             severity = [float(p.sum()) for p in above]
             likely = [int((p >= 0.5).sum()) for p in above]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(severity, pa.float64()), pa.array(likely, pa.int32()), pa.array([float(p[0]) for p in above], pa.float64())], names=[*keep, "severity", "grade", "p_toxic"])
