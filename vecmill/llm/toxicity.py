@@ -6,7 +6,8 @@ beginnings of words, a text has.  The output is the expected severity,
 the sum of these probabilities.  Weights are fitted by proximal gradient steps with an L1 penalty, so only words that
 tell keep a weight; words that training did not see weigh nothing.
 
-Grades. 0: not toxic; 1: toxic; 2: toxic and of low quality (both from the labels).
+Grades. Labels that have several grades are used as they are.  Labels that only say toxic or not are refined first:
+a model of these two grades scores the toxic texts of the sample, and those above their median become grade 2.
 
 Scale. One pass without a shuffle over whole texts.  Training takes at most `sample_rows` labelled rows, half of them
 toxic where there are so many, chosen by a hash of doc_id; their ids (a bounded table) are broadcast, texts are not
@@ -63,13 +64,15 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending
 
+    def score(self, hashes: np.ndarray) -> float:
+        if not len(self.vocabulary) or not len(hashes):
+            return 0.0
+        at = np.searchsorted(self.vocabulary, hashes).clip(max=len(self.vocabulary) - 1)
+        return float(self.weights[np.unique(at[self.vocabulary[at] == hashes])].sum())
+
     def above(self, hashes: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold."""
-        s = 0.0
-        if len(self.vocabulary) and len(hashes):
-            at = np.searchsorted(self.vocabulary, hashes).clip(max=len(self.vocabulary) - 1)
-            s = float(self.weights[np.unique(at[self.vocabulary[at] == hashes])].sum())
-        return 1 / (1 + np.exp(np.clip(self.thresholds - s, -50, 50)))
+        return 1 / (1 + np.exp(np.clip(self.thresholds - self.score(hashes), -50, 50)))
 
 
 def fit(docs: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, penalty: float = 2e-3, steps: int = 400) -> Model:
@@ -87,26 +90,33 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, penalty
     scale = 1 / np.sqrt(np.bincount(column, minlength=v).clip(1) / n)  # rare words may move as fast as frequent ones
     share = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
     w, theta = np.zeros(v), np.log(((1 - y).mean(0) + 1e-3) / (y.mean(0) + 1e-3))
-    rate, ahead_w, t = None, w, 1.0
+    ahead_w, ahead_theta, t = w, theta, 1.0
     size = np.sqrt(np.bincount(row, weights=scale[column] ** 2, minlength=n))
     rate = 1.0 / (0.25 * levels * np.quantile(size, 0.95) ** 2 / n + 1e-9) / n
     for _ in range(steps):
         s = np.bincount(row, weights=(ahead_w * scale)[column], minlength=n)
-        gap = (1 / (1 + np.exp(np.clip(theta[None] - s[:, None], -50, 50))) - y) * share[:, None]
+        gap = (1 / (1 + np.exp(np.clip(ahead_theta[None] - s[:, None], -50, 50))) - y) * share[:, None]
         g = np.bincount(column, weights=gap.sum(1)[row], minlength=v) * scale
         new = ahead_w - rate * n * 0.5 * g
         new = np.sign(new) * np.maximum(np.abs(new) - rate * n * 0.5 * penalty, 0)
-        theta = np.maximum.accumulate(theta + 1.0 * gap.sum(0))
+        new_theta = np.maximum.accumulate(ahead_theta + gap.sum(0))
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead_w, w, t = new + (t - 1) / new_t * (new - w), new, new_t
+        ahead_w, ahead_theta = new + (t - 1) / new_t * (new - w), new_theta + (t - 1) / new_t * (new_theta - theta)
+        w, theta, t = new, new_theta, new_t
     used = w != 0
     return Model(vocabulary[used], (w * scale)[used], theta)
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from the labels' toxic and quality."""
-    low = F.coalesce(F.col("quality") == 0, F.lit(False)).cast("int")
-    return labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") * (1 + low)).cast("int").alias("grade"))
+    """(doc_id, grade) of the labels that have both."""
+    return labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("grade"))
+
+
+def refined(docs: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
+    """Grades 0, 1 and 2 from grades 0 and 1: toxic texts above the median of what a first model sees in them get 2."""
+    first = fit(docs, grades)
+    seen = np.array([first.score(d) for d in docs])
+    return np.where((grades > 0) & (seen > np.median(seen[grades > 0])), 2, grades)
 
 
 def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 6000) -> Model | None:
@@ -130,7 +140,8 @@ def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 6000) -> Model
     known = np.array([r["grade"] for r in rows])
     if not len(known) or known.min() == known.max():
         return None
-    return fit([np.frombuffer(r["words"], "<u8") for r in rows], known)
+    found = [np.frombuffer(r["words"], "<u8") for r in rows]
+    return fit(found, refined(found, known) if known.max() == 1 else known)
 
 
 def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
