@@ -12,7 +12,12 @@ from vecmill.plans.base import r, sql_hits
 from vecmill.plans.registry import query
 from vecmill.session import table
 
-_HIT_COLUMNS = ["query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("sim")).alias("sim")]
+
+
+def _shown(hits):
+    return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("sim")).alias("sim"))
+
+
 _HITS_SQL = f"WITH {sql_hits(10)} SELECT query_id, doc_id, rk::BIGINT AS rk, {r('sim')} AS sim FROM hits"
 
 
@@ -21,7 +26,7 @@ def exact_search_ip(spark, sf_dir):
     """Top 10 by inner product of unit vectors, in blocks."""
     u = base.units(spark, sf_dir)
     corpus = u.select(F.col("vec_id").alias("doc_id"), F.col("u").alias("e"))
-    return search.exact_search(base.queries_of(u), corpus, 10).select(*_HIT_COLUMNS)
+    return _shown(search.exact_search(base.queries_of(u), corpus, 10))
 
 
 @query("exact_search_plan", _HITS_SQL)
@@ -29,7 +34,7 @@ def exact_search_plan(spark, sf_dir):
     """The same search as one plan of column expressions."""
     u = base.units(spark, sf_dir)
     corpus = u.select(F.col("vec_id").alias("doc_id"), F.col("u").alias("e"))
-    return search.search_expression(base.queries_of(u), corpus, 10).select(*_HIT_COLUMNS)
+    return _shown(search.search_expression(base.queries_of(u), corpus, 10))
 
 
 @query("exact_search_cos", f"""WITH p AS (
@@ -42,7 +47,7 @@ def exact_search_cos(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), V.doubles(F.col("embedding")).alias("e"))
     q = e.where(F.col("doc_id") % base.EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("e").alias("q"))
     pairs = e.join(F.broadcast(q), F.lit(True)).select("query_id", "doc_id", V.cosine(F.col("q"), F.col("e")).alias("sim"))
-    return search.top_k(pairs, ["query_id"], "sim", "doc_id", 10).select(*_HIT_COLUMNS)
+    return _shown(search.top_k(pairs, ["query_id"], "sim", "doc_id", 10))
 
 
 @query("search_ignore_identical", f"WITH {sql_hits(10)} SELECT query_id, doc_id, rk::BIGINT AS rk, {r('sim')} AS sim FROM hits WHERE query_id <> doc_id")

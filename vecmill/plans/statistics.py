@@ -94,7 +94,7 @@ def lambda_estimate(spark, sf_dir):
 n AS (SELECT query_id, bool_or(coalesce(side = 'neg', false)) AS neg FROM sig GROUP BY query_id),
 raised AS (SELECT a.*, neg, CASE WHEN boost THEN greatest(lambda_hat, 0.4::DOUBLE) WHEN allowed THEN greatest(lambda_hat, 0.35::DOUBLE) ELSE lambda_hat END AS raised FROM a JOIN n USING (query_id)),
 held AS (SELECT *, greatest(least(raised, prev + 0.35::DOUBLE), prev - 0.35::DOUBLE) AS held FROM raised)
-SELECT query_id, prev, boost, allowed, {r('CASE WHEN NOT allowed THEN 0 WHEN boost THEN least(0.6::DOUBLE, greatest(held, 0.4::DOUBLE)) ELSE held END')} AS lam, CASE WHEN neg THEN 0.35::DOUBLE ELSE 0 END AS eta_soft FROM held""")
+SELECT query_id, prev, boost, coalesce(allowed::VARCHAR, 'unset') AS allowed, {r('CASE WHEN NOT allowed THEN 0 WHEN boost THEN least(0.6::DOUBLE, greatest(held, 0.4::DOUBLE)) ELSE held END')} AS lam, CASE WHEN neg THEN 0.35::DOUBLE ELSE 0 END AS eta_soft FROM held""")
 def rank_update(spark, sf_dir):
     """Every combination of an earlier value, a boost and permission."""
     signals = policy.time_signals(_stretched(spark, sf_dir))
@@ -102,7 +102,7 @@ def rank_update(spark, sf_dir):
     rows = policy.recency_weight(signals).join(negative, "query_id")
     rows = rows.withColumn("prev", F.explode(F.array(F.lit(0.0), F.lit(0.5)))).withColumn("boost", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("allowed", F.explode(F.array(F.lit(True), F.lit(False), F.lit(None).cast("boolean"))))
     out = policy.rank_update(F.col("prev"), F.col("lambda_hat"), F.col("boost"), F.col("allowed"), F.col("neg"))
-    return rows.withColumn("u", out).select("query_id", "prev", "boost", "allowed", S.steady(F.col("u.lam")).alias("lam"), F.col("u.eta_soft").alias("eta_soft"))
+    return rows.withColumn("u", out).select("query_id", "prev", "boost", F.coalesce(F.col("allowed").cast("string"), F.lit("unset")).alias("allowed"), S.steady(F.col("u.lam")).alias("lam"), F.col("u.eta_soft").alias("eta_soft"))
 
 
 @query("filter_update", f"""WITH {sql_hits(40)}, b AS (SELECT query_id, doc_id, rk, label = query_label AS bound, doc_id % 2 = 0 AS relevant FROM hits),
