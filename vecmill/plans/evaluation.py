@@ -76,14 +76,16 @@ def claimed_vs_computed(spark, sf_dir):
 
 
 # Two runs over the same questions: plain, and one that prefers hits of the query's label (a ranking policy).
-# A hit's session is its id modulo 40; gold sessions are those of the judged documents of grade 2 with id below 200.
+# A hit's session is its id modulo 40; gold sessions are the two with the most judged documents of grade 2.
 
 _RUNS = f"""{sql_hits(30)}, base_run AS (SELECT query_id, doc_id, doc_id % 40 AS session_id, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rk, label = query_label AS alike, sim FROM hits WHERE query_id <> doc_id),
 evo_run AS (SELECT query_id, doc_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim + CASE WHEN alike THEN 0.05::DOUBLE ELSE 0 END, 9) DESC, doc_id) AS rk FROM base_run),
 both_runs AS (SELECT 'dense' AS run, query_id, session_id, rk FROM base_run UNION ALL SELECT 'evolved', query_id, session_id, rk FROM evo_run),
 firsts AS (SELECT run, query_id, session_id, min(rk) AS rk FROM both_runs GROUP BY ALL),
 lists AS (SELECT run, query_id, list(session_id ORDER BY rk) AS ids FROM firsts GROUP BY run, query_id),
-{base.SQL_QRELS}, golds AS (SELECT query_id, list_sort(list(DISTINCT doc_id % 40)) AS gold FROM qrels WHERE rel = 2 AND doc_id < 200 GROUP BY query_id),
+{base.SQL_QRELS}, gc AS (SELECT query_id, doc_id % 40 AS session_id, count(*) AS n FROM qrels WHERE rel = 2 GROUP BY ALL),
+gr AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, session_id) AS p FROM gc),
+golds AS (SELECT query_id, list_sort(list(session_id)) AS gold FROM gr WHERE p <= 2 GROUP BY query_id),
 sess AS (SELECT l.run, l.query_id, 'type' || (l.query_id // {base.EVERY}) % 3 AS question_type, ids, coalesce(gold, []) AS gold FROM lists l LEFT JOIN golds USING (query_id)),
 sm AS (SELECT run, query_id, question_type, {', '.join(f"CASE WHEN len(gold) > 0 THEN len(list_intersect(ids[1:{k}], gold)) / len(gold)::DOUBLE END AS recall_{k}, CASE WHEN len(gold) > 0 THEN (len(list_intersect(ids[1:{k}], gold)) = len(gold))::INT::DOUBLE END AS hit_all_{k}, CASE WHEN len(gold) > 0 THEN coalesce(list_sum([CASE WHEN list_contains(gold, ids[i]) THEN 1 / log2(i + 1) ELSE 0 END FOR i IN range(1, least({k}, len(ids)) + 1)]), 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least({k}, len(gold)) + 1)]) END AS ndcg_{k}" for k in (5, 10))},
   list_min([i FOR i IN range(1, len(ids) + 1) IF list_contains(gold, ids[i])]) AS gold_rank FROM sess)"""
@@ -98,7 +100,8 @@ def _session_rows(spark, sf_dir):
     both = dense.select(F.lit("dense").alias("run"), "query_id", "session_id", "rk").unionByName(evolved.select(F.lit("evolved").alias("run"), "query_id", "session_id", "rk"))
     firsts = both.groupBy("run", "query_id", "session_id").agg(F.min("rk").alias("rk"))
     lists = firsts.groupBy("run", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "session_id"))), lambda x: x["session_id"]).alias("ids"))
-    gold = base.qrels(spark, sf_dir).where("rel = 2 and doc_id < 200").groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("doc_id") % 40)).alias("gold"))
+    counts = base.qrels(spark, sf_dir).where("rel = 2").groupBy("query_id", (F.col("doc_id") % 40).alias("session_id")).agg(F.count("*").alias("n"))
+    gold = search.top_k(counts, ["query_id"], "n", "session_id", 2).groupBy("query_id").agg(F.array_sort(F.collect_list("session_id")).alias("gold"))
     kind = F.concat(F.lit("type"), (F.floor(F.col("query_id") / base.EVERY) % 3).cast("string"))
     return lists.join(gold, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<bigint>"))).withColumn("question_type", kind)
 
