@@ -172,3 +172,25 @@ def test_config_rule_grammar(spark):
         for s in ("facebook/contriever", "x/e5-base", "bge-m3", "e5-mistral", "a_tas-b", "facebook-dpr-x", ""):
             want = spark.sql(f"select {test.replace('_', '\\_')} from (select '{s}' as s)").first()[0]
             assert one(spark, config_rules._like(test, F.lit(s)))[0] == want
+
+
+def test_memory_loop(spark):
+    from vecmill.operators import memory
+
+    q = "What color is the bedroom wall?"
+    docs = [(1, 1, "the bedroom wall was repainted"), (1, 2, "bedroom wall bedroom wall"), (1, 3, "the wall of the bedroom is now grey color"), (1, 4, "the garden"), (2, 5, "The color of the bedroom wall is grey."), (3, 6, "nothing at all")]
+    texts = spark.createDataFrame([(a, b, t, 738000.0 + b) for a, b, t in docs], "query_id long, doc_id long, text string, time_days double")
+    texts = texts.join(sessions.hashed_vectors(texts, "doc_id", "text"), "doc_id")
+    questions = spark.createDataFrame([(1, q, 738500.0), (2, q, 738500.0), (3, q, 738500.0)], "query_id long, question string, query_days double")
+    questions = questions.join(sessions.hashed_vectors(questions, "query_id", "question").withColumnRenamed("e", "q0"), "query_id")
+    hits, log = memory.evolve(questions, texts, k=3)
+    rows = log.collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r["round"]):
+        by.setdefault(r["query_id"], []).append(r)
+    assert by[2][0]["covers"] and by[2][0]["why"] == "enough" and len(by[2]) == 1
+    for mine in by.values():
+        used = [r["slot"] for r in mine if r["slot"]]
+        assert mine[-1]["slot"] is None and len(used) == len(set(used)) and len(mine) <= 3
+    assert {r["query_id"] for r in hits.collect()} == {1, 2, 3}
+    assert hits.where("query_id = 1").count() == 3

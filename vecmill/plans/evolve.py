@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
-from vecmill.operators import analytics, loop
+from vecmill.operators import analytics, loop, memory, sessions
 from vecmill.plans import base
 from vecmill.plans.registry import query
+from vecmill.session import table
 
 
 def _run(spark, sf_dir):
@@ -37,3 +38,28 @@ def slot_adoption(spark, sf_dir):
     """How often each slot was changed, for which reason, in which round."""
     _, log = _run(spark, sf_dir)
     return analytics.adoption(log)
+
+
+def _memory(spark, sf_dir):
+    """Questions: the first turn of each conversation. Texts: its later turns, forty days apart."""
+    c = table(spark, sf_dir, "conversations")
+    first = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
+    vectors = sessions.hashed_vectors(first, "query_id", "question").withColumnRenamed("e", "q0")
+    questions = first.join(vectors, "query_id").withColumn("query_days", F.lit(738640.0))
+    later = c.where("turn > 0").select(F.col("conv_id").alias("query_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text", (F.lit(738000.0) + F.col("turn") * 40).alias("time_days"))
+    texts = later.join(sessions.hashed_vectors(later, "doc_id", "text"), "doc_id")
+    return memory.evolve(questions, texts, k=5)
+
+
+@query("memory_loop")
+def memory_loop(spark, sf_dir):
+    """Final evidence of each question among its own texts."""
+    hits, _ = _memory(spark, sf_dir)
+    return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"))
+
+
+@query("memory_log")
+def memory_log(spark, sf_dir):
+    """What each round found and changed."""
+    _, log = _memory(spark, sf_dir)
+    return log.withColumn("proxy", S.steady(F.col("proxy")))
