@@ -60,6 +60,10 @@ def test_exact_search_both_ways(spark, monkeypatch, shipped):
     for q in (0, 50, 299):
         s = (x * x[q]).sum(1)
         assert [got[q, k + 1] for k in range(7)] == np.lexsort((np.arange(300), -s))[:7].tolist()
+    if shipped:
+        for few in (2, 100):
+            plan = {(r["query_id"], r["rk"]): r["doc_id"] for r in search.search_expression(queries, corpus, 7, few=few).collect()}
+            assert plan == got
 
 
 def test_empty_search(spark):

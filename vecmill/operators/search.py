@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +90,20 @@ def exact_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_k(found, ["query_id"], "sim", "doc_id", k)
 
 
-def search_expression(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The same result as one plan of expressions; the query side is broadcast, for query sets of a known small size."""
-    pairs = corpus.join(F.broadcast(queries), F.lit(True))
-    return top_k(pairs.select("query_id", "doc_id", V.dot(F.col("q"), F.col("e")).alias("sim")), ["query_id"], "sim", "doc_id", k)
+def search_expression(queries: DataFrame, corpus: DataFrame, k: int, score: Callable[[Column, Column], Column] = V.dot, few: int = 10_000) -> DataFrame:
+    """Top k by any score of (q, e) as one plan of expressions.
+
+    The query side is broadcast if it has at most `few` rows; else both sides are dealt in blocks that meet by key.
+    """
+    asked = queries.select("query_id", "q")
+    n = asked.count()
+    if n <= few:
+        pairs = corpus.join(F.broadcast(asked), F.lit(True))
+    else:
+        cuts = -(-n // few)
+        left = asked.withColumn("cut", F.pmod(F.xxhash64("query_id"), F.lit(cuts)).cast("int"))
+        pairs = corpus.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).join(left, "cut")
+    return top_k(pairs.select("query_id", "doc_id", score(F.col("q"), F.col("e")).alias("sim")), ["query_id"], "sim", "doc_id", k)
 
 
 def slate_similarity(s0: Column, sq: Column, sv: Column, mu: Column, omega: Column, gamma: Column) -> Column:

@@ -46,8 +46,7 @@ SELECT query_id, doc_id, rk, {r('sim')} AS sim FROM (
 def exact_search_cos(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), V.doubles(F.col("embedding")).alias("e"))
     q = e.where(F.col("doc_id") % base.EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("e").alias("q"))
-    pairs = e.join(F.broadcast(q), F.lit(True)).select("query_id", "doc_id", V.cosine(F.col("q"), F.col("e")).alias("sim"))
-    return _shown(search.top_k(pairs, ["query_id"], "sim", "doc_id", 10))
+    return _shown(search.search_expression(q, e, 10, V.cosine))
 
 
 @query("search_ignore_identical", f"WITH {sql_hits(10)} SELECT query_id, doc_id, rk::BIGINT AS rk, {r('sim')} AS sim FROM hits WHERE query_id <> doc_id")
