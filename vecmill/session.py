@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even if only the driver's sys.path names it."""
+    """Let Python workers import this package even if only the driver's sys.path names it, and where the session has
+    Spark's own limit for batches to Python, 64 MB, make it 4 MB: rows are whole texts, and workers hold some copies."""
+    if spark.conf.get(BATCH_BYTES, "64m") in ("64m", "67108864", "67108864b"):
+        spark.conf.set(BATCH_BYTES, "4m")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
