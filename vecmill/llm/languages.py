@@ -92,14 +92,14 @@ class Model:
 
 
 def fit(features: np.ndarray, which: np.ndarray, languages: list[str], margin: float, steps: int = 300, ridge: float = 1e-5) -> Model:
-    """Accelerated gradient descent on the logistic losses of all bits at once; classes count alike."""
+    """Accelerated gradient descent on the logistic losses of all bits at once; classes count alike. Centres features in place."""
     code = codewords(len(languages))
     target = code[which]
     share = (1 / np.bincount(which, minlength=len(languages)).clip(1))[which]
     share = (share / share.sum())[:, None]
     centre = features.mean(0)
-    x = features - centre
-    rate = 1.0 / (0.25 * float((share * (x * x).sum(1, keepdims=True)).sum()) + ridge)
+    x = np.subtract(features, centre, out=features)
+    rate = 1.0 / (0.25 * float((share * np.einsum("ij,ij->i", x, x)[:, None]).sum()) + ridge)
     w = np.zeros((x.shape[1], code.shape[1]), np.float32)
     b = np.zeros(code.shape[1])
     ahead_w, ahead_b, t = w, b, 1.0
@@ -115,7 +115,7 @@ def fit(features: np.ndarray, which: np.ndarray, languages: list[str], margin: f
     return Model(languages, code, w, b - centre @ w, margin)
 
 
-def learn(docs: DataFrame, labelled, sample_rows: int = 4000, margin: float = 1.0) -> Model | None:
+def learn(docs: DataFrame, labelled, sample_rows: int = 3000, margin: float = 1.0) -> Model | None:
     """Fit on at most sample_rows of the rows where `labelled` holds and text and lang are there."""
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
@@ -139,7 +139,11 @@ def learn(docs: DataFrame, labelled, sample_rows: int = 4000, margin: float = 1.
     if not sample:
         return None
     which = np.array([languages.index(r["lang"]) for r in sample])
-    return fit(np.stack([np.frombuffer(r["x"], "<f2").astype(np.float32) for r in sample]), which, languages, margin)
+    features = np.empty((len(sample), len(_WEIGHTS) << _BITS), np.float32)
+    for i, r in enumerate(sample):
+        features[i] = np.frombuffer(r["x"], "<f2")
+    del sample
+    return fit(features, which, languages, margin)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -78,6 +78,12 @@ class Model:
 def fit(docs: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, penalty: float = 2e-3, steps: int = 400) -> Model:
     """docs: distinct feature hashes of each; grades: 0..K."""
     levels = int(grades.max())
+    seen = np.zeros(1 << 24, np.uint8)  # by 24 bits of the hash: an upper bound of how many texts have a feature
+    place = lambda d: (d >> np.uint64(40)).astype(np.int64)
+    for d in docs:
+        at = np.unique(place(d))
+        seen[at] += seen[at] < least_docs
+    docs = [d[seen[place(d)] >= least_docs] for d in docs]
     flat = np.concatenate(docs) if docs else np.empty(0, np.uint64)
     vocabulary, column, df = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -119,7 +125,7 @@ def refined(docs: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
     return np.where((grades > 0) & (seen > np.median(seen[grades > 0])), 2, grades)
 
 
-def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 6000) -> Model | None:
+def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 4000) -> Model | None:
     """Fit on at most sample_rows rows of grades (doc_id, grade) and the texts of these documents."""
     prepare(docs.sparkSession)
     counts = {r["t"]: r["n"] for r in grades.groupBy((F.col("grade") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
