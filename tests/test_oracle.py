@@ -23,7 +23,9 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    out = [tuple(None if v is None or v != v else (round(float(v), 4) if isinstance(v, float) else v) for v in r) for r in frame.astype(object).itertuples(index=False)]
+    import pandas as pd
+
+    out = [tuple(None if pd.isna(v) else (round(float(v), 4) if isinstance(v, float) else v) for v in r) for r in frame.astype(object).itertuples(index=False)]
     return sorted(out, key=lambda r: [(v is None, str(type(v)), v if v is not None else 0) for v in r])
 
 

@@ -115,9 +115,9 @@ def _session_metrics(spark, sf_dir):
 _SM = [f"{m}_{k}" for k in (5, 10) for m in ("recall", "ndcg", "hit_all")]
 
 
-@query("session_metrics", f"WITH {_RUNS} SELECT run, query_id, question_type, gold_rank::BIGINT AS gold_rank, {', '.join(f'{r(c)} AS {c}' for c in _SM)} FROM sm")
+@query("session_metrics", f"WITH {_RUNS} SELECT run, query_id, question_type, coalesce(gold_rank, 0)::BIGINT AS gold_rank, {', '.join(f'{r(c)} AS {c}' for c in _SM)} FROM sm")
 def session_metrics(spark, sf_dir):
-    return _session_metrics(spark, sf_dir).select("run", "query_id", "question_type", "gold_rank", *[S.steady(F.col(c)).alias(c) for c in _SM])
+    return _session_metrics(spark, sf_dir).select("run", "query_id", "question_type", F.coalesce("gold_rank", F.lit(0)).alias("gold_rank"), *[S.steady(F.col(c)).alias(c) for c in _SM])
 
 
 @query("type_summary", f"""WITH {_RUNS} SELECT run, coalesce(question_type, 'all') AS question_type, count(*) AS n, {', '.join(f'{r(f"avg({c})", 4)} AS {c}' for c in _SM)} FROM sm GROUP BY GROUPING SETS ((run, question_type), (run))""")
