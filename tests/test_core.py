@@ -198,3 +198,43 @@ def test_memory_loop(spark):
         assert mine[-1]["slot"] is None and len(used) == len(set(used)) and len(mine) <= 3
     assert {r["query_id"] for r in hits.collect()} == {1, 2, 3}
     assert hits.where("query_id = 1").count() == 3
+
+
+def test_sane_phrases(spark):
+    cases = [
+        (["commute time", "  the daily  commute!", "Is it?", "a.b", "one two three four five", "what when", "COMMUTE TIME", "red bicycle tyre", "blue bike"], "How long is my daily commute time?", "", ["commute time", "the daily commute!", "blue bike"]),
+        (["coffee creamer"], "Where is the coffee creamer?", "I bought coffee creamer today", []),
+        ([], "x", "", []),
+    ]
+    for items, question, texts, want in cases:
+        array = F.array(*map(F.lit, items)) if items else F.array().cast("array<string>")
+        assert one(spark, review.sane_phrases(array, F.lit(question), F.lit(texts)))[0] == want
+
+
+def test_cluster_signals(spark):
+    from vecmill.plans import registry
+
+    hits = {}
+    for r in registry.QUERIES["alias_signals"](spark, SF).collect():
+        hits.setdefault(r["query_id"], []).append(r["side"])
+    assert all(len(v) == 20 and "pos" in v for v in hits.values())
+    moves = {}
+    for r in registry.QUERIES["multihop_rank"](spark, SF).collect():
+        moves.setdefault(r["query_id"], set()).add(r["adjustment"])
+    assert set(moves) == set(hits) and all(v <= {0.0, 0.12, -0.25} and 0.0 in v for v in moves.values())
+
+
+def test_review_of_the_fixture(spark):
+    """The whole review against a plain loop over the rules that decide it."""
+    from vecmill.plans import registry, texts
+
+    got = {r["query_id"]: r for r in registry.QUERIES["review_evidence"](spark, SF).collect()}
+    asserted = {(r["qid"], r["sid"]): r["asserted"] for r in registry.QUERIES["value_asserted"](spark, SF).collect()}
+    hops = {int(r["id"][1:]): r["hop"] for r in registry.QUERIES["hop_phrase"](spark, SF).where("id like 'q%'").collect()}
+    for q, row in got.items():
+        covers = any(asserted[q, s] for s in range(3))
+        ids = [int(x) for c in ("relevant", "soft", "hard") for x in row[c].split(",") if x]
+        assert sorted(ids) == list(range(len(texts.SNIPPETS)))  # every text has one verdict
+        assert row["covers"] == covers and row["hop"] == hops[q]
+        assert row["slot"] == ("query" if not covers and hops[q] else "rank")
+        assert all(s < 7 for s in map(int, filter(None, row["hard"].split(","))))  # hard ones are over a year old
