@@ -76,6 +76,30 @@ def test_forest_recall_and_order(spark):
     assert recall >= 0.9
 
 
+def forest_recall(spark, v, queries, **how):
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>").repartition(4)
+    want, got = brute(v, queries, 20), {}
+    for r in forest.neighbours(frame, F.col("vec_id").isin(*queries), **how).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return {q: len(got[q] & set(want[q])) / 20 for q in queries}
+
+
+def test_forest_of_queries_with_mixed_depths(spark):
+    rng = np.random.default_rng(3)
+    v = dict(enumerate(rng.standard_normal((2000, 16))))
+    recall = forest_recall(spark, v, list(range(0, 2000, 40)))  # about half of the queries ascend to the root
+    assert min(recall.values()) >= 0.9 and np.mean(list(recall.values())) >= 0.98
+
+
+def test_forest_with_an_outlying_query(spark):
+    rng = np.random.default_rng(4)
+    mean = rng.standard_normal(16) * 2
+    v = dict(enumerate(mean + rng.standard_normal((3000, 16))))
+    v[0] = -mean
+    recall = forest_recall(spark, v, list(range(0, 3000, 100)), least=3000, share=8)
+    assert recall[0] == 1 and np.mean(list(recall.values())) >= 0.98
+
+
 def test_forest_of_odd_vectors(spark):
     same = [1.0, 2.0]
     rows = [(0, same), (5, same), (3, same), (20, [0.5, 0.0]), (40, None), (41, []), (60, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (10, [float("inf"), 1.0]), (None, same), (11, [-1.0, 0.0])]

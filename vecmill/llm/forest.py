@@ -11,7 +11,8 @@ structure reach it at long prefixes, vectors without any need short ones.
 
 Scale. Trees are cut into groups by the shortest prefix any query needs; a group of more than `group_rows` rows, and
 queries of more than `group_queries`, are cut further by hash, so equal vectors, however many, never meet in one task.
-A group returns its k best for each query; the k best of these are the result.
+A group returns its k best for each query; the k best of these are the result.  Queries that ascend to the root see
+all rows in one tree and are grouped apart, so they take no tree from the others and do not coarsen their groups.
 
 Edge cases. Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 components take no part, nor do rows without id.  With fewer than k candidates all are returned.  Ties go to the
@@ -20,6 +21,8 @@ smaller vec_id.  An empty table has no result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,18 +108,6 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 2
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depth)], names=["query_id", "v", "probes", "depth"])
 
     asked = written(coded.where("q").select(F.col("vec_id").alias("query_id"), "v", "probes").mapInArrow(ascend, "query_id long, v array<double>, probes array<int>, depth int"), "queries")
-    least_depth = asked.agg(F.min("depth")).first()[0]
-    if least_depth is None:
-        least_depth = 0
-    used = trees if least_depth else 1  # at the root every tree has all rows
-    cuts = max(1, -(-int(levels[least_depth].max()) // group_rows))
-    busiest = asked.select(F.posexplode(F.slice("probes", 1, used)).alias("tree", "probe")).groupBy("tree", F.shiftright("probe", CODE_BITS - least_depth).alias("g")).count().agg(F.max("count")).first()[0] or 1
-    query_cuts = max(1, -(-busiest // group_queries))
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    index = coded.select("vec_id", "v", F.posexplode(F.slice("codes", 1, used)).alias("tree", "code")).select("vec_id", "v", "tree", "code", F.pmod(F.xxhash64("vec_id"), F.lit(cuts)).cast("int").alias("cut"), spread(query_cuts).alias("qcut"))
-    index = index.withColumn("g", F.shiftright("code", CODE_BITS - least_depth))
-    probes = asked.select("query_id", "v", "depth", F.posexplode(F.slice("probes", 1, used)).alias("tree", "probe"), F.pmod(F.xxhash64("query_id"), F.lit(query_cuts)).cast("int").alias("qcut")).withColumn("cut", spread(cuts)).withColumn("g", F.shiftright("probe", CODE_BITS - least_depth))
-
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if left.num_rows and right.num_rows:
@@ -142,8 +133,25 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 2
         cols = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     keys = ["tree", "g", "cut", "qcut"]
-    hits = probes.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double").distinct()
+
+    def met(some: DataFrame, least_depth: int, used: int) -> DataFrame:
+        """Hits of the queries in `some`, none of a lesser depth, in the first `used` trees."""
+        cuts = max(1, -(-int(levels[least_depth].max()) // group_rows))
+        busiest = some.select(F.posexplode(F.slice("probes", 1, used)).alias("tree", "probe")).groupBy("tree", F.shiftright("probe", CODE_BITS - least_depth).alias("g")).count().agg(F.max("count")).first()[0] or 1
+        query_cuts = max(1, -(-busiest // group_queries))
+        index = coded.select("vec_id", "v", F.posexplode(F.slice("codes", 1, used)).alias("tree", "code")).select("vec_id", "v", "tree", "code", F.pmod(F.xxhash64("vec_id"), F.lit(cuts)).cast("int").alias("cut"), spread(query_cuts).alias("qcut"))
+        index = index.withColumn("g", F.shiftright("code", CODE_BITS - least_depth))
+        probes = some.select("query_id", "v", "depth", F.posexplode(F.slice("probes", 1, used)).alias("tree", "probe"), F.pmod(F.xxhash64("query_id"), F.lit(query_cuts)).cast("int").alias("qcut")).withColumn("cut", spread(cuts)).withColumn("g", F.shiftright("probe", CODE_BITS - least_depth))
+        return probes.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
+
+    # at the root every tree has all rows, so queries that ascend to it need one tree; all others need every tree
+    lowest = asked.agg(F.min("depth").alias("any"), F.min(F.when(F.col("depth") > 0, F.col("depth"))).alias("below")).first()
+    parts = [met(asked.where("depth = 0"), 0, 1)] if not lowest["any"] else []
+    if lowest["below"]:
+        parts.append(met(asked.where("depth > 0"), lowest["below"], trees))
+    hits = reduce(DataFrame.unionByName, parts).distinct()
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
