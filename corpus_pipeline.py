@@ -7,8 +7,8 @@ stage's docs; all but the last return the columns of documents.
 2. toxicity: documents of a toxic grade go.
 3. near copies: of each group of near-duplicate documents (five-word shingles, similarity 0.8) the one with the least
    doc_id stays.
-4. repeated passages: bytes covered by a 400-byte string that occurs anywhere else are cut out; of a character cut in
-   two nothing stays; documents of which only white space is left go.
+4. repeated passages: bytes covered by a passage of more than 50 words, or by a 400-byte string, that occurs anywhere
+   else are cut out; of a character cut in two nothing stays; documents of which only white space is left go.
 5. packing: the tokens of what is left in sequences of at most 1024.
 
 Rows without doc_id are not judged by stage 3 and stay.  Empty tables give empty results in every stage.
@@ -23,6 +23,7 @@ from vecmill.llm import languages, packing, simhash, suffixes, toxicity
 from vecmill.session import table, written
 
 FEW_KEYS = 500_000
+PASSAGE_WORDS = 51
 ORACLE_SQL = None
 
 
@@ -46,7 +47,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.cut(docs, keep=[c for c in docs.columns if c != "text"])
+    cut = suffixes.cut(docs, keep=[c for c in docs.columns if c != "text"], words=PASSAGE_WORDS)
     whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
     text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string"))
     rest = cut.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))

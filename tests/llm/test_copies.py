@@ -1,6 +1,8 @@
 """Operators 3 and 5 and the components against brute force."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,6 +51,32 @@ def test_repeats_against_brute_force(spark, few_keys):
             assert got[i] == w, (i, texts[i])
 
 
+def brute_words(texts, n):
+    """Bytes that no passage of n words which occurs anywhere else covers."""
+    listed = [[(m.group(), m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", b)] for b in texts]
+    seen = Counter(tuple(w for w, _, _ in x[i : i + n]) for x in listed for i in range(len(x) - n + 1))
+    out = []
+    for b, x in zip(texts, listed, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(x) - n + 1):
+            if seen[tuple(w for w, _, _ in x[i : i + n])] > 1:
+                gone[x[i][1] : x[i + n - 1][2]] = True
+        out.append(bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return out
+
+
+@pytest.mark.parametrize("words", [7, 25])
+def test_repeated_words_against_brute_force(spark, words):
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 5))) for _ in range(200)]
+    parts = [" ".join(rng.choices(pool, k=30)) for _ in range(5)]
+    texts = [t or "" for t in cases()]
+    texts += ["\n".join(rng.choice([rng.choice(parts), " ".join(rng.choices(pool, k=rng.randrange(1, 20)))]) for _ in range(8)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.cut(docs, 4000, 3000, words=words).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words([t.encode() for t in texts], words)
+
+
 def test_repeats_in_empty_and_odd_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.cut(docs).count() == 0

@@ -53,3 +53,13 @@ def test_repeated_passages_are_cut(spark):
     got = {r["doc_id"]: r for r in P.without_repeats(spark, docs, "").collect()}
     assert got[1]["text"].strip() == "own words one" and got[2]["text"].strip() == "other own words" and got[3]["text"] == "clean text stays"
     assert got[1]["n_chars"] == len(got[1]["text"])
+
+
+def test_repeated_passages_of_short_words_are_cut(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    long_, short, tiny = words("ab", 51), words("cd", 50), " ".join("abcdefg"[i * i % 7] + "xyz"[i % 3] * (i % 4 == 1) for i in range(60))
+    assert len(long_) < 260
+    texts = [f"one {long_} own", f"two\n{long_}\nother", f"three {short} more", f"four {short} less", f"five {long_.replace(' ', '  ')} é", f"six {tiny} end", f"seven {tiny} stop", long_, long_]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["text"].split() for r in P.without_repeats(spark, docs, "").collect()}
+    assert got == {0: ["one", "own"], 1: ["two", "other"], 2: texts[2].split(), 3: texts[3].split(), 4: ["five", "é"], 5: ["six", "end"], 6: ["seven", "stop"]}

@@ -18,6 +18,10 @@ joins are of plain tables, so that a passage in a third of all documents is spli
 shuffled only for documents in which something repeats, where the keys of these are few enough to be broadcast
 (`few_keys`), else joined by key.
 
+Words. With `words` the operator also removes passages of that many words that occur anywhere else, however few bytes
+they have.  Words are what lies between ASCII white space; each becomes a hash of four bytes, and the same passes run
+over the hashes, so the words have to be equal and the white space between them need not be.
+
 Edge cases. Null counts as empty; texts shorter than the window keep all; copies of a text are all removed if long
 enough.  Equal texts get equal results, so doc_id may be null or repeated.
 """
@@ -177,6 +181,38 @@ def repeated_starts(texts: DataFrame, size: int = 400, gram: int = 160, few_keys
     return whole.unionByName(by_block).unionByName(by_window).groupBy("dkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
+WORD_BYTES, WORD_GRAM = 4, 20
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in bytes."""
+    space = np.concatenate([[True], _SPACE[data], [True]])
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+
+
+def worded(texts: DataFrame) -> DataFrame:
+    """(dkey, text): in place of the text the hashes of its words, WORD_BYTES each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = []
+            for i in range(batch.num_rows):
+                data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
+                coded.append((Rolling(data, 0).ranges(*word_ranges(data)) >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], names=["dkey", "text"])
+
+    return texts.select("dkey", F.col("text").cast("binary").alias("text")).mapInArrow(run, "dkey binary, text binary")
+
+
+def _word_spans(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the passages whose first words have their hashes at lo..hi."""
+    begin, end = word_ranges(data)
+    first, last = -(-lo // WORD_BYTES), hi // WORD_BYTES
+    whole = first <= last  # others lie between two words
+    return begin[first[whole]], end[last[whole] + words - 1]
+
+
 def _only(texts: DataFrame, keys: DataFrame, few_keys: int) -> DataFrame:
     """texts without those whose key is not among keys, before they are shuffled, if the keys are few enough to broadcast."""
     keys = keys.distinct()
@@ -193,21 +229,35 @@ def kept_ranges(n: int, lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.n
     return begin[keep], stop[keep]
 
 
-def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_000, keep: list[str] | None = None) -> DataFrame:
-    """The operator: the columns in `keep` (doc_id by default) with n_bytes, n_removed, n_spans and kept, the remaining bytes."""
+def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_000, keep: list[str] | None = None, words: int | None = None) -> DataFrame:
+    """The operator: the columns in `keep` (doc_id by default) with n_bytes, n_removed, n_spans and kept, the remaining bytes.
+
+    With words, repeated passages of so many words are removed as well as those of `size` bytes.
+    """
     prepare(docs.sparkSession)
     keep = keep or ["doc_id"]
     texts = keyed(docs, keep)
-    starts = written(repeated_starts(texts, size, gram, few_keys), "starts")
+    starts = repeated_starts(texts, size, gram, few_keys)
+    if words:
+        long_ = texts.where(F.octet_length("text") >= 2 * words - 1)
+        by_word = repeated_starts(worded(long_), WORD_BYTES * words, WORD_BYTES * min(words, WORD_GRAM), few_keys)
+        starts = starts.join(by_word.withColumnRenamed("spans", "word_spans"), "dkey", "full")
+    else:
+        starts = starts.withColumn("word_spans", F.lit(None).cast(starts.schema["spans"].dataType))
+    starts = written(starts.withColumns({c: F.coalesce(c, F.array().cast(starts.schema[c].dataType)) for c in ("spans", "word_spans")}), "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
                 data = batch.column(len(keep))[i].as_py()
-                spans = batch.column(len(keep) + 1)[i].values
+                spans, by_word = (batch.column(len(keep) + c)[i].values for c in (1, 2))
                 n = len(data)
-                begin, stop = kept_ranges(n, spans.field(0).to_numpy(), spans.field(1).to_numpy(), size)
+                lo, hi = spans.field(0).to_numpy(), spans.field(1).to_numpy()
+                if len(by_word):
+                    first, end = _word_spans(np.frombuffer(data, np.uint8), by_word.field(0).to_numpy(), by_word.field(1).to_numpy(), words)
+                    lo, hi = np.concatenate([lo, first]), np.concatenate([hi, end - size])
+                begin, stop = kept_ranges(n, lo, hi, size)
                 kept = b"".join(data[b:s] for b, s in zip(begin.tolist(), stop.tolist(), strict=True))
                 runs = len(begin) + 1 - int(len(begin) > 0 and begin[0] == 0) - int(len(stop) > 0 and stop[-1] == n)
                 rows.append((n, n - len(kept), runs, kept))
@@ -223,7 +273,7 @@ def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_0
     else:
         some = both = texts.join(starts, "dkey", "left")
         some, none = both.where("spans is not null"), both.where("spans is null")
-    changed = some.select(*keep, raw.alias("text"), "spans").mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    changed = some.select(*keep, raw.alias("text"), "spans", "word_spans").mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
     same = none.select(*keep, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept"))
     return changed.unionByName(same)
 
