@@ -1,6 +1,7 @@
 """Operators 6, 7, 8 and 9."""
 
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -135,6 +136,24 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_wrapped_and_repeated(spark):
+    notice = {k: max((w for n, w in licenses.TEMPLATES if n == k), key=len) for k in ("MIT", "GPL-3.0", "Apache-2.0", "ISC", "BSD-3-Clause")}
+    prose = "".join(f"Some line of prose, number {i}, about nothing in particular.\n" for i in range(40))
+    texts = [(prose + textwrap.fill(w, width, break_on_hyphens=False, break_long_words=False) + "\n" + prose, [k], w) for k, w in notice.items() for width in (30, 80)]
+    texts.append((prose + textwrap.fill(notice["MIT"], 72, initial_indent="# ", subsequent_indent="# ") + "\n", ["MIT"], None))
+    texts += [(gap.join([notice[k]] * 3), [k] * 3, None) for k in ("MIT", "GPL-3.0") for gap in ("\n", "\n\n" + prose, " ")]
+    texts += [("\n".join(["Released under the MIT License."] * 7), ["MIT"] * 7, None)]
+    mangled = " ".join(notice["MIT"].split()[:60])
+    sound = " ".join("other" if i % 20 == 9 else w for i, w in enumerate(notice["MIT"].split()))
+    texts.append((mangled + "\n" + sound, ["MIT"], None))
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["found"] for r in licenses.find_licenses(docs).collect()}
+    for i, (t, want, w) in enumerate(texts):
+        assert [f["license"] for f in rows[i]] == want, (i, t[:60])
+        if w:
+            assert t[rows[i][0]["start"] : rows[i][0]["end"]].split() == w.rstrip(".").split()
+
+
 URLS = [None, "", "no scheme.com/", "http://Example.COM/en/x?y", "https://www.example.com/en/", "http://a.b.net/es/1", "http://net/fr/", "http://notnet/fr/", "http://x.com", "http://x.com/", "http://x.com?q=/en/", "ftp://example.com/en/#f", "http://example.com/en", "http://.com/", "http:///en/", "http://a.net\n/es/", "http://X.NET/ES/", "http://Ä.com/x"]
 
 

@@ -1,9 +1,10 @@
 """License scans (operator 8).
 
-Method. Conditional compression: blocks of lines around licence words are compressed with zstandard, alone and with
-each template as raw dictionary.  Templates are ranked by the bytes they save; every template that saves a fair share
-of its own compressed size is then held against the block word by word, and is confirmed if no more than
-`max_difference` of its words differ.  Where confirmed templates overlap in the text, the one with the fewest
+Method. Conditional compression: blocks around licence words are compressed with zstandard, alone and with each template
+as raw dictionary.  Blocks are taken twice: the lines next to a licence word, in which short notices stand out, and as
+many words to either side as the longest notice may have, so that a notice may be wrapped anyhow.  Every template that
+saves a fair share of its own compressed size is then held against the block word by word, and is confirmed if no more
+than `max_difference` of its words differ; the rest of the block is held against it again.  Where confirmed templates overlap in the text, the one with the fewest
 differing words, then the longest, stays.
 
 Scale. One pass without a shuffle; a test on the JVM leaves texts without any licence word out of Python.  Blocks of
@@ -15,6 +16,7 @@ Edge cases. Null and empty texts have no blocks.  Rows are independent; doc_id m
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -53,19 +55,61 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, end) sorted by start, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """Character ranges of runs of lines with licence words, with the lines next to them."""
-    cues = [m.start() for m in _CUE.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for at in cues:
+    out = []
+    for at in (m.start() for m in _CUE.finditer(text)):
         start, end = at, at
         for _ in range(NEAR_LINES + 1):
             start = text.rfind("\n", 0, max(0, start - 1)) + 1 if start else 0
             end = (text.find("\n", end + 1) + 1 or len(text) + 1) - 1 if end < len(text) else end
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        out.append((start, end))
+    return joined(out)
+
+
+def wide_blocks(text: str, listed: list[tuple[str, int, int]], reach: int) -> list[tuple[int, int]]:
+    """Ranges of places in the listed words: up to `reach` of them to either side of each licence word."""
+    starts = [w[1] for w in listed]
+    at = [bisect_right(starts, m.start()) for m in _CUE.finditer(text)]
+    return joined([(max(0, i - 1 - reach), min(len(listed), i + reach)) for i in at])
+
+
+def notices(wording: list[str], plain: list[str], max_difference: float) -> list[tuple[int, int, int]]:
+    """(first word, last word, words that differ) of every place where no more than that share of the words differs."""
+    out = []
+    most = int(max_difference * len(wording))
+    least_run = max(1, (len(wording) - most) // (most + 1))  # of the words in common; so long is the longest run at least
+    rest = [(0, len(plain))]
+    while rest:
+        begin, end = rest.pop()
+        if end - begin < len(wording) - most:
+            continue
+        core = SequenceMatcher(None, wording, plain[begin:end], autojunk=False).find_longest_match()
+        if core.size < least_run:
+            continue
+        # the longest common run is surely part of a notice or of what looks like one; runs too far from it are chance
+        at = begin + core.b
+        low, high = max(begin, at - 2 * core.a - 4), min(end, at + core.size + 2 * (len(wording) - core.a - core.size) + 4)
+        same = [m for m in SequenceMatcher(None, wording, plain[low:high], autojunk=False).get_matching_blocks() if m.size]
+        common = sum(m.size for m in same)
+        first, last = low + same[0].b, low + same[-1].b + same[-1].size
+        differ = len(wording) - common + last - first - common
+        if differ <= max_difference * len(wording):
+            out.append((first, last - 1, differ))
         else:
-            out.append((start, end))
+            first, last = at, at + core.size
+        rest += [(begin, first), (last, end)]
     return out
 
 
@@ -79,18 +123,22 @@ def scanner(templates: tuple[tuple[str, str], ...], least_saved: float, max_diff
         raw = wording.encode()
         help_ = zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT))
         known.append((name, [w for w, _, _ in words(wording)], help_, len(raw), len(alone.compress(raw))))
-    longest = max((len(k[1]) for k in known), default=1)
+    # a notice has at most so many words more than its template
+    reach = int(max((len(k[1]) for k in known), default=1) * (1 + max_difference)) + 1
 
     def scan(text: str) -> list[tuple[int, int, str, int, float, int]]:
         """(start, end, licence, bytes saved, saved as a share of the template, words that differ)."""
         found = []
-        for begin, end in blocks(text):
-            block = words(text[begin:end])
-            for at in range(0, max(1, len(block) - 2 * longest), 2 * longest):
-                piece = block[at : at + 4 * longest]
+        listed = words(text)
+        starts = [w[1] for w in listed]
+        narrow = [(bisect_left(starts, begin), bisect_left(starts, end)) for begin, end in blocks(text)]
+        for first, last in sorted({*narrow, *wide_blocks(text, listed, reach)}):
+            block = listed[first:last]
+            for at in range(0, max(1, len(block) - 2 * reach), 2 * reach):
+                piece = block[at : at + 4 * reach]
                 if not piece:
                     continue
-                start, stop = begin + piece[0][1], begin + piece[-1][2]
+                start, stop = piece[0][1], piece[-1][2]
                 stop += text[stop : stop + 1] in (".", ";")
                 raw = text[start:stop].encode()
                 base = len(alone.compress(raw))
@@ -100,24 +148,14 @@ def scanner(templates: tuple[tuple[str, str], ...], least_saved: float, max_diff
                     if share < least_saved:
                         break
                     name, wording, _, _, size = known[i]
-                    match = SequenceMatcher(None, wording, plain, autojunk=False)
-                    same = [m for m in match.get_matching_blocks() if m.size]
-                    if not same:
-                        continue
-                    # the longest common run is surely part of the notice; runs too far from it are chance
-                    core = max(same, key=lambda m: m.size)
-                    low, high = core.b - 2 * core.a - 4, core.b + core.size + 2 * (len(wording) - core.a - core.size) + 4
-                    same = [m for m in same if low <= m.b and m.b + m.size <= high]
-                    common = sum(m.size for m in same)
-                    inside = same[-1].b + same[-1].size - same[0].b - common
-                    differ = len(wording) - common + inside
-                    if differ <= max_difference * len(wording):
-                        found.append((begin + piece[same[0].b][1], begin + piece[same[-1].b + same[-1].size - 1][2], name, round(share * size), share, differ, len(wording)))
+                    for a, b, differ in notices(wording, plain, max_difference):
+                        found.append((piece[a][1], piece[b][2], name, round(share * size), share, differ, len(wording)))
         kept: list[tuple] = []
         for f in sorted(set(found), key=lambda f: (f[5] / f[6], -(f[1] - f[0]), f[0], f[2])):
-            if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
-                kept.append(f)
-        return [f[:6] for f in sorted(kept)]
+            at = bisect_left(kept, f[:2], key=lambda k: k[:2])
+            if (at == 0 or kept[at - 1][1] <= f[0]) and (at == len(kept) or f[1] <= kept[at][0]):
+                kept.insert(at, f)
+        return [f[:6] for f in kept]
 
     return scan
 
