@@ -179,6 +179,22 @@ def test_similar_texts(spark, monkeypatch, bucket_rows):
     assert simhash.near_duplicates(docs.limit(0), width=5, similarity=0.8).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [20_000, 6])
+def test_similar_texts_whose_centres_are_not_alike(spark, bucket_rows):
+    rng = random.Random(11)
+    rows = []
+    for g in range(24):  # 15 copies of a text and 15 of another, which only two texts link: 0.867 to the next, 0.75 to the one after
+        text = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(242)]
+        for at in [0] * 15 + [42] * 15 + [14, 28]:
+            w = text[at : at + 200]
+            if at % 42 == 0:
+                w[rng.choice([0, 199])] = f"changed{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    edges = simhash.similar_texts(spark.createDataFrame(rows, "k long, text string"), 5, 0.8, bucket_rows)
+    roots = {r["node"]: r["root"] for r in components.connected(edges).collect()}
+    assert roots == {i: i // 32 * 32 for i in range(24 * 32)}
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components.connected(chain).collect()} == {0}

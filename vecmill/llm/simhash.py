@@ -16,7 +16,7 @@ similarity of 0.8 differs in about ten bits, which no index of one-wildcard segm
 operator therefore also links texts by signatures of 256 minima: texts meet where one of 14 bands of five minima is
 equal (99.6 % of pairs at 0.8, more above), and are linked if the share of equal minima is within 0.02 of the asked
 similarity or higher.  In a band's bucket, again, no pairs are written; buckets over `bucket_rows` are dealt by hash
-and their stars' centres meet once more.
+into parts of half that many, and every two parts meet in a group of their own, so no link is lost.
 
 Edge cases. Null and empty texts have no words and fingerprint zero, linked like any other.  Repeated rows stay
 repeated rows.  A null doc_id is no candidate for component_id unless the whole component has none.
@@ -220,15 +220,17 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
     shared = written(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     met = written(keys.join(shared, "h"), "met")
     one = signed.join(met.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("sig").alias("sig"))
-    cuts = F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int")
-    rows = met.join(one, "k").select("h", F.pmod(F.xxhash64("k", "h"), cuts).cast("int").alias("cut"), "k", "sig", (cuts > 1).alias("large"))
+    parts = F.when(F.col("n") > bucket_rows, F.ceil(2 * F.col("n") / bucket_rows)).otherwise(1).cast("long")
+    dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("k", "h"), "parts"))
+    pairs = F.expr("if(parts = 1, array(0L), transform(filter(sequence(0L, parts - 1), x -> x <> part), x -> least(x, part) * parts + greatest(x, part)))")
+    rows = dealt.select("h", F.explode(pairs).alias("cut"), "k").join(one, "k").select("h", "cut", "k", "sig")
     least_equal = int(np.ceil((similarity - 0.02) * MINIMA))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def emit(part: pa.Table) -> pa.RecordBatch | None:
-            h, cut, k, large = (part[c].to_numpy() for c in ("h", "cut", "k", "large"))
+            h, cut, k = (part[c].to_numpy() for c in ("h", "cut", "k"))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (cut[1:] != cut[:-1])
             begin = np.flatnonzero(new)
@@ -239,18 +241,16 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
                 open_ = np.argsort(k[at : at + n])
                 while len(open_):
                     root, frontier, open_ = open_[0], [open_[0]], open_[1:]
-                    if large[at]:
-                        out.append((k[at + root], k[at + root], h[at]))
                     while frontier and len(open_):
                         x = frontier.pop()
                         near = (block[open_] == block[x]).sum(1) >= least_equal
-                        out += [(k[at + y], k[at + root], None) for y in open_[near]]
+                        out += [(k[at + y], k[at + root]) for y in open_[near]]
                         frontier += open_[near].tolist()
                         open_ = open_[~near]
             if not out:
                 return None
-            a, b, again = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(again, pa.int64())], names=["a", "b", "h"])
+            a, b = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -267,16 +267,7 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
         if held and (out := emit(pa.Table.from_batches(held))) is not None:
             yield out
 
-    def linked(rows: DataFrame) -> DataFrame:
-        return rows.repartition("h", "cut").sortWithinPartitions("h", "cut").mapInArrow(link, "a long, b long, h long")
-
-    first = written(linked(rows), "stars")
-    centres = first.where("h is not null").select("h", F.col("a").alias("k"))
-    edges = first.where("a <> b").select("a", "b")
-    if not centres.isEmpty():
-        again = centres.join(one, "k").select("h", F.lit(0).alias("cut"), "k", "sig", F.lit(False).alias("large"))
-        edges = edges.unionByName(linked(again).select("a", "b"))
-    return edges.distinct()
+    return rows.repartition("h", "cut").sortWithinPartitions("h", "cut").mapInArrow(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, bucket_limit: int = 100_000, similarity: float | None = None) -> DataFrame:
