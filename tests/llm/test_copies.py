@@ -195,6 +195,20 @@ def test_similar_texts_whose_centres_are_not_alike(spark, bucket_rows):
     assert roots == {i: i // 32 * 32 for i in range(24 * 32)}
 
 
+def test_similarity_is_decided_by_the_shingles(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for g in range(60):  # 196 shingles, one way: 21 apart on each side is 175 / 217 = 0.806; 23 apart 173 / 219 = 0.790
+        text = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(223)]
+        apart = (21, 23)[g % 2]
+        rows += [(2 * g, " ".join(text[:200])), (2 * g + 1, " ".join(text[apart : apart + 200]))]
+        if apart == 21:
+            want[2 * g + 1] = 2 * g
+    edges = {r["a"]: r["b"] for r in simhash.similar_texts(spark.createDataFrame(rows, "k long, text string"), 5, 0.8).collect()}
+    assert all(want.get(a) == b for a, b in edges.items())  # none under 0.8
+    assert len(edges) >= len(want) - 1  # one in 250 shares no band
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components.connected(chain).collect()} == {0}

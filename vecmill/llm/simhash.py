@@ -14,8 +14,9 @@ leaves 18 free bits, so no group exceeds 2^18 fingerprints.  Nothing is dropped
 Similarity. Three bits of 64 find copies with very few changes; a pair of texts whose word shingles have a Jaccard
 similarity of 0.8 differs in about ten bits, which no index of one-wildcard segments reaches.  With `similarity` the
 operator therefore also links texts by signatures of 256 minima: texts meet where one of 14 bands of five minima is
-equal (99.6 % of pairs at 0.8, more above), and are linked if the share of equal minima is within 0.02 of the asked
-similarity or higher.  In a band's bucket, again, no pairs are written; buckets over `bucket_rows` are dealt by hash
+equal (99.6 % of pairs at 0.8, more above).  The share of equal minima only spares comparisons: where it is less than
+0.1 under the asked similarity or higher (all but one in 10,000 pairs at 0.8), the similarity of the two sets of
+shingles, as distinct 32-bit hashes, decides.  In a band's bucket, again, no pairs are written; buckets over `bucket_rows` are dealt by hash
 into parts of half that many, and every two parts meet in a group of their own, so no link is lost.
 
 Edge cases. Null and empty texts have no words and fingerprint zero, linked like any other.  Repeated rows stay
@@ -174,20 +175,25 @@ def star_edges(distinct_fps: DataFrame, most: int = 3, bucket_limit: int = 100_0
 
 
 MINIMA, BANDS, BAND_ROWS = 256, 14, 5
+FEW_KEYS = 500_000
 _FACTORS = (np.random.default_rng(11).integers(0, 1 << 31, MINIMA, np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFTS = np.random.default_rng(12).integers(0, 1 << 32, MINIMA, np.uint32)
 
 
-def minima(text: str | None, width: int) -> np.ndarray | None:
-    """Least of 256 hashes over the word shingles of a text; null without words."""
+def hashed_shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct 32-bit hashes of the word shingles of a text, ascending."""
     listed = (text or "").encode("utf-8").lower().split()
     if not listed:
-        return None
+        return np.empty(0, np.uint32)
     joined = np.frombuffer(b" ".join(listed), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in listed]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(listed) - width + 1)
-    hashed = np.unique((Rolling(joined, 0).ranges(starts[:n], ends[-n:]) >> np.uint64(32)).astype(np.uint32))
+    return np.unique((Rolling(joined, 0).ranges(starts[:n], ends[-n:]) >> np.uint64(32)).astype(np.uint32))
+
+
+def minima(hashed: np.ndarray) -> np.ndarray:
+    """Least of 256 hashes over hashed shingles."""
     least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashed), 1024):
         x = (hashed[at : at + 1024, None] ^ _SHIFTS) * _FACTORS
@@ -195,6 +201,30 @@ def minima(text: str | None, width: int) -> np.ndarray | None:
     return least
 
 
+class Sets:
+    """Sets of numbers, one after another in `flat`; `similar` compares one with many exactly."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        known, self.flat = np.unique(flat, return_inverse=True)
+        self.mark = np.zeros(len(known), bool)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] - self.sizes[i] : self.ends[i]]
+
+    def similar(self, x: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the others have at least that Jaccard similarity to x."""
+        self.mark[self.of(x)] = True
+        out = np.zeros(len(others), bool)
+        for at in range(0, len(others), 1024):
+            part = others[at : at + 1024]
+            sizes = self.sizes[part]
+            common = np.add.reduceat(self.mark[np.concatenate([self.of(y) for y in part])], np.cumsum(sizes) - sizes, dtype=np.int64)
+            out[at : at + 1024] = common >= similarity * (sizes + self.sizes[x] - common) - 1e-9
+        self.mark[self.of(x)] = False
+        return out
+
+
 def _signed_bands(least: np.ndarray) -> list[int]:
     """One 64-bit key for each band; the band's number is part of it."""
     from xxhash import xxh64_intdigest
@@ -209,22 +239,25 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, least) for i in range(batch.num_rows) if (least := minima(batch.column(1)[i].as_py(), width)) is not None]
+            found = [(i, x, minima(x)) for i in range(batch.num_rows) if len(x := hashed_shingles(batch.column(1)[i].as_py(), width))]
             if found:
-                take = pa.array([i for i, _ in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([_signed_bands(x) for _, x in found], pa.list_(pa.int64())), pa.array([x.astype("<u2").tobytes() for _, x in found], pa.binary())], names=["k", "bands", "sig"])
+                take, bands = pa.array([i for i, _, _ in found]), [_signed_bands(x) for _, _, x in found]
+                sigs, sets = [x.astype("<u2").tobytes() for _, _, x in found], [x.astype("<u4").tobytes() for _, x, _ in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["k", "bands", "sig", "set"])
 
     prepare(texts.sparkSession)
-    signed = written(texts.select("k", "text").mapInArrow(sign, "k long, bands array<long>, sig binary"), "signatures")
+    signed = written(texts.select("k", "text").mapInArrow(sign, "k long, bands array<long>, sig binary, set binary"), "signatures")
     keys = signed.select("k", F.explode("bands").alias("h")).distinct()
     shared = written(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     met = written(keys.join(shared, "h"), "met")
-    one = signed.join(met.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("sig").alias("sig"))
+    ids = written(met.select("k").distinct(), "similar")
+    ids = F.broadcast(ids) if ids.count() <= FEW_KEYS else ids  # sets are as large as texts: others are left out before the shuffle
+    one = signed.join(ids, "k", "left_semi").dropDuplicates(["k"]).select("k", "sig", "set")
     parts = F.when(F.col("n") > bucket_rows, F.ceil(2 * F.col("n") / bucket_rows)).otherwise(1).cast("long")
     dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("k", "h"), "parts"))
     pairs = F.expr("if(parts = 1, array(0L), transform(filter(sequence(0L, parts - 1), x -> x <> part), x -> least(x, part) * parts + greatest(x, part)))")
-    rows = dealt.select("h", F.explode(pairs).alias("cut"), "k").join(one, "k").select("h", "cut", "k", "sig")
-    least_equal = int(np.ceil((similarity - 0.02) * MINIMA))
+    rows = dealt.select("h", F.explode(pairs).alias("cut"), "k").join(one, "k").select("h", "cut", "k", "sig", "set")
+    least_equal = int(np.ceil((similarity - 0.1) * MINIMA))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,15 +268,18 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
             new[1:] = (h[1:] != h[:-1]) | (cut[1:] != cut[:-1])
             begin = np.flatnonzero(new)
             out: list[tuple] = []
-            sig = part["sig"].combine_chunks()
+            sig, set_ = part["sig"].combine_chunks(), part["set"].combine_chunks()
             for at, n in zip(begin.tolist(), np.diff(np.append(begin, len(h))).tolist(), strict=True):
                 block = np.stack([np.frombuffer(sig[i].as_buffer(), "<u2") for i in range(at, at + n)])
+                listed = [np.frombuffer(set_[i].as_buffer(), "<u4") for i in range(at, at + n)]
+                sets = Sets(np.concatenate(listed), np.array([len(x) for x in listed]))
                 open_ = np.argsort(k[at : at + n])
                 while len(open_):
                     root, frontier, open_ = open_[0], [open_[0]], open_[1:]
                     while frontier and len(open_):
                         x = frontier.pop()
                         near = (block[open_] == block[x]).sum(1) >= least_equal
+                        near[near] = sets.similar(x, open_[near], similarity)
                         out += [(k[at + y], k[at + root]) for y in open_[near]]
                         frontier += open_[near].tolist()
                         open_ = open_[~near]
