@@ -1,9 +1,9 @@
 """Removal of repeated byte strings (operator 3).
 
-Method. Depth-limited radix sort of suffixes: suffixes matter only through `size` bytes, so they are told apart by
-most-significant-digit passes, and a group that is still together after the last digit is exactly a set of repeated
-windows.  A group of one leaves after any pass; a run of suffixes that has an equal run elsewhere is accepted at once.
-The digits are taken in an order that lets whole runs of neighbouring suffixes move as one row:
+Method. Content-defined anchors (winnowing), then grouping by hashes. This stands in for a depth-limited radix sort of
+suffixes: no suffix is ordered and no digit is taken from the front, because digit passes would move one row per byte.
+Windows that are still together after the last of three groupings are repeated; a group of one leaves after any of
+them, and a run of windows that has an equal run elsewhere is accepted at once.  The groupings are by
 
 1. the gram at the window's anchor.  The anchor is the place, within the window, of the gram with the least hash
    (rightmost of equals), so equal windows have it at the same distance, and windows of one anchor form a run;
