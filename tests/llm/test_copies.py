@@ -101,6 +101,14 @@ def test_rolling_hashes_and_anchors():
     assert all(lo_ <= a_ and a_ < hi_ + 20 for a_, lo_, hi_ in zip(a, lo, hi, strict=True))
 
 
+def test_anchors_at_borders_of_segments(monkeypatch):
+    x = np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64)
+    want = windows.anchors(x, 20)
+    for segment in (47, 101):
+        monkeypatch.setattr(windows, "SEGMENT", segment)
+        assert all(np.array_equal(a, b) for a, b in zip(windows.anchors(x, 20), want, strict=True))
+
+
 def brute_components(fps, most):
     parent = {f: f for f in fps}
 

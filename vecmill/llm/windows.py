@@ -91,4 +91,6 @@ def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
         place.append(m[begin] + at)
         first.append(begin + at)
         last.append(np.append(begin[1:], len(m)) - 1 + at)
-    return np.concatenate(place), np.concatenate(first), np.concatenate(last)
+    place, first, last = (np.concatenate(x) for x in (place, first, last))
+    new = np.append(True, place[1:] != place[:-1])  # an anchor at a segment's border has windows in both segments
+    return place[new], first[new], last[np.append(new[1:], True)]
