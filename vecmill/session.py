@@ -2,47 +2,101 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_shipped: set[str] = set()  # applications that have the package
 
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _zipped() -> bytes:
+    """The package's modules as a zip file."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join(os.path.basename(PACKAGE), os.path.relpath(path, PACKAGE)))
+    return out.getvalue()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even if only the driver's sys.path names it, and where the session has
-    Spark's own limit for batches to Python, 64 MB, make it 4 MB: rows are whole texts, and workers hold some copies."""
+    """Ship this package to the executors, once per application, through Spark's own file server.
+
+    Where the session has Spark's own limit for batches to Python, 64 MB, it becomes 4 MB: rows are whole texts, and
+    workers hold some copies.
+    """
     if spark.conf.get(BATCH_BYTES, "64m") in ("64m", "67108864", "67108864b"):
         spark.conf.set(BATCH_BYTES, "4m")
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        folder = os.path.join(SparkFiles.getRootDirectory(), f"vecmill-{uuid.uuid4().hex[:8]}")  # served until the session ends
+        os.makedirs(folder)
+        path = os.path.join(folder, "vecmill.zip")
+        with open(path, "wb") as f:
+            f.write(_zipped())
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for reliable checkpoints; a fresh one only where the session names none (tests)."""
+    """The shared folder of the cluster, spark.checkpoint.dir; a machine's own folder would be lost with the machine."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vecmill-ckpt-")
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vecmill-checkpoints"  # one machine, one process
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: columns stay prunable and rows stay fixed."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: columns stay prunable and rows stay fixed."""
+    return _write(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of this package from the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """A function like `written` whose tables are deleted at the end of the block; what outlives it has to be written itself."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table_, path = _write(df, name)
+        paths.append(path)
+        return table_
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            removed(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
