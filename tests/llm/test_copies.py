@@ -38,13 +38,13 @@ def cases():
     return [None, "", "short", base, base, *near, shared + text(20), text(20) + shared, text(9) + shared + text(9) + shared, (line + "\n") * 9, "a" * 300, "a" * 90 + "b", "ab" * 100, text(200), "x" + shared[5:-5], line * 3]
 
 
-@pytest.mark.parametrize("few_keys", [500_000, 0])
-def test_repeats_against_brute_force(spark, few_keys):
+@pytest.mark.parametrize(("few_keys", "group_rows"), [(500_000, 4096), (0, 4096), (500_000, 1)])
+def test_repeats_against_brute_force(spark, few_keys, group_rows):
     texts = cases()
     want = brute_cut([(t or "").encode() for t in texts], 40)
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(3)
     for gram in (13, 40):
-        rows = suffixes.cut(docs, 40, gram, few_keys).collect()
+        rows = suffixes.cut(docs, 40, gram, few_keys, group_rows=group_rows).collect()
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows}
         assert len(rows) == len(texts)
         for i, w in enumerate(want):
@@ -65,15 +65,15 @@ def brute_words(texts, n):
     return out
 
 
-@pytest.mark.parametrize("words", [7, 25])
-def test_repeated_words_against_brute_force(spark, words):
+@pytest.mark.parametrize(("words", "group_rows"), [(7, 4096), (25, 4096), (25, 2)])
+def test_repeated_words_against_brute_force(spark, words, group_rows):
     rng = random.Random(3)
     pool = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 5))) for _ in range(200)]
     parts = [" ".join(rng.choices(pool, k=30)) for _ in range(5)]
     texts = [t or "" for t in cases()]
     texts += ["\n".join(rng.choice([rng.choice(parts), " ".join(rng.choices(pool, k=rng.randrange(1, 20)))]) for _ in range(8)) for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.cut(docs, 4000, 3000, words=words).collect()}
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.cut(docs, 4000, 3000, words=words, group_rows=group_rows).collect()}
     assert [got[i] for i in range(len(texts))] == brute_words([t.encode() for t in texts], words)
 
 

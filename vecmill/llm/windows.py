@@ -42,13 +42,14 @@ POWERS = [Powers(b) for b in BASES]
 
 
 class Rolling:
-    """Polynomial hash, modulo 2^64, of any range of a byte string in constant time."""
+    """Polynomial hash, modulo 2^64, of any range of a byte string, or of 64-bit symbols, in constant time."""
 
     def __init__(self, data: np.ndarray, which: int):
         up, self.down = POWERS[which].upto(len(data) + 1)
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(VALUES[which][data] * up[: len(data)], out=self.sums[1:])
+        values = VALUES[which][data] if data.dtype == np.uint8 else mixed(data + np.uint64(which))
+        np.cumsum(values * up[: len(data)], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
