@@ -1,27 +1,26 @@
 """Approximate nearest neighbours by inner product (operator 7).
 
-Method. Hash-prefix forest: in each tree a vector has a string of sign bits of random projections, and a tree is the
-sorted array of these strings.  A query descends to the depth at which its longest prefix still matches, then all its
-trees ascend together, one bit at a time, until the strings that share the prefix number enough candidates; these are
+Method. Hash-prefix forest: in each of `trees` trees a vector has a string of 30 sign bits of random projections, and a
+tree is the sorted array of these strings.  A query descends each tree to the place of its own string and first looks
+at its neighbours there, which share the longest prefixes with it; the k-th best score among them tells how near the
+sought vectors are at least.  From there all its trees ascend together, bit by bit, until a vector as near as that shares the
+prefix in some tree with probability `recall`; the last bit is given up tree by tree.  Whatever shares the prefix is
 scored exactly.  Inner product becomes an angle by one further component that brings all vectors to the greatest norm.
+So vectors with structure are met at long prefixes, vectors without any need short ones, at worst all rows of one tree.
 
-How far to ascend follows from the counts of prefixes of at most `count_bits` bits, a table whose size depends on the
-parameters alone.  `share` is the number of candidates to reach, over all trees, as a share of the rows; vectors with
-structure reach it at long prefixes, vectors without any need short ones.
-
-Scale. Trees are cut into groups by the shortest prefix any query needs; a group of more than `group_rows` rows, and
-queries of more than `group_queries`, are cut further by hash, so equal vectors, however many, never meet in one task.
-A group returns its k best for each query; the k best of these are the result.  Queries that ascend to the root see
-all rows in one tree and are grouped apart, so they take no tree from the others and do not coarsen their groups.
+Scale. Trees are dealt by the first bits of the strings, as many as make groups of `group_rows` (at most 18), or fewer
+where a query needs a shorter prefix.  Only rows whose prefix some query asks for are shuffled, with their vector in its own
+precision.  Tables of how many rows and queries a prefix has, whose size the parameters bound, cut large groups by hash, so
+equal vectors, however many, never meet in one task.  A group returns its k best for each query.
 
 Edge cases. Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
-components take no part, nor do rows without id.  With fewer than k candidates all are returned.  Ties go to the
-smaller vec_id.  An empty table has no result.
+components take no part, nor do rows without id.  Of rows with one vec_id that with the least hash of its vector counts.
+With fewer than k candidates all are returned.  Ties go to the smaller vec_id.  An empty table has no result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,31 +28,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vecmill.session import prepare, table, written
+from vecmill.llm.windows import mixed
+from vecmill.session import prepare, scratch, table, written
 
-CODE_BITS = 24
+BITS = 30
+MOST_LEVELS = 18
+NEAR = 8
+HITS = "query_id long, vec_id long, score double, scored long"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
+    """vectors: (vec_id, embedding, q). (vec_id, v, q) of those that take part, v an array of floats or doubles."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     known = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(F.size(v) > 0).where(fine)
     most = known.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return known.where(F.size(v) == (most["d"] if most else 0)).select("vec_id", v.cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    found = known.where(F.size(v) == (most["d"] if most else 0)).select("vec_id", v.cast(kind).alias("v"), "q")
+    if found.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"), F.max("q").alias("q"))
 
 
 def codes_of(x: np.ndarray, planes: np.ndarray, trees: int) -> np.ndarray:
-    """Bit strings of each row in each tree, as numbers of CODE_BITS bits."""
-    bits = (x @ planes > 0).reshape(len(x), trees, CODE_BITS)
-    return (bits << np.arange(CODE_BITS - 1, -1, -1)).sum(2)
+    """Bit strings of each row in each tree, as numbers of BITS bits."""
+    bits = (x @ planes > 0).reshape(len(x), trees, BITS)
+    return (bits << np.arange(BITS - 1, -1, -1)).sum(2)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, exact, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(scores: np.ndarray, ids: np.ndarray, exact: Callable, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and exact scores of the k best but the query's own; ties to smaller ids. exact: from places to scores."""
     allowed = np.flatnonzero(ids != own)
     if len(allowed) > k:
@@ -64,98 +73,184 @@ def best_of(scores: np.ndarray, ids: np.ndarray, exact, own: int, k: int) -> tup
     return allowed[order], s[order]
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 20, share: float = 1.1, least: int = 20_000, count_bits: int = 12, group_rows: int = 20_000, group_queries: int = 4_000, seed: int = 7) -> DataFrame:
-    """The operator: (query_id, rank, vec_id, score) for the rows (vec_id, embedding) where is_query holds."""
-    spark = prepare(vectors.sparkSession)
-    found = usable(vectors)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = found.agg(F.max(norm).alias("top"), F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    if not facts["n"]:
-        return spark.range(0).select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    top, n, d = facts["top"], facts["n"], facts["d"]
-    planes = np.random.default_rng(seed).standard_normal((d + 1, trees * CODE_BITS))
-
-    def code(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1)) / top
-            rest = np.sqrt(np.clip(1 - (x * x).sum(1), 0, None))[:, None]
-            length = np.sqrt((x * x).sum(1))[:, None]
-            for_index = codes_of(np.hstack([x, rest]), planes, trees)
-            for_query = codes_of(np.hstack([x / length, np.zeros_like(rest)]), planes, trees)
-            lists = [pa.array(list(c.astype(np.int32)), pa.list_(pa.int32())) for c in (for_index, for_query)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["vec_id", "v", "q", "codes", "probes"])
-
-    coded = written(found.withColumn("q", F.coalesce(is_query, F.lit(False))).select("vec_id", "v", "q").mapInArrow(code, "vec_id long, v array<double>, q boolean, codes array<int>, probes array<int>"), "forest")
-    shift = CODE_BITS - count_bits
-    counted = coded.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", F.shiftright("code", shift).alias("p")).count().collect()  # trees * 2^count_bits rows at most
-    sizes = np.zeros((trees, 1 << count_bits), np.int64)
-    for r in counted:
-        sizes[r["tree"], r["p"]] = r["count"]
-    levels = [sizes.reshape(trees, 1 << x, -1).sum(2) for x in range(count_bits + 1)]
-    enough = min(trees * n, max(least, int(share * n)))
-
-    def ascend(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            probes = _matrix(batch.column(2)).astype(np.int64)
-            depth = np.zeros(len(probes), np.int32)
-            for x in range(1, count_bits + 1):
-                met = sum(levels[x][t][probes[:, t] >> (CODE_BITS - x)] for t in range(trees))
-                depth[met >= enough] = x
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depth)], names=["query_id", "v", "probes", "depth"])
-
-    asked = written(coded.where("q").select(F.col("vec_id").alias("query_id"), "v", "probes").mapInArrow(ascend, "query_id long, v array<double>, probes array<int>, depth int"), "queries")
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            own = left["query_id"].combine_chunks().to_numpy()
-            q = _matrix(left["v"].combine_chunks())
-            depth, probe = left["depth"].to_numpy(), left["probe"].to_numpy()
-            order = np.argsort(right["code"].to_numpy(), kind="stable")
-            code_, ids, x = right["code"].to_numpy()[order], right["vec_id"].to_numpy()[order], _matrix(right["v"].combine_chunks())[order]
-            prefix = probe >> (CODE_BITS - depth)
-            for d_, p in np.unique(np.stack([depth, prefix], 1), axis=0):
-                begin, end = np.searchsorted(code_, [p << (CODE_BITS - d_), (p + 1) << (CODE_BITS - d_)])
-                if begin == end:
+def depths_for(cosine: np.ndarray, trees: int, recall: float) -> np.ndarray:
+    """For each query the depth in each tree at which a vector of that cosine is met with probability `recall`.
+
+    0 in the first tree and BITS + 1 (no look) in the others where all rows have to be looked at.
+    """
+    meets = np.clip(1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi, 1e-6, 1 - 1e-9)
+    out = np.empty((len(cosine), trees), np.int32)
+    for i, p in enumerate(meets):
+        if not np.isfinite(p):
+            depth, deeper = 0, 0
+        else:
+            depth = int(np.clip(np.floor(np.log(1 - (1 - recall) ** (1 / trees)) / np.log(p)), 0, BITS))
+            miss, miss_deeper = np.log1p(-p**depth) if depth else -np.inf, np.log1p(-(p ** (depth + 1)))
+            # so many trees may stay one bit deeper
+            deeper = 0 if depth in (0, BITS) else int(np.clip((np.log(1 - recall) - trees * miss) / (miss_deeper - miss), 0, trees))
+        out[i] = [0] + [BITS + 1] * (trees - 1) if depth == 0 else [depth + 1] * deeper + [depth] * (trees - deeper)
+    return out
+
+
+def _near(q: np.ndarray, own: np.ndarray, probe: np.ndarray, depth: np.ndarray, code: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple]:
+    """Neighbours of the query's place in the sorted array."""
+    at = np.searchsorted(code, probe)
+    for i, p in enumerate(at.tolist()):
+        begin, end = max(0, p - NEAR), min(len(code), p + NEAR)
+        some = begin + np.flatnonzero(ids[begin:end] != own[i])
+        yield own[i], ids[some], (x[some] * q[i]).sum(1), end - begin
+
+
+def _sharing(q: np.ndarray, own: np.ndarray, probe: np.ndarray, depth: np.ndarray, code: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple]:
+    """The k best of the rows that share each query's prefix."""
+    prefix = probe >> (BITS - depth)
+    for d, p in np.unique(np.stack([depth, prefix], 1), axis=0):
+        begin, end = np.searchsorted(code, [p << (BITS - d), (p + 1) << (BITS - d)])
+        if begin == end:
+            continue
+        some = np.flatnonzero((depth == d) & (prefix == p))
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            for i, row in zip(part, q[part] @ x[begin:end].T, strict=True):
+                place, s = best_of(row, ids[begin:end], lambda c, i=i: (x[begin + c] * q[i]).sum(1), own[i], k)
+                yield own[i], ids[begin:end][place], s, end - begin
+
+
+class Forest:
+    """The rows with their strings, and how many rows each prefix has."""
+
+    def __init__(self, coded: DataFrame, trees: int, levels: int, group_rows: int, group_queries: int):
+        self.coded, self.trees, self.levels, self.group_rows, self.group_queries = coded, trees, levels, group_rows, group_queries
+        counted = coded.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", F.shiftright("code", BITS - levels).alias("p")).count().toArrow()  # trees * 2^levels rows at most
+        rows = np.zeros((trees, 1 << levels), np.int64)
+        rows[counted["tree"].to_numpy(), counted["p"].to_numpy()] = counted["count"].to_numpy()
+        self.rows = [rows.reshape(trees, 1 << x, -1).sum(2) for x in range(levels + 1)]
+
+    def hits(self, asked: DataFrame, look: Callable, k: int) -> DataFrame:
+        """asked: (query_id, v, probes, depths). What `look` finds in each group, as HITS."""
+        trees, levels, kind = self.trees, self.levels, asked.schema["v"].dataType.simpleString()
+        level = F.least("depth", F.lit(levels))
+        each = asked.select(F.posexplode(F.arrays_zip("probes", "depths")).alias("tree", "at")).select("tree", F.col("at.probes").alias("probe"), F.col("at.depths").alias("depth")).where(F.col("depth") <= BITS)
+        asks = each.groupBy(level.alias("level"), "tree", F.expr(f"shiftright(probe, {BITS} - least(depth, {levels}))").alias("p")).count().toArrow()  # trees * 2^(levels + 1) rows at most
+        cuts = [np.zeros((trees, 1 << x), np.int32) for x in range(levels + 1)]
+        query_cuts = [np.zeros((trees, 1 << x), np.int32) for x in range(levels + 1)]
+        for x, t, p, n in zip(*(asks[c].to_numpy().tolist() for c in ("level", "tree", "p", "count")), strict=True):
+            cuts[x][t, p], query_cuts[x][t, p] = -(-self.rows[x][t, p] // self.group_rows), -(-n // self.group_queries)
+        used = [x for x in range(levels + 1) if cuts[x].any()]
+        shared = asked.sparkSession.sparkContext.broadcast((cuts, query_cuts))
+
+        def dealt(ids: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Rows once for each cut of the other side: (row, own cut, other cut)."""
+            row = np.repeat(np.arange(len(ids)), theirs)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(theirs) - theirs, theirs)
+            return row, (mixed(ids.astype(np.uint64)) % np.maximum(mine, 1).astype(np.uint64)).astype(np.int32)[row], other.astype(np.int32)
+
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cuts_, query_cuts_ = shared.value
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                codes = _matrix(batch.column(2)).astype(np.int64) if batch.num_rows else np.empty((0, trees), np.int64)
+                for x in used:
+                    for t in range(trees):
+                        p = codes[:, t] >> (BITS - x)
+                        row, cut, qcut = dealt(ids, cuts_[x][t, p], np.where(cuts_[x][t, p] > 0, query_cuts_[x][t, p], 0))
+                        if len(row):
+                            ints = [pa.array(c.astype(np.int32)) for c in (np.full(len(row), x), np.full(len(row), t), p[row], cut, qcut, codes[row, t])]
+                            yield pa.RecordBatch.from_arrays([*ints, *(batch.column(i).take(pa.array(row)) for i in (0, 1))], names=["level", "tree", "p", "cut", "qcut", "code", "vec_id", "v"])
+
+        def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cuts_, query_cuts_ = shared.value
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                if not batch.num_rows:
                     continue
-                some = np.flatnonzero((depth == d_) & (prefix == p))
-                for at in range(0, len(some), 256):
-                    part = some[at : at + 256]
-                    scores = q[part] @ x[begin:end].T
-                    for i, row in zip(part, scores, strict=True):
-                        place, s = best_of(row, ids[begin:end], lambda c, i=i: (x[begin + c] * q[i]).sum(1), own[i], k)
-                        out[0].append(np.full(len(place), own[i]))
-                        out[1].append(ids[begin:end][place])
-                        out[2].append(s)
-        cols = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    keys = ["tree", "g", "cut", "qcut"]
-
-    def met(some: DataFrame, least_depth: int, used: int) -> DataFrame:
-        """Hits of the queries in `some`, none of a lesser depth, in the first `used` trees."""
-        cuts = max(1, -(-int(levels[least_depth].max()) // group_rows))
-        busiest = some.select(F.posexplode(F.slice("probes", 1, used)).alias("tree", "probe")).groupBy("tree", F.shiftright("probe", CODE_BITS - least_depth).alias("g")).count().agg(F.max("count")).first()[0] or 1
-        query_cuts = max(1, -(-busiest // group_queries))
-        index = coded.select("vec_id", "v", F.posexplode(F.slice("codes", 1, used)).alias("tree", "code")).select("vec_id", "v", "tree", "code", F.pmod(F.xxhash64("vec_id"), F.lit(cuts)).cast("int").alias("cut"), spread(query_cuts).alias("qcut"))
-        index = index.withColumn("g", F.shiftright("code", CODE_BITS - least_depth))
-        probes = some.select("query_id", "v", "depth", F.posexplode(F.slice("probes", 1, used)).alias("tree", "probe"), F.pmod(F.xxhash64("query_id"), F.lit(query_cuts)).cast("int").alias("qcut")).withColumn("cut", spread(cuts)).withColumn("g", F.shiftright("probe", CODE_BITS - least_depth))
-        return probes.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
-
-    # at the root every tree has all rows, so queries that ascend to it need one tree; all others need every tree
-    lowest = asked.agg(F.min("depth").alias("any"), F.min(F.when(F.col("depth") > 0, F.col("depth"))).alias("below")).first()
-    parts = [met(asked.where("depth = 0"), 0, 1)] if not lowest["any"] else []
-    if lowest["below"]:
-        parts.append(met(asked.where("depth > 0"), lowest["below"], trees))
-    hits = reduce(DataFrame.unionByName, parts).distinct()
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                probe, depth = _matrix(batch.column(2)).astype(np.int64), _matrix(batch.column(3))
+                for t in range(trees):
+                    for x in used:
+                        some = np.flatnonzero((np.minimum(depth[:, t], levels) == x) & (depth[:, t] <= BITS))
+                        p = probe[some, t] >> (BITS - x)
+                        row, qcut, cut = dealt(ids[some], query_cuts_[x][t, p], cuts_[x][t, p])
+                        if len(row):
+                            at = some[row]
+                            ints = [pa.array(c.astype(np.int32)) for c in (np.full(len(row), x), np.full(len(row), t), p[row], cut, qcut, probe[at, t], depth[at, t])]
+                            yield pa.RecordBatch.from_arrays([*ints, *(batch.column(i).take(pa.array(at)) for i in (0, 1))], names=["level", "tree", "p", "cut", "qcut", "probe", "depth", "query_id", "v"])
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: list[tuple] = []
+            if left.num_rows and right.num_rows:
+                own, probe, depth = (left[c].to_numpy() for c in ("query_id", "probe", "depth"))
+                code, ids = right["code"].to_numpy(), right["vec_id"].to_numpy()
+                order = np.lexsort((ids, code))
+                out = list(look(_matrix(left["v"]).astype(float), own, probe.astype(np.int64), depth, code[order].astype(np.int64), ids[order], _matrix(right["v"])[order].astype(float), k))
+            sizes = [len(o[1]) for o in out]
+            cat = lambda i, kind_: np.concatenate([o[i] for o in out]) if out else np.empty(0, kind_)
+            scored = np.zeros(sum(sizes), np.int64)
+            first = np.cumsum([0, *sizes])[:-1]
+            for o, at, n in zip(out, first, sizes, strict=True):
+                if n:
+                    scored[at] = o[3]  # once for each look of a query
+            return pa.table({"query_id": pa.array(np.repeat([o[0] for o in out], sizes).astype(np.int64)), "vec_id": pa.array(cat(1, np.int64)), "score": pa.array(cat(2, float)), "scored": pa.array(scored)})
+
+        keys = ["level", "tree", "p", "cut", "qcut"]
+        place = "level int, tree int, p int, cut int, qcut int"
+        left = asked.select("query_id", "v", "probes", "depths").mapInArrow(probes, f"{place}, probe int, depth int, query_id long, v {kind}")
+        right = self.coded.select("vec_id", "v", "codes").mapInArrow(index, f"{place}, code int, vec_id long, v {kind}")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, HITS)
+
+
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 40, recall: float = 0.95, group_rows: int = 20_000, group_queries: int = 4_000, seed: int = 7) -> DataFrame:
+    """The operator: (query_id, rank, vec_id, score, n_scored) for the rows (vec_id, embedding) where is_query holds.
+
+    n_scored: rows that were scored for the query, counted once for each tree in which it met them.
+    """
+    spark = prepare(vectors.sparkSession)
+    with scratch(spark) as keep:
+        found = keep(usable(vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("q"))), "vectors")
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        facts = found.agg(F.max(norm).alias("top"), F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+        if not facts["n"]:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_scored long")
+        top, n, d = facts["top"], facts["n"], facts["d"]
+        planes = np.random.default_rng(seed).standard_normal((d + 1, trees * BITS))
+        kind = found.schema["v"].dataType.simpleString()
+
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    x = _matrix(batch.column(1)).astype(float) / top
+                    length = np.sqrt((x * x).sum(1))[:, None]
+                    asks = batch.column(2).to_numpy(zero_copy_only=False)
+                    for_index = codes_of(np.hstack([x, np.sqrt(np.clip(1 - length * length, 0, None))]), planes, trees)
+                    for_query = np.full((len(x), trees), -1)
+                    for_query[asks] = codes_of(np.hstack([x / length, np.zeros_like(length)])[asks], planes, trees)
+                    lists = [pa.array([r if r[0] >= 0 else None for r in c.astype(np.int32)], pa.list_(pa.int32())) for c in (for_index, for_query)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["vec_id", "v", "q", "codes", "probes"])
+
+        coded = keep(found.mapInArrow(code, f"vec_id long, v {kind}, q boolean, codes array<int>, probes array<int>"), "forest")
+        levels = int(np.clip(np.ceil(np.log2(2 * n / group_rows)), 1, MOST_LEVELS))
+        forest = Forest(coded, trees, levels, group_rows, group_queries)
+        asked = coded.where("q").select(F.col("vec_id").alias("query_id"), "v", "probes")
+        deepest = F.array_repeat(F.lit(BITS), trees)
+        first = keep(forest.hits(asked.withColumn("depths", deepest), _near, k), "near")
+        ranked = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        bound = ranked.where(F.col("r") == k).select("query_id", F.col("score").alias("bound"))
+
+        def ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    length = np.sqrt((_matrix(batch.column(1)).astype(float) ** 2).sum(1))
+                    depths = depths_for(batch.column(3).to_numpy(zero_copy_only=False) / length / top, trees, recall)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(depths), pa.list_(pa.int32()))], names=["query_id", "v", "probes", "depths"])
+
+        again = keep(asked.join(bound, "query_id", "left").select("query_id", "v", "probes", "bound").mapInArrow(ascend, f"query_id long, v {kind}, probes array<int>, depths array<int>"), "asked")
+        best = written(first.unionByName(forest.hits(again, _sharing, k)), "hits")
+    once = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored"))
+    w = Window.partitionBy("query_id")
+    ranked = once.withColumn("n_scored", F.sum("scored").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_scored")
 
 
 def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the 20 nearest found of each vec_id divisible by 20."""
+    """query_id, rank, vec_id, score: the 20 nearest found of each vec_id divisible by 20; n_scored rows were scored for it."""
     return neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
