@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vecmill.llm import components, simhash, suffixes, windows
+from vecmill.session import written
 
 
 def brute_cut(texts, size):
@@ -166,7 +167,7 @@ def test_operator_five(spark):
 
 @pytest.mark.parametrize("bucket_rows", [20_000, 3])
 def test_similar_texts(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (bucket_rows,))
+    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (bucket_rows, written))
     rng = random.Random(9)
     text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
     rows, group = [], {}

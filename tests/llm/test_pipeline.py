@@ -63,3 +63,37 @@ def test_repeated_passages_of_short_words_are_cut(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     got = {r["doc_id"]: r["text"].split() for r in P.without_repeats(spark, docs, "").collect()}
     assert got == {0: ["one", "own"], 1: ["two", "other"], 2: texts[2].split(), 3: texts[3].split(), 4: ["five", "é"], 5: ["six", "end"], 6: ["seven", "stop"]}
+
+
+CLASHING = ["score", "lang_pred", "ambiguous", "grade", "severity", "p_toxic", "n_bytes", "n_removed", "n_spans", "n_passages", "kept", "dkey", "spans", "component_id", "sequence_id", "k", "root", "fp", "row", "rows"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_columns_named_like_those_of_operators(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    for name, stage in P.STAGES:
+        out = written(stage(spark, docs, SF), "stage")
+        if name != "packing":
+            assert out.dtypes == docs.dtypes
+            assert out.where(" or ".join(f"{c} <> concat('{c}', doc_id)" for c in CLASHING)).count() == 0
+        docs = out
+    assert docs.count() > 0
+
+
+def test_rows_of_one_id_and_rows_without(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    a, b, c = words("ab", 80), words("cd", 80), words("ef", 80)
+    rows = [(5, a, "1"), (5, b, "2"), (5, c, "3"), (7, b, "4"), (7, a + " more", "5"), (None, c, "6"), (None, "alone here", "7"), (9, "twice", "8"), (9, "twice", "9"), (None, "nobody", "10"), (None, "nobody", "11")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA)
+    kept = P.without_near_copies(spark, docs, "").collect()
+    assert sorted(r["source"] for r in kept if r["source"] not in ("8", "9", "10", "11")) == ["1", "2", "3", "7"]
+    assert sum(r["text"] == "twice" for r in kept) == 1 and sum(r["text"] == "nobody" for r in kept) == 1
+
+
+def test_characters_cut_in_two_and_characters_of_the_text(spark):
+    shared = "é" * 250 + "x" * 30
+    docs = spark.createDataFrame([(1, "own � text " + shared, "en", "s", 1), (2, shared[1:] + " � other", "en", "s", 1), (3, "è" + shared[1:], "en", "s", 1)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in P.without_repeats(spark, docs, "").collect()}
+    assert got[1].startswith("own � text ") and got[2] == " � other" and set(got[1][len("own � text "):]) <= {"é"}

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmill.llm.tasks import checked, text_last, with_columns
 from vecmill.session import prepare, table
 
 UNKNOWN = "und"
@@ -117,6 +118,7 @@ def fit(features: np.ndarray, which: np.ndarray, languages: list[str], margin: f
 
 def learn(docs: DataFrame, labelled, sample_rows: int = 3000, margin: float = 1.0) -> Model | None:
     """Fit on at most sample_rows of the rows where `labelled` holds and text and lang are there."""
+    prepare(docs.sparkSession)
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not counts:
@@ -149,11 +151,12 @@ def learn(docs: DataFrame, labelled, sample_rows: int = 3000, margin: float = 1.
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The operator: the columns in `keep` (doc_id by default) with lang_pred, score and ambiguous, for each row."""
     prepare(docs.sparkSession)
-    keep = keep or ["doc_id"]
+    keep = checked(keep or ["doc_id"], ["lang_pred", "score", "ambiguous"])
+    columns, at_text = text_last(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(at_text)
             n = batch.num_rows
             pred, score, unsure = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
             for at in range(0, n, 256):
@@ -170,8 +173,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     score[which], unsure[which] = share, near
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], names=[*keep, "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(*columns).mapInArrow(run, with_columns(docs, keep, "lang_pred string, score double, ambiguous boolean"))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -25,16 +25,17 @@ repeated rows.  A null doc_id is no candidate for component_id unless the whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecmill.llm.components import connected
+from vecmill.llm.tasks import HOT_KEYS, met, whole_groups
 from vecmill.llm.windows import Rolling
-from vecmill.session import prepare, table, written
+from vecmill.session import prepare, scratch, table, written
 
 SEED = 42
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -234,8 +235,10 @@ def _signed_bands(least: np.ndarray) -> list[int]:
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
-def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows: int = 20_000) -> DataFrame:
-    """texts: (k, text), k a hash of the text. Edges (a, b) between hashes of texts at least that similar."""
+def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows: int = 20_000, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """texts: (k, text), k a hash of the text. Edges (a, b) between hashes of texts at least that similar.
+
+    keep writes intermediate tables, which the edges depend on."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,22 +249,20 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["k", "bands", "sig", "set"])
 
     prepare(texts.sparkSession)
-    signed = written(texts.select("k", "text").mapInArrow(sign, "k long, bands array<long>, sig binary, set binary"), "signatures")
+    signed = keep(texts.select("k", "text").mapInArrow(sign, "k long, bands array<long>, sig binary, set binary"), "signatures")
     keys = signed.select("k", F.explode("bands").alias("h")).distinct()
-    shared = written(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    met = written(keys.join(shared, "h"), "met")
-    ids = written(met.select("k").distinct(), "similar")
+    shared = keep(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    together = keep(met(keys, shared, ["h"], signed.count() * BANDS, "n"), "together")
+    ids = keep(together.select("k").distinct(), "similar")
     ids = F.broadcast(ids) if ids.count() <= FEW_KEYS else ids  # sets are as large as texts: others are left out before the shuffle
     one = signed.join(ids, "k", "left_semi").dropDuplicates(["k"]).select("k", "sig", "set")
     parts = F.when(F.col("n") > bucket_rows, F.ceil(2 * F.col("n") / bucket_rows)).otherwise(1).cast("long")
-    dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("k", "h"), "parts"))
+    dealt = together.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("k", "h"), "parts"))
     pairs = F.expr("if(parts = 1, array(0L), transform(filter(sequence(0L, parts - 1), x -> x <> part), x -> least(x, part) * parts + greatest(x, part)))")
     rows = dealt.select("h", F.explode(pairs).alias("cut"), "k").join(one, "k").select("h", "cut", "k", "sig", "set")
     least_equal = int(np.ceil((similarity - 0.1) * MINIMA))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def emit(part: pa.Table) -> pa.RecordBatch | None:
             h, cut, k = (part[c].to_numpy() for c in ("h", "cut", "k"))
             new = np.ones(len(h), bool)
@@ -288,20 +289,9 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
             a, b = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            h, cut = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            changed = np.flatnonzero((h[1:] != h[:-1]) | (cut[1:] != cut[:-1]))
-            last = changed[-1] + 1 if len(changed) else 0
-            if last == 0 and len(held) > 1 and (held[-2].column(0)[-1].as_py(), held[-2].column(1)[-1].as_py()) == (h[0], cut[0]):
-                continue
-            if (out := emit(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))) is not None:
+        for part in whole_groups(batches, 2):
+            if (out := emit(part)) is not None:
                 yield out
-            held = [batch.slice(last)]
-        if held and (out := emit(pa.Table.from_batches(held))) is not None:
-            yield out
 
     return rows.repartition("h", "cut").sortWithinPartitions("h", "cut").mapInArrow(link, "a long, b long").distinct()
 
@@ -312,29 +302,62 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, bucket_limit
     With similarity, links of that Jaccard similarity of word shingles count too, and fp is left out.
     """
     if similarity is not None:
-        return _similar_duplicates(docs, width, most, bucket_limit, similarity)
+        groups = text_groups(docs, width, most, bucket_limit, similarity)
+        return docs.select("doc_id", text_key().alias("k")).join(groups.select("k", F.col("least").alias("component_id")), "k").select("doc_id", "component_id")
     fps = written(fingerprints(docs, width), "fingerprints")
-    vertices = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    vertices = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     roots = connected(star_edges(vertices.select("fp"), most, bucket_limit))
-    rooted = vertices.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    linked = rooted.where("root is not null")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(of_root, "root").select("fp", "component_id").unionByName(rooted.where("root is null").select("fp", F.col("least").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def _similar_duplicates(docs: DataFrame, width: int, most: int, bucket_limit: int, similarity: float) -> DataFrame:
-    """Components over both kinds of links: (doc_id, component_id). Each text is one vertex."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5))
-    by_bits = near_duplicates(docs, width, most, bucket_limit).groupBy("doc_id").agg(F.min("component_id").alias("group"))
-    texts = written(docs.select("doc_id", key.alias("k")).groupBy("k").agg(F.min("doc_id").alias("doc_id")), "texts")
-    grouped = written(texts.join(by_bits, "doc_id").select("k", "group"), "groups")
-    centre = grouped.groupBy("group").agg(F.min("k").alias("b"))
-    edges = grouped.join(centre, "group").where("k <> b").select(F.col("k").alias("a"), "b").unionByName(similar_texts(docs.select(key.alias("k"), "text"), width, similarity))
-    rooted = texts.join(connected(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("k", "component_id")
-    return docs.select("doc_id", key.alias("k")).join(named, "k").select("doc_id", "component_id")
+    rooted = vertices.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = written(_of_root(rooted, F.min("least").alias("component_id")).select("fp", "component_id", "c"), "named")
+    return met(fps, named, ["fp"], fps.count()).select("doc_id", "fp", "component_id")
+
+
+def text_key() -> Column:
+    """A hash of the text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5))
+
+
+def _of_root(members: DataFrame, *facts: Column) -> DataFrame:
+    """members (root, ...) with facts of all rows of their root."""
+    members = written(members, "members")
+    of_root = written(members.groupBy("root").agg(*facts, F.count("*").alias("__c")), "roots")
+    return met(members, of_root, ["root"], members.count(), "__c").drop("__c")
+
+
+def text_groups(docs: DataFrame, width: int, most: int, bucket_limit: int, similarity: float) -> DataFrame:
+    """A row per text, by its key k: n rows, root of its group; of the group: rows, least doc_id, and the row that stands
+    for it (least doc_id, then least key): rep_k, rep_id, rep_n rows with both."""
+    texts = docs.select(text_key().alias("k"), "doc_id").groupBy("k", "doc_id").agg(F.count("*").alias("m"))
+    texts = texts.groupBy("k").agg(F.sum("m").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m")).alias("first"))
+    by_bits = near_duplicates(docs.select(text_key().alias("doc_id"), "text"), width, most, bucket_limit).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()
+    with scratch(docs.sparkSession) as keep:
+        edges = by_bits.unionByName(similar_texts(docs.select(text_key().alias("k"), "text"), width, similarity, keep=keep))
+        roots = connected(edges)
+    rooted = texts.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    best = F.min(F.struct("first.none", "first.doc_id", "k", "first.m")).alias("best")
+    found = _of_root(rooted, F.sum("n").alias("rows"), best)
+    return found.select("k", "n", "root", "rows", F.col("best.doc_id").alias("least"), F.col("best.k").alias("rep_k"), F.col("best.doc_id").alias("rep_id"), F.col("best.m").alias("rep_n"))
+
+
+def without_copies(docs: DataFrame, width: int = 5, most: int = 3, bucket_limit: int = 100_000, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, of each group of near-duplicate texts one only: that of the least doc_id, then of the least hash
+    of the text, then of all its columns.  Rows without doc_id come last.  Rows of one doc_id whose texts are not alike all stay."""
+    groups = written(text_groups(docs, width, most, bucket_limit, similarity).where("rows > 1").select("k", "n", "rep_k", "rep_id", "rep_n"), "copies").withColumnsRenamed({c: f"__{c}" for c in ("k", "n", "rep_k", "rep_id", "rep_n")})
+    rows = docs.withColumn("__k", text_key())
+    total = groups.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    if groups.count() <= FEW_KEYS:
+        judged = rows.join(F.broadcast(groups), "__k", "left")
+    else:
+        hot = F.broadcast(groups.where(F.col("__n") > total / HOT_KEYS))
+        cold = rows.join(hot.select("__k"), "__k", "left_anti").join(groups.where(F.col("__n") <= total / HOT_KEYS), "__k", "left")
+        judged = cold.unionByName(rows.join(hot, "__k"))
+    kept = judged.where(F.col("__rep_k").isNull() | ((F.col("__k") == F.col("__rep_k")) & F.col("doc_id").eqNullSafe(F.col("__rep_id"))))
+    once = kept.where("__rep_n is null or __rep_n = 1").select(*docs.columns)
+    if groups.where("__rep_n > 1").isEmpty():
+        return once
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    again = kept.where("__rep_n > 1").groupBy("__k").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.xxhash64(*hashed)).alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,7 +288,7 @@ def _only(texts: DataFrame, keys: DataFrame, few_keys: int) -> DataFrame:
     return texts.join(F.broadcast(keys), "dkey", "left_semi") if keys.count() <= few_keys else texts
 
 
-def repeated_starts(texts: DataFrame, size: int = 400, gram: int = 160, words: int | None = None, few_keys: int = 500_000, group_rows: int = 4096) -> DataFrame:
+def repeated_starts(texts: DataFrame, size: int = 400, gram: int = 160, words: int | None = None, few_keys: int = 500_000, group_rows: int = 1024) -> DataFrame:
     """texts: (dkey, text). A written table (dkey, spans, word_spans), arrays of structs (lo, hi): the starts, from lo
     through hi, of windows that also start anywhere else; those in word_spans count words."""
     if not 1 <= gram <= size or size - gram > 2000:
@@ -345,7 +345,7 @@ def whole_characters(data: bytes, start: int, stop: int) -> bytes:
     return data[start:stop]
 
 
-def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_000, keep: list[str] | None = None, words: int | None = None, cut_words: bool = True, characters: bool = False, group_rows: int = 4096) -> DataFrame:
+def cut(docs: DataFrame, size: int = 400, gram: int = 160, few_keys: int = 500_000, keep: list[str] | None = None, words: int | None = None, cut_words: bool = True, characters: bool = False, group_rows: int = 1024) -> DataFrame:
     """The operator: the columns in `keep` (doc_id by default) with n_bytes, n_removed, n_spans, n_passages and
     passage_bytes (maximal runs of repeated words, and their bytes) and kept, the remaining bytes.
 

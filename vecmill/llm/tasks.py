@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -60,6 +60,12 @@ def checked(keep: list[str], made: list[str]) -> list[str]:
     return keep
 
 
+def text_last(keep: list[str]) -> tuple[list[Column], int]:
+    """The columns to hand to a task, with the text among them once, and which of them it is."""
+    kept = [F.col(f"`{c}`") for c in keep]
+    return (kept, keep.index("text")) if "text" in keep else ([*kept, F.col("text").alias("__text")], len(keep))
+
+
 def with_columns(df: DataFrame, keep: list[str], made: str) -> StructType:
     """The schema of the columns in `keep`, followed by those of a DDL string."""
     return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(made).fields])

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmill.llm.tasks import checked, text_last, with_columns
 from vecmill.llm.windows import Rolling, mixed
 from vecmill.session import prepare, table
 
@@ -153,18 +154,18 @@ def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 4000) -> Model
 def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The operator: the columns in `keep` (doc_id by default) with severity, grade and p_toxic, for each row."""
     prepare(docs.sparkSession)
-    keep = keep or ["doc_id"]
+    keep = checked(keep or ["doc_id"], ["severity", "grade", "p_toxic"])
+    columns, at_text = text_last(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(at_text)
             above = [model.above(features(texts[i].as_py())) if model is not None else np.zeros(1) for i in range(batch.num_rows)]
             severity = [float(p.sum()) for p in above]
             likely = [int((p >= 0.5).sum()) for p in above]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(severity, pa.float64()), pa.array(likely, pa.int32()), pa.array([float(p[0]) for p in above], pa.float64())], names=[*keep, "severity", "grade", "p_toxic"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, severity double, grade int, p_toxic double")
+    return docs.select(*columns).mapInArrow(run, with_columns(docs, keep, "severity double, grade int, p_toxic double"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
