@@ -64,7 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table as of `written`, and its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
@@ -73,7 +74,7 @@ def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: columns stay prunable and rows stay fixed."""
-    return _write(df, name)[0]
+    return written_at(df, name)[0]
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -88,7 +89,7 @@ def scratch(spark: SparkSession) -> Iterator:
     paths: list[str] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        table_, path = _write(df, name)
+        table_, path = written_at(df, name)
         paths.append(path)
         return table_
 
