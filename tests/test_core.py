@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecmill.functions import dates, statistics as S, text as T, vectors as V
-from vecmill.operators import config_rules, loop, metrics, policy, review, search, sessions
+from vecmill.operators import config_rules, loop, metrics, policy, review, search, slots, sessions
 from vecmill.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -62,7 +62,7 @@ def test_exact_search_both_ways(spark, monkeypatch, shipped):
         assert [got[q, k + 1] for k in range(7)] == np.lexsort((np.arange(300), -s))[:7].tolist()
     if shipped:
         for few in (2, 100):
-            plan = {(r["query_id"], r["rk"]): r["doc_id"] for r in search.search_expression(queries, corpus, 7, few=few).collect()}
+            plan = {(r["query_id"], r["rk"]): r["doc_id"] for r in search.search_expression(queries, corpus, 7, few_bytes=few).collect()}
             assert plan == got
 
 
@@ -101,7 +101,7 @@ def test_labels_and_slots(spark):
     assert list(r) == list(cases.values())
     doc = "a <!-- EVOLVE:QUERY:START -->x<!-- EVOLVE:QUERY:END --> b <!-- EVOLVE:RANK:START -->y<!-- EVOLVE:RANK:END -->"
     d = F.lit(doc)
-    r = one(spark, T.slot_body(T.with_slot(d, "QUERY", "new"), "QUERY"), T.backbone(T.with_slot(d, "RANK", "z")) == T.backbone(d), policy.one_slot_changed([T.slot_body(d, "QUERY")], [F.lit("n")], T.backbone(d), T.backbone(d)))
+    r = one(spark, T.slot_body(T.with_slot(d, "QUERY", "new"), "QUERY"), T.backbone(T.with_slot(d, "RANK", "z")) == T.backbone(d), slots.violation(F.lit("query"), {"query": T.slot_body(d, "QUERY")}, {"query": F.lit("n")}, T.backbone(d), T.backbone(d)).isNull())
     assert r[:] == ("new", True, True)
 
 
@@ -211,19 +211,6 @@ def test_sane_phrases(spark):
         assert one(spark, review.sane_phrases(array, F.lit(question), F.lit(texts)))[0] == want
 
 
-def test_cluster_signals(spark):
-    from vecmill.plans import registry
-
-    hits = {}
-    for r in registry.QUERIES["alias_signals"](spark, SF).collect():
-        hits.setdefault(r["query_id"], []).append(r["side"])
-    assert all(len(v) == 20 and "pos" in v for v in hits.values())
-    moves = {}
-    for r in registry.QUERIES["multihop_rank"](spark, SF).collect():
-        moves.setdefault(r["query_id"], set()).add(r["adjustment"])
-    assert set(moves) == set(hits) and all(v <= {0.0, 0.12, -0.25} and 0.0 in v for v in moves.values())
-
-
 def test_review_of_the_fixture(spark):
     """The whole review against a plain loop over the rules that decide it."""
     from vecmill.plans import registry, texts

@@ -16,32 +16,77 @@ SIGMA_FLOOR = 30.0
 LAMBDA_MAX, LAMBDA_FLOOR, LAMBDA_BOOST, TRUST = 0.60, 0.35, 0.40, 0.35
 ETA, ETA_HARD, DELTA_DIV = 0.35, 0.50, 0.12
 FILTER_ETA, POLLUTED_TOP, POLLUTED_LEAST, DROP_CAP = 0.75, 5, 2, 24
+ETA_MULTIHOP, MULTIHOP_LEAST = 0.25, 4
 LLOYD_STEPS = 12
 
 
-def time_gap(hits: DataFrame, lam: float = 0.0) -> DataFrame:
-    """(query_id, n_dated, n_eff, spread_years, g_time): how far apart in time the dated hits lie, by similarity."""
-    dated = S.with_softmax(hits.where("time_days is not null"), ["query_id"], "sim", "w", 1.0)
+def time_gap(hits: DataFrame, lam: Column | float = 0.0) -> DataFrame:
+    """(query_id, n_dated, n_eff, spread_years, g_time): how far apart in time the dated hits lie, by similarity.
+
+    lam: the share of recency in the score that found them; what is used already is no gap.
+    """
+    dated = S.with_softmax(hits.where("time_days is not null").withColumn("__lam", lam if isinstance(lam, Column) else F.lit(lam)), ["query_id"], "sim", "w", 1.0)
     m = S.weighted_mean(F.col("time_days"), F.col("w"))
     each = dated.groupBy("query_id").agg(m.alias("mu"), F.count("*").alias("n_dated"), S.kish(F.col("w")).alias("n_eff"))
     again = dated.join(each, "query_id").withColumn("dev", F.col("w") * F.pow(F.col("time_days") - F.col("mu"), 2))
-    spread = again.groupBy("query_id", "n_dated", "n_eff").agg((F.sqrt(F.greatest(F.sum("dev") / F.sum("w"), F.lit(0.0))) / 365.25).alias("spread_years"))
-    raw = S.clamp((1.0 - lam) * S.logistic(4.0 * (F.col("spread_years") / SPREAD_REF - 1.0)), 0, 1)
-    return spread.withColumn("g_time", F.when((F.col("n_dated") < 2) | (F.col("n_eff") < MIN_NEFF), F.lit(0.0)).otherwise(raw))
+    spread = again.groupBy("query_id", "n_dated", "n_eff").agg((F.sqrt(F.greatest(F.sum("dev") / F.sum("w"), F.lit(0.0))) / 365.25).alias("spread_years"), F.max("__lam").alias("__lam"))
+    raw = S.clamp((1.0 - F.col("__lam")) * S.logistic(4.0 * (F.col("spread_years") / SPREAD_REF - 1.0)), 0, 1)
+    none = (F.col("n_dated") < 2) | (F.col("n_eff") < MIN_NEFF)
+    return spread.withColumn("g_time", F.when(none, F.lit(0.0)).otherwise(raw)).withColumn("n_eff", F.when(F.col("n_dated") < 2, F.lit(0.0)).otherwise(F.col("n_eff"))).drop("__lam")
 
 
 def time_signals(hits: DataFrame) -> DataFrame:
-    """Each hit with t_star, sigma, kappa and side: neg (older than t_star - sigma), pos (kappa of 1/e or more), else null."""
+    """Each hit of at least two dated ones with t_star, sigma, kappa and side: neg (older than t_star - sigma), pos (kappa
+    of 1/e or more), else null.  t_star is query_days where hits have that column and it is known, else the 0.9 quantile."""
     w = Window.partitionBy("query_id")
-    weighted = S.with_softmax(hits.where("time_days is not null"), ["query_id"], "sim", "w")
+    dated = hits.where("time_days is not null").withColumn("__n", F.count("*").over(w)).where("__n >= 2").drop("__n")
+    weighted = S.with_softmax(dated, ["query_id"], "sim", "w")
     mean = F.sum(F.col("w") * F.col("time_days")).over(w) / F.sum("w").over(w)
-    one = weighted.withColumn("mu", mean).withColumn("t_star", F.expr("percentile(time_days, 0.9) over (partition by query_id)"))
+    quantile = F.expr("percentile(time_days, 0.9) over (partition by query_id)")
+    one = weighted.withColumn("mu", mean).withColumn("t_star", F.coalesce("query_days", quantile) if "query_days" in hits.columns else quantile)
     two = one.withColumn("sigma", F.greatest(F.sqrt(F.greatest(F.sum(F.col("w") * F.pow(F.col("time_days") - F.col("mu"), 2)).over(w) / F.sum("w").over(w), F.lit(0.0))), F.lit(SIGMA_FLOOR)))
     three = two.withColumn("kappa", S.recency(F.col("time_days"), F.col("t_star"), F.col("sigma")))
     side = F.when((F.col("time_days") < F.col("t_star") - F.col("sigma")) & (F.col("sim") > 0), "neg").when(F.col("kappa") >= float(np.exp(-1.0)), "pos")
     return three.withColumn("side", side)
 
 
+def alias_signals(clustered: DataFrame, vector: str = "e") -> DataFrame:
+    """Each hit with side: pos for the cluster nearer to the mean of the hits weighted by similarity (ties: cluster 0), else neg."""
+    weighted = clustered.select("query_id", "cluster", "sim", F.posexplode(vector).alias("i", "x"))
+    centre = weighted.groupBy("query_id", "cluster", "i").agg(F.avg("x").alias("c"), F.sum(F.col("sim") * F.col("x")).alias("sx"))
+    sims = clustered.groupBy("query_id").agg(F.greatest(F.sum("sim"), F.lit(S.EPS)).alias("total"))
+    w = Window.partitionBy("query_id", "i")
+    apart = centre.join(sims, "query_id").withColumn("q", F.sum("sx").over(w) / F.col("total"))
+    far = apart.groupBy("query_id", "cluster").agg(F.sqrt(F.sum(F.pow(F.col("c") - F.col("q"), 2))).alias("d"))
+    best = far.groupBy("query_id").agg(F.min(F.struct("d", "cluster"))["cluster"].alias("__pos"))
+    return clustered.join(best, "query_id").withColumn("side", F.when(F.col("cluster") == F.col("__pos"), "pos").otherwise("neg")).drop("__pos")
+
+
+def signals(hits: DataFrame, gap: str = "gap") -> DataFrame:
+    """Sides of the hits by the kind of gap that a column names: clusters for alias, else time; with t_star, sigma and
+    kappa, which are null for alias, and n_eff, the effective number of the hits that were looked at."""
+    alias = F.coalesce(F.col(gap) == "alias", F.lit(False))
+    timed = time_signals(hits.where(~alias)).drop("mu", "w")
+    none = {"t_star": F.lit(None).cast("double"), "sigma": F.lit(None).cast("double"), "kappa": F.lit(None).cast("double")}
+    sided = alias_signals(two_means(hits.where(alias))).withColumns(none).select(*timed.columns)
+    both = timed.unionByName(sided)
+    flat = S.with_softmax(both, ["query_id"], "sim", "__w", 1.0)
+    n_eff = F.pow(F.sum("__w").over(Window.partitionBy("query_id")), 2) / F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy("query_id"))
+    return flat.withColumn("n_eff", n_eff).drop("__w")
+
+
+def memory_signals(hits: DataFrame) -> DataFrame:
+    """hits (query_id, doc_id, sim, time_days, query_days, relevant, negative) with side, t_star, sigma and kappa: what a
+    review found relevant against its negatives; questions where it found neither get time_signals."""
+    judged = F.max((F.col("relevant") | F.col("negative")).cast("int")).over(Window.partitionBy("query_id")) == 1
+    rows = hits.withColumn("__judged", judged)
+    fixed = F.when(F.col("query_days").isNotNull(), F.lit(SIGMA_FLOOR))
+    known = rows.where("__judged").withColumn("t_star", F.col("query_days")).withColumn("sigma", fixed)
+    known = known.withColumn("kappa", S.recency(F.col("time_days"), F.col("t_star"), F.col("sigma"))).withColumn("side", F.when(F.col("relevant"), "pos").when(F.col("negative"), "neg"))
+    timed = time_signals(rows.where("not __judged"))
+    return known.unionByName(timed.select(*known.columns)).drop("__judged")
+
+
 def recency_weight(signals: DataFrame) -> DataFrame:
     """(query_id, lambda_hat): share of the distance in recency between both sides in that of recency and similarity.
 
@@ -72,7 +117,7 @@ def filter_update(hits: DataFrame) -> DataFrame:
     unbound_top = F.sum((~F.col("bound") & (F.col("rk") <= POLLUTED_TOP)).cast("int"))
     each = hits.groupBy("query_id").agg(unbound_top.alias("n_unbound"), F.array_sort(F.collect_list(F.when(~F.col("bound") & ~F.col("relevant"), F.struct("rk", "doc_id")))).alias("out"))
     polluted = F.col("n_unbound") >= POLLUTED_LEAST
-    return each.select("query_id", polluted.alias("polluted"), "n_unbound", F.when(polluted, F.slice(F.transform("out", lambda x: x["doc_id"]), 1, DROP_CAP)).otherwise(F.array().cast("array<bigint>")).alias("drop_ids"))
+    return each.select("query_id", polluted.alias("polluted"), "n_unbound", F.when(polluted, F.slice(F.transform("out", lambda x: x["doc_id"]), 1, DROP_CAP)).otherwise(F.slice(F.transform("out", lambda x: x["doc_id"]), 1, 0)).alias("drop_ids"))
 
 
 def two_means(hits: DataFrame, vector: str = "e") -> DataFrame:
@@ -93,11 +138,26 @@ def two_means(hits: DataFrame, vector: str = "e") -> DataFrame:
                 centres = np.stack([x[label == c].mean(0) if (label == c).any() else centres[c] for c in (0, 1)])
         return pd.DataFrame({"query_id": group["query_id"], "doc_id": group["doc_id"], "cluster": label.astype("int32")})
 
-    schema = "query_id long, doc_id long, cluster int"
+    kind = lambda c: hits.schema[c].dataType.simpleString()
+    schema = f"query_id {kind('query_id')}, doc_id {kind('doc_id')}, cluster int"
     labels = hits.select("query_id", "doc_id", "rk", vector).groupBy("query_id").applyInPandas(split, schema)
     return hits.join(labels, ["query_id", "doc_id"])
 
 
+def multihop(clustered: DataFrame) -> DataFrame:
+    """hits (query_id, doc_id, sim, ov, cluster) with bonus and penalty, for questions that need several texts.
+
+    The first cluster is that of the greatest mean overlap, then similarity (ties: cluster 0); hits of the other get a
+    bonus if it has any overlap.  Hits without overlap get a penalty.  Fewer than four hits are no clusters.
+    """
+    means = clustered.groupBy("query_id", "cluster").agg(F.avg("ov").alias("__ov"), F.avg("sim").alias("__s"), F.count("*").alias("__n"))
+    first = means.groupBy("query_id").agg(F.max(F.struct("__ov", "__s", (-F.col("cluster")).alias("neg")))["neg"].alias("__first"), F.sum("__n").alias("__hits"))
+    rows = clustered.join(means.drop("__s", "__n"), ["query_id", "cluster"]).join(first, "query_id")
+    other = (F.col("cluster") != -F.col("__first")) & (F.col("__hits") >= MULTIHOP_LEAST) & (F.col("__ov") > 1e-6)
+    rows = rows.withColumn("bonus", F.when(other, DELTA_DIV).otherwise(0.0)).withColumn("penalty", F.when(F.col("ov") < 1e-6, ETA_MULTIHOP).otherwise(0.0))
+    return rows.drop("__ov", "__first", "__hits")
+
+
 def alias_gap(clustered: DataFrame) -> DataFrame:
     """(query_id, n_hits, n_eff, balance, separation, g_alias): two groups of hits that are alike to the question but not to each other."""
     weights = S.with_softmax(clustered, ["query_id"], "sim", "w", 1.0)
@@ -127,6 +187,16 @@ def gap_kind(g_time: Column, g_alias: Column, g_unans: Column, top_sim: Column,
     return F.when(g_unans >= UNANSWERABLE, "unanswerable").when(rank_done | query_done, "sufficient").when(top < OPEN_GAP, closed).otherwise(kind)
 
 
+def rank_closes(used: Column, top_days: Column, t_star: Column, sigma: Column) -> Column:
+    """A rank update is active and the top hit lies on the recent side."""
+    return F.array_contains(used, "rank") & F.coalesce(top_days >= t_star - F.coalesce(sigma, F.lit(1.0)), F.lit(False))
+
+
+def query_closes(used: Column, top: Column, pos_ids: Column) -> Column:
+    """A query update is active and the first three hits lie on its positive side."""
+    return F.array_contains(used, "query") & (F.size(pos_ids) > 0) & (F.size(F.array_except(F.slice(top, 1, 3), pos_ids)) == 0)
+
+
 def next_action(covers: Column, unanswerable: Column, round_: Column, max_rounds: Column, dead_end: Column, missing: Column, hop_ok: Column, filter_ok: Column, time_mismatch: Column, used: Column) -> Column:
     """struct(kind, slot, why). used: array of slots already used. The first rule that applies wins."""
     free = lambda slot: ~F.array_contains(used, slot)
@@ -148,9 +218,3 @@ def geometric_slot(kind: Column, n_eff_time: Column, n_eff_alias: Column, used:
     thin = ((kind == "alias") & (n_eff_alias < MIN_NEFF)) | ((kind == "time") & (n_eff_time < MIN_NEFF))
     rank_thin = (kind == "time") & (n_eff_time < MIN_NEFF)
     return F.when(kind.isin("sufficient", "unanswerable", "unknown"), F.lit(None).cast("string")).when(free("query") & ~thin, "query").when(free("rank") & ~rank_thin, "rank")
-
-
-def one_slot_changed(before: list[Column], after: list[Column], backbone_before: Column, backbone_after: Column) -> Column:
-    """At most one slot differs and the rest of the document is the same."""
-    changed = sum(((~a.eqNullSafe(b)).cast("int") for a, b in zip(before, after, strict=True)), F.lit(0))
-    return (changed <= 1) & backbone_before.eqNullSafe(backbone_after)

@@ -14,7 +14,7 @@ from vecmill.functions import vectors as V
 from vecmill.session import prepare
 
 BLOCK = 4096
-#: A query matrix up to this many numbers is shipped to the tasks; a larger one is dealt in blocks.
+#: A query matrix up to this many numbers (32 MB) is shipped to the tasks; a larger one is dealt in blocks.
 SHIPPED_NUMBERS = 4_000_000
 NOISE_SIM, QUERY_SIM = 0.40, 0.50
 
@@ -25,32 +25,39 @@ def top_k(scored: DataFrame, keys: list[str], score: str, tie: str, k: int, rank
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def _best(scores: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
     if len(scores) > k:
         bound = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= bound - 1e-9)
     else:
         near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+    return near[np.lexsort((places[near], -scores[near]))[:k]]
 
 
-def _scored(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
+def _scored(q_ids: pa.Array, q: np.ndarray, d_ids: pa.Array, d: np.ndarray, k: int) -> pa.Table:
+    """The k best of each block of rows for each query; ids may be of any type that has an order."""
     out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(d_ids), BLOCK):
-        ids, x = d_ids[at : at + BLOCK], d[at : at + BLOCK]
+    order = np.empty(len(d_ids), np.int64)
+    order[pa.compute.sort_indices(d_ids).to_numpy()] = np.arange(len(d_ids))
+    for at in range(0, len(d), BLOCK):
+        places, x = order[at : at + BLOCK], d[at : at + BLOCK]
         for i, row in enumerate(q @ x.T):
-            place = _best(row, ids, k)
-            out[0].append(np.full(len(place), q_ids[i]))
-            out[1].append(ids[place])
+            place = _best(row, places, k)
+            out[0].append(np.full(len(place), i))
+            out[1].append(at + place)
             out[2].append((x[place] * q[i]).sum(1))
     cols = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-    return pa.table({"query_id": cols[0], "doc_id": cols[1], "sim": cols[2]})
+    return pa.table({"query_id": q_ids.take(pa.array(cols[0], pa.int64())), "doc_id": d_ids.take(pa.array(cols[1], pa.int64())), "sim": pa.array(cols[2], pa.float64())})
 
 
 def _rows(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy().reshape(len(vectors), -1)
 
 
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def exact_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Top k by inner product: (query_id, doc_id, sim, rk). queries: (query_id, q); corpus: (doc_id, e), array<double>.
 
@@ -60,49 +67,66 @@ def exact_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     spark = prepare(queries.sparkSession)
     asked = queries.select("query_id", "q").where("query_id is not null and q is not null")
     held = corpus.select("doc_id", "e").where("doc_id is not null and e is not null")
-    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("d")).first()
-    schema = "query_id long, doc_id long, sim double"
-    if size["n"] * size["d"] <= SHIPPED_NUMBERS:
-        rows = asked.collect()
-        ids = np.array([r["query_id"] for r in rows], np.int64)
-        matrix = spark.sparkContext.broadcast((ids, np.array([r["q"] for r in rows], float).reshape(len(rows), size["d"])))
+    schema = f"query_id {_type(asked, 'query_id')}, doc_id {_type(held, 'doc_id')}, sim double"
+    few = asked.limit(SHIPPED_NUMBERS + 1).toArrow() if _surely_few(asked) else None
+    size = (few.num_rows, max((len(v) for v in few["q"][:1]), default=0)) if few else tuple(asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first())
+    if size[0] * size[1] <= SHIPPED_NUMBERS:
+        rows = (few if few is not None else asked.toArrow()).combine_chunks()
+        ids = rows["query_id"].combine_chunks() if rows.num_rows else None
+        matrix = spark.sparkContext.broadcast((ids, _rows(rows["q"].combine_chunks()) if rows.num_rows else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = matrix.value
             for batch in batches:
-                if batch.num_rows and len(q_ids):
-                    yield from _scored(q_ids, q, batch.column(0).to_numpy(), _rows(batch.column(1)), k).to_batches()
+                if batch.num_rows and q_ids is not None:
+                    yield from _scored(q_ids, q, batch.column(0), _rows(batch.column(1)), k).to_batches()
 
         found = held.mapInArrow(run, schema)
     else:
-        q_blocks = -(-size["n"] // 1024)
+        q_blocks = -(-size[0] // 1024)
         d_blocks = max(1, -(-held.count() // (16 * BLOCK)))
-        spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("db", spread(d_blocks))
-        right = held.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(d_blocks)).cast("int")).withColumn("qb", spread(q_blocks))
+        left, right = in_blocks(asked, "query_id", "qb", q_blocks, "db", d_blocks), in_blocks(held, "doc_id", "db", d_blocks, "qb", q_blocks)
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            a, b = a.combine_chunks(), b.combine_chunks()
             if not a.num_rows or not b.num_rows:
-                return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-            return _scored(a["query_id"].to_numpy(), _rows(a["q"].combine_chunks()), b["doc_id"].to_numpy(), _rows(b["e"].combine_chunks()), k)
+                return pa.table({"query_id": a["query_id"].slice(0, 0), "doc_id": b["doc_id"].slice(0, 0), "sim": pa.array([], pa.float64())})
+            return _scored(a["query_id"].combine_chunks(), _rows(a["q"].combine_chunks()), b["doc_id"].combine_chunks(), _rows(b["e"].combine_chunks()), k)
 
         found = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(meet, schema)
     return top_k(found, ["query_id"], "sim", "doc_id", k)
 
 
-def search_expression(queries: DataFrame, corpus: DataFrame, k: int, score: Callable[[Column, Column], Column] = V.dot, few: int = 10_000) -> DataFrame:
-    """Top k by any score of (q, e) as one plan of expressions.
+def _surely_few(rows: DataFrame, most_bytes: int = 8 << 20) -> bool:
+    """Whether the optimizer's own estimate of the size says that the rows fit on one machine."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
+
+
+def in_blocks(rows: DataFrame, key: str, own: str, blocks: int, other: str, other_blocks: int) -> DataFrame:
+    """rows in blocks by a hash of the key, once for each block of the other side, so that every two blocks meet once."""
+    dealt = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
-    The query side is broadcast if it has at most `few` rows; else both sides are dealt in blocks that meet by key.
+
+def meeting(asked: DataFrame, corpus: DataFrame, few_bytes: int = 32 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+    """Every query beside every row of the corpus, a stated query set against all rows.
+
+    The query side is broadcast if its rows take no more than few_bytes; else both sides are dealt in blocks by key,
+    and every two blocks meet in a group of bounded size.
     """
-    asked = queries.select("query_id", "q")
-    n = asked.count()
-    if n <= few:
-        pairs = corpus.join(F.broadcast(asked), F.lit(True))
-    else:
-        cuts = -(-n // few)
-        left = asked.withColumn("cut", F.pmod(F.xxhash64("query_id"), F.lit(cuts)).cast("int"))
-        pairs = corpus.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).join(left, "cut")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if n * width <= few_bytes:
+        return corpus.join(F.broadcast(asked), F.lit(True))
+    q_blocks = -(-n * width // block_bytes)
+    rows, numbers = corpus.agg(F.count("*"), F.coalesce(F.max(F.size("e")), F.lit(0))).first()
+    d_blocks = max(1, -(-rows * (8 * numbers + 64) // block_bytes))
+    left = in_blocks(asked, "query_id", "__qb", q_blocks, "__db", d_blocks)
+    return in_blocks(corpus, "doc_id", "__db", d_blocks, "__qb", q_blocks).join(left, ["__qb", "__db"]).drop("__qb", "__db")
+
+
+def search_expression(queries: DataFrame, corpus: DataFrame, k: int, score: Callable[[Column, Column], Column] = V.dot, few_bytes: int = 32 << 20) -> DataFrame:
+    """Top k by any score of (q, e) as one plan of expressions; see `meeting` for how the sides meet."""
+    pairs = meeting(queries.select("query_id", "q"), corpus, few_bytes)
     return top_k(pairs.select("query_id", "doc_id", score(F.col("q"), F.col("e")).alias("sim")), ["query_id"], "sim", "doc_id", k)
 
 

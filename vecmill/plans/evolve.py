@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from vecmill.functions import statistics as S
 from vecmill.operators import analytics, loop, memory, sessions
 from vecmill.plans import base
+from vecmill.plans.base import r
+from vecmill.plans.evolve_sql import ROUNDS, K, sql_evolve
 from vecmill.plans.registry import query
 from vecmill.session import table
 
@@ -16,24 +18,27 @@ def _run(spark, sf_dir):
     corpus = u.select(F.col("vec_id").alias("doc_id"), F.col("u").alias("e")).join(base.dated(spark, sf_dir), "doc_id", "left")
     # dates are stretched by 40, so that thresholds of months apply to the month that the events span
     corpus = corpus.withColumn("time_days", (F.col("time_days") - 738886) * 40)
-    return loop.evolve(base.queries_of(u), corpus, k=20, max_rounds=3)
+    return loop.evolve(base.queries_of(u), corpus, k=K, max_rounds=ROUNDS)
 
 
-@query("evolve_loop")
+_LOOP = sql_evolve()
+
+
+@query("evolve_loop", f"WITH {_LOOP} SELECT query_id, doc_id, rk, {r('score')} AS score FROM evidence")
 def evolve_loop(spark, sf_dir):
-    """Final evidence of each question; checked for its invariants in the tests."""
+    """Final evidence of each question."""
     hits, _ = _run(spark, sf_dir)
     return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"))
 
 
-@query("evolve_log")
+@query("evolve_log", f"WITH {_LOOP} SELECT query_id, round, gap, slot, accepted, why, array_to_string(top, ',') AS top FROM log")
 def evolve_log(spark, sf_dir):
-    """One row per question and round: gap, slot, reason, and the ids on top."""
+    """One row per question and round: gap, slot, whether the change was kept, reason, and the ids on top."""
     _, log = _run(spark, sf_dir)
-    return log.select("query_id", "round", "gap", "slot", "why", F.array_join(F.col("top").cast("array<string>"), ",").alias("top"))
+    return log.select("query_id", "round", "gap", "slot", "accepted", "why", F.array_join(F.col("top").cast("array<string>"), ",").alias("top"))
 
 
-@query("slot_adoption")
+@query("slot_adoption", f"WITH {_LOOP} SELECT coalesce(slot, 'none') AS slot, why, round, count(*) AS n FROM log GROUP BY ALL")
 def slot_adoption(spark, sf_dir):
     """How often each slot was changed, for which reason, in which round."""
     _, log = _run(spark, sf_dir)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
-from vecmill.functions import vectors as V
 from vecmill.operators import policy
 from vecmill.plans import base
 from vecmill.plans.base import r, sql_hits
@@ -157,29 +156,55 @@ def geometric_slot(spark, sf_dir):
     return spark.range(80).withColumnRenamed("id", "i").select("i", slot.alias("slot"))
 
 
-@query("alias_gap")
+def sql_two_means(hits: str = "hits", prefix: str = "km") -> str:
+    """WITH-parts of twelve Lloyd steps over a relation (query_id, doc_id, rk, e); the last one is {prefix} (query_id, doc_id, cluster)."""
+    d = lambda c: f"list_inner_product(h.e, h.e) - 2 * list_inner_product(h.e, {c}) + list_inner_product({c}, {c})"
+    parts = [
+        f"{prefix}f AS MATERIALIZED (SELECT query_id, e AS a FROM {hits} WHERE rk = 1)",
+        f"{prefix}c0 AS MATERIALIZED (SELECT f.query_id, any_value(f.a) AS a, arg_min(h.e, list_inner_product(h.e, f.a) + h.rk * 1e-13) AS b FROM {prefix}f f JOIN {hits} h USING (query_id) GROUP BY f.query_id)",
+    ]
+    for i in range(policy.LLOYD_STEPS):
+        label = f"({d('c.b')} < {d('c.a')} - 1e-12)"
+        parts.append(f"{prefix}l{i} AS MATERIALIZED (SELECT h.query_id, h.doc_id, h.e, {label} AS far FROM {hits} h JOIN {prefix}c{i} c USING (query_id))")
+        mean = lambda side: f"(SELECT query_id, list(m ORDER BY i) AS m FROM (SELECT query_id, i, avg(x) AS m FROM (SELECT query_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM {prefix}l{i} WHERE {side}) GROUP BY query_id, i) GROUP BY query_id)"  # noqa: E731, B023
+        parts.append(f"{prefix}c{i + 1} AS MATERIALIZED (SELECT c.query_id, coalesce(p.m, c.a) AS a, coalesce(n.m, c.b) AS b FROM {prefix}c{i} c LEFT JOIN {mean('NOT far')} p USING (query_id) LEFT JOIN {mean('far')} n USING (query_id))")
+    last = policy.LLOYD_STEPS - 1
+    parts.append(f"{prefix} AS MATERIALIZED (SELECT query_id, doc_id, far::INT AS cluster FROM {prefix}l{last})")
+    return ", ".join(parts)
+
+
+def sql_means(rows: str, keys: str, value: str = "avg(x)") -> str:
+    """A mean vector m per key of rows (keys, e, ...); value may use x and w."""
+    return f"(SELECT {keys}, list(m ORDER BY i) AS m FROM (SELECT {keys}, i, {value} AS m FROM (SELECT *, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM {rows}) GROUP BY {keys}, i) GROUP BY {keys})"
+
+
+_HITS = f"{sql_hits(20, 'found')}, hits AS MATERIALIZED (SELECT * FROM found), {sql_two_means()}, k AS MATERIALIZED (SELECT hits.*, cluster FROM hits JOIN km USING (query_id, doc_id)), kc AS MATERIALIZED {sql_means('k', 'query_id, cluster')}"
+_APART = "kd AS (SELECT a.query_id, list_distance(a.m, b.m) AS separation FROM kc a JOIN kc b ON a.query_id = b.query_id AND a.cluster = 0 AND b.cluster = 1)"
+SQL_ALIAS_GAP = f"""{_APART}, ks AS (SELECT *, exp(greatest(-40, least(40, sim - max(sim) OVER (PARTITION BY query_id)))) AS e1 FROM k),
+ka AS (SELECT query_id, count(*) AS n_hits, pow(sum(e1), 2) / sum(e1 * e1) AS n_eff, avg(sim) FILTER (cluster = 0) AS s0, avg(sim) FILTER (cluster = 1) AS s1 FROM ks GROUP BY query_id),
+ga AS (SELECT ka.*, separation, CASE WHEN NOT (n_hits < 5 OR n_eff < 5 OR s0 IS NULL OR s1 IS NULL) THEN least(s0, s1) / greatest(s0, s1, 1e-8) END AS balance FROM ka LEFT JOIN kd USING (query_id)),
+gap_alias AS (SELECT query_id, n_hits, n_eff, balance, separation, CASE WHEN balance IS NULL THEN 0 ELSE greatest(0, least(1, balance / (1 + exp(-4 * (separation / 0.25::DOUBLE - 1))))) END AS g_alias FROM ga)"""
+
+
+@query("alias_gap", f"WITH {_HITS}, {SQL_ALIAS_GAP} SELECT query_id, n_hits, {r('n_eff')} AS n_eff, {r('balance')} AS balance, {r('separation')} AS separation, {r('g_alias')} AS g_alias FROM gap_alias")
 def alias_gap(spark, sf_dir):
-    """Two-means over each query's hits; checked against a plain loop in the tests."""
-    return policy.alias_gap(policy.two_means(base.hits(spark, sf_dir, 20)))
+    """Two-means over each query's hits."""
+    g = policy.alias_gap(policy.two_means(base.hits(spark, sf_dir, 20)))
+    return g.select("query_id", "n_hits", *[S.steady(F.col(c)).alias(c) for c in ("n_eff", "balance", "separation", "g_alias")])
 
 
-@query("alias_signals")
+@query("alias_signals", f"""WITH {_HITS}, q AS (SELECT query_id, list(m / greatest(t, 1e-8) ORDER BY i) AS m FROM (SELECT query_id, i, sum(sim * x) AS m FROM (SELECT query_id, sim, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM k) GROUP BY query_id, i) JOIN (SELECT query_id, sum(sim) AS t FROM k GROUP BY query_id) USING (query_id) GROUP BY query_id),
+best AS (SELECT query_id, arg_min(cluster, list_distance(kc.m, q.m) + cluster * 1e-13) AS pos FROM kc JOIN q USING (query_id) GROUP BY query_id)
+SELECT query_id, doc_id, CASE WHEN cluster = pos THEN 'pos' ELSE 'neg' END AS side FROM k JOIN best USING (query_id)""")
 def alias_signals(spark, sf_dir):
-    """Hits on the side of the similarity-weighted centre are positive, the other cluster is negative."""
-    hits = policy.two_means(base.hits(spark, sf_dir, 20))
-    weighted = S.with_softmax(hits, ["query_id"], "sim", "w")
-    centre = V.mean_vectors(weighted, ["query_id"], "e", "w", "centre")
-    sides = V.mean_vectors(hits, ["query_id", "cluster"], "e", name="c").join(centre, "query_id").withColumn("d", V.norm(V.plus(F.col("c"), F.col("centre"), -1.0)))
-    best = sides.groupBy("query_id").agg(F.min(F.struct("d", "cluster"))["cluster"].alias("pos"))
-    return hits.join(best, "query_id").select("query_id", "doc_id", F.when(F.col("cluster") == F.col("pos"), "pos").otherwise("neg").alias("side"))
+    """Hits of the cluster nearer to the similarity-weighted mean are positive, the other cluster is negative."""
+    return policy.alias_signals(policy.two_means(base.hits(spark, sf_dir, 20))).select("query_id", "doc_id", "side")
 
 
-@query("multihop_rank")
+@query("multihop_rank", f"""WITH {_HITS}, o AS (SELECT query_id, doc_id, sim, cluster, (label = query_label)::INT::DOUBLE AS ov FROM k),
+m AS (SELECT query_id, cluster, avg(ov) AS mov, avg(sim) AS ms, count(*) AS n FROM o GROUP BY ALL), f AS (SELECT query_id, arg_max(cluster, (mov, ms, -cluster)) AS first, sum(n) AS n FROM m GROUP BY query_id)
+SELECT query_id, doc_id, CASE WHEN cluster <> first AND f.n >= 4 AND mov > 1e-6 THEN 0.12::DOUBLE ELSE 0 END AS bonus, CASE WHEN ov < 1e-6 THEN 0.25::DOUBLE ELSE 0 END AS penalty FROM o JOIN m USING (query_id, cluster) JOIN f USING (query_id)""")
 def multihop_rank(spark, sf_dir):
-    """Bonus for the second cluster of hits where it has overlap with the question, penalty where it has none."""
+    """Bonus for the second cluster of hits where it has overlap with the question, penalty for hits without any."""
     hits = policy.two_means(base.hits(spark, sf_dir, 20)).withColumn("ov", F.when(F.col("label") == F.col("query_label"), 1.0).otherwise(F.lit(0.0)))
-    means = hits.groupBy("query_id", "cluster").agg(F.avg("ov").alias("ov"), F.avg("sim").alias("s"))
-    first = means.groupBy("query_id").agg(F.max(F.struct("ov", "s", "cluster"))["cluster"].alias("first"))
-    other = F.col("cluster") != F.col("first")
-    value = F.when(other & (F.col("ov") > 1e-6), policy.DELTA_DIV).when(other, -0.25).otherwise(0.0)
-    return hits.join(first, "query_id").select("query_id", "doc_id", value.alias("adjustment"))
+    return policy.multihop(hits).select("query_id", "doc_id", "bonus", "penalty")

@@ -18,9 +18,10 @@ from vecmill.operators.analytics import remaining
 
 
 def search_stream(questions: DataFrame, corpus: DataFrame, out: str, checkpoint: str, k: int = 10, then: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """questions: a stream of (query_id long, q array<double>). Appends (query_id, doc_id, sim, rk) to a Parquet table at `out`."""
+    """questions: a stream of (query_id, q array<double>), ids of any type. Appends (query_id, doc_id, sim, rk) to a Parquet table at `out`."""
     spark = questions.sparkSession
-    schema = "query_id long, doc_id long, sim double, rk int"
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(questions, 'query_id')}, doc_id {kind(corpus, 'doc_id')}, sim double, rk int"
 
     def step(batch: DataFrame, number: int) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(out)
