@@ -252,6 +252,45 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def aliases(missing: Column, bag: Column, most: int = 6) -> Column:
+    """Words of a bag that are variants of missing ones: one the beginning of the other, at most four letters apart, or
+    with d, ing or ion at the end; in order of the missing words, then of the alphabet."""
+    known = F.array_sort(F.array_distinct(bag))
+
+    def of(m: Column) -> Column:
+        near = F.filter(known, lambda t: (t != m) & (F.startswith(t, m) | F.startswith(m, t)) & (F.abs(F.length(t) - F.length(m)) <= 4))
+        longer = F.filter(F.array(*[F.concat(m, F.lit(e)) for e in ("d", "ing", "ion")]), lambda t: F.array_contains(known, t))
+        return F.concat(near, longer)
+
+    return F.slice(F.array_except(F.array_distinct(F.flatten(F.transform(missing, of))), missing), 1, most)
+
+
+def json_object(text: Column, keys: list[str]) -> Column:
+    """The first JSON object in free text that has any of the keys, as text; null if there is none."""
+    import json
+
+    import pandas as pd
+
+    def first(value: str | None) -> str | None:
+        value = value or ""
+        decoder, at = json.JSONDecoder(), value.find("{")
+        while at >= 0:
+            try:
+                found, end = decoder.raw_decode(value, at)
+                if any(k in found for k in keys):
+                    return value[at:end]
+            except json.JSONDecodeError:
+                pass
+            at = value.find("{", at + 1)
+        return None
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(first, na_action=None)
+
+    return run(text)
+
+
 # A document with three marked slots.
 
 SLOTS = ["QUERY", "RANK", "FILTER"]

@@ -61,3 +61,34 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str, weight: str | No
     parts = rows.select(*keys, w.alias("__w"), F.posexplode(vector).alias("__i", "__x"))
     sums = parts.groupBy(*keys, "__i").agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__m"))
     return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias(name))
+
+
+def composed(q0: Column, slot: Column, noise: Column, beta: float, gamma: float, alpha: float = 1.0) -> Column:
+    """unit(alpha q0 + beta slot - gamma noise), of unit vectors, noise without its parts along q0 and slot; nulls add nothing."""
+    first = unit(q0)
+    second = F.when(slot.isNotNull(), unit(slot))
+    rest = without(without(unit(noise), first), F.when(second.isNotNull(), without(second, first)))
+    return unit(plus(plus(F.transform(first, lambda x: x * F.lit(float(alpha))), second, beta), rest, -gamma))
+
+
+def pooled(hidden: Column, mask: Column, how: str, padding: str = "right", pooler: Column | None = None) -> Column:
+    """One vector of a text's token vectors (array<array<double>>) and mask (array<int>).
+
+    cls: the first token's; cls_pooler: the model's own; mean: of the tokens with mask 1; eos: the last token's that is
+    not padding, or the very last one's where padding is on the left.
+    """
+    if how == "cls":
+        return F.get(hidden, F.lit(0))
+    if how == "cls_pooler":
+        if pooler is None:
+            raise ValueError("cls_pooler needs the model's own pooled vector")
+        return pooler
+    if how == "eos":
+        at = F.size(hidden) if padding == "left" else F.aggregate(mask, F.lit(0), lambda s, m: s + m.cast("int"))
+        return F.get(hidden, at - 1)
+    if how != "mean":
+        raise ValueError(f"unknown pooling {how}")
+    masked = F.zip_with(hidden, mask, lambda v, m: F.transform(v, lambda x: x * m))
+    total = F.aggregate(masked, F.array().cast("array<double>"), lambda s, v: F.when(F.size(s) == 0, v).otherwise(F.zip_with(s, v, lambda x, y: x + y)))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    return let(n, lambda k: F.transform(total, lambda x: x / k))

@@ -13,17 +13,17 @@ def summary(rows: DataFrame, keys: list[str], by: str, values: list[str]) -> Dat
     return sets.withColumn(by, F.coalesce(by, F.lit("all")))
 
 
-def paired(a: DataFrame, b: DataFrame, key: str, by: str, value: str, tolerance: float = 1e-9) -> DataFrame:
-    """How many questions of two runs got better, worse or stayed, and how their first gold hit moved."""
-    d = F.col("__b") - F.col("__a")
-    both = a.select(key, by, F.col(value).alias("__a"), F.col("gold_rank").alias("__ra")).join(b.select(key, F.col(value).alias("__b"), F.col("gold_rank").alias("__rb")), key)
-    n = lambda c: F.sum(c.cast("int")).alias
-    return both.groupBy(by).agg(F.count("*").alias("n"), n(d > tolerance)("better"), n(d < -tolerance)("worse"), n(F.abs(d) <= tolerance)("same"), n(F.col("__rb") < F.col("__ra"))("up"), n(F.col("__rb") > F.col("__ra"))("down"))
-
+def paired(a: DataFrame, b: DataFrame, key: str, by: str, value: str, tolerance: float = 1e-9, how: str = "inner") -> DataFrame:
+    """How many questions of two runs got better, worse or stayed, and how their first gold hit moved.
 
-def failure_mode(recall: Column, abstained: Column, unsure: Column) -> Column:
-    """What became of a question, from its recall, whether a gate abstained and whether the reader was unsure."""
-    return F.when(recall.isNull(), "no_gold").when(recall < 0.999, "not_retrieved").when(abstained, "gate_abstain").when(unsure, "reader_idk").otherwise("answered")
+    With how = "left" questions that the second run does not have are counted too, as absent.
+    """
+    d = F.col("__b") - F.col("__a")
+    other = b.select(key, F.col(value).alias("__b"), F.col("gold_rank").alias("__rb"), F.lit(True).alias("__there"))
+    both = a.select(key, by, F.col(value).alias("__a"), F.col("gold_rank").alias("__ra")).join(other, key, how)
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias
+    counts = [n(d > tolerance)("better"), n(d < -tolerance)("worse"), n(F.abs(d) <= tolerance)("same"), n(F.col("__rb") < F.col("__ra"))("up"), n(F.col("__rb") > F.col("__ra"))("down")]
+    return both.groupBy(by).agg(F.count("*").alias("n"), *counts, *([n(F.col("__there").isNull())("absent")] if how == "left" else []))
 
 
 def adoption(log: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ for texts found irrelevant (rank).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +21,15 @@ from vecmill.operators import policy, review, search, sessions
 from vecmill.session import written
 
 PHRASE_WEIGHT, NOISE_WEIGHT = 0.85, 0.15
-IDS = "array<bigint>"
-STATE = ["query_id", "question", "query_days", "q0", "v", "mu", "drop_ids", "filtered", "lam", "soft_ids", "hard_ids", "eta_soft", "used", "proxy", "last"]
+STATE = ["query_id", "question", "query_days", "q0", "q", "v", "mu", "drop_ids", "filtered", "lam", "soft_ids", "hard_ids", "eta_soft", "used", "proxy", "last"]
+Encoder = Callable[[DataFrame, str, str], DataFrame]  # texts, key, text to (key, e)
 
 
-def start(questions: DataFrame) -> DataFrame:
-    """questions: (query_id, question, query_days, q0)."""
-    ids, none = F.array().cast(IDS), F.lit(None).cast("array<double>")
+def start(questions: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """questions: (query_id, question, query_days, q0); id_type is that of the texts' ids."""
+    ids, none = F.array().cast(f"array<{id_type}>"), F.lit(None).cast("array<double>")
     return questions.select(
-        "query_id", "question", F.col("query_days").cast("double").alias("query_days"), "q0", none.alias("v"), none.alias("mu"), ids.alias("drop_ids"), F.lit(False).alias("filtered"),
+        "query_id", "question", F.col("query_days").cast("double").alias("query_days"), "q0", F.col("q0").alias("q"), none.alias("v"), none.alias("mu"), ids.alias("drop_ids"), F.lit(False).alias("filtered"),
         F.lit(0.0).alias("lam"), ids.alias("soft_ids"), ids.alias("hard_ids"), F.lit(0.0).alias("eta_soft"), F.array().cast("array<string>").alias("used"), F.lit(-1.0).alias("proxy"), F.lit("").alias("last"),
     )
 
@@ -37,8 +40,7 @@ def retrieve(state: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     c = F.col
     mu = F.when(c("mu").isNotNull(), V.dot(V.unit(c("mu")), c("e")))
     sv = F.when(c("v").isNotNull(), V.dot(V.unit(c("v")), c("e")))
-    s0 = V.dot(c("q0"), c("e"))
-    sim = search.slate_similarity(s0, s0, sv, mu, F.lit(PHRASE_WEIGHT), F.when(mu.isNotNull(), NOISE_WEIGHT).otherwise(0.0))
+    sim = search.slate_similarity(V.dot(c("q0"), c("e")), V.dot(c("q"), c("e")), sv, mu, F.lit(PHRASE_WEIGHT), F.when(mu.isNotNull(), NOISE_WEIGHT).otherwise(0.0))
     rec = S.recency(c("time_days"), c("query_days"), F.lit(policy.SIGMA_FLOOR))
     penalty = search.negative_penalty(c("doc_id"), c("hard_ids"), c("soft_ids"), F.lit(policy.ETA_HARD), c("eta_soft"))
     binds = T.distinctive_binds(c("question"))
@@ -49,16 +51,25 @@ def retrieve(state: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return search.top_k(rows, ["query_id"], "score", "doc_id", k).select("query_id", "question", "query_days", "doc_id", "rk", "text", "e", "time_days", "sim", "score", "bound", "n_binds")
 
 
-def _changed(state: DataFrame, hits: DataFrame, acts: DataFrame) -> DataFrame:
-    """State after each question's chosen slot. acts: (query_id, slot, hop, relevant_ids, soft_ids, hard_ids, time_mismatch, proxy)."""
-    phrase = sessions.hashed_vectors(acts.where("slot = 'query'").select("query_id", "hop"), "query_id", "hop").withColumnRenamed("e", "v1")
-    mean = V.mean_vectors(hits, ["query_id"], "e", name="m")
-    drops = policy.filter_update(hits.join(acts.select("query_id", "relevant_ids"), "query_id").withColumn("relevant", F.array_contains("relevant_ids", F.col("doc_id")))).select("query_id", F.array_compact("drop_ids").alias("drops"))
-    sided = hits.join(acts.select("query_id", "relevant_ids"), "query_id").withColumn("side", F.when(F.array_contains("relevant_ids", F.col("doc_id")), "pos").otherwise("neg")).withColumn("kappa", S.recency(F.col("time_days"), F.col("query_days"), F.lit(policy.SIGMA_FLOOR)))
+def changed(state: DataFrame, hits: DataFrame, acts: DataFrame, encode: Encoder = sessions.hashed_vectors) -> DataFrame:
+    """State after each question's chosen slot.
+
+    acts: (query_id, slot, hop, relevant_ids, soft_ids, hard_ids, time_mismatch, proxy).  query searches for the phrase
+    and away from the noise; without a phrase it moves the query vector towards relevant hits and away from the others,
+    where there are both.  filter and rank penalise.
+    """
+    phrase = encode(acts.where("slot = 'query' and hop <> ''").select("query_id", "hop"), "query_id", "hop").withColumnRenamed("e", "v1")
+    judged = hits.join(acts.select("query_id", "relevant_ids", F.concat("soft_ids", "hard_ids").alias("negative_ids")), "query_id")
+    judged = judged.withColumn("relevant", F.array_contains("relevant_ids", F.col("doc_id"))).withColumn("negative", F.array_contains("negative_ids", F.col("doc_id")))
+    drops = policy.filter_update(judged).select("query_id", F.array_compact("drop_ids").alias("drops"))
+    sided = policy.memory_signals(judged)
+    mean = lambda rows, name: V.mean_vectors(rows, ["query_id"], "e", name=name)
     taken = acts.select("query_id", "slot", F.col("soft_ids").alias("soft1"), F.col("hard_ids").alias("hard1"), "time_mismatch", F.col("proxy").alias("proxy1"))
-    rows = state.join(taken, "query_id").join(phrase, "query_id", "left").join(mean, "query_id", "left").join(drops, "query_id", "left").join(policy.recency_weight(sided), "query_id", "left")
+    rows = state.join(taken, "query_id").join(phrase, "query_id", "left").join(mean(hits, "m"), "query_id", "left").join(mean(judged.where("relevant"), "mp"), "query_id", "left").join(mean(judged.where("negative"), "mn"), "query_id", "left")
+    rows = rows.join(drops, "query_id", "left").join(policy.recency_weight(sided), "query_id", "left")
     c = F.col
     away = V.without(V.without(c("m"), c("q0")), F.when(c("v1").isNotNull(), V.without(c("v1"), c("q0"))))
+    towards = c("v1").isNull() & c("mp").isNotNull() & c("mn").isNotNull()
     soft = F.array_union("soft_ids", "soft1")
     update = policy.rank_update(c("lam"), F.coalesce("lambda_hat", F.lit(0.0)), c("time_mismatch"), c("time_mismatch"), F.size(soft) > 0)
 
@@ -66,16 +77,16 @@ def _changed(state: DataFrame, hits: DataFrame, acts: DataFrame) -> DataFrame:
         return F.when(c("slot") == slot, value).otherwise(c(name)).alias(name)
 
     return rows.withColumn("u", update).select(
-        "query_id", "question", "query_days", "q0", when("query", c("v1"), "v"), when("query", away, "mu"), when("filter", F.coalesce("drops", F.array().cast(IDS)), "drop_ids"),
-        (c("filtered") | (c("slot") == "filter")).alias("filtered"), when("rank", c("u.lam"), "lam"), when("rank", soft, "soft_ids"), when("rank", F.array_union("hard_ids", "hard1"), "hard_ids"),
+        "query_id", "question", "query_days", "q0", when("query", F.when(towards, V.rocchio(c("q0"), c("mp"), c("mn"))).otherwise(c("q0")), "q"), when("query", c("v1"), "v"), when("query", F.when(c("v1").isNotNull(), away), "mu"),
+        when("filter", F.coalesce("drops", F.slice("drop_ids", 1, 0)), "drop_ids"), (c("filtered") | (c("slot") == "filter")).alias("filtered"), when("rank", c("u.lam"), "lam"), when("rank", soft, "soft_ids"), when("rank", F.array_union("hard_ids", "hard1"), "hard_ids"),
         when("rank", c("u.eta_soft"), "eta_soft"), F.array_union("used", F.array("slot")).alias("used"), c("proxy1").alias("proxy"), c("slot").alias("last"),
     )
 
 
-def evolve(questions: DataFrame, texts: DataFrame, k: int = 10, max_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(evidence, log) of all questions; log: (query_id, round, covers, cause, slot, why, hop, proxy)."""
+def evolve(questions: DataFrame, texts: DataFrame, k: int = 10, max_rounds: int = 3, encode: Encoder = sessions.hashed_vectors) -> tuple[DataFrame, DataFrame]:
+    """(evidence, log) of all questions; log: (query_id, round, covers, cause, slot, why, hop, proxy). encode makes vectors of phrases."""
     texts = written(texts.select("query_id", "doc_id", "text", "e", F.col("time_days").cast("double").alias("time_days")), "texts")
-    state = written(start(questions), "state")
+    state = written(start(questions, texts.schema["doc_id"].dataType.simpleString()), "state")
     evidence, logs = [], []
     for n in range(1, max_rounds + 1):
         hits = written(retrieve(state, texts, k), "hits")
@@ -93,6 +104,5 @@ def evolve(questions: DataFrame, texts: DataFrame, k: int = 10, max_rounds: int
         going = acts.where("slot is not null")
         if n == max_rounds or going.isEmpty():
             break
-        state = written(_changed(state, hits, going).select(*STATE), "state")
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    return union(evidence), union(logs)
+        state = written(changed(state, hits, going, encode).select(*STATE), "state")
+    return reduce(DataFrame.unionByName, evidence), reduce(DataFrame.unionByName, logs)

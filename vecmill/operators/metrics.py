@@ -79,6 +79,18 @@ def compared(claimed: DataFrame, computed: DataFrame, tolerance: float = 0.01, s
     return names.join(computed, "metric", "left").withColumn("tolerance", tol).withColumn("status", status)
 
 
+def primary(computed: DataFrame, name: str) -> DataFrame:
+    """(primary_value): the value of the named metric, in any spelling; an error if it was not computed."""
+    wanted = computed.where(F.col("metric") == F.coalesce(metric_name(F.lit(name)), F.lit(name))).agg(F.max("value").alias("v"))
+    return wanted.select(F.coalesce("v", F.raise_error(F.lit(f"{name} was not computed")).cast("double")).alias("primary_value"))
+
+
+def verdict(judged: DataFrame) -> DataFrame:
+    """(ok, n_pass, n_fail, n_missing) of compared metrics: ok if none failed or is missing."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    return judged.agg((n("PASS") == F.count("*")).alias("ok"), n("PASS").alias("n_pass"), n("FAIL").alias("n_fail"), n("MISSING").alias("n_missing"))
+
+
 # Sessions: ids in retrieved order against a set of gold ids.
 
 

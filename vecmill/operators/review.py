@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from vecmill.functions import text as T
 
-# Thresholds.
+# Thresholds, and patterns that find what a question asks about.
 RELEVANT, IRRELEVANT = 0.15, 0.08
 YEAR, HALF_YEAR = 365, 180
 READ_CHARS = 2500
+MISSING_TERMS = 12
 
 WH_HEADS = [
     r"(?i)how (?:long|far|often|much|many) (?:is|was|are|were|do|does|did) (?:my |the |our |your |a |an )?(.+?)(?:\?|$)",
@@ -56,6 +57,8 @@ def _ids(condition: Column) -> Column:
 def review(hits: DataFrame) -> DataFrame:
     """hits (query_id, question, doc_id, rk, text, time_days, query_days): one row per question.
 
+    cause is that after the question of sufficiency, first_cause that before it.
+
     A text is relevant by its share of those key terms that the first three texts have.  The rest are soft
     negatives, or hard ones if they cover something but are over a year older than the question.  The question is
     covered if one of the first three texts asserts a value of the asked kind within its first 2500 characters.
@@ -74,6 +77,7 @@ def review(hits: DataFrame) -> DataFrame:
     old = F.coalesce(F.col("time_days") < F.col("query_days") - YEAR, F.lit(False))
     hard = ~F.col("relevant") & (F.col("ov") >= IRRELEVANT) & old
     each = q.groupBy("query_id", "question", "covers").agg(
+        F.array_distinct(F.flatten(F.collect_list("terms"))).alias("bag"),
         _ids(F.col("relevant")).alias("relevant_ids"), _ids(~F.col("relevant") & ~hard).alias("soft_ids"), _ids(hard).alias("hard_ids"),
         F.sum((F.col("relevant") & (F.col("rk") <= 3)).cast("int")).alias("top_relevant"),
         F.count("time_days").alias("n_dated"), (F.max("time_days") - F.min("time_days")).alias("spread"),
@@ -84,6 +88,13 @@ def review(hits: DataFrame) -> DataFrame:
     hop = T.hop_phrase(T.bind_terms(F.col("question")), T.target_slot(F.col("question"))["tail"])
     noise = (F.size("relevant_ids") > 0) & (F.col("top_relevant") < F.least(F.lit(2), F.size("relevant_ids")))
     each = each.withColumn("time_mismatch", mismatch).withColumn("hop", hop)
+    first = F.when(~F.col("covers") & (F.col("hop") != ""), "unrecalled").when(F.size("relevant_ids") == 0, "semantic_gap").when(F.col("time_mismatch"), "time_mismatch").when(noise, "noise_top3").otherwise("rank_refine")
+    each = each.withColumn("first_cause", first)
+    # words that the question has and no hit has; where a phrase is searched for, its variants are looked up instead
+    missing = F.slice(F.array_sort(F.array_except(T.ordered_terms(T.question_body(F.col("question"))), F.col("bag"))), 1, MISSING_TERMS)
+    each = each.withColumn("missing_terms", missing)
+    variants = T.aliases(F.when(~F.col("covers") & (F.col("hop") != ""), F.array("hop")).otherwise(F.col("missing_terms")), F.col("bag"))
+    each = each.withColumn("aliases", variants).drop("bag")
     cause = F.when(~F.col("covers") & (F.col("hop") != ""), "unrecalled").when(~F.col("covers") | (F.size("relevant_ids") == 0), "rank_refine").when(F.col("time_mismatch"), "time_mismatch").when(noise, "noise_top3").otherwise("rank_refine")
     slot = F.when(~F.col("covers") & (F.col("hop") != ""), "query").otherwise("rank")
     return each.withColumn("cause", cause).withColumn("slot", slot)

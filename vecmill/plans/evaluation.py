@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
-from vecmill.operators import analytics, metrics, search
+from vecmill.operators import analytics, harness, metrics, search
 from vecmill.plans import base
 from vecmill.plans.base import r, sql_hits
 from vecmill.plans.registry import query
@@ -132,9 +132,99 @@ def paired_runs(spark, sf_dir):
     return analytics.paired(m.where("run = 'dense'"), m.where("run = 'evolved'"), "query_id", "question_type", "recall_10")
 
 
-@query("failure_modes", f"""WITH {_RUNS}, f AS (SELECT question_type, CASE WHEN recall_10 IS NULL THEN 'no_gold' WHEN recall_10 < 0.999 THEN 'not_retrieved' WHEN query_id % 100 = 0 THEN 'gate_abstain' WHEN gold_rank > 3 THEN 'reader_idk' ELSE 'answered' END AS mode FROM sm WHERE run = 'evolved')
-SELECT mode, question_type, count(*) AS n FROM f GROUP BY ALL""")
+# Answers to the questions of the evolved run: a question is answered right where gold is among the first three, or where
+# it is divisible by 150; every second one whose id is divisible by 100 has none.
+
+_TYPES = ["type0", "type1", "type2"]
+_ANSWERS = f"""{_RUNS}, answers AS (SELECT query_id, 'q' || query_id || CASE WHEN query_id % 100 = 0 THEN '_abs' ELSE '' END AS question_id, question_type, query_id % 200 = 0 AS abstention, {', '.join(_SM)}, gold_rank, CASE WHEN query_id % 350 <> 0 THEN coalesce(gold_rank <= 3, false) OR query_id % 150 = 0 END AS qa_correct,
+  query_id % 250 = 0 AS reader_abstained, CASE WHEN query_id % 3 = 0 THEN ' I do not know that.' ELSE 'It was session ' || coalesce(gold_rank::VARCHAR, '?') END AS hypothesis, CASE WHEN query_id % 4 <> 1 THEN coalesce(gold_rank <= 5, false) END AS sufficient FROM sm WHERE run = 'evolved')"""
+
+
+def _answers(spark, sf_dir):
+    m, c = _session_metrics(spark, sf_dir).where("run = 'evolved'"), F.col
+    near = lambda k: F.coalesce(c("gold_rank") <= k, F.lit(False))
+    return m.select(
+        "query_id", F.concat(F.lit("q"), c("query_id").cast("string"), F.when(c("query_id") % 100 == 0, "_abs").otherwise("")).alias("question_id"), "question_type", (c("query_id") % 200 == 0).alias("abstention"), *_SM, "gold_rank",
+        F.when(c("query_id") % 350 != 0, near(3) | (c("query_id") % 150 == 0)).alias("qa_correct"), (c("query_id") % 250 == 0).alias("reader_abstained"),
+        F.when(c("query_id") % 3 == 0, " I do not know that.").otherwise(F.concat(F.lit("It was session "), F.coalesce(c("gold_rank").cast("string"), F.lit("?")))).alias("hypothesis"), F.when(c("query_id") % 4 != 1, near(5)).alias("sufficient"),
+    )
+
+
+_VALUES = ["accuracy", "abstention_accuracy", *_SM]
+_REPORT = " UNION ALL ".join(f"SELECT '{m}' AS metric, 'all' AS question_type, avg({m}) AS value, count({m}) AS n FROM v" for m in _VALUES)
+_BY_TYPE = " UNION ALL ".join(f"SELECT '{m}' AS metric, question_type, avg({m}) AS value, count({m}) AS n FROM v WHERE {m} IS NOT NULL{keep} GROUP BY question_type" for m, keep in (("accuracy", " AND question_type IN ('type0', 'type1', 'type2')"), ("recall_5", ""), ("hit_all_10", "")))
+
+
+@query("qa_report", f"""WITH {_ANSWERS}, v AS (SELECT question_type, qa_correct::INT AS accuracy, CASE WHEN abstention OR contains(question_id, '_abs') THEN qa_correct::INT END AS abstention_accuracy, {', '.join(f'CASE WHEN NOT abstention THEN {c} END AS {c}' for c in _SM)} FROM answers),
+t AS ({_BY_TYPE}) SELECT metric, question_type, {r('value', 4)} AS value, n FROM t UNION ALL SELECT metric, question_type, {r('value', 4)}, n FROM ({_REPORT}) UNION ALL SELECT 'task_averaged_accuracy', 'all', {r('avg(value)', 4)}, count(*) FROM t WHERE metric = 'accuracy'""")
+def qa_report(spark, sf_dir):
+    """Accuracy over all questions, by type, averaged over types and of those without an answer; retrieval over the others."""
+    return harness.report(_answers(spark, sf_dir), _TYPES).withColumn("value", S.steady(F.col("value"), 4))
+
+
+@query("failure_modes", f"""WITH {_ANSWERS} SELECT CASE WHEN reader_abstained THEN 'gate_abstain' WHEN starts_with(lower(trim(hypothesis)), 'i do not know') THEN 'reader_idk' ELSE 'answered_wrong' END AS mode, question_type, count(*) AS n
+FROM answers WHERE NOT abstention AND coalesce(gold_rank <= 10, false) AND NOT coalesce(qa_correct, false) GROUP BY ALL""")
 def failure_modes(spark, sf_dir):
-    m = _session_metrics(spark, sf_dir).where("run = 'evolved'")
-    modes = analytics.failure_mode(F.col("recall_10"), F.col("query_id") % 100 == 0, F.col("gold_rank") > 3)
-    return m.groupBy(modes.alias("mode"), "question_type").agg(F.count("*").alias("n"))
+    """Wrong answers to questions whose evidence was retrieved: here, a gold session among the first ten."""
+    c = F.col
+    mode = harness.failure_mode(c("abstention"), (c("gold_rank") <= 10).cast("double"), c("qa_correct"), c("reader_abstained"), c("hypothesis"))
+    return _answers(spark, sf_dir).select(mode.alias("mode"), "question_type").where("mode is not null").groupBy("mode", "question_type").agg(F.count("*").alias("n"))
+
+
+@query("sufficiency_table", f"""WITH {_ANSWERS}, a AS (SELECT sufficient, CASE WHEN starts_with(lower(trim(hypothesis)), 'i do not know') OR reader_abstained THEN 'idk' WHEN qa_correct THEN 'correct' END AS answer FROM answers WHERE sufficient IS NOT NULL)
+SELECT sufficient, answer, count(*) AS n FROM a WHERE answer IS NOT NULL GROUP BY ALL""")
+def sufficiency_table(spark, sf_dir):
+    return harness.sufficiency(_answers(spark, sf_dir))
+
+
+@query("gold_movement", f"""WITH {_RUNS}, p AS (SELECT a.question_type, a.gold_rank AS ra, b.gold_rank AS rb FROM sm a JOIN sm b USING (query_id) WHERE a.run = 'dense' AND b.run = 'evolved')
+SELECT question_type, CASE WHEN ra IS NULL AND rb IS NOT NULL THEN 'late_in' WHEN rb < ra THEN 'up' WHEN rb > ra THEN 'down' WHEN rb = ra THEN 'same' ELSE 'absent' END AS movement, count(*) AS n FROM p GROUP BY ALL""")
+def gold_movement(spark, sf_dir):
+    """How the first gold session moved between the plain and the evolved run."""
+    m = _session_metrics(spark, sf_dir)
+    both = m.where("run = 'dense'").select("query_id", "question_type", F.col("gold_rank").alias("a")).join(m.where("run = 'evolved'").select("query_id", F.col("gold_rank").alias("b")), "query_id")
+    return both.groupBy("question_type", F.coalesce(harness.movement(F.col("a"), F.col("b")), F.lit("absent")).alias("movement")).agg(F.count("*").alias("n"))
+
+
+@query("paired_runs_left", f"""WITH {_RUNS}, p AS (SELECT a.question_type, b.recall_10 - a.recall_10 AS d, a.gold_rank AS ra, b.gold_rank AS rb, b.query_id IS NULL AS gone FROM sm a LEFT JOIN (SELECT * FROM sm WHERE run = 'evolved' AND query_id % 150 <> 0) b USING (query_id) WHERE a.run = 'dense')
+SELECT question_type, count(*) AS n, sum(coalesce(d > 1e-9, false)::INT)::BIGINT AS better, sum(coalesce(d < -1e-9, false)::INT)::BIGINT AS worse, sum(coalesce(abs(d) <= 1e-9, false)::INT)::BIGINT AS same, sum(coalesce(rb < ra, false)::INT)::BIGINT AS up, sum(coalesce(rb > ra, false)::INT)::BIGINT AS down, sum(gone::INT)::BIGINT AS absent FROM p GROUP BY question_type""")
+def paired_runs_left(spark, sf_dir):
+    """As paired_runs, with a second run that lacks every third question."""
+    m = _session_metrics(spark, sf_dir)
+    return analytics.paired(m.where("run = 'dense'"), m.where("run = 'evolved' and query_id % 150 <> 0"), "query_id", "question_type", "recall_10", how="left")
+
+
+@query("picked_questions", f"""WITH {_ANSWERS}, w AS (SELECT unnest(['q50', 'q100_abs', 'q150', 'q7', 'none']) AS question_id)
+SELECT w.question_id, a.question_type, CASE WHEN a.question_id IS NULL THEN 'missing' WHEN contains(w.question_id, '_abs') THEN 'abstention' ELSE 'found' END AS status FROM w LEFT JOIN answers a USING (question_id) WHERE a.question_type IS NULL OR a.question_type <> 'type2'""")
+def picked_questions(spark, sf_dir):
+    """Wanted ids among the questions of two types, and those that no question has."""
+    wanted = spark.createDataFrame([(x,) for x in ("q50", "q100_abs", "q150", "q7", "none")], "question_id string")
+    found, missing = harness.picked(_answers(spark, sf_dir), wanted)
+    status = F.when(harness.is_abstention(F.col("question_id")), "abstention").otherwise("found")
+    found = harness.of_types(found, ["type0", "type1"]).select("question_id", "question_type", status.alias("status"))
+    return found.unionByName(missing.select("question_id", F.lit(None).cast("string").alias("question_type"), F.lit("missing").alias("status")))
+
+
+@query("feature_counts", f"""WITH {_ANSWERS}, f AS (SELECT 'question_type' AS feature, question_type AS value FROM answers UNION ALL SELECT 'qa_correct', coalesce(qa_correct::VARCHAR, 'none') FROM answers UNION ALL SELECT 'gold_rank', coalesce(gold_rank::VARCHAR, 'none') FROM answers),
+n AS (SELECT feature, value, count(*) AS n FROM f GROUP BY ALL) SELECT feature, value, n FROM n QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) <= 5""")
+def feature_counts(spark, sf_dir):
+    """The five most common values of each of three columns of the answers."""
+    return harness.most_common(_answers(spark, sf_dir), ["question_type", "qa_correct", "gold_rank"], 5)
+
+
+@query("gold_in_answer", f"""WITH {_ANSWERS} SELECT question_id, contains(lower(hypothesis), substr(lower('session ' || coalesce(gold_rank::VARCHAR, '?')), 1, 40)) AS has_gold FROM answers""")
+def gold_in_answer(spark, sf_dir):
+    gold = F.concat(F.lit(" Session "), F.coalesce(F.col("gold_rank").cast("string"), F.lit("?")), F.lit(" "))
+    return _answers(spark, sf_dir).select("question_id", harness.holds_gold(F.col("hypothesis"), gold).alias("has_gold"))
+
+
+@query("claims_verdict", f"""WITH {_PQ}, {_MACRO}, c(metric, target) AS (VALUES {', '.join(f"('{m}', {t}::DOUBLE)" for m, t in CLAIMED)}),
+n AS (SELECT replace(replace(metric, 'NDCG', 'nDCG'), 'Accuracy', 'Hit') AS metric, target FROM c),
+s AS (SELECT CASE WHEN value IS NULL THEN 'MISSING' WHEN abs(value - target) <= CASE WHEN n.metric LIKE 'Recall%' OR n.metric LIKE 'Hit%' THEN 0.02 ELSE 0.01 END THEN 'PASS' ELSE 'FAIL' END AS status FROM n LEFT JOIN macro USING (metric))
+SELECT (SELECT {r('value', 4)} FROM macro WHERE metric = 'nDCG@10') AS primary_value, count(*) = count(*) FILTER (status = 'PASS') AS ok, count(*) FILTER (status = 'PASS') AS n_pass, count(*) FILTER (status = 'FAIL') AS n_fail, count(*) FILTER (status = 'MISSING') AS n_missing FROM s""")
+def claims_verdict(spark, sf_dir):
+    """The primary metric, and whether all claims about the run hold."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(t).alias("target")) for m, t in CLAIMED])
+    computed = metrics.macro(_per_query(spark, sf_dir), KS)
+    judged = metrics.verdict(metrics.compared(spark.range(1).select(F.explode(rows).alias("c")).select("c.*"), computed))
+    return judged.join(F.broadcast(metrics.primary(computed, "NDCG@10").select(S.steady(F.col("primary_value"), 4).alias("primary_value"))), F.lit(True))

@@ -9,6 +9,7 @@ from vecmill.operators import analytics, loop, memory, sessions
 from vecmill.plans import base
 from vecmill.plans.base import r
 from vecmill.plans.evolve_sql import ROUNDS, K, sql_evolve
+from vecmill.plans.memory_sql import sql_memory
 from vecmill.plans.registry import query
 from vecmill.session import table
 
@@ -45,7 +46,7 @@ def slot_adoption(spark, sf_dir):
     return analytics.adoption(log)
 
 
-def _memory(spark, sf_dir):
+def _talks(spark, sf_dir):
     """Questions: the first turn of each conversation. Texts: its later turns, forty days apart."""
     c = table(spark, sf_dir, "conversations")
     first = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
@@ -53,18 +54,21 @@ def _memory(spark, sf_dir):
     questions = first.join(vectors, "query_id").withColumn("query_days", F.lit(738640.0))
     later = c.where("turn > 0").select(F.col("conv_id").alias("query_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text", (F.lit(738000.0) + F.col("turn") * 40).alias("time_days"))
     texts = later.join(sessions.hashed_vectors(later, "doc_id", "text"), "doc_id")
-    return memory.evolve(questions, texts, k=5)
+    return questions, texts
 
 
-@query("memory_loop")
+_MEMORY = sql_memory()
+
+
+@query("memory_loop", f"WITH {_MEMORY} SELECT query_id, doc_id, rk, {r('score')} AS score FROM evidence")
 def memory_loop(spark, sf_dir):
     """Final evidence of each question among its own texts."""
-    hits, _ = _memory(spark, sf_dir)
+    hits, _ = memory.evolve(*_talks(spark, sf_dir), k=5)
     return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"))
 
 
-@query("memory_log")
+@query("memory_log", f"WITH {_MEMORY} SELECT query_id, round, covers, cause, slot, why, hop, {r('proxy')} AS proxy FROM log")
 def memory_log(spark, sf_dir):
     """What each round found and changed."""
-    _, log = _memory(spark, sf_dir)
+    _, log = memory.evolve(*_talks(spark, sf_dir), k=5)
     return log.withColumn("proxy", S.steady(F.col("proxy")))
