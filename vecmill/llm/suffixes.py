@@ -42,7 +42,7 @@ from vecmill.llm.tasks import checked, met, whole_groups, with_columns
 from vecmill.llm.windows import Rolling, anchors, mixed
 from vecmill.session import prepare, scratch, table, written
 
-OUT_ROWS = 100_000
+OUT_ROWS = 20_000
 SLICE = 1024
 BLOCK = 16
 BYTES, WORDS = 0, 1
@@ -83,9 +83,9 @@ class Contexts:
     def numbered(self) -> tuple[np.ndarray, int]:
         """Small numbers for the symbols, and how many there are."""
         if self.symbols.dtype == np.uint8:
-            return self.symbols.astype(np.int64), 256
+            return self.symbols.astype(np.int32), 256
         known, number = np.unique(self.symbols, return_inverse=True)
-        return number.astype(np.int64), max(1, len(known))
+        return number.astype(np.int32), max(1, len(known))
 
 
 def classes(group: np.ndarray, symbols: np.ndarray, kinds: int, start: np.ndarray, step: int, limit: np.ndarray, first: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def classes(group: np.ndarray, symbols: np.ndarray, kinds: int, start: np.ndarra
         digit = symbols[start[alive] + step * (depth - 1)]
         seen[c] = digit
         if (seen[c] != digit).any():  # else every class stays together
-            _, c, size = np.unique(c * kinds + digit, return_inverse=True, return_counts=True)
+            _, c, size = np.unique(c.astype(np.int64) * kinds + digit, return_inverse=True, return_counts=True)
             keep = size[c] > 1
             alive, c = alive[keep], c[keep]
         if depth >= first:
@@ -191,7 +191,7 @@ def _sorted_runs(contexts: DataFrame, sizes: tuple[int, int | None]) -> DataFram
     """Pass 3 in tasks: (dkey, kind, lo, hi) of the repeated windows of runs that are single so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, 1, SLICE):
+        for rows in whole_groups(batches, 1):
             whole = rows.combine_chunks().to_batches(max_chunksize=rows.num_rows)[0]
             kind = whole.column(0).to_numpy() & 1
             for k in (BYTES, WORDS):

@@ -14,22 +14,26 @@ from pyspark.sql.types import StructType
 HOT_KEYS = 2000
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least_rows: int = 1) -> Iterator[pa.Table]:
-    """Rows that arrive sorted by their first `keys` columns, as tables of complete groups with about least_rows rows."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1024) -> Iterator[pa.Table]:
+    """Rows that arrive sorted by their first `keys` columns, as tables of complete groups, of no more than about `rows`
+    rows where groups allow it."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        same = bool(held) and all(held[-1].column(i)[-1].as_py() == c[0] for i, c in enumerate(columns))
-        changed = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-        border = int(changed[-1]) if len(changed) else 0
-        if rows + border >= least_rows and (border or (held and not same)):
-            yield pa.Table.from_batches([*held, batch.slice(0, border)])
-            held, rows, batch = [], 0, batch.slice(border)
-        held.append(batch)
-        rows += batch.num_rows
+        starts = group_starts(columns)
+        if held and all(held[-1].column(i)[-1].as_py() == c[0] for i, c in enumerate(columns)):
+            starts = starts[1:]  # the batch goes on with the group before
+        at = 0
+        for border in starts.tolist():
+            if n + border - at >= rows:
+                yield pa.Table.from_batches([*held, batch.slice(at, border - at)])
+                held, n, at = [], 0, border
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+            n += batch.num_rows - at
     if held:
         yield pa.Table.from_batches(held)
 
