@@ -63,12 +63,18 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str, weight: str | No
     return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias(name))
 
 
-def composed(q0: Column, slot: Column, noise: Column, beta: float, gamma: float, alpha: float = 1.0) -> Column:
-    """unit(alpha q0 + beta slot - gamma noise), of unit vectors, noise without its parts along q0 and slot; nulls add nothing."""
-    first = unit(q0)
-    second = F.when(slot.isNotNull(), unit(slot))
-    rest = without(without(unit(noise), first), F.when(second.isNotNull(), without(second, first)))
-    return unit(plus(plus(F.transform(first, lambda x: x * F.lit(float(alpha))), second, beta), rest, -gamma))
+def with_composed(rows: DataFrame, name: str, q0: str, slot: str, noise: str, beta: float, gamma: float, alpha: float = 1.0) -> DataFrame:
+    """rows with unit(alpha q0 + beta slot - gamma noise), of unit vectors, noise without its parts along q0 and slot.
+
+    Nulls add nothing.  Steps are columns of their own, so that no expression is nested deeply.
+    """
+    c = F.col
+    steps = {"__q": unit(c(q0)), "__s": F.when(c(slot).isNotNull(), unit(c(slot))), "__m": F.when(c(noise).isNotNull(), unit(c(noise)))}
+    rows = rows.withColumns(steps)
+    rows = rows.withColumn("__o", F.when(c("__s").isNotNull(), without(c("__s"), c("__q")))).withColumn("__r", without(c("__m"), c("__q")))
+    rows = rows.withColumn("__r", without(c("__r"), c("__o")))
+    rows = rows.withColumn("__x", plus(plus(F.transform("__q", lambda x: x * F.lit(float(alpha))), c("__s"), beta), c("__r"), -gamma))
+    return rows.withColumn(name, unit(c("__x"))).drop("__q", "__s", "__m", "__o", "__r", "__x")
 
 
 def pooled(hidden: Column, mask: Column, how: str, padding: str = "right", pooler: Column | None = None) -> Column:

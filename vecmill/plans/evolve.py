@@ -46,7 +46,7 @@ def slot_adoption(spark, sf_dir):
     return analytics.adoption(log)
 
 
-def _talks(spark, sf_dir):
+def talks(spark, sf_dir):
     """Questions: the first turn of each conversation. Texts: its later turns, forty days apart."""
     c = table(spark, sf_dir, "conversations")
     first = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
@@ -63,12 +63,12 @@ _MEMORY = sql_memory()
 @query("memory_loop", f"WITH {_MEMORY} SELECT query_id, doc_id, rk, {r('score')} AS score FROM evidence")
 def memory_loop(spark, sf_dir):
     """Final evidence of each question among its own texts."""
-    hits, _ = memory.evolve(*_talks(spark, sf_dir), k=5)
+    hits, _ = memory.evolve(*talks(spark, sf_dir), k=5)
     return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"))
 
 
 @query("memory_log", f"WITH {_MEMORY} SELECT query_id, round, covers, cause, slot, why, hop, {r('proxy')} AS proxy FROM log")
 def memory_log(spark, sf_dir):
     """What each round found and changed."""
-    _, log = memory.evolve(*_talks(spark, sf_dir), k=5)
+    _, log = memory.evolve(*talks(spark, sf_dir), k=5)
     return log.withColumn("proxy", S.steady(F.col("proxy")))

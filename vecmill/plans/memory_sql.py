@@ -27,7 +27,7 @@ def _without(v: str, axis: str) -> str:
     return f"CASE WHEN {axis} IS NULL OR sqrt(list_inner_product({axis}, {axis})) < 1e-8 THEN {v} ELSE list_transform({v}, lambda x, i: x - list_inner_product({v}, {axis}) / list_inner_product({axis}, {axis}) * {axis}[i]) END"
 
 
-def _round(n: int) -> list[str]:
+def _round(n: int, rounds: int) -> list[str]:
     s, h = f"state{n}", f"hits{n}"
     rec = f"CASE WHEN t.time_days IS NULL OR query_days IS NULL THEN 0 ELSE exp(-greatest(0, query_days - t.time_days) / {policy.SIGMA_FLOOR}::DOUBLE) END"
     parts = [
@@ -38,12 +38,12 @@ def _round(n: int) -> list[str]:
         sql_review(h, f"rv{n}"),
         f"fa{n} AS (SELECT query_id, max(sim) AS top_sim, count(*) FILTER (NOT bound AND rk <= {policy.POLLUTED_TOP}) AS unbound, max(n_binds) AS n_binds FROM {h} GROUP BY query_id)",
         f"""dc{n} AS (SELECT r.*, used, last = 'query' AND r.proxy <= s.proxy + 1e-6 AS dead, n_binds > 0 AND unbound >= {policy.POLLUTED_LEAST} AS filter_ok, greatest(0, (0.12::DOUBLE - top_sim) / 0.12::DOUBLE) >= 0.8 AS unans FROM rv{n} r JOIN {s} s USING (query_id) JOIN fa{n} USING (query_id))""",
-        f"""act{n} AS MATERIALIZED (SELECT *, CASE WHEN unans THEN ['', 'unanswerable'] WHEN covers THEN ['', 'enough'] WHEN {n} = {ROUNDS} THEN ['', 'max_rounds'] WHEN dead AND filter_ok AND NOT list_contains(used, 'filter') THEN ['filter', 'dead_end_filter'] WHEN dead THEN ['', 'dead_end_stop']
+        f"""act{n} AS MATERIALIZED (SELECT *, CASE WHEN unans THEN ['', 'unanswerable'] WHEN covers THEN ['', 'enough'] WHEN {n} = {rounds} THEN ['', 'max_rounds'] WHEN dead AND filter_ok AND NOT list_contains(used, 'filter') THEN ['filter', 'dead_end_filter'] WHEN dead THEN ['', 'dead_end_stop']
   WHEN hop <> '' AND NOT list_contains(used, 'query') THEN ['query', 'missing_query_once'] WHEN NOT list_contains(used, 'filter') AND filter_ok THEN ['filter', 'memory_filter'] WHEN NOT list_contains(used, 'rank') AND time_mismatch THEN ['rank', 'time_mismatch_rank'] ELSE ['', 'no_operator'] END AS act FROM dc{n})""",
         f"log{n} AS (SELECT query_id, {n} AS round, covers, cause, nullif(act[1], '') AS slot, act[2] AS why, hop, proxy FROM act{n})",
         f"final{n} AS (SELECT query_id, doc_id, rk, score FROM {h} WHERE query_id IN (SELECT query_id FROM act{n} WHERE act[1] = ''))",
     ]
-    if n == ROUNDS:
+    if n == rounds:
         return parts
     return [
         *parts,
@@ -64,7 +64,7 @@ def _round(n: int) -> list[str]:
     ]
 
 
-def sql_memory() -> str:
+def sql_memory(rounds: int = ROUNDS) -> str:
     """WITH-parts evidence (query_id, doc_id, rk, score) and log (query_id, round, covers, cause, slot, why, hop, proxy)."""
     distinctive = f"list_filter({sql_binds('question')}, lambda v: length(v) >= 4 AND NOT list_contains({sql_list(T.WEAK_BINDS)}, v))[1:6]"
     parts = [
@@ -78,8 +78,8 @@ def sql_memory() -> str:
         f"""texts AS MATERIALIZED (SELECT l.*, e, len(binds) AS n_binds, len(binds) = 0 OR len(list_filter(variants, lambda v: list_contains({sql_terms('text')}, v) OR regexp_matches(coalesce(text, ''), {bounded('v')}))) > 0 AS bound FROM later l JOIN le USING (doc_id) JOIN bd USING (query_id) LEFT JOIN bv USING (query_id))""",
         """state1 AS MATERIALIZED (SELECT a.query_id, question, 738640::DOUBLE AS query_days, e AS q0, e AS q, NULL::DOUBLE[] AS v, NULL::DOUBLE[] AS mu, []::BIGINT[] AS drop_ids, false AS filtered, 0::DOUBLE AS lam, []::BIGINT[] AS soft_ids, []::BIGINT[] AS hard_ids, 0::DOUBLE AS eta_soft, []::VARCHAR[] AS used, -1::DOUBLE AS proxy, '' AS last FROM asked a JOIN qe USING (query_id))""",
     ]
-    for n in range(1, ROUNDS + 1):
-        parts += [p.removeprefix(SQL_GROUPS + ",\n") for p in _round(n)]
-    parts.append("evidence AS (" + " UNION ALL ".join(f"SELECT * FROM final{n}" for n in range(1, ROUNDS + 1)) + ")")
-    parts.append("log AS (" + " UNION ALL ".join(f"SELECT * FROM log{n}" for n in range(1, ROUNDS + 1)) + ")")
+    for n in range(1, rounds + 1):
+        parts += [p.removeprefix(SQL_GROUPS + ",\n") for p in _round(n, rounds)]
+    parts.append("evidence AS (" + " UNION ALL ".join(f"SELECT * FROM final{n}" for n in range(1, rounds + 1)) + ")")
+    parts.append("log AS (" + " UNION ALL ".join(f"SELECT * FROM log{n}" for n in range(1, rounds + 1)) + ")")
     return ", ".join(parts)

@@ -222,6 +222,9 @@ _VERDICTS = "v(i, verdict) AS (VALUES " + ", ".join(f"({i}, {lit(x)})" for i, x
 _LINES = "list_filter(list_transform(string_split(verdict, chr(10)), lambda x: trim(regexp_replace(trim(regexp_replace(x, '[*`#_]', '', 'g'), " + SPACES + "), '[.!]+$', ''), " + SPACES + ")), lambda x: x <> '' AND NOT regexp_matches(x, " + lit(T.ECHO) + ") AND regexp_matches(x, " + lit(T.LABEL) + "))"
 
 
+SQL_VERDICTS, SQL_LABEL_LINES = _VERDICTS, _LINES
+
+
 @query("judge_labels", f"""WITH {_VERDICTS}, a AS (SELECT i, verdict FROM v UNION ALL SELECT 1000 + doc_id, text FROM documents),
 p AS (SELECT i, regexp_extract_all(verdict, {lit(T.JSON_LABEL)}, 1) AS packed, {_LINES} AS labels FROM a)
 SELECT i::BIGINT AS i, CASE WHEN len(packed) > 0 THEN lower(packed[-1]) = 'true' ELSE coalesce(ends_with(lower(labels[-1]), 'yes'), false) END AS label FROM p""")
