@@ -225,3 +225,128 @@ def test_review_of_the_fixture(spark):
         assert row["covers"] == covers and row["hop"] == hops[q]
         assert row["slot"] == ("query" if not covers and hops[q] else "rank")
         assert all(s < 7 for s in map(int, filter(None, row["hard"].split(","))))  # hard ones are over a year old
+
+
+def test_search_with_string_ids(spark):
+    x = {"b": [1.0, 0.0], "a": [1.0, 0.0], "c": [0.0, 1.0]}
+    corpus = spark.createDataFrame(list(x.items()), "doc_id string, e array<double>")
+    queries = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 2.0])], "query_id string, q array<double>")
+    rows = search.exact_search(queries, corpus, 2).orderBy("query_id", "rk").collect()
+    assert [(r["query_id"], r["doc_id"], r["sim"]) for r in rows] == [("q1", "a", 1.0), ("q1", "b", 1.0), ("q2", "c", 2.0), ("q2", "a", 0.0)]
+
+
+def test_fixture_of_stale_texts(spark):
+    from vecmill.sources import fixtures
+
+    hits, log = loop.evolve(*fixtures.temporal(spark), k=8)
+    top = [r["doc_id"] for r in hits.orderBy("rk").limit(2).collect()]
+    rounds = {r["round"]: r for r in log.collect()}
+    assert "rule_2024" in top and rounds[1]["gap"] == "time" and rounds[1]["accepted"]
+    first = loop.retrieve(loop.start(fixtures.temporal(spark)[0], "string"), fixtures.temporal(spark)[1], 8)
+    assert first.orderBy("rk").first()["doc_id"] in ("rule_2018", "rule_2019", "rule_2020")
+
+
+def test_fixture_of_two_senses(spark):
+    from vecmill.sources import fixtures
+
+    queries, corpus = fixtures.alias(spark)
+    hits, log = loop.evolve(queries, corpus, k=8)
+    assert {r["round"]: r["gap"] for r in log.collect()}[1] == "alias"
+    assert all(r["doc_id"].startswith("first_") for r in hits.orderBy("rk").limit(3).collect())
+    state = loop.start(queries, "string")
+    going = queries.select("query_id", F.lit("alias").alias("gap"), F.lit("query").alias("slot"))
+    after = loop.moved(state, loop.retrieve(state, corpus, 8), going)
+    body = after.select(loop.bodies({n: F.col(n) for n in loop.STATE})["query"].alias("b"), "broken").first()
+    assert body["broken"] is None and "Rocchio" in body["b"] and "first_" not in body["b"]
+
+
+def test_rollback_keeps_the_state(spark):
+    corpus = spark.createDataFrame([(i, [1.0, 0.01 * i], None) for i in range(6)], "doc_id long, e array<double>, time_days double")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
+    state = loop.start(queries)
+    going = queries.select("query_id", F.lit("time").alias("gap"), F.lit("rank").alias("slot"))  # nothing is dated: rank cannot change
+    after = loop.moved(state, loop.retrieve(state, corpus, 5), going).first()
+    assert after["broken"] == "the slot did not change" and after["used"] == [] and after["lam"] == 0
+
+
+def test_memory_signals_fall_back_to_time(spark):
+    rows = [(1, d, 0.5, 738000.0 + 100 * d, None, d == 1, d == 2) for d in (1, 2)] + [(2, d, 0.5, 738000.0 + 400 * d, None, False, False) for d in (1, 2, 3)]
+    hits = spark.createDataFrame(rows, "query_id long, doc_id long, sim double, time_days double, query_days double, relevant boolean, negative boolean")
+    got = {(r["query_id"], r["doc_id"]): r["side"] for r in policy.memory_signals(hits).collect()}
+    assert got[1, 1] == "pos" and got[1, 2] == "neg" and got[2, 1] == "neg" and got[2, 3] == "pos"
+
+
+def test_query_moves_where_there_is_no_phrase(spark):
+    from vecmill.operators import memory
+
+    questions = spark.createDataFrame([(1, "q", 738000.0, [1.0, 0.0])], "query_id long, question string, query_days double, q0 array<double>")
+    texts = spark.createDataFrame([(1, d, "t", [0.0, 1.0] if d == 1 else [1.0, 0.0], 738000.0) for d in (1, 2, 3)], "query_id long, doc_id long, text string, e array<double>, time_days double")
+    state = memory.start(questions)
+    acts = spark.createDataFrame([(1, "query", "", [1], [2, 3], [], False, 0.0)], "query_id long, slot string, hop string, relevant_ids array<bigint>, soft_ids array<bigint>, hard_ids array<bigint>, time_mismatch boolean, proxy double")
+    hits = memory.retrieve(state, texts, 3)
+    seen = []
+
+    def encode(rows, key, text):
+        seen.append((key, text))
+        return rows.select(key, F.array(F.lit(0.0), F.lit(1.0)).alias("e"))
+
+    moved = memory.changed(state, hits, acts, encode).first()
+    want = np.array([1 - 0.15, 0.75])
+    assert seen == [("query_id", "hop")] and moved["v"] is None and np.allclose(moved["q"], want / np.linalg.norm(want))
+    phrased = memory.changed(state, hits, acts.withColumn("hop", F.lit("phrase")), encode).first()
+    assert phrased["v"] == [0.0, 1.0] and phrased["q"] == [1.0, 0.0]
+
+
+def test_objects_in_free_text(spark):
+    texts = ['say {"a": 1} then {"slot_decision": "RANK", "x": {"y": "}"}} end', "none", "{broken {\"missing_keys\": []}", None, '[{"query_intents": []}]', '{"missing_keys": [']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.json_object(F.col("t"), ["missing_keys", "slot_decision", "query_intents"]).alias("o")).orderBy("i").collect()
+    assert [r["o"] for r in rows] == ['{"slot_decision": "RANK", "x": {"y": "}"}}', None, '{"missing_keys": []}', None, '{"query_intents": []}', None]
+
+
+def test_experiment_files(spark, tmp_path):
+    from vecmill.sources import experiments as E
+
+    (tmp_path / "s.json").write_text('{"encode": {"model": "m", "dim": 4}, "list": [1, 2]}')
+    (tmp_path / "bad.json").write_text("[1, 2]")
+    found = E.read_settings(spark, str(tmp_path / "s.json"))
+    assert {r["key"]: r["value"] for r in E.settings_rows(spark, found).collect()} == {"encode.model": '"m"', "encode.dim": "4", "list": "[1, 2]"}
+    with pytest.raises(ValueError):
+        E.read_settings(spark, str(tmp_path / "bad.json"))
+    (tmp_path / "c.jsonl").write_text('{"_id": "d1", "title": "T", "text": "x"}\n{"_id": "d2", "text": "y"}\n')
+    (tmp_path / "q.jsonl").write_text('{"_id": "q1", "text": "ask"}\n')
+    (tmp_path / "r.tsv").write_text("query-id corpus-id score\nq1 d1 1\n")
+    paths = [str(tmp_path / n) for n in ("c.jsonl", "q.jsonl", "r.tsv")]
+    docs, asked, qrels = E.load_dataset(spark, *paths)
+    assert sorted(map(tuple, docs.collect())) == [("d1", "T x"), ("d2", "y")] and [tuple(r) for r in qrels.collect()] == [("q1", "d1", 1)] and asked.count() == 1
+    with pytest.raises(FileNotFoundError):
+        E.load_dataset(spark, *paths[:2], str(tmp_path / "absent"))
+    E.write_vectors(docs, str(tmp_path / "v"), {"model": "m", "dim": 4})
+    assert E.read_vectors(spark, str(tmp_path / "v"), {"dim": 4, "model": "m"}).count() == 2
+    with pytest.raises(ValueError):
+        E.read_vectors(spark, str(tmp_path / "v"), {"model": "other"})
+    hits = spark.createDataFrame([("q1", "d1", 0.5, 1), ("q1", "d2", 0.25, 2)], "query_id string, doc_id string, sim double, rk int")
+    E.write_results(hits, str(tmp_path / "out"))
+    assert list(spark.read.schema("query_id string, hits map<string,double>").json(str(tmp_path / "out")).first()["hits"].items()) == [("d1", 0.5), ("d2", 0.25)]
+    answers = spark.createDataFrame([("q1", "h", 1)], "question_id string, hypothesis string, n int")
+    for _ in range(2):
+        E.append_answers(answers, str(tmp_path / "res"), str(tmp_path / "hyp"))
+    assert E.read_results(spark, str(tmp_path / "res"), "question_id string, n int").count() == 2
+    assert spark.read.json(str(tmp_path / "hyp")).columns == ["hypothesis", "question_id"]
+    computed = spark.createDataFrame([("nDCG@10", 0.5)], "metric string, value double")
+    record = E.metrics_record("d", "NDCG@10", computed, None, 1)
+    E.write_metrics(record, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first()["ok"] is True and record.first()["primary_value"] == 0.5
+    with pytest.raises(Exception, match="was not computed"):
+        E.metrics_record("d", "MAP@10", computed, None, 1).collect()
+
+
+def test_pooling_needs_the_pooler():
+    with pytest.raises(ValueError):
+        V.pooled(F, F, "cls_pooler")
+
+
+def test_small_tables_stay_in_their_splits(spark):
+    from vecmill.session import spread
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    assert spread(df) is df

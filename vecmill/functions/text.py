@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -267,10 +269,6 @@ def aliases(missing: Column, bag: Column, most: int = 6) -> Column:
 
 def json_object(text: Column, keys: list[str]) -> Column:
     """The first JSON object in free text that has any of the keys, as text; null if there is none."""
-    import json
-
-    import pandas as pd
-
     def first(value: str | None) -> str | None:
         value = value or ""
         decoder, at = json.JSONDecoder(), value.find("{")

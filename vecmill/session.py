@@ -100,5 +100,18 @@ def scratch(spark: SparkSession) -> Iterator:
             removed(spark, path)
 
 
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of files that has fewer splits than the session has cores, dealt out to all of them.
+
+    Small files and tables of many splits stay as they are, and so do filters and columns, which go through to the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size >= SPREAD_BYTES and df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
