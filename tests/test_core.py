@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecmill.functions import dates, statistics as S, text as T, vectors as V
-from vecmill.operators import config_rules, loop, metrics, policy, review, search, slots, sessions
+from vecmill.operators import loop, metrics, policy, review, search, slots, sessions
 from vecmill.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -171,13 +171,6 @@ def test_loop_invariants(spark):
     assert counts == {q: 10 for q in range(6)}
 
 
-def test_config_rule_grammar(spark):
-    for _, test, _ in config_rules.FAMILIES:
-        for s in ("facebook/contriever", "x/e5-base", "bge-m3", "e5-mistral", "a_tas-b", "facebook-dpr-x", ""):
-            want = spark.sql(f"select {test.replace('_', '\\_')} from (select '{s}' as s)").first()[0]
-            assert one(spark, config_rules._like(test, F.lit(s)))[0] == want
-
-
 def test_memory_loop(spark):
     from vecmill.operators import memory
 

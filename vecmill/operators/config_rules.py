@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +18,13 @@ ALLOWED = {
     "index_type": ["flat", "hnsw", "ivf"],
 }
 FAMILIES = [
-    ("dpr", "s like '%dpr-question_encoder%' or s like '%dpr-ctx_encoder%' or s like '%facebook-dpr-%'", {"architecture": "dpr", "pooling": "cls_pooler", "normalize": False, "score": "ip", "query_prefix": "", "passage_prefix": "", "title_mode": "dpr_sep"}),
-    ("contriever", "s like '%facebook/contriever%' or s like '%contriever' or s like '%/contriever-%'", {"pooling": "mean", "normalize": False, "score": "ip", "query_prefix": "", "passage_prefix": ""}),
-    ("e5-instruct", "s like '%e5-mistral%' or (s like '%e5-%' and s like '%instruct%')", {"pooling": "eos", "normalize": True, "score": "cos_sim", "append_eos": True, "passage_prefix": ""}),
-    ("e5", "(s like '%intfloat/e5-%' or s like '%multilingual-e5%' or s like '%/e5-small%' or s like '%/e5-base%' or s like '%/e5-large%') and s not like '%instruct%' and s not like '%mistral%'", {"pooling": "mean", "normalize": True, "score": "cos_sim", "query_prefix": "query: ", "passage_prefix": "passage: "}),
-    ("bge-m3", "s like '%bge-m3%'", {"pooling": "cls", "normalize": True, "score": "cos_sim"}),
-    ("bge", "s like '%bge-%' and s not like '%bge-m3%'", {"pooling": "cls", "normalize": True, "score": "cos_sim", "passage_prefix": ""}),
-    ("tas-b", "s like '%tas-b%'", {"pooling": "cls", "normalize": False, "score": "ip", "query_prefix": "", "passage_prefix": ""}),
+    ("dpr", {"architecture": "dpr", "pooling": "cls_pooler", "normalize": False, "score": "ip", "query_prefix": "", "passage_prefix": "", "title_mode": "dpr_sep"}),
+    ("contriever", {"pooling": "mean", "normalize": False, "score": "ip", "query_prefix": "", "passage_prefix": ""}),
+    ("e5-instruct", {"pooling": "eos", "normalize": True, "score": "cos_sim", "append_eos": True, "passage_prefix": ""}),
+    ("e5", {"pooling": "mean", "normalize": True, "score": "cos_sim", "query_prefix": "query: ", "passage_prefix": "passage: "}),
+    ("bge-m3", {"pooling": "cls", "normalize": True, "score": "cos_sim"}),
+    ("bge", {"pooling": "cls", "normalize": True, "score": "cos_sim", "passage_prefix": ""}),
+    ("tas-b", {"pooling": "cls", "normalize": False, "score": "ip", "query_prefix": "", "passage_prefix": ""}),
 ]
 BGE_PREFIXES = ["Represent this sentence for searching relevant passages: ", "为这个句子生成表示以用于检索相关文章：", ""]
 REQUIRED = ["benchmark", "dataset", "split", "title_mode", "architecture", "pooling", "normalize", "score", "query_max_length", "doc_max_length", "query_prefix", "passage_prefix", "append_eos", "padding_side", "dtype"]
@@ -33,50 +35,24 @@ COLUMNS = (
 )
 
 
-def family() -> Column:
-    s = F.lower(F.concat_ws(" ", F.coalesce("model", F.lit("")), F.coalesce("query_model", F.lit("")), F.coalesce("doc_model", F.lit(""))))
-    chain = None
-    for name, test, _ in FAMILIES:
-        fits = F.coalesce(_like(test, s), F.lit(False))
-        chain = F.when(fits, name) if chain is None else chain.when(fits, name)
-    return chain
-
-
-def _like(test: str, s: Column) -> Column:
-    """The rule's test over s, read from its small grammar of `s [not] like`, and, or, brackets."""
-    import re
+def named(s: Column) -> dict[str, Column]:
+    """Which family the lower-cased names of models fit, in the order in which they are asked."""
+    has = lambda x: F.contains(s, F.lit(x))
+    any_of = lambda *xs: reduce(lambda a, b: a | b, map(has, xs))
+    return {
+        "dpr": any_of("dpr-question_encoder", "dpr-ctx_encoder", "facebook-dpr-"),
+        "contriever": any_of("facebook/contriever", "/contriever-") | F.endswith(s, F.lit("contriever")),
+        "e5-instruct": has("e5-mistral") | (has("e5-") & has("instruct")),
+        "e5": any_of("intfloat/e5-", "multilingual-e5", "/e5-small", "/e5-base", "/e5-large") & ~any_of("instruct", "mistral"),
+        "bge-m3": has("bge-m3"),
+        "bge": has("bge-") & ~has("bge-m3"),
+        "tas-b": has("tas-b"),
+    }
 
-    parts = re.findall(r"\(|\)|and|or|s not like '[^']*'|s like '[^']*'", test)
-    at = 0
 
-    def term() -> Column:
-        nonlocal at
-        token = parts[at]
-        at += 1
-        if token == "(":
-            value = either()
-            at += 1
-            return value
-        value = s.like(re.search("'(.*)'", token)[1].replace("_", r"\_"))
-        return ~value if " not " in token else value
-
-    def both() -> Column:
-        nonlocal at
-        value = term()
-        while at < len(parts) and parts[at] == "and":
-            at += 1
-            value = value & term()
-        return value
-
-    def either() -> Column:
-        nonlocal at
-        value = both()
-        while at < len(parts) and parts[at] == "or":
-            at += 1
-            value = value | both()
-        return value
-
-    return either()
+def family() -> Column:
+    s = F.lower(F.concat_ws(" ", F.coalesce("model", F.lit("")), F.coalesce("query_model", F.lit("")), F.coalesce("doc_model", F.lit(""))))
+    return F.coalesce(*[F.when(fits, name) for name, fits in named(s).items()])
 
 
 def with_errors(settings: DataFrame) -> DataFrame:
@@ -98,7 +74,7 @@ def with_errors(settings: DataFrame) -> DataFrame:
     k = F.regexp_extract(name, r"@(\d+)$", 1)
     found.append(F.when(metric_name(name).isNull(), "unknown metric").when(~F.coalesce(F.array_contains("k_values", k.try_cast("int")), F.lit(False)), "k of main metric not computed"))
     own = F.coalesce(c("override"), F.lit(False))
-    for label, _, expected in FAMILIES:
+    for label, expected in FAMILIES:
         for field, want in expected.items():
             got = F.coalesce(c(field), F.lit("")) if field.endswith("prefix") else c(field)
             found.append(F.when(~own & c("family").eqNullSafe(label) & ~got.eqNullSafe(F.lit(want)), f"family {label} {field}"))

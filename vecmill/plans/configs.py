@@ -43,6 +43,18 @@ _NAMES = [c.split()[0] for c in C.COLUMNS.split(", ")]
 _TABLE = f"cfg({', '.join(_NAMES)}) AS (VALUES " + ", ".join("(" + ", ".join(_value(s[n], n) for n in _NAMES) + ")" for s in SETTINGS) + ")"
 
 
+#: The families by the names of their models, as patterns.
+NAMED = {
+    "dpr": "regexp_matches(s, 'dpr-(question|ctx)_encoder|facebook-dpr-')",
+    "contriever": "regexp_matches(s, 'facebook/contriever|contriever$|/contriever-')",
+    "e5-instruct": "regexp_matches(s, 'e5-mistral') OR (regexp_matches(s, 'e5-') AND regexp_matches(s, 'instruct'))",
+    "e5": "regexp_matches(s, 'intfloat/e5-|multilingual-e5|/e5-(small|base|large)') AND NOT regexp_matches(s, 'instruct|mistral')",
+    "bge-m3": "regexp_matches(s, 'bge-m3')",
+    "bge": "regexp_matches(s, 'bge-') AND NOT regexp_matches(s, 'bge-m3')",
+    "tas-b": "regexp_matches(s, 'tas-b')",
+}
+
+
 def _errors_sql() -> str:
     e = [f"CASE WHEN {k} IS NULL THEN 'missing {k}' END" for k in C.REQUIRED]
     e += [f"CASE WHEN trim(coalesce({k}, '')) = '' THEN 'empty {k}' END" for k in C.PATHS]
@@ -55,7 +67,7 @@ def _errors_sql() -> str:
         "CASE WHEN is_symmetric AND coalesce(passage_prefix, '') <> '' AND passage_prefix <> coalesce(query_prefix, '') THEN 'symmetric prefixes differ' END",
         r"CASE WHEN NOT regexp_matches(main_metric, '^(nDCG|NDCG|MAP|MRR|Recall|Hit|Accuracy|P)@(\d+)$') THEN 'unknown metric' WHEN NOT list_contains(k_values, regexp_extract(main_metric, '@(\d+)$', 1)::INT) THEN 'k of main metric not computed' END",
     ]
-    for label, _, expected in C.FAMILIES:
+    for label, expected in C.FAMILIES:
         for f, want in expected.items():
             got = f"coalesce({f}, '')" if f.endswith("prefix") else f
             e.append(f"CASE WHEN NOT override AND family = '{label}' AND {got} IS DISTINCT FROM {_value(want, f)} THEN 'family {label} {f}' END")
@@ -65,7 +77,7 @@ def _errors_sql() -> str:
         "CASE WHEN family = 'bge' AND NOT override AND mode = 'reproduce' AND coalesce(query_prefix, '') = '' THEN 'bge query prefix empty' END",
         "CASE WHEN family = 'e5' AND is_symmetric AND NOT override AND coalesce(passage_prefix, '') <> 'query: ' THEN 'e5 symmetric prefix' END",
     ]
-    whens = " ".join(f"WHEN {test} THEN '{label}'" for label, test, _ in C.FAMILIES)
+    whens = " ".join(f"WHEN {test} THEN '{label}'" for label, test in NAMED.items())
     return f"""WITH {_TABLE}, n AS (SELECT *, lower(coalesce(model, '') || ' ' || coalesce(query_model, '') || ' ' || coalesce(doc_model, '')) AS s FROM cfg),
 f AS (SELECT *, CASE {whens} END AS family FROM n) SELECT id, family, array_to_string(list_filter([{', '.join(e)}], lambda x: x IS NOT NULL), '; ') AS errors FROM f"""
 
