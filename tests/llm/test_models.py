@@ -82,3 +82,56 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.grade(odd.limit(0), model).count() == 0
     assert toxicity.learn(docs, toxicity.graded(labels.limit(0))) is None
     assert {r["severity"] for r in toxicity.grade(odd.select("doc_id", "text"), None).collect()} == {0.0}
+
+
+def test_decoding_against_a_loop_over_codewords():
+    rng = np.random.default_rng(3)
+    code = languages.codewords(5)
+    model = languages.Model(list("abcde"), code, rng.standard_normal((12, code.shape[1])), rng.standard_normal(code.shape[1]), 0.4)
+    x = rng.standard_normal((40, 12))
+    best, share, near = model.decide(x)
+    for i, row in enumerate(x):
+        z = [sum(row[k] * model.weights[k, b] for k in range(12)) + model.bias[b] for b in range(code.shape[1])]
+        loss = [sum(np.log(1 + np.exp(-z[b] * code[c, b])) for b in range(len(z))) for c in range(5)]
+        order = sorted(range(5), key=lambda c: (loss[c], c))
+        assert best[i] == order[0] and near[i] == (loss[order[1]] - loss[order[0]] < 0.4)
+        assert abs(share[i] - np.exp(-loss[order[0]]) / sum(np.exp(-v) for v in loss)) < 1e-9
+
+
+def test_ties_between_codewords_go_to_the_first_language():
+    code = languages.codewords(3)
+    model = languages.Model(list("abc"), code, np.zeros((4, code.shape[1])), np.zeros(code.shape[1]), 0.1)
+    best, share, near = model.decide(np.ones((2, 4)))
+    assert best.tolist() == [0, 0] and near.all() and np.allclose(share, 1 / 3)
+
+
+def test_fit_meets_the_conditions_of_its_optimum():
+    """At the least of the penalised losses every weight's gradient is the penalty, and no other gradient passes it."""
+    rng = np.random.default_rng(2)
+    grades = rng.integers(0, 3, 300)
+    docs = [np.unique(np.concatenate([rng.integers(1000, 1300, 25), 10 + np.arange(3 * g) + rng.integers(0, 2)])).astype(np.uint64) for g in grades]
+    penalty = 2e-3
+    model = toxicity.fit(docs, grades, penalty=penalty, steps=4000, tolerance=1e-7)
+    vocabulary, counts = np.unique(np.concatenate(docs), return_counts=True)
+    vocabulary, counts = vocabulary[counts >= 3], counts[counts >= 3]
+    x = np.array([np.isin(vocabulary, d) for d in docs], float) / np.sqrt(counts / len(docs))
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    w = np.array([weight.get(v, 0.0) for v in vocabulary.tolist()]) * np.sqrt(counts / len(docs))
+    y = (grades[:, None] > np.arange(2)).astype(float)
+    share = np.where(grades > 0, 0.5 / (grades > 0).sum(), 0.5 / (grades == 0).sum())
+    gap = (1 / (1 + np.exp(model.thresholds[None] - (x @ w)[:, None])) - y) * share[:, None]
+    g = x.T @ gap.sum(1)
+    assert np.abs(gap.sum(0)).max() < 1e-4
+    assert np.abs(g[w == 0]).max() <= penalty * 1.06 and np.abs(g[w != 0] + penalty * np.sign(w[w != 0])).max() < penalty * 0.06
+
+
+def test_two_grades_have_one_threshold(spark):
+    rows = [(i, "nice " + ("vile " if i % 2 else "") + "word " * (200_000 if i == 0 else 1)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, grade int")
+    model = toxicity.learn(docs, grades)
+    assert len(model.thresholds) == 1
+    got = {r["doc_id"]: r for r in toxicity.grade(docs, model).collect()}
+    assert all(r["severity"] == r["p_toxic"] and r["grade"] == i % 2 for i, r in got.items())
+    with pytest.raises(ValueError):
+        toxicity.grade(docs.withColumn("grade", F.lit(1)), model, ["doc_id", "grade"])

@@ -220,3 +220,38 @@ def test_many_rules_pass_through_the_filter(spark):
     pages = spark.createDataFrame([(i, f"http://s.h{i}.org/{i % 9}/x") for i in range(400)], "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, urls.rule_table(spark, many)).collect()}
     assert all(got[i] == ((f"h{i}.org/{i % 9}/", many[i][0]) if i < 300 else (None, "allow")) for i in range(400))
+
+
+def brute_notices(text, templates, share=0.2):
+    """Every template that some run of the text's words matches, no more than that share of the template's words differing."""
+    from difflib import SequenceMatcher
+
+    found, listed = set(), [w for w, _, _ in licenses.words(text)]
+    for name, wording in templates:
+        want = [w for w, _, _ in licenses.words(wording)]
+        for size in range(max(1, int(0.8 * len(want))), int(1.2 * len(want)) + 2):
+            for at in range(len(listed) - size + 1):
+                if len(set(listed[at : at + size]) & set(want)) < 0.6 * len(set(want)):
+                    continue
+                same = sum(m.size for m in SequenceMatcher(None, want, listed[at : at + size], autojunk=False).get_matching_blocks())
+                if len(want) + size - 2 * same <= share * len(want):
+                    found.add(name)
+    return found
+
+
+def test_licenses_against_every_window():
+    short = [t for t in licenses.TEMPLATES if len(t[1]) < 300]
+    scan = licenses.scanner(tuple(short), 0.3, 0.2)
+    prose = "the quick brown fox jumps over the lazy dog and no licence is known to it ".split()
+    rng = np.random.default_rng(8)
+    for name, wording in short:
+        listed = wording.split()
+        other = list(listed)
+        other[int(rng.integers(len(other)))] = "changed"
+        for words_ in (listed, other, listed[: len(listed) // 2]):
+            text = " ".join([*rng.choice(prose, 12), *words_, *rng.choice(prose, 9)])
+            want = brute_notices(text, short)
+            got = {f[2] for f in scan(text)}
+            # what is left of a changed notice of few words may save too little to be looked at
+            small = len(listed) < 12 and words_ is not listed
+            assert got <= want and ((len(want) == 0) == (len(got) == 0) or small), (name, want, got)

@@ -6,8 +6,8 @@ beginnings of words, a text has.  The output is the expected severity,
 the sum of these probabilities.  Weights are fitted by proximal gradient steps with an L1 penalty, so only words that
 tell keep a weight; words that training did not see weigh nothing.
 
-Grades. Labels that have several grades are used as they are.  Labels that only say toxic or not are refined first:
-a model of these two grades scores the toxic texts of the sample, and those above their median become grade 2.
+Grades. They are those of the labels, of which there may be any number.  Labels that only say toxic or not are two
+grades with one threshold, and the expected severity is then the probability of the upper one.
 
 Scale. One pass without a shuffle over whole texts.  Training takes at most `sample_rows` labelled rows, half of them
 toxic where there are so many, chosen by a hash of doc_id; their ids (a bounded table) are broadcast, texts are not
@@ -33,8 +33,9 @@ from vecmill.session import prepare, table
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-CHUNK = 1 << 22
+CHUNK = 1 << 18
 PREFIXES = (4, 5, 6)
+ROUNDS, JOINING = 40, 1000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -76,8 +77,34 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.score(hashes), -50, 50)))
 
 
-def fit(docs: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, penalty: float = 2e-3, steps: int = 400) -> Model:
-    """docs: distinct feature hashes of each; grades: 0..K."""
+def _descend(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray, theta: np.ndarray, penalty: float, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated proximal gradient steps until neither weights nor thresholds move. row, column: where features are."""
+    n, v, levels = len(y), len(w), y.shape[1]
+    size = np.bincount(row, weights=scale[column] ** 2, minlength=n)
+    rate = 1.0 / (0.25 * levels * np.quantile(np.sqrt(size), 0.95) ** 2 + 1e-9)
+    ahead_w, ahead_theta, t = w, theta, 1.0
+    for _ in range(steps):
+        s = np.bincount(row, weights=(ahead_w * scale)[column], minlength=n)
+        gap = (1 / (1 + np.exp(np.clip(ahead_theta[None] - s[:, None], -50, 50))) - y) * share[:, None]
+        g = np.bincount(column, weights=gap.sum(1)[row], minlength=v) * scale
+        new = ahead_w - rate * n * 0.5 * g
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * n * 0.5 * penalty, 0)
+        new_theta = np.maximum.accumulate(ahead_theta + gap.sum(0))
+        new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = max(np.abs(new - w).max(initial=0), np.abs(new_theta - theta).max())
+        ahead_w, ahead_theta = new + (t - 1) / new_t * (new - w), new_theta + (t - 1) / new_t * (new_theta - theta)
+        w, theta, t = new, new_theta, new_t
+        if moved < tolerance:
+            break
+    return w, theta
+
+
+def fit(docs: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, penalty: float = 2e-3, steps: int = 300, tolerance: float = 1e-4) -> Model:
+    """docs: distinct feature hashes of each; grades: 0..K.
+
+    Only few features get a weight, so steps are taken over those that have one or whose gradient passes the penalty;
+    when these rest, all others are looked at, and those that pass it now join them, until none does.
+    """
     levels = int(grades.max())
     seen = np.zeros(1 << 24, np.uint8)  # by 24 bits of the hash: an upper bound of how many texts have a feature
     place = lambda d: (d >> np.uint64(40)).astype(np.int64)
@@ -89,27 +116,29 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, penalty
     vocabulary, column, df = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     keep = df >= least_docs
-    number = np.cumsum(keep) - 1
     inside = keep[column]
-    row, column, vocabulary = row[inside], number[column[inside]], vocabulary[keep]
+    row, column, vocabulary = row[inside], (np.cumsum(keep) - 1)[column[inside]], vocabulary[keep]
     n, v = len(docs), len(vocabulary)
     y = (grades[:, None] > np.arange(levels)[None]).astype(float)
     scale = 1 / np.sqrt(np.bincount(column, minlength=v).clip(1) / n)  # rare words may move as fast as frequent ones
     share = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
     w, theta = np.zeros(v), np.log(((1 - y).mean(0) + 1e-3) / (y.mean(0) + 1e-3))
-    ahead_w, ahead_theta, t = w, theta, 1.0
-    size = np.sqrt(np.bincount(row, weights=scale[column] ** 2, minlength=n))
-    rate = 1.0 / (0.25 * levels * np.quantile(size, 0.95) ** 2 / n + 1e-9) / n
-    for _ in range(steps):
-        s = np.bincount(row, weights=(ahead_w * scale)[column], minlength=n)
-        gap = (1 / (1 + np.exp(np.clip(ahead_theta[None] - s[:, None], -50, 50))) - y) * share[:, None]
-        g = np.bincount(column, weights=gap.sum(1)[row], minlength=v) * scale
-        new = ahead_w - rate * n * 0.5 * g
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * n * 0.5 * penalty, 0)
-        new_theta = np.maximum.accumulate(ahead_theta + gap.sum(0))
-        new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead_w, ahead_theta = new + (t - 1) / new_t * (new - w), new_theta + (t - 1) / new_t * (new_theta - theta)
-        w, theta, t = new, new_theta, new_t
+    active, joined = np.zeros(v, bool), np.zeros(v, int)
+    for _ in range(ROUNDS):
+        s = np.bincount(row, weights=(w * scale)[column], minlength=n)
+        gap = (1 / (1 + np.exp(np.clip(theta[None] - s[:, None], -50, 50))) - y) * share[:, None]
+        pull = np.abs(np.bincount(column, weights=gap.sum(1)[row], minlength=v) * scale)
+        joining = (pull > penalty * 1.05) & ~active
+        if not joining.any() and active.any():
+            break
+        if not joining.any():  # nothing tells the grades apart
+            return Model(vocabulary[:0], w[:0], theta)
+        if joining.sum() > JOINING:  # those that pull most first
+            joining &= pull >= np.partition(pull[joining], -JOINING)[-JOINING]
+        joined += joining
+        active = (w != 0) | joining | (joined > 1)
+        number, some = np.cumsum(active) - 1, active[column]
+        w[active], theta = _descend(row[some], number[column[some]], scale[active], y, share, w[active], theta, penalty, steps, tolerance)
     used = w != 0
     return Model(vocabulary[used], (w * scale)[used], theta)
 
@@ -119,13 +148,6 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("grade"))
 
 
-def refined(docs: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
-    """Grades 0, 1 and 2 from grades 0 and 1: toxic texts above the median of what a first model sees in them get 2."""
-    first = fit(docs, grades)
-    seen = np.array([first.score(d) for d in docs])
-    return np.where((grades > 0) & (seen > np.median(seen[grades > 0])), 2, grades)
-
-
 def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 4000) -> Model | None:
     """Fit on at most sample_rows rows of grades (doc_id, grade) and the texts of these documents."""
     prepare(docs.sparkSession)
@@ -148,7 +170,7 @@ def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 4000) -> Model
     if not len(known) or known.min() == known.max():
         return None
     found = [np.frombuffer(r["words"], "<u8") for r in rows]
-    return fit(found, refined(found, known) if known.max() == 1 else known)
+    return fit(found, known)
 
 
 def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
