@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmill.llm.tasks import HOT_KEYS
 from vecmill.session import prepare, table, written
 
 WIDTH = 192
@@ -205,13 +206,20 @@ def described(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(c, kinds, strict=True))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     found = store.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return found.dropDuplicates(["digest"])
+    names = [f.name for f in found.schema if f.name != "digest"]
+    return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in names], F.count("*").alias("stored"))
 
 
 def resolved(pages: DataFrame, media: DataFrame, keep: list[str]) -> DataFrame:
-    """The operator's join: the columns in `keep`, position and caption of each media reference, and its media's columns."""
-    refs = pages.select(*keep, F.explode("sequence").alias("item")).where("item.kind = 'media'").select(*keep, "item.position", "item.alt", "item.caption", "item.digest")
-    return refs.join(media, "digest", "left")
+    """The operator's join: the columns in `keep`, position and caption of each media reference, and its media's columns.
+
+    Digests that very many references share are few; they are broadcast, the others joined by key.
+    """
+    refs = written(pages.select(*keep, F.explode("sequence").alias("item")).where("item.kind = 'media'").select(*keep, "item.position", "item.alt", "item.caption", "item.digest"), "references")
+    often = F.broadcast(refs.groupBy("digest").count().where(F.col("count") > refs.count() / HOT_KEYS).select("digest"))
+    hot = media.join(often, "digest", "left_semi")
+    cold = refs.join(often, "digest", "left_anti").join(media, "digest", "left")
+    return cold.unionByName(refs.join(often, "digest", "left_semi").join(F.broadcast(hot), "digest", "left"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +227,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
     digest = F.sha2(padded(F.col("text")), 256)
-    media = described(stored(docs.select(digest.alias("digest"), padded(F.col("text")).alias("payload"))))
+    media = written(described(stored(docs.select(digest.alias("digest"), padded(F.col("text")).alias("payload")))), "described")
     escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     html = F.concat(F.lit("<article><p>"), escaped, F.lit('</p><figure><img src="media:'), digest, F.lit('" alt="text as samples"><figcaption>'), F.col("doc_id").cast("string"), F.lit("</figcaption></figure></article>"))
     pages = sequences(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.coalesce(html, F.concat(F.lit('<figure><img src="media:'), digest, F.lit('"></figure>'))).alias("html")), ["doc_id", "n_bytes"])

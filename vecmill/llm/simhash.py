@@ -119,6 +119,8 @@ def star_edges(distinct_fps: DataFrame, most: int = 3, bucket_limit: int = 100_0
     """Edges (a, b) whose components are those of all links within `most` (at most 3) bits."""
     if most > 3:
         raise ValueError("two segments with one wildcard find at most three differing bits")
+    spread = int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct_fps = distinct_fps.repartition(spread)  # each row becomes 66
     index = distinct_fps.select("fp", F.expr(f"explode(concat({_variants('fp', 0, 32, 0)}, {_variants('fp', 32, 32, 33)}))").alias("v")).select("fp", "v.tag", "v.key", "v.side")
     halves = distinct_fps.select("fp", F.expr("explode(array(named_struct('seg', 0, 'half', fp & 4294967295L), named_struct('seg', 1, 'half', shiftrightunsigned(fp, 32))))").alias("h"))
     large = halves.groupBy("h.seg", "h.half").count().where(F.col("count") > bucket_limit).select("seg", "half")

@@ -20,7 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.session import table
+from vecmill.llm.tasks import HOT_KEYS
+from vecmill.session import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -69,15 +70,23 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
 
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     known = urls.withColumns({"host": host, "path": path})
-    pages = known.select("host", "path").distinct().withColumns({"bloom": bloom, "sizes": sizes})
+    named, nameless = known.where("host <> ''"), known.where("host = ''")  # without a host no rule fits: these meet nobody
+    pages = named.groupBy("host", "path").agg(F.count("*").alias("c")).withColumns({"bloom": bloom, "sizes": sizes})
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     candidates = F.flatten(F.transform(ends, lambda h: F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: F.struct(h.alias("h"), F.substring(F.col("path"), F.lit(1), n).alias("p")))))
     possible = F.filter(candidates, lambda c: F.element_at("bloom", (word(c["h"], c["p"]) + 1).cast("int")).bitwiseAND(_mask(c["h"], c["p"])) == _mask(c["h"], c["p"]))
-    hits = pages.select("host", "path", F.explode(possible).alias("c")).select("host", "path", F.col("c.h").alias("r_host"), F.col("c.p").alias("r_path"))
+    hits = pages.select("host", "path", "c", F.explode(possible).alias("x")).select("host", "path", "c", F.col("x.h").alias("r_host"), F.col("x.p").alias("r_path"))
     exact = hits.join(listed, ["r_host", "r_path"])
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    return known.join(best, ["host", "path"], "left").select(*[known[c] for c in urls.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    fit = F.max(F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")))
+    best = written(exact.groupBy("host", "path").agg(fit.alias("best"), F.max("c").alias("c")), "rules")
+    # pages that very many rows show are few: they are broadcast, the others joined by key
+    often = best.where(F.col("c") > (best.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()) / HOT_KEYS).select("host", "path")
+    hot, cold = best.join(F.broadcast(often), ["host", "path"]).drop("c"), best.join(F.broadcast(often), ["host", "path"], "left_anti").drop("c")
+    rest = named.join(F.broadcast(often), ["host", "path"], "left_anti").join(cold, ["host", "path"], "left")
+    none = nameless.withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    judged = rest.unionByName(named.join(F.broadcast(hot), ["host", "path"])).unionByName(none)
+    return judged.select(*[c for c in urls.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
