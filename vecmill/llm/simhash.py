@@ -16,8 +16,9 @@ similarity of 0.8 differs in about ten bits, which no index of one-wildcard segm
 operator therefore also links texts by signatures of 256 minima: texts meet where one of 14 bands of five minima is
 equal (99.6 % of pairs at 0.8, more above).  The share of equal minima only spares comparisons: where it is less than
 0.1 under the asked similarity or higher (all but one in 10,000 pairs at 0.8), the similarity of the two sets of
-shingles, as distinct 32-bit hashes, decides.  In a band's bucket, again, no pairs are written; buckets over `bucket_rows` are dealt by hash
-into parts of half that many, and every two parts meet in a group of their own, so no link is lost.
+shingles, as distinct 32-bit hashes, decides.  In a band's bucket, again, no pairs are written.  A bucket over `bucket_rows` is dealt into parts; each
+part first meets about 16 texts of the bucket, and what is outside the largest component that comes of it then meets the
+whole bucket, part by part.  So a large group of copies takes time in proportion to its size, and no link is lost.
 
 Edge cases. Null and empty texts have no words and fingerprint zero, linked like any other.  Repeated rows stay
 repeated rows.  A null doc_id is no candidate for component_id unless the whole component has none.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecmill.llm.components import connected
-from vecmill.llm.tasks import HOT_KEYS, met, whole_groups
+from vecmill.llm.tasks import HOT_KEYS, group_starts, met, whole_groups
 from vecmill.llm.windows import Rolling
 from vecmill.session import prepare, scratch, table, written
 
@@ -177,7 +178,7 @@ def star_edges(distinct_fps: DataFrame, most: int = 3, bucket_limit: int = 100_0
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
-MINIMA, BANDS, BAND_ROWS = 256, 14, 5
+MINIMA, BANDS, BAND_ROWS, PIVOTS = 256, 14, 5, 16
 FEW_KEYS = 500_000
 _FACTORS = (np.random.default_rng(11).integers(0, 1 << 31, MINIMA, np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFTS = np.random.default_rng(12).integers(0, 1 << 32, MINIMA, np.uint32)
@@ -258,44 +259,74 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
     ids = keep(together.select("k").distinct(), "similar")
     ids = F.broadcast(ids) if ids.count() <= FEW_KEYS else ids  # sets are as large as texts: others are left out before the shuffle
     one = signed.join(ids, "k", "left_semi").dropDuplicates(["k"]).select("k", "sig", "set")
-    parts = F.when(F.col("n") > bucket_rows, F.ceil(2 * F.col("n") / bucket_rows)).otherwise(1).cast("long")
-    dealt = together.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("k", "h"), "parts"))
-    pairs = F.expr("if(parts = 1, array(0L), transform(filter(sequence(0L, parts - 1), x -> x <> part), x -> least(x, part) * parts + greatest(x, part)))")
-    rows = dealt.select("h", F.explode(pairs).alias("cut"), "k").join(one, "k").select("h", "cut", "k", "sig", "set")
     least_equal = int(np.ceil((similarity - 0.1) * MINIMA))
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(part: pa.Table) -> pa.RecordBatch | None:
-            h, cut, k = (part[c].to_numpy() for c in ("h", "cut", "k"))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (cut[1:] != cut[:-1])
-            begin = np.flatnonzero(new)
-            out: list[tuple] = []
+    def similar(x: int, others: np.ndarray, block: np.ndarray, sets: Sets) -> np.ndarray:
+        near = (block[others] == block[x]).sum(1) >= least_equal
+        near[near] = sets.similar(x, others[near], similarity)
+        return near
+
+    def grouped(batches: Iterator[pa.RecordBatch], links: Callable) -> Iterator[pa.RecordBatch]:
+        """links(k, first, block, sets) of every group of rows (h, cut, k, first, sig, set): pairs of places."""
+        for part in whole_groups(batches, 2):
+            h, cut, k, first = (part[c].to_numpy() for c in ("h", "cut", "k", "first"))
+            begin = group_starts([h, cut])
             sig, set_ = part["sig"].combine_chunks(), part["set"].combine_chunks()
+            out: list[np.ndarray] = []
             for at, n in zip(begin.tolist(), np.diff(np.append(begin, len(h))).tolist(), strict=True):
                 block = np.stack([np.frombuffer(sig[i].as_buffer(), "<u2") for i in range(at, at + n)])
                 listed = [np.frombuffer(set_[i].as_buffer(), "<u4") for i in range(at, at + n)]
                 sets = Sets(np.concatenate(listed), np.array([len(x) for x in listed]))
-                open_ = np.argsort(k[at : at + n])
-                while len(open_):
-                    root, frontier, open_ = open_[0], [open_[0]], open_[1:]
-                    while frontier and len(open_):
-                        x = frontier.pop()
-                        near = (block[open_] == block[x]).sum(1) >= least_equal
-                        near[near] = sets.similar(x, open_[near], similarity)
-                        out += [(k[at + y], k[at + root]) for y in open_[near]]
-                        frontier += open_[near].tolist()
-                        open_ = open_[~near]
-            if not out:
-                return None
-            a, b = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for part in whole_groups(batches, 2):
-            if (out := emit(part)) is not None:
-                yield out
+                out += [k[at + pairs] for pairs in links(k[at : at + n], first[at : at + n], block, sets)]
+            if out:
+                a, b = np.concatenate(out).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def stars_of(k: np.ndarray, first: np.ndarray, block: np.ndarray, sets: Sets) -> Iterator[np.ndarray]:
+        """Each text with the least of its component."""
+        open_ = np.argsort(k)
+        while len(open_):
+            root, frontier, open_ = open_[0], [open_[0]], open_[1:]
+            while frontier and len(open_):
+                near = similar(frontier.pop(), open_, block, sets)
+                yield np.stack([open_[near], np.full(near.sum(), root)], 1)
+                frontier += open_[near].tolist()
+                open_ = open_[~near]
 
-    return rows.repartition("h", "cut").sortWithinPartitions("h", "cut").mapInArrow(link, "a long, b long").distinct()
+    def to_first(k: np.ndarray, first: np.ndarray, block: np.ndarray, sets: Sets) -> Iterator[np.ndarray]:
+        """Each text with all of the first ones that it is similar to."""
+        rest = np.flatnonzero(~first)
+        for x in np.flatnonzero(first):
+            hit = rest[similar(x, rest, block, sets)]
+            yield np.stack([hit, np.full(len(hit), x)], 1)
+
+    def linked(rows: DataFrame, links: Callable) -> DataFrame:
+        """rows: (h, cut, k, first). Pairs (a, b) of similar texts within each (h, cut)."""
+        held = rows.join(one, "k").select("h", "cut", "k", "first", "sig", "set").repartition("h", "cut").sortWithinPartitions("h", "cut")
+        return held.mapInArrow(lambda batches: grouped(batches, links), "a long, b long").where("a <> b").distinct()
+
+    each, no, yes = F.lit(0).cast("long"), F.lit(False), F.lit(True)
+    edges = keep(linked(together.where(F.col("n") <= bucket_rows).select("h", each.alias("cut"), "k", no.alias("first")), stars_of), "edges")
+    large = together.where(F.col("n") > bucket_rows).withColumn("parts", F.ceil(2 * F.col("n") / bucket_rows))
+    if large.isEmpty():
+        return edges
+    spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
+    part = lambda m: F.pmod(F.xxhash64("k", "h"), m)
+    pivots = large.where(F.pmod(F.xxhash64("k", "h", F.lit(1)), F.col("n")) < PIVOTS)
+    beside = large.select("h", part(F.col("parts")).alias("cut"), "k", no.alias("first")).unionByName(pivots.select("h", spread(F.col("parts")).alias("cut"), "k", yes.alias("first")))
+    edges = keep(edges.unionByName(linked(beside, to_first)), "edges")
+    # texts of one component need not meet again; any other link has an end outside the bucket's largest component
+    rooted = keep(large.join(connected(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
+    sizes = rooted.groupBy("h", "root").agg(F.count("*").alias("c"))
+    largest = keep(sizes.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.sum("c").alias("n")), "largest")
+    outside = keep(met(rooted.drop("n"), largest, ["h"], rooted.count(), "n").where("root <> most").select("h", "k", "parts"), "outside")
+    chunks = keep(outside.groupBy("h").agg(F.ceil(2 * F.count("*") / bucket_rows).alias("chunks"), F.count("*").alias("n")), "chunks")
+    across = met(outside, chunks, ["h"], outside.count(), "n").select("h", "k", "parts", part(F.col("chunks")).alias("i"), spread(F.col("parts")).alias("j"))
+    known = chunks.drop("n")
+    along = large.join(F.broadcast(known) if known.count() <= FEW_KEYS else known, "h").select("h", "k", "parts", spread(F.col("chunks")).alias("i"), part(F.col("parts")).alias("j"))
+    cut = (F.col("i") * F.col("parts") + F.col("j")).alias("cut")
+    blocks = across.select("h", cut, "k", no.alias("first")).unionByName(along.select("h", cut, "k", no.alias("first"))).distinct()
+    return edges.unionByName(linked(blocks, stars_of))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, bucket_limit: int = 100_000, similarity: float | None = None) -> DataFrame:
