@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product (operator 7).
 
 Method. Hash-prefix forest: in each of `trees` trees a vector has a string of 30 sign bits of random projections, and a
-tree is the sorted array of these strings.  A query descends each tree to the place of its own string and first looks
-at its neighbours there, which share the longest prefixes with it; the k-th best score among them tells how near the
+tree is the sorted array of these strings.  A query descends to the place of its own string and first looks, in some
+of the trees, at its neighbours there, which share the longest prefixes with it; the k-th best score among them tells how near the
 sought vectors are at least.  From there all its trees ascend together, bit by bit, until a vector as near as that shares the
 prefix in some tree with probability `recall`; the last bit is given up tree by tree.  Whatever shares the prefix is
 scored exactly.  Inner product becomes an angle by one further component that brings all vectors to the greatest norm.
@@ -33,7 +33,7 @@ from vecmill.session import prepare, scratch, table, written
 
 BITS = 30
 MOST_LEVELS = 18
-NEAR = 8
+NEAR, FIRST_TREES = 12, 16
 HITS = "query_id long, vec_id long, score double, scored long"
 
 
@@ -231,7 +231,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4
         levels = int(np.clip(np.ceil(np.log2(2 * n / group_rows)), 1, MOST_LEVELS))
         forest = Forest(coded, trees, levels, group_rows, group_queries)
         asked = coded.where("q").select(F.col("vec_id").alias("query_id"), "v", "probes")
-        deepest = F.array_repeat(F.lit(BITS), trees)
+        deepest = F.concat(F.array_repeat(F.lit(BITS), min(trees, FIRST_TREES)), F.array_repeat(F.lit(BITS + 1), max(0, trees - FIRST_TREES)))
         first = keep(forest.hits(asked.withColumn("depths", deepest), _near, k), "near")
         ranked = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         bound = ranked.where(F.col("r") == k).select("query_id", F.col("score").alias("bound"))
