@@ -222,3 +222,14 @@ def test_components_of_a_chain(spark):
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components.connected(chain).collect()} == {0}
     assert components.connected(chain.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60_000)]
+    long_, other = " ".join(words), " ".join(words[:100] + words[30_000:30_100])
+    docs = spark.createDataFrame([(1, long_, 1), (2, other, 2), (3, long_[:-1] + "!", 3)], "doc_id long, text string, kept int")
+    want = brute_cut([t.encode() for t in (long_, other, long_[:-1] + "!")], 400)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.cut(docs).collect()}
+    assert [got[i] for i in (1, 2, 3)] == want
+    assert simhash.fingerprint(long_) != 0 and len(simhash.hashed_shingles(long_, 5)) > 59_000

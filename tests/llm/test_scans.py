@@ -255,3 +255,13 @@ def test_licenses_against_every_window():
             # what is left of a changed notice of few words may save too little to be looked at
             small = len(listed) < 12 and words_ is not listed
             assert got <= want and ((len(want) == 0) == (len(got) == 0) or small), (name, want, got)
+
+
+def test_very_long_texts(spark):
+    notice = licenses.TEMPLATES[3][1]
+    long_ = "plain words of a long text " * 40_000 + notice + " and more of it" * 20_000
+    docs = spark.createDataFrame([(1, long_, 7), (None, long_, 8)], "doc_id long, text string, found int")
+    rows = licenses.find_licenses(docs).collect()
+    assert len(rows) == 2 and all([f["license"] for f in r["found"]] == ["MIT"] for r in rows)
+    png = media.to_png(b"x" * 192 * 20_000)
+    assert media.from_png(png).shape == (20_000, 192)

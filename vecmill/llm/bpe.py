@@ -10,7 +10,9 @@ bytes through an offset table: token i is bytes[offset[i]:offset[i + 1]].
 Scale. Rows are independent, so there is no shuffle; words are memoised per Python worker in a dictionary of
 bounded size.
 
-Edge cases. A null text counts as empty: no ids, empty decoded text.  Texts are whole, of any length.
+Edge cases. A null text counts as empty: no ids, empty decoded text.  Texts are whole, of any length.  Rows are
+independent: doc_id may be null or repeated, repeated rows stay repeated, an empty table gives no rows, and other columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ a bounded sample of labelled rows: at most `sample_rows`, shared evenly by langu
 text.  Whole texts are counted, in training and in prediction.
 
 Edge cases. Null texts and texts without a letter are `und` with score 0.  Without labelled rows all are `und`.
-A null doc_id is not held out and not learned from.
+A null doc_id is not held out and not learned from.  Texts may be of any length: n-grams are counted in pieces.  Of equally
+near codewords that of the first language in the alphabet wins, and the text is ambiguous.  Rows are independent; repeated
+ones stay.  Columns to keep must not be named like those that are made here; inside a struct they may.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ differing words, then the longest, stays.
 Scale. One pass without a shuffle; a test on the JVM leaves texts without any licence word out of Python.  Blocks of
 any length are scanned in overlapping pieces that no template outgrows, so work is linear in the text.
 
-Edge cases. Null and empty texts have no blocks.  Rows are independent; doc_id may be null or repeated.
+Edge cases. Null and empty texts have no blocks.  Texts may be of any length.  Rows are independent: doc_id may be null
+or repeated, repeated rows stay repeated, an empty table gives no rows, and other columns are not looked at.  Of equally
+good matches that overlap, the one that begins first stays, then the first name of the alphabet.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ payload (a narrow row per digest) takes part in the join.  Documents with one te
 of the join is unique by digest, and the references' side is split where one digest is very frequent.
 
 Edge cases. A null html is an empty sequence; a null text is an empty payload of padding.  Unknown digests leave the
-reference unresolved (null media columns), positions and captions stay.  Equal payloads have equal stored forms.
+reference unresolved (null media columns), positions and captions stay.  Equal payloads have equal stored forms.  Texts may
+be of any length; rows are independent, repeated ones stay, doc_id may be null, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Scale. Tokenising and cutting is one pass without a shuffle; its narrow rows are
 pieces are numbered inside the task that cut them, and only one count per task and length is shuffled.
 
 Edge cases. A null or empty text is the end mark alone.  Repeated rows are packed each.  An empty table gives no
-rows.  doc_id may be null or repeated; it is carried, never used as a key.
+rows.  doc_id may be null or repeated; it is carried, never used as a key.  Texts may be of any length: only what is longer
+than a sequence is cut.  Pieces of one length are interchangeable, so ties do not matter.  Other columns are not looked at.
 """
 
 from __future__ import annotations

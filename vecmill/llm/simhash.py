@@ -21,7 +21,8 @@ part first meets about 16 texts of the bucket, and what is outside the largest c
 whole bucket, part by part.  So a large group of copies takes time in proportion to its size, and no link is lost.
 
 Edge cases. Null and empty texts have no words and fingerprint zero, linked like any other.  Repeated rows stay
-repeated rows.  A null doc_id is no candidate for component_id unless the whole component has none.
+repeated rows.  A null doc_id is no candidate for component_id unless the whole component has none.  Texts may be of any
+length.  Other columns are carried by `without_copies` and not looked at elsewhere.  Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ toxic where there are so many, chosen by a hash of doc_id; their ids (a bounded
 shuffled.
 
 Edge cases. A null or empty text has no words: severity is what the thresholds alone give.  Without labels, or with
-one grade only, severity is 0.  doc_id may be null or repeated.
+one grade only, severity is 0.  doc_id may be null or repeated; of repeated ids one text is learned from, that of the
+least hash, with the highest grade.  Texts may be of any length: words are found in pieces.  A probability of exactly a
+half counts as above.  Columns to keep must not be named like those that are made here; inside a struct they may.
 """
 
 from __future__ import annotations
@@ -165,12 +167,13 @@ def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 4000) -> Model
             for i in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([np.unique(features(texts[i].as_py())).astype("<u8").tobytes()], pa.binary())], names=["grade", "words"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, words binary").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = found.select("grade", "text").mapInArrow(run, "grade int, words binary").collect()
     known = np.array([r["grade"] for r in rows])
     if not len(known) or known.min() == known.max():
         return None
-    found = [np.frombuffer(r["words"], "<u8") for r in rows]
-    return fit(found, known)
+    words = [np.frombuffer(r["words"], "<u8") for r in rows]
+    return fit(words, known)
 
 
 def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
