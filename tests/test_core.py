@@ -288,6 +288,8 @@ def test_query_moves_where_there_is_no_phrase(spark):
     assert seen == [("query_id", "hop")] and moved["v"] is None and np.allclose(moved["q"], want / np.linalg.norm(want))
     phrased = memory.changed(state, hits, acts.withColumn("hop", F.lit("phrase")), encode).first()
     assert phrased["v"] == [0.0, 1.0] and phrased["q"] == [1.0, 0.0]
+    vague = memory.changed(state, hits, acts.withColumn("hop", F.lit("specific place")), encode).first()
+    assert vague["v"] is None and np.allclose(vague["q"], moved["q"])
 
 
 def test_objects_in_free_text(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The shapes of dates that are read.
 UNIX_DAY = 719163  # the ordinal of 1970-01-01
 PATTERN = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
 CLOCK = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:\s+\([^)]+\))?\s+(\d{1,2}):(\d{2})"

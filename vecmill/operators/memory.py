@@ -58,7 +58,8 @@ def changed(state: DataFrame, hits: DataFrame, acts: DataFrame, encode: Encoder
     and away from the noise; without a phrase it moves the query vector towards relevant hits and away from the others,
     where there are both.  filter and rank penalise.
     """
-    phrase = encode(acts.where("slot = 'query' and hop <> ''").select("query_id", "hop"), "query_id", "hop").withColumnRenamed("e", "v1")
+    telling = acts.where("slot = 'query' and hop <> ''").where(~T.is_abstract(F.col("hop")))  # labels like "specific place" find nothing
+    phrase = encode(telling.select("query_id", "hop"), "query_id", "hop").withColumnRenamed("e", "v1")
     judged = hits.join(acts.select("query_id", "relevant_ids", F.concat("soft_ids", "hard_ids").alias("negative_ids")), "query_id")
     judged = judged.withColumn("relevant", F.array_contains("relevant_ids", F.col("doc_id"))).withColumn("negative", F.array_contains("negative_ids", F.col("doc_id")))
     drops = policy.filter_update(judged).select("query_id", F.array_compact("drop_ids").alias("drops"))
