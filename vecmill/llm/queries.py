@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecmill.llm import bpe, forest, languages, licenses, media, packing, simhash, suffixes, toxicity, urls
+from vecmill.llm import bpe, forest, languages, licenses, media, packing, records, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_records": records.op11_records,
 }
 
 ORACLES: dict[str, str] = {"op9_urls": urls.OP9_SQL}
