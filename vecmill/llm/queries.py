@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecmill.llm import bpe, forest, languages, licenses, media, packing, phrases, records, simhash, suffixes, toxicity, urls
+from vecmill.llm import bpe, forest, languages, licenses, media, packing, phrases, records, simhash, spelling, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_records": records.op11_records,
     "op12_phrases": phrases.op12_phrases,
+    "op13_spelling": spelling.op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op9_urls": urls.OP9_SQL, "op12_phrases": phrases.OP12_SQL}
+ORACLES: dict[str, str] = {"op9_urls": urls.OP9_SQL, "op12_phrases": phrases.OP12_SQL, "op13_spelling": spelling.OP13_SQL}
