@@ -1,21 +1,24 @@
 """Approximate nearest neighbours by inner product (operator 7).
 
 Method. Hash-prefix forest: in each of `trees` trees a vector has a string of 30 sign bits of random projections, and a
-tree is the sorted array of these strings.  A query descends to the place of its own string and first looks, in some
-of the trees, at its neighbours there, which share the longest prefixes with it; the k-th best score among them tells how near the
-sought vectors are at least.  From there all its trees ascend together, bit by bit, until a vector as near as that shares the
+tree is the sorted array of these strings.  A query descends to the place of its own string and first looks, in each tree, at
+its neighbours there, which share the longest prefixes with it; the k-th best score among them tells how near the sought
+vectors are at least.  From there all its trees ascend together, bit by bit, until a vector as near as that shares the
 prefix in some tree with probability `recall`; the last bit is given up tree by tree.  Whatever shares the prefix is
 scored exactly.  Inner product becomes an angle by one further component that brings all vectors to the greatest norm.
-So vectors with structure are met at long prefixes, vectors without any need short ones, at worst all rows of one tree.
+So vectors with structure are met at long prefixes.  Vectors without any need short ones, and trees meet the same rows again:
+where the prefixes of a query hold more rows together than the table, it looks at the whole of one tree instead, and
+where even the neighbours would be more rows than the table, at nothing else.
 
-Scale. Trees are dealt by the first bits of the strings, as many as make groups of `group_rows` (at most 18), or fewer
+Scale. Trees are dealt by the first bits of the strings, as many as make groups of `group_rows` (at most 14), or fewer
 where a query needs a shorter prefix.  Only rows whose prefix some query asks for are shuffled, with their vector in its own
-precision.  Tables of how many rows and queries a prefix has, whose size the parameters bound, cut large groups by hash, so
-equal vectors, however many, never meet in one task.  A group returns its k best for each query.
+precision.  Tables of how many rows and queries a prefix has (at most 2^15 numbers a tree, 10 MB in all) cut large groups by
+hash, so equal vectors, however many, never meet in one task.  A group returns its k best for each query.
 
 Edge cases. Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 components take no part, nor do rows without id.  Of rows with one vec_id that with the least hash of its vector counts.
-With fewer than k candidates all are returned.  Ties go to the smaller vec_id.  An empty table has no result.
+With fewer than k candidates all are returned.  Ties go to the smaller vec_id.  An empty table has no result.  Other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from vecmill.llm.windows import mixed
 from vecmill.session import prepare, scratch, table, written
 
 BITS = 30
-MOST_LEVELS = 18
-NEAR, FIRST_TREES = 12, 16
+MOST_LEVELS = 14
+NEAR = 12  # rows to either side of a query's place in each tree
 HITS = "query_id long, vec_id long, score double, scored long"
 
 
@@ -92,6 +95,18 @@ def depths_for(cosine: np.ndarray, trees: int, recall: float) -> np.ndarray:
     return out
 
 
+def held_by(rows: list[np.ndarray], probes: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """How many rows share each query's prefixes, over all trees; rows[x][t] has how many have each prefix of x bits in tree t.
+    Prefixes longer than those are taken to share evenly what the longest of them hold."""
+    out = np.zeros(len(probes))
+    trees = np.arange(probes.shape[1])
+    for x in np.unique(depths[depths <= BITS]).tolist():
+        level = min(x, len(rows) - 1)
+        at = rows[level][trees, np.maximum(probes, 0) >> (BITS - level)] / 2.0 ** (x - level)
+        out += np.where(depths == x, at, 0).sum(1)
+    return out
+
+
 def _near(q: np.ndarray, own: np.ndarray, probe: np.ndarray, depth: np.ndarray, code: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple]:
     """Neighbours of the query's place in the sorted array."""
     at = np.searchsorted(code, probe)
@@ -121,10 +136,10 @@ class Forest:
 
     def __init__(self, coded: DataFrame, trees: int, levels: int, group_rows: int, group_queries: int):
         self.coded, self.trees, self.levels, self.group_rows, self.group_queries = coded, trees, levels, group_rows, group_queries
-        counted = coded.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", F.shiftright("code", BITS - levels).alias("p")).count().toArrow()  # trees * 2^levels rows at most
-        rows = np.zeros((trees, 1 << levels), np.int64)
+        counted = coded.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", F.shiftright("code", BITS - MOST_LEVELS).alias("p")).count().toArrow()  # trees * 2^MOST_LEVELS rows at most
+        rows = np.zeros((trees, 1 << MOST_LEVELS), np.int64)
         rows[counted["tree"].to_numpy(), counted["p"].to_numpy()] = counted["count"].to_numpy()
-        self.rows = [rows.reshape(trees, 1 << x, -1).sum(2) for x in range(levels + 1)]
+        self.rows = [rows.reshape(trees, 1 << x, -1).sum(2) for x in range(MOST_LEVELS + 1)]
 
     def hits(self, asked: DataFrame, look: Callable, k: int) -> DataFrame:
         """asked: (query_id, v, probes, depths). What `look` finds in each group, as HITS."""
@@ -201,7 +216,8 @@ class Forest:
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 40, recall: float = 0.95, group_rows: int = 20_000, group_queries: int = 4_000, seed: int = 7) -> DataFrame:
     """The operator: (query_id, rank, vec_id, score, n_scored) for the rows (vec_id, embedding) where is_query holds.
 
-    n_scored: rows that were scored for the query, counted once for each tree in which it met them.
+    n_scored: rows that were scored for the query, counted once for each tree in which it met them; about the rows of the
+    table and its neighbours at most.
     """
     spark = prepare(vectors.sparkSession)
     with scratch(spark) as keep:
@@ -231,16 +247,20 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4
         levels = int(np.clip(np.ceil(np.log2(2 * n / group_rows)), 1, MOST_LEVELS))
         forest = Forest(coded, trees, levels, group_rows, group_queries)
         asked = coded.where("q").select(F.col("vec_id").alias("query_id"), "v", "probes")
-        deepest = F.concat(F.array_repeat(F.lit(BITS), min(trees, FIRST_TREES)), F.array_repeat(F.lit(BITS + 1), max(0, trees - FIRST_TREES)))
+        everywhere = n <= trees * 2 * NEAR  # neighbours in all trees would be more rows than the table has
+        deepest = F.array_repeat(F.lit(BITS + 1 if everywhere else BITS), trees)
         first = keep(forest.hits(asked.withColumn("depths", deepest), _near, k), "near")
         ranked = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         bound = ranked.where(F.col("r") == k).select("query_id", F.col("score").alias("bound"))
+        shared = spark.sparkContext.broadcast(forest.rows)
 
         def ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     length = np.sqrt((_matrix(batch.column(1)).astype(float) ** 2).sum(1))
                     depths = depths_for(batch.column(3).to_numpy(zero_copy_only=False) / length / top, trees, recall)
+                    many = held_by(shared.value, _matrix(batch.column(2)).astype(np.int64), depths) > n
+                    depths[many] = [0] + [BITS + 1] * (trees - 1)
                     yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(depths), pa.list_(pa.int32()))], names=["query_id", "v", "probes", "depths"])
 
         again = keep(asked.join(bound, "query_id", "left").select("query_id", "v", "probes", "bound").mapInArrow(ascend, f"query_id long, v {kind}, probes array<int>, depths array<int>"), "asked")
