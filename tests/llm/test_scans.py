@@ -215,6 +215,28 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0), urls.rule_table(spark, urls.RULES)).count() == 0
 
 
+@pytest.mark.parametrize("small", [urls.BROADCAST_BYTES, 0])
+def test_urls_of_any_length_hot_urls_and_names(spark, small):
+    long = ["http://" + "a." * 40_000 + "net/es/" + "x" * 50_000, "http://" + "b" * 100_000 + ".example.com/en/" + "/y" * 50_000, "http://" + "z" * 100_000]
+    listed = long + ["http://no.rule.org/here"] * 300 + ["http://net.hot/a"] * 200 + ["http://net/es/"] * 200 + URLS
+    names = ["best", "row", "bloom", "possible", "c", "labels", "lengths", "counts", "__row", "r_host", "Verdict"]
+    frame = spark.createDataFrame([(i, u, *[f"{n}-{i}" for n in names]) for i, u in enumerate(listed)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    for most in (131_072, 1):
+        rows = urls.judge(frame, urls.rule_table(spark, urls.RULES), max_words=most, broadcast_bytes=small).collect()
+        assert len(rows) == len(listed)
+        for r in rows:
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == expected(listed[r["page_id"]])
+            assert all(r[n] == f"{n}-{r['page_id']}" for n in names[:-1])
+    none = urls.judge(frame, urls.rule_table(spark, urls.RULES).limit(0), broadcast_bytes=small).select("rule", "verdict").distinct().collect()
+    assert [tuple(r) for r in none] == [(None, "allow")]
+
+
+def test_urls_without_a_hit_are_not_shuffled(spark):
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    plan = urls.judge(frame, urls.rule_table(spark, urls.RULES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "Aggregate" not in plan.split("Scalar")[0].split("Subquery")[0]
+
+
 def test_many_rules_pass_through_the_filter(spark):
     many = [("block" if i % 2 else "allow", f"h{i}.org", f"/{i % 9}/") for i in range(300)]
     pages = spark.createDataFrame([(i, f"http://s.h{i}.org/{i % 9}/x") for i in range(400)], "page_id long, url string")
