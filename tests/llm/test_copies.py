@@ -165,9 +165,9 @@ def test_operator_five(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bucket_rows", [20_000, 3])
-def test_similar_texts(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (bucket_rows, written))
+@pytest.mark.parametrize("bucket_rows,bucket_bytes", [(20_000, 16 << 20), (3, 16 << 20), (20_000, 1800)])
+def test_similar_texts(spark, monkeypatch, bucket_rows, bucket_bytes):
+    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (bucket_rows, bucket_bytes, written))
     rng = random.Random(9)
     text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
     rows, group = [], {}
@@ -218,6 +218,21 @@ def test_similarity_is_decided_by_the_shingles(spark):
     assert len(edges) >= len(want) - 1  # one in 250 shares no band
 
 
+def test_long_texts_of_one_bucket_are_dealt_by_their_bytes(spark):
+    """40 texts of 3000 words, copies of four with a word changed: a bucket holds at most a few of them."""
+    rng = random.Random(13)
+    rows = []
+    for g in range(4):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+        for _ in range(10):
+            w = list(words)
+            w[rng.randrange(3000)] = f"changed{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    edges = simhash.similar_texts(spark.createDataFrame(rows, "k long, text string"), 5, 0.8, bucket_bytes=40_000)
+    roots = {r["node"]: r["root"] for r in components.connected(edges).collect()}
+    assert roots == {i: i // 10 * 10 for i in range(40)}
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components.connected(chain).collect()} == {0}

@@ -65,7 +65,7 @@ def test_repeated_passages_of_short_words_are_cut(spark):
     assert got == {0: ["one", "own"], 1: ["two", "other"], 2: texts[2].split(), 3: texts[3].split(), 4: ["five", "é"], 5: ["six", "end"], 6: ["seven", "stop"]}
 
 
-CLASHING = ["score", "lang_pred", "ambiguous", "grade", "severity", "p_toxic", "n_bytes", "n_removed", "n_spans", "n_passages", "kept", "dkey", "spans", "component_id", "sequence_id", "k", "root", "fp", "row", "rows"]
+CLASHING = ["score", "lang_pred", "ambiguous", "grade", "severity", "p_toxic", "n_bytes", "n_removed", "n_spans", "n_passages", "kept", "dkey", "spans", "component_id", "sequence_id", "k", "root", "fp", "row", "rows", "__k", "__n", "__row", "__rep_k", "__rep_id", "__rep_n", "rep_k", "n"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

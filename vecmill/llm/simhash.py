@@ -16,13 +16,14 @@ similarity of 0.8 differs in about ten bits, which no index of one-wildcard segm
 operator therefore also links texts by signatures of 256 minima: texts meet where one of 14 bands of five minima is
 equal (99.6 % of pairs at 0.8, more above).  The share of equal minima only spares comparisons: where it is less than
 0.1 under the asked similarity or higher (all but one in 10,000 pairs at 0.8), the similarity of the two sets of
-shingles, as distinct 32-bit hashes, decides.  In a band's bucket, again, no pairs are written.  A bucket over `bucket_rows` is dealt into parts; each
-part first meets about 16 texts of the bucket, and what is outside the largest component that comes of it then meets the
+shingles, as distinct 32-bit hashes, decides.  In a band's bucket, again, no pairs are written.  A bucket of more than `bucket_rows` texts, or
+of more than `bucket_bytes` bytes in their sets, is dealt into parts; each part first meets about 16 texts of the bucket, and what is outside the largest component that comes of it then meets the
 whole bucket, part by part.  So a large group of copies takes time in proportion to its size, and no link is lost.
 
 Edge cases. Null and empty texts have no words and fingerprint zero, linked like any other.  Repeated rows stay
 repeated rows.  A null doc_id is no candidate for component_id unless the whole component has none.  Texts may be of any
-length.  Other columns are carried by `without_copies` and not looked at elsewhere.  Empty tables give no rows.
+length.  Other columns are carried by `without_copies`, in a struct, whatever their names, and not looked at elsewhere.
+Texts are told apart by 128-bit hashes.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -239,7 +240,7 @@ def _signed_bands(least: np.ndarray) -> list[int]:
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
-def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows: int = 20_000, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows: int = 20_000, bucket_bytes: int = 16 << 20, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """texts: (k, text), k a hash of the text. Edges (a, b) between hashes of texts at least that similar.
 
     keep writes intermediate tables, which the edges depend on."""
@@ -253,9 +254,10 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["k", "bands", "sig", "set"])
 
     prepare(texts.sparkSession)
-    signed = keep(texts.select("k", "text").mapInArrow(sign, "k long, bands array<long>, sig binary, set binary"), "signatures")
-    keys = signed.select("k", F.explode("bands").alias("h")).distinct()
-    shared = keep(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    kind = texts.schema["k"].dataType.simpleString()
+    signed = keep(texts.select("k", "text").mapInArrow(sign, f"k {kind}, bands array<long>, sig binary, set binary"), "signatures")
+    keys = signed.select("k", F.octet_length("set").cast("long").alias("w"), F.explode("bands").alias("h")).distinct()
+    shared = keep(keys.groupBy("h").agg(F.count("*").alias("n"), F.sum("w").alias("b")).where("n > 1"), "bands")
     together = keep(met(keys, shared, ["h"], signed.count() * BANDS, "n"), "together")
     ids = keep(together.select("k").distinct(), "similar")
     ids = F.broadcast(ids) if ids.count() <= FEW_KEYS else ids  # sets are as large as texts: others are left out before the shuffle
@@ -304,11 +306,13 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
     def linked(rows: DataFrame, links: Callable) -> DataFrame:
         """rows: (h, cut, k, first). Pairs (a, b) of similar texts within each (h, cut)."""
         held = rows.join(one, "k").select("h", "cut", "k", "first", "sig", "set").repartition("h", "cut").sortWithinPartitions("h", "cut")
-        return held.mapInArrow(lambda batches: grouped(batches, links), "a long, b long").where("a <> b").distinct()
+        return held.mapInArrow(lambda batches: grouped(batches, links), f"a {kind}, b {kind}").where("a <> b").distinct()
 
     each, no, yes = F.lit(0).cast("long"), F.lit(False), F.lit(True)
-    edges = keep(linked(together.where(F.col("n") <= bucket_rows).select("h", each.alias("cut"), "k", no.alias("first")), stars_of), "edges")
-    large = together.where(F.col("n") > bucket_rows).withColumn("parts", F.ceil(2 * F.col("n") / bucket_rows))
+    buckets = lambda rows, size: F.greatest(rows / bucket_rows, size / bucket_bytes)
+    together = together.withColumn("buckets", buckets(F.col("n"), F.col("b")))
+    edges = keep(linked(together.where("buckets <= 1").select("h", each.alias("cut"), "k", no.alias("first")), stars_of), "edges")
+    large = together.where("buckets > 1").withColumn("parts", F.ceil(2 * F.col("buckets")))
     if large.isEmpty():
         return edges
     spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
@@ -320,8 +324,8 @@ def similar_texts(texts: DataFrame, width: int, similarity: float, bucket_rows:
     rooted = keep(large.join(connected(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
     sizes = rooted.groupBy("h", "root").agg(F.count("*").alias("c"))
     largest = keep(sizes.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.sum("c").alias("n")), "largest")
-    outside = keep(met(rooted.drop("n"), largest, ["h"], rooted.count(), "n").where("root <> most").select("h", "k", "parts"), "outside")
-    chunks = keep(outside.groupBy("h").agg(F.ceil(2 * F.count("*") / bucket_rows).alias("chunks"), F.count("*").alias("n")), "chunks")
+    outside = keep(met(rooted.drop("n"), largest, ["h"], rooted.count(), "n").where("root <> most").select("h", "k", "w", "parts"), "outside")
+    chunks = keep(outside.groupBy("h").agg(F.ceil(2 * buckets(F.count("*"), F.sum("w"))).alias("chunks"), F.count("*").alias("n")), "chunks")
     across = met(outside, chunks, ["h"], outside.count(), "n").select("h", "k", "parts", part(F.col("chunks")).alias("i"), spread(F.col("parts")).alias("j"))
     known = chunks.drop("n")
     along = large.join(F.broadcast(known) if known.count() <= FEW_KEYS else known, "h").select("h", "k", "parts", spread(F.col("chunks")).alias("i"), part(F.col("parts")).alias("j"))
@@ -347,8 +351,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, bucket_limit
 
 
 def text_key() -> Column:
-    """A hash of the text."""
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5))
+    """A 128-bit hash of the text."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def _of_root(members: DataFrame, *facts: Column) -> DataFrame:
@@ -376,22 +380,21 @@ def text_groups(docs: DataFrame, width: int, most: int, bucket_limit: int, simil
 def without_copies(docs: DataFrame, width: int = 5, most: int = 3, bucket_limit: int = 100_000, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, of each group of near-duplicate texts one only: that of the least doc_id, then of the least hash
     of the text, then of all its columns.  Rows without doc_id come last.  Rows of one doc_id whose texts are not alike all stay."""
-    groups = written(text_groups(docs, width, most, bucket_limit, similarity).where("rows > 1").select("k", "n", "rep_k", "rep_id", "rep_n"), "copies").withColumnsRenamed({c: f"__{c}" for c in ("k", "n", "rep_k", "rep_id", "rep_n")})
-    rows = docs.withColumn("__k", text_key())
-    total = groups.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    groups = written(text_groups(docs, width, most, bucket_limit, similarity).where("rows > 1").select("k", "n", "rep_k", "rep_id", "rep_n"), "copies")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", text_key().alias("k"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if groups.count() <= FEW_KEYS:
-        judged = rows.join(F.broadcast(groups), "__k", "left")
+        judged = rows.join(F.broadcast(groups), "k", "left")
     else:
-        hot = F.broadcast(groups.where(F.col("__n") > total / HOT_KEYS))
-        cold = rows.join(hot.select("__k"), "__k", "left_anti").join(groups.where(F.col("__n") <= total / HOT_KEYS), "__k", "left")
-        judged = cold.unionByName(rows.join(hot, "__k"))
-    kept = judged.where(F.col("__rep_k").isNull() | ((F.col("__k") == F.col("__rep_k")) & F.col("doc_id").eqNullSafe(F.col("__rep_id"))))
-    once = kept.where("__rep_n is null or __rep_n = 1").select(*docs.columns)
-    if groups.where("__rep_n > 1").isEmpty():
-        return once
-    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    again = kept.where("__rep_n > 1").groupBy("__k").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.xxhash64(*hashed)).alias("row"))
-    return once.unionByName(again.select("row.*"))
+        hot = F.broadcast(groups.where(F.col("n") > total / HOT_KEYS))
+        cold = rows.join(hot.select("k"), "k", "left_anti").join(groups.where(F.col("n") <= total / HOT_KEYS), "k", "left")
+        judged = cold.unionByName(rows.join(hot, "k"))
+    kept = judged.where(F.col("rep_k").isNull() | ((F.col("k") == F.col("rep_k")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))))
+    once = kept.where("rep_n is null or rep_n = 1").select("row")
+    if not groups.where("rep_n > 1").isEmpty():
+        hashed = [F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        once = once.unionByName(kept.where("rep_n > 1").groupBy("k").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row")).select("row"))
+    return once.select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
