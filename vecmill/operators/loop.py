@@ -38,25 +38,21 @@ def start(queries: DataFrame, id_type: str = "bigint") -> DataFrame:
 def retrieve(state: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Top k of each question under its state: (query_id, doc_id, sim, score, rk, e, time_days).
 
-    While recency is off and nothing is penalised, a plain block search is enough; else all rows are scored.
+    While recency is off and nothing is penalised, a plain block search is enough.
     """
     plain = state.where("lam = 0 and eta_soft = 0")
     fused = state.where("lam > 0 or eta_soft > 0").select("query_id", "q", "lam", "t_star", "sigma", "soft_ids", "eta_soft")
     found = search.exact_search(plain.select("query_id", "q"), corpus.select("doc_id", "e"), k).withColumn("score", F.col("sim"))
     found = found.select("query_id", "doc_id", "sim", "score", "rk")
     if not fused.isEmpty():
-        rows = search.meeting(fused, corpus).withColumn("sim", V.dot(F.col("q"), F.col("e")))
-        rec = S.recency(F.col("time_days"), F.col("t_star"), F.col("sigma"))
-        penalty = search.negative_penalty(F.col("doc_id"), F.slice("soft_ids", 1, 0), F.col("soft_ids"), F.lit(policy.ETA_HARD), F.col("eta_soft"))
-        rows = rows.select("query_id", "doc_id", "sim", S.steady(search.fused(F.col("sim"), rec, F.col("lam"), penalty), 9).alias("score"))
-        found = found.unionByName(search.top_k(rows, ["query_id"], "score", "doc_id", k).select("query_id", "doc_id", "sim", "score", "rk"))
+        found = found.unionByName(search.fused_search(fused, corpus, k))
     return found.join(corpus, "doc_id")
 
 
 def diagnosed(hits: DataFrame, state: DataFrame) -> DataFrame:
     """(query_id, gap, n_eff_time, n_eff_alias, top): the kind of gap of each question and its ids in order."""
     g_time = policy.time_gap(hits.join(state.select("query_id", "lam"), "query_id"), F.col("lam")).select("query_id", "g_time", F.col("n_eff").alias("n_eff_time"))
-    g_alias = policy.alias_gap(policy.two_means(hits)).select("query_id", "g_alias", F.col("n_eff").alias("n_eff_alias"))
+    g_alias = policy.alias_gap(hits if "cluster" in hits.columns else policy.two_means(hits)).select("query_id", "g_alias", F.col("n_eff").alias("n_eff_alias"))
     first = hits.groupBy("query_id").agg(
         F.min_by("sim", "rk").alias("top_sim"), F.min_by("time_days", "rk").alias("top_days"),
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "doc_id"))), lambda x: x["doc_id"]).alias("top"),
@@ -116,7 +112,7 @@ def evolve(queries: DataFrame, corpus: DataFrame, k: int = 10, max_rounds: int =
     state = written(start(queries, corpus.schema["doc_id"].dataType.simpleString()), "state")
     evidence, logs = [], []
     for n in range(1, max_rounds + 1):
-        hits = written(retrieve(state, corpus, k), "hits")
+        hits = written(policy.two_means(retrieve(state, corpus, k)), "hits")  # clustered once for diagnosis and signals
         seen = diagnosed(hits, state).join(state.select("query_id", "used"), "query_id")
         slot = F.when(F.lit(n == max_rounds), F.lit(None).cast("string")).otherwise(policy.geometric_slot(F.col("gap"), F.col("n_eff_time"), F.col("n_eff_alias"), F.col("used")))
         why = F.when(F.col("slot").isNotNull(), F.concat(F.lit("compiled "), "slot")).when(F.col("gap").isin("sufficient", "unanswerable", "unknown"), F.col("gap")).when(F.lit(n == max_rounds), "max_rounds").otherwise("no eligible slot")

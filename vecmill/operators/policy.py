@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
+from vecmill.functions import vectors as V
 
 # Thresholds and step sizes.
 MIN_NEFF, SIM_FLOOR, SPREAD_REF, SEPARATION_REF = 5.0, 0.12, 0.35, 0.25
@@ -64,11 +66,13 @@ def alias_signals(clustered: DataFrame, vector: str = "e") -> DataFrame:
 
 def signals(hits: DataFrame, gap: str = "gap") -> DataFrame:
     """Sides of the hits by the kind of gap that a column names: clusters for alias, else time; with t_star, sigma and
-    kappa, which are null for alias, and n_eff, the effective number of the hits that were looked at."""
+    kappa, which are null for alias, and n_eff, the effective number of the hits that were looked at.  Hits that have a
+    cluster already keep it."""
     alias = F.coalesce(F.col(gap) == "alias", F.lit(False))
     timed = time_signals(hits.where(~alias)).drop("mu", "w")
     none = {"t_star": F.lit(None).cast("double"), "sigma": F.lit(None).cast("double"), "kappa": F.lit(None).cast("double")}
-    sided = alias_signals(two_means(hits.where(alias))).withColumns(none).select(*timed.columns)
+    split = hits.where(alias) if "cluster" in hits.columns else two_means(hits.where(alias))
+    sided = alias_signals(split).withColumns(none).select(*timed.columns)
     both = timed.unionByName(sided)
     flat = S.with_softmax(both, ["query_id"], "sim", "__w", 1.0)
     n_eff = F.pow(F.sum("__w").over(Window.partitionBy("query_id")), 2) / F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy("query_id"))
@@ -120,28 +124,44 @@ def filter_update(hits: DataFrame) -> DataFrame:
     return each.select("query_id", polluted.alias("polluted"), "n_unbound", F.when(polluted, F.slice(F.transform("out", lambda x: x["doc_id"]), 1, DROP_CAP)).otherwise(F.slice(F.transform("out", lambda x: x["doc_id"]), 1, 0)).alias("drop_ids"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _split(gram: Column) -> Column:
+    """Clusters, 0 or 1, of rows whose inner products are given (array of arrays), by Lloyd steps.
+
+    A centre is the mean of some rows, so it is held as their weights; its inner products are sums of rows of the table.
+    """
+    n, one = F.size(gram), F.lit(1.0)
+    places = F.sequence(F.lit(1), n)
+    only = lambda i: F.transform(places, lambda j: F.when(j == i, one).otherwise(0.0))
+    least = F.array_position(F.get(gram, 0), F.array_min(F.get(gram, 0)))
+
+    def weights(far: Column, side: bool, before: Column) -> Column:
+        return _let(F.size(F.filter(far, lambda x: x == side)), lambda m: F.when(m == 0, before).otherwise(F.transform(far, lambda x: F.when(x == side, one / m).otherwise(0.0))))
+
+    def step(s: Column, _: Column) -> Column:
+        near = lambda w: F.transform(gram, lambda row: V.dot(row, w))
+        far = _let(F.struct(near(s["a"]).alias("a"), near(s["b"]).alias("b")), lambda p: _let(V.dot(p["b"], s["b"]) - V.dot(p["a"], s["a"]), lambda d: F.zip_with(p["a"], p["b"], lambda x, y: d - 2.0 * y < -2.0 * x - 1e-12)))
+        return _let(far, lambda f: F.struct(weights(f, False, s["a"]).alias("a"), weights(f, True, s["b"]).alias("b"), f.alias("far")))
+
+    begin = F.struct(only(F.lit(1)).alias("a"), only(least).alias("b"), F.transform(places, lambda j: F.lit(False)).alias("far"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LLOYD_STEPS)), begin, step, lambda s: F.transform(s["far"], lambda x: x.cast("int")))
+
+
 def two_means(hits: DataFrame, vector: str = "e") -> DataFrame:
     """hits with cluster 0 or 1, by twelve Lloyd steps from the first hit and the one least like it.
 
-    A question has k hits, so a group is small by definition; ties go to cluster 0, an empty cluster keeps its centre.
+    A question has k hits, so its rows and the table of their inner products are small by definition; ties go to cluster 0,
+    an empty cluster keeps its centre.
     """
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rk")
-        x = np.stack(group[vector].to_numpy())
-        label = np.zeros(len(x), int)
-        if len(x) > 1:
-            centres = np.stack([x[0], x[int(np.argmin(x @ x[0]))]])
-            for _ in range(LLOYD_STEPS):
-                d = ((x[:, None] - centres[None]) ** 2).sum(2)
-                label = (d[:, 1] < d[:, 0] - 1e-12).astype(int)
-                centres = np.stack([x[label == c].mean(0) if (label == c).any() else centres[c] for c in (0, 1)])
-        return pd.DataFrame({"query_id": group["query_id"], "doc_id": group["doc_id"], "cluster": label.astype("int32")})
-
-    kind = lambda c: hits.schema[c].dataType.simpleString()
-    schema = f"query_id {kind('query_id')}, doc_id {kind('doc_id')}, cluster int"
-    labels = hits.select("query_id", "doc_id", "rk", vector).groupBy("query_id").applyInPandas(split, schema)
-    return hits.join(labels, ["query_id", "doc_id"])
+    rows = F.array_sort(F.collect_list(F.struct("rk", "doc_id", F.struct(*hits.columns).alias("row"))))
+    each = hits.groupBy("query_id").agg(F.transform(rows, lambda r: r["row"]).alias("rows"))
+    vectors = F.transform("rows", lambda r: r[vector].cast("array<double>"))
+    each = each.select("rows", F.transform(vectors, lambda x: F.transform(vectors, lambda y: V.dot(x, y))).alias("gram"))
+    return each.select(F.explode(F.arrays_zip("rows", _split(F.col("gram")).alias("cluster"))).alias("r")).select("r.rows.*", "r.cluster")
 
 
 def multihop(clustered: DataFrame) -> DataFrame:

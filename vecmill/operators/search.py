@@ -97,6 +97,58 @@ def exact_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_k(found, ["query_id"], "sim", "doc_id", k)
 
 
+def fused_search(asked: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Top k by a score that fuses similarity with recency and penalties: (query_id, doc_id, sim, score, rk).
+
+    asked: (query_id, q, lam, t_star, sigma, soft_ids, eta_soft); corpus: (doc_id, e, time_days).  Blocks are multiplied as
+    in `exact_search`; each leaves the rows that may be among the k best, whose scores are then worked out as expressions.
+    If there are too many queries to ship, every row of the corpus is scored by the expressions alone.
+    """
+    asked = asked.select("query_id", "q", "lam", "t_star", "sigma", "soft_ids", "eta_soft")
+    n, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("q") + F.size("soft_ids")), F.lit(0))).first()
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rec = S.recency(F.col("time_days"), F.col("t_star"), F.col("sigma"))
+        penalty = negative_penalty(F.col("doc_id"), F.slice("soft_ids", 1, 0), F.col("soft_ids"), F.lit(0.0), F.col("eta_soft"))
+        return rows.select("query_id", "doc_id", "sim", S.steady(fused(F.col("sim"), rec, F.col("lam"), penalty), 9).alias("score"))
+
+    if numbers > SHIPPED_NUMBERS:
+        rows = meeting(asked, corpus).withColumn("sim", V.dot(F.col("q"), F.col("e")))
+        return top_k(scored(rows), ["query_id"], "score", "doc_id", k)
+    held = asked.toArrow().combine_chunks()
+    kind = _type(corpus, "doc_id")
+    facts = {c: held[c].to_numpy() for c in ("lam", "t_star", "sigma", "eta_soft")} | {"q": _rows(held["q"].combine_chunks()) if n else None}
+    soft = held["soft_ids"].combine_chunks() if n else pa.array([], pa.list_(pa.int64()))
+    of = np.repeat(np.arange(n), np.diff(soft.offsets.to_numpy()) if n else [])
+    known = soft.flatten().unique()
+    code = pa.compute.index_in(soft.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    ids = held["query_id"].combine_chunks() if n else None
+    shared = prepare(asked.sparkSession).sparkContext.broadcast((ids, facts, known, code[order], of[order].astype(int)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, f, negatives, codes, of_query = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows if q_ids is not None else 0, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                sims = f["q"] @ _rows(batch.column(1)).T
+                days = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+                with np.errstate(invalid="ignore"):
+                    rec = np.exp(-np.maximum(0, f["t_star"][:, None] - days) / np.maximum(f["sigma"][:, None], S.EPS))
+                scores = (1 - f["lam"][:, None]) * sims + f["lam"][:, None] * np.nan_to_num(rec)
+                place = pa.compute.fill_null(pa.compute.index_in(batch.column(0), value_set=negatives), -1).to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero(place >= 0)
+                first, last = np.searchsorted(codes, place[rows]), np.searchsorted(codes, place[rows], "right")
+                row, at_ = np.repeat(rows, last - first), np.arange((last - first).sum()) + np.repeat(first - np.cumsum(last - first) + (last - first), last - first)
+                scores[of_query[at_], row] -= f["eta_soft"][of_query[at_]]
+                bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                query, row = np.nonzero(scores >= bound[:, None] - 1e-8)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(sims[query, row]), batch.column(2).take(pa.array(row))], names=["query_id", "doc_id", "sim", "time_days"])
+
+    found = corpus.select("doc_id", "e", F.col("time_days").cast("double")).mapInArrow(run, f"query_id {_type(asked, 'query_id')}, doc_id {kind}, sim double, time_days double")
+    return top_k(scored(found.join(F.broadcast(asked.drop("q")), "query_id")), ["query_id"], "score", "doc_id", k)
+
+
 def _surely_few(rows: DataFrame, most_bytes: int = 8 << 20) -> bool:
     """Whether the optimizer's own estimate of the size says that the rows fit on one machine."""
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
@@ -108,13 +160,26 @@ def in_blocks(rows: DataFrame, key: str, own: str, blocks: int, other: str, othe
     return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
 
+def row_bytes(rows: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 for a number, those of strings, and what arrays hold of either."""
+    out = F.lit(8 * len(rows.columns))
+    for f in rows.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith("array<"):
+            text = F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 8)
+            out = out + F.coalesce(text if kind == "array<string>" else 8 * F.greatest(F.size(c), F.lit(0)), F.lit(0))
+    return out
+
+
 def meeting(asked: DataFrame, corpus: DataFrame, few_bytes: int = 32 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """Every query beside every row of the corpus, a stated query set against all rows.
 
     The query side is broadcast if its rows take no more than few_bytes; else both sides are dealt in blocks by key,
     and every two blocks meet in a group of bounded size.
     """
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(row_bytes(asked)), F.lit(0))).first()
     if n * width <= few_bytes:
         return corpus.join(F.broadcast(asked), F.lit(True))
     q_blocks = -(-n * width // block_bytes)
