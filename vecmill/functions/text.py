@@ -298,9 +298,16 @@ def slot_body(text: Column, name: str) -> Column:
     return strip(F.regexp_extract(text, rf"(?s)<!-- EVOLVE:{name}:START -->(.*?)<!-- EVOLVE:{name}:END -->", 1))
 
 
-def with_slot(text: Column, name: str, body: str) -> Column:
-    """The text with one slot's body replaced. body must hold no `$` or backslash."""
-    return F.regexp_replace(text, rf"(?s)(<!-- EVOLVE:{name}:START -->).*?(<!-- EVOLVE:{name}:END -->)", f"$1\n{body}\n$2")
+def with_slot(text: Column, name: str, body: Column | str) -> Column:
+    """The text with one slot's body replaced; it is an error if the slot's marks are missing. Cut by position, so that a
+    body may hold anything."""
+    open_, close = (F.lit(f"<!-- EVOLVE:{name}:{x} -->") for x in ("START", "END"))
+    place = lambda mark, after: F.call_function("locate", mark, text, after)
+    start = place(open_, F.lit(1)) + F.length(open_)
+    end = F.when(place(open_, F.lit(1)) > 0, place(close, start)).otherwise(0)
+    new = F.regexp_replace(F.lit(body) if isinstance(body, str) else body, r"\s+$", "")
+    made = F.concat(F.substring(text, F.lit(1), start - 1), F.lit("\n"), new, F.lit("\n"), F.substring(text, end, F.length(text)))
+    return F.when(text.isNull() | (end > 0), made).otherwise(F.raise_error(F.lit(f"the marks of slot {name} are missing")))
 
 
 def backbone(text: Column) -> Column:

@@ -86,7 +86,7 @@ def memory_signals(hits: DataFrame) -> DataFrame:
     rows = hits.withColumn("__judged", judged)
     fixed = F.when(F.col("query_days").isNotNull(), F.lit(SIGMA_FLOOR))
     known = rows.where("__judged").withColumn("t_star", F.col("query_days")).withColumn("sigma", fixed)
-    known = known.withColumn("kappa", S.recency(F.col("time_days"), F.col("t_star"), F.col("sigma"))).withColumn("side", F.when(F.col("relevant"), "pos").when(F.col("negative"), "neg"))
+    known = known.withColumn("kappa", F.when(F.col("time_days").isNotNull(), S.recency(F.col("time_days"), F.col("t_star"), F.col("sigma")))).withColumn("side", F.when(F.col("relevant"), "pos").when(F.col("negative"), "neg"))
     timed = time_signals(rows.where("not __judged"))
     return known.unionByName(timed.select(*known.columns)).drop("__judged")
 
@@ -117,11 +117,18 @@ def rank_update(before: Column, estimate: Column, boost: Column, allowed: Column
 
 
 def filter_update(hits: DataFrame) -> DataFrame:
-    """hits (query_id, doc_id, rk, bound, relevant): (query_id, polluted, n_unbound, drop_ids), drops in order of rank."""
+    """hits (query_id, doc_id, rk, bound, relevant, negative): (query_id, polluted, n_unbound, drop_ids), drops in order of rank.
+
+    Hits without the question's terms are dropped, unless relevant, where the first hits are polluted by such, and
+    else where the review found them negative.
+    """
     unbound_top = F.sum((~F.col("bound") & (F.col("rk") <= POLLUTED_TOP)).cast("int"))
-    each = hits.groupBy("query_id").agg(unbound_top.alias("n_unbound"), F.array_sort(F.collect_list(F.when(~F.col("bound") & ~F.col("relevant"), F.struct("rk", "doc_id")))).alias("out"))
+    stray = ~F.col("bound") & ~F.col("relevant")
+    listed = F.array_sort(F.array_compact(F.collect_list(F.when(stray, F.struct("rk", "doc_id", "negative")))))
+    each = hits.groupBy("query_id").agg(unbound_top.alias("n_unbound"), listed.alias("out"))
     polluted = F.col("n_unbound") >= POLLUTED_LEAST
-    return each.select("query_id", polluted.alias("polluted"), "n_unbound", F.when(polluted, F.slice(F.transform("out", lambda x: x["doc_id"]), 1, DROP_CAP)).otherwise(F.slice(F.transform("out", lambda x: x["doc_id"]), 1, 0)).alias("drop_ids"))
+    dropped = F.transform(F.filter("out", lambda x: polluted | x["negative"]), lambda x: x["doc_id"])
+    return each.select("query_id", polluted.alias("polluted"), "n_unbound", F.slice(dropped, 1, DROP_CAP).alias("drop_ids"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -165,7 +172,7 @@ def two_means(hits: DataFrame, vector: str = "e") -> DataFrame:
 
 
 def multihop(clustered: DataFrame) -> DataFrame:
-    """hits (query_id, doc_id, sim, ov, cluster) with bonus and penalty, for questions that need several texts.
+    """hits (query_id, doc_id, sim, ov, cluster) with main, bonus and penalty, for questions that need several texts.
 
     The first cluster is that of the greatest mean overlap, then similarity (ties: cluster 0); hits of the other get a
     bonus if it has any overlap.  Hits without overlap get a penalty.  Fewer than four hits are no clusters.
@@ -174,6 +181,7 @@ def multihop(clustered: DataFrame) -> DataFrame:
     first = means.groupBy("query_id").agg(F.max(F.struct("__ov", "__s", (-F.col("cluster")).alias("neg")))["neg"].alias("__first"), F.sum("__n").alias("__hits"))
     rows = clustered.join(means.drop("__s", "__n"), ["query_id", "cluster"]).join(first, "query_id")
     other = (F.col("cluster") != -F.col("__first")) & (F.col("__hits") >= MULTIHOP_LEAST) & (F.col("__ov") > 1e-6)
+    rows = rows.withColumn("main", (F.col("cluster") == -F.col("__first")) & (F.col("__hits") >= MULTIHOP_LEAST))
     rows = rows.withColumn("bonus", F.when(other, DELTA_DIV).otherwise(0.0)).withColumn("penalty", F.when(F.col("ov") < 1e-6, ETA_MULTIHOP).otherwise(0.0))
     return rows.drop("__ov", "__first", "__hits")
 

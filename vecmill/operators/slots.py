@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vecmill.functions import text as T
+
 # The formulas as the slots show them.
 QUERY_SAME, RANK_SAME, FILTER_SAME = "恒等：q' = q", "恒等：score(d) = sim(q, d)", "恒等：keep(d) = true"
 QUERY_FORMULA = "Rocchio（向量空间，禁止文本拼接）\nq' = normalize(α q + β μ+ − γ μ−)\nα=%.4f β=%.4f γ=%.4f\n|M+|=%d |M−|=%d（仅计数与 id 指纹，无正文）"
 FOCUS_FORMULA = "memory-informed query focus（关键词，禁止粘贴会话正文）\nfocus: %s\nslate: S(d)=max(sim(q0,d), ω sim(v_slot,d)) − γ sim(μ_noise,d) (only if high noise-sim and low q0-sim); q stays q0\nω=%.4f γ=%.4f α=%.4f β_miss=%.4f"
 RANK_FORMULA = "线性融合（dense 内核不变；时序 κ / 多跳互补簇）\nscore(d) = (1−λ) sim(q', d) + λ κ(t_d) − η_s 1[d ∈ M_soft−] − η_h 1[d ∈ M_hard−] + δ 1[d ∈ D_div]\nκ(t) = exp(−max(0, t* − t) / σ)\nλ=%.4f η_s=%.4f η_h=%.4f t*=%s σ=%s\n|M_soft−|=%d |M_hard−|=%d"
+HOPS_FORMULA = "\nmulti-hop: +δ 1[d ∈ D_div] δ=%.4f |D_div|=%d"
 FILTER_FORMULA = "约束过滤（仅 bind 词与 id 指纹，禁止会话正文）\nscore(d) ← score(d) − η_f if d ∈ D_drop or (require_bind ∧ bind ∩ d = ∅)\nrequire_bind=%d η_f=%.4f |D_drop|=%d bind=%s\nD_drop ids: %s"
 SHOWN_IDS, FOCUS_CHARS = 8, 120
 
@@ -22,11 +25,14 @@ def query_body(active: Column, focus: Column, omega: Column, alpha: Column, beta
     return F.when(text == "", QUERY_SAME).otherwise(text)
 
 
-def rank_body(active: Column, lam: Column, eta_soft: Column, eta_hard: Column, t_star: Column, sigma: Column, n_soft: Column, n_hard: Column) -> Column:
+def rank_body(active: Column, lam: Column, eta_soft: Column, eta_hard: Column, t_star: Column, sigma: Column, n_soft: Column, n_hard: Column, n_div: Column | None = None, delta: Column | None = None) -> Column:
+    """Text of the rank slot; n_div, delta: texts of other clusters and their bonus, where a question needs several texts."""
+    n_div, delta = F.lit(0) if n_div is None else n_div, F.lit(0.0) if delta is None else delta
     number = lambda x: F.coalesce(F.format_string("%.2f", x), F.lit("na"))
     shown = lambda x: F.when(x.isNull(), "na").otherwise(number(x))
     text = F.format_string(RANK_FORMULA, lam, eta_soft, eta_hard, shown(t_star), shown(sigma), n_soft, n_hard)
-    return F.when(active & ((lam != 0) | (eta_soft != 0) | (eta_hard != 0)), text).otherwise(RANK_SAME)
+    text = F.concat(text, F.when(n_div > 0, F.format_string(HOPS_FORMULA, delta, n_div)).otherwise(""))
+    return F.when(active & ((lam != 0) | (eta_soft != 0) | (eta_hard != 0) | (n_div > 0)), text).otherwise(RANK_SAME)
 
 
 def filter_body(active: Column, require_bind: Column, eta: Column, drop_ids: Column, binds: Column) -> Column:
@@ -37,6 +43,26 @@ def filter_body(active: Column, require_bind: Column, eta: Column, drop_ids: Col
     return F.when(active & ((F.size(ids) > 0) | require_bind | (eta != 0)), text).otherwise(FILTER_SAME)
 
 
+#: A document with nothing but the three slots.
+DOCUMENT = "# Policy\n\n" + "\n\n".join(f"## {n.title()}\n<!-- EVOLVE:{n}:START -->\n<!-- EVOLVE:{n}:END -->" for n in T.SLOTS) + "\n"
+
+
+def rendered(document: Column, bodies: dict[str, Column]) -> Column:
+    """The document with these bodies in its slots."""
+    for name, body in bodies.items():
+        document = T.with_slot(document, name.upper(), body)
+    return document
+
+
+def document_violation(slot: Column, baseline: Column, before: Column, after: Column) -> Column:
+    """Why a changed document is not allowed, or null, as far as it can be told from documents alone: a slot is lost, or `violation`."""
+    lost = F.lit(False)
+    for name in T.SLOTS:
+        lost = lost | ~F.contains(after, F.lit(f"<!-- EVOLVE:{name}:START -->")) | ~F.contains(after, F.lit(f"<!-- EVOLVE:{name}:END -->"))
+    bodies = lambda d: {n.lower(): T.slot_body(d, n) for n in T.SLOTS}
+    return F.when(lost, "a slot is missing").otherwise(violation(slot, bodies(before), bodies(after), T.backbone(baseline), T.backbone(after)))
+
+
 def violation(slot: Column, before: dict[str, Column], after: dict[str, Column], backbone_before: Column, backbone_after: Column) -> Column:
     """Why a round's change is not allowed, or null: only the chosen slot's body may change, it has to, and nothing else may."""
     changed = {name: ~before[name].eqNullSafe(after[name]) for name in before}

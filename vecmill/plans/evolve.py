@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
-from vecmill.operators import analytics, loop, memory, sessions
+from vecmill.functions import text as T
+from vecmill.operators import analytics, guards, loop, memory, sessions
 from vecmill.plans import base
 from vecmill.plans.base import r
 from vecmill.plans.evolve_sql import ROUNDS, K, sql_evolve
-from vecmill.plans.memory_sql import sql_memory
+from vecmill.plans.memory_sql import CUED, GAPS, SAID, TASKS, sql_memory
 from vecmill.plans.registry import query
+from vecmill.plans.texts import sql_list
 from vecmill.session import table
 
 
@@ -46,18 +48,25 @@ def slot_adoption(spark, sf_dir):
     return analytics.adoption(log)
 
 
-def talks(spark, sf_dir):
-    """Questions: the first turn of each conversation. Texts: its later turns, forty days apart."""
+def talks(spark, sf_dir, cued=False):
+    """Questions: the first turn of each conversation. Texts: its later turns, forty days apart.
+
+    cued: every second conversation is asked a question without words to bind, of which all of its texts but one speak;
+    questions have tasks in turn, and texts are 120 days apart.
+    """
     c = table(spark, sf_dir, "conversations")
-    first = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
-    vectors = sessions.hashed_vectors(first, "query_id", "question").withColumnRenamed("e", "q0")
-    questions = first.join(vectors, "query_id").withColumn("query_days", F.lit(738640.0))
-    later = c.where("turn > 0").select(F.col("conv_id").alias("query_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text", (F.lit(738000.0) + F.col("turn") * 40).alias("time_days"))
+    first = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    vectors = sessions.hashed_vectors(first, "query_id", "text").withColumnRenamed("e", "q0")
+    odd = F.lit(cued) & (F.col("query_id") % 2 == 1)
+    task = F.get(F.array(*map(F.lit, TASKS)), (F.floor(F.col("query_id") / 2) % 3).cast("int") if cued else F.lit(0))
+    questions = first.select("query_id", F.when(odd, CUED).otherwise(F.col("text")).alias("question"), task.alias("task")).join(vectors, "query_id").withColumn("query_days", F.lit(738640.0))
+    said = F.when((F.col("turn") > 1) & (F.col("conv_id") % 2 == 1) & F.lit(cued), F.concat("text", F.lit(SAID))).otherwise(F.col("text"))
+    later = c.where("turn > 0").select(F.col("conv_id").alias("query_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), said.alias("text"), (F.lit(738000.0) + F.col("turn") * GAPS[cued]).alias("time_days"))
     texts = later.join(sessions.hashed_vectors(later, "doc_id", "text"), "doc_id")
     return questions, texts
 
 
-_MEMORY = sql_memory()
+_MEMORY, _CUED = sql_memory(), sql_memory(cued=True)
 
 
 @query("memory_loop", f"WITH {_MEMORY} SELECT query_id, doc_id, rk, {r('score')} AS score FROM evidence")
@@ -67,8 +76,53 @@ def memory_loop(spark, sf_dir):
     return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"))
 
 
-@query("memory_log", f"WITH {_MEMORY} SELECT query_id, round, covers, cause, slot, why, hop, {r('proxy')} AS proxy FROM log")
+@query("memory_log", f"WITH {_MEMORY} SELECT query_id, round, covers, cause, slot, accepted, why, hop, {r('proxy')} AS proxy FROM log")
 def memory_log(spark, sf_dir):
-    """What each round found and changed."""
+    """What each round found and changed, and whether the change was kept."""
     _, log = memory.evolve(*talks(spark, sf_dir), k=5)
     return log.withColumn("proxy", S.steady(F.col("proxy")))
+
+
+@query("memory_tasks", f"WITH {_CUED} SELECT e.query_id, doc_id, rk, {r('score')} AS score, task FROM evidence e JOIN asked USING (query_id)")
+def memory_tasks(spark, sf_dir):
+    """Final evidence where the way of ranking depends on the question's task: the review's, by time, or several hops."""
+    questions, texts = talks(spark, sf_dir, True)
+    hits = memory.run(questions, texts, k=5).evidence.join(questions.select("query_id", "task"), "query_id")
+    return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"), "task")
+
+
+@query("memory_documents", f"WITH {_CUED} SELECT query_id, document FROM papers")
+def memory_documents(spark, sf_dir):
+    """The policy document that each question ends with."""
+    return memory.run(*talks(spark, sf_dir, True), k=5).documents
+
+
+FORCED = ["none", "backbone", "slots", "passage", "lost"]
+_FORCED = f"({sql_list(FORCED)})[1 + a.query_id % 5]"
+
+
+def forced(texts):
+    """An editor that breaks one rule, by the number of the question, in every round: it changes text beside the slots, two slots,
+    puts the middle of one of the question's texts into the chosen slot, or takes a slot's mark away."""
+    piece = guards.pieces(texts, ["query_id"]).groupBy("query_id").agg(F.min("piece").alias("piece"))
+
+    def edit(rows):
+        d, slot = F.col("document"), F.upper("slot")
+        in_slot = lambda name, body: F.when(slot == name, T.with_slot(d, name, body))
+        other = F.when(slot == "RANK", T.with_slot(d, "FILTER", "changed too")).otherwise(T.with_slot(d, "RANK", "changed too, for $1 \\ 2"))
+        copy = F.concat(F.lit("as said: "), F.upper(F.col("piece")))
+        broken = F.when(F.col("query_id") % 5 == 1, F.concat(d, F.lit("more"))).when(F.col("query_id") % 5 == 2, other)
+        broken = broken.when(F.col("query_id") % 5 == 3, F.coalesce(*[in_slot(n, copy) for n in T.SLOTS], d)).when(F.col("query_id") % 5 == 4, F.replace(d, F.lit("<!-- EVOLVE:RANK:END -->"), F.lit("")))
+        return rows.join(piece, "query_id", "left").withColumn("document", F.coalesce(broken, d)).drop("piece")
+
+    return edit
+
+
+_BROKEN = sql_memory(cued=True, forced=f"CASE WHEN {_FORCED} <> 'passage' OR a.query_id IN (SELECT query_id FROM pieces) THEN {_FORCED} ELSE 'none' END")
+
+
+@query("guarded_log", f"WITH {_BROKEN} SELECT query_id, round, slot, accepted, why FROM log")
+def guarded_log(spark, sf_dir):
+    """The log of a loop whose documents an editor breaks, in a way for each question: such changes are rolled back."""
+    questions, texts = talks(spark, sf_dir, True)
+    return memory.run(questions, texts, k=5, edit=forced(texts)).log.select("query_id", "round", "slot", "accepted", "why")

@@ -104,11 +104,13 @@ def rank_update(spark, sf_dir):
     return rows.withColumn("u", out).select("query_id", "prev", "boost", F.coalesce(F.col("allowed").cast("string"), F.lit("unset")).alias("allowed"), S.steady(F.col("u.lam")).alias("lam"), F.col("u.eta_soft").alias("eta_soft"))
 
 
-@query("filter_update", f"""WITH {sql_hits(40)}, b AS (SELECT query_id, doc_id, rk, label = query_label AS bound, doc_id % 2 = 0 AS relevant FROM hits),
-n AS (SELECT query_id, sum((NOT bound AND rk <= 5)::INT) AS n_unbound, list(doc_id ORDER BY rk) FILTER (NOT bound AND NOT relevant) AS ids FROM b GROUP BY query_id)
-SELECT query_id, n_unbound >= 2 AS polluted, n_unbound::BIGINT AS n_unbound, CASE WHEN n_unbound >= 2 THEN coalesce(array_to_string(ids[1:24], ','), '') ELSE '' END AS drop_ids FROM n""")
+@query("filter_update", f"""WITH {sql_hits(40)}, b AS (SELECT query_id, doc_id, rk, label = query_label OR query_id % 100 = 0 AND rk <= 4 AS bound, doc_id % 2 = 0 AS relevant, doc_id % 3 = 0 AS negative FROM hits),
+n AS (SELECT query_id, sum((NOT bound AND rk <= 5)::INT) AS n_unbound, list(doc_id ORDER BY rk) FILTER (NOT bound AND NOT relevant) AS ids, list(doc_id ORDER BY rk) FILTER (NOT bound AND NOT relevant AND negative) AS noisy FROM b GROUP BY query_id)
+SELECT query_id, n_unbound >= 2 AS polluted, n_unbound::BIGINT AS n_unbound, coalesce(array_to_string((CASE WHEN n_unbound >= 2 THEN ids ELSE noisy END)[1:24], ','), '') AS drop_ids FROM n""")
 def filter_update(spark, sf_dir):
-    hits = base.hits(spark, sf_dir, 40).withColumn("bound", F.col("label") == F.col("query_label")).withColumn("relevant", F.col("doc_id") % 2 == 0)
+    """Every second question has hits that are bound at the top, so that they are not polluted."""
+    clean = (F.col("query_id") % 100 == 0) & (F.col("rk") <= 4)
+    hits = base.hits(spark, sf_dir, 40).withColumn("bound", (F.col("label") == F.col("query_label")) | clean).withColumn("relevant", F.col("doc_id") % 2 == 0).withColumn("negative", F.col("doc_id") % 3 == 0)
     u = policy.filter_update(hits)
     return u.select("query_id", "polluted", F.col("n_unbound").cast("long").alias("n_unbound"), F.array_join(F.array_compact(F.col("drop_ids")).cast("array<string>"), ",").alias("drop_ids"))
 
