@@ -10,7 +10,8 @@ from vecmill.operators import search
 from vecmill.plans import base
 from vecmill.plans.base import r, sql_hits
 from vecmill.plans.registry import query
-from vecmill.session import table
+from vecmill.session import scratch_path, table
+from vecmill.sources import files
 
 
 
@@ -126,6 +127,44 @@ def qrels_dedup(spark, sf_dir):
     return li.groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).agg(F.max(F.struct("l_linenumber", F.round("l_quantity").cast("int").alias("rel")))["rel"].alias("rel"))
 
 
+_JUDGED = """WITH j AS (SELECT l_orderkey::VARCHAR AS query_id, l_partkey::VARCHAR AS doc_id, trunc(l_quantity)::INTEGER AS rel, l_linenumber FROM lineitem)
+SELECT query_id, doc_id, arg_max(rel, l_linenumber) AS rel FROM j GROUP BY ALL"""
+
+
+@query("qrels_files", _JUDGED)
+def qrels_files(spark, sf_dir):
+    """Judgements written to text files, with headers, three and four columns and blank lines, and read again: the last line counts."""
+    path = scratch_path(spark, "qrels")
+    li = table(spark, sf_dir, "lineitem").repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber")
+    q, d, g = (F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_quantity"))
+    line = F.when(F.col("l_orderkey") % 2 == 0, F.concat_ws("\t", q, d, g)).otherwise(F.concat_ws("  ", q, F.lit("0"), d, g, F.lit("x")))
+    line = F.when(F.col("l_linenumber") == 3, F.concat(F.lit(" "), line, F.lit("\n"))).otherwise(line)
+    files.with_first_line(li.select(line.alias("value")), "Query-ID corpus-id score").write.text(path)
+    return files.read_qrels(spark, path)
+
+
+_TALKS = """WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+SELECT conv_id::VARCHAR AS question_id, conv_id || '-' || (turn // 2) AS session_id, 'day ' || (turn // 2) AS date, count(*) AS n_turns, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM c GROUP BY conv_id, turn // 2"""
+
+
+@query("instances_files", _TALKS)
+def instances_files(spark, sf_dir):
+    """Benchmark questions made of conversations, two turns a session, written as JSON arrays and read again by session."""
+    path = scratch_path(spark, "instances")
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null").withColumn("n", F.floor(F.col("turn") / 2))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("t")))), lambda x: x["t"])
+    each = c.groupBy("conv_id", "n").agg(turns.alias("turns")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "turns"))).alias("s"))
+    of = lambda f: F.transform("s", f)
+    q = F.col("conv_id").cast("string")
+    rows = each.select(
+        q.alias("question_id"), F.lit('quotes " and \\" {braces] ').alias("question_type"), F.lit("}{").alias("question"), F.lit("now").alias("question_date"), F.lit(None).cast("string").alias("answer"), F.array(F.lit("[")).alias("answer_session_ids"),
+        of(lambda x: F.concat(q, F.lit("-"), x["n"].cast("string"))).alias("haystack_session_ids"), of(lambda x: F.concat(F.lit("day "), x["n"].cast("string"))).alias("haystack_dates"), of(lambda x: x["turns"]).alias("haystack_sessions"),
+    )
+    files.write_json_array(rows, path)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["content"])), "\n")
+    return files.haystack(files.read_instances(spark, path)).select("question_id", "session_id", "date", F.size("turns").cast("long").alias("n_turns"), F.md5(said).alias("digest"))
+
+
 _RECENT = f"""{sql_hits(20)}, rec AS (
   SELECT *, CASE WHEN time_days IS NULL THEN 0 ELSE exp(-greatest(0, max(time_days) OVER (PARTITION BY query_id) - time_days) / greatest(greatest(stddev_pop(time_days) OVER (PARTITION BY query_id), 30), 1e-8)) END AS rec FROM hits)"""
 

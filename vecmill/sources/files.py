@@ -1,12 +1,20 @@
-"""Readers and writers of the formats that retrieval experiments use; all are DataFrames of one row per line."""
+"""Readers and writers of the formats that retrieval experiments use; all read files in splits."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecmill.functions.text import strip
 from vecmill.operators.search import top_k
+from vecmill.session import written
+
+ESCAPED = re.compile(r"\\.", re.DOTALL)
 
 
 def split_line(line: Column) -> Column:
@@ -14,34 +22,64 @@ def split_line(line: Column) -> Column:
 
 
 def parse_qrels(lines: DataFrame) -> DataFrame:
-    """lines (source, n, value) to (query_id, doc_id, rel): three columns, or four with an unused second one.
+    """lines (at, first, value) to (query_id, doc_id, rel): three columns, or four with an unused second one.
 
-    A header counts only as first line of its source; blank lines are skipped; of repeated judgements the last line
+    A header counts only as first line of its file; blank lines are skipped; of repeated judgements the last line
     wins; a line of another shape raises when it is read.
     """
     parts = lines.where(F.trim("value") != "").withColumn("p", split_line(F.col("value")))
-    data = parts.where(~((F.col("n") == 0) & F.lower(F.get("p", F.lit(0))).isin("query-id", "qid")))
+    data = parts.where(~(F.col("first") & F.lower(F.get("p", F.lit(0))).isin("query-id", "qid")))
     size = F.size("p")
     fields = F.when(size == 3, F.struct(F.get("p", F.lit(0)).alias("q"), F.get("p", F.lit(1)).alias("d"), F.get("p", F.lit(2)).alias("r"))).when(size >= 4, F.struct(F.get("p", F.lit(0)).alias("q"), F.get("p", F.lit(2)).alias("d"), F.get("p", F.lit(3)).alias("r"))).otherwise(F.raise_error(F.concat(F.lit("not a judgement: "), F.col("value"))))
-    rows = data.withColumn("f", fields).select("n", F.col("f.q").alias("query_id"), F.col("f.d").alias("doc_id"), F.col("f.r").cast("double").cast("int").alias("rel"))
-    return rows.groupBy("query_id", "doc_id").agg(F.max_by("rel", "n").alias("rel"))
+    rows = data.withColumn("f", fields).select("at", F.col("f.q").alias("query_id"), F.col("f.d").alias("doc_id"), F.col("f.r").cast("double").cast("int").alias("rel"))
+    return rows.groupBy("query_id", "doc_id").agg(F.max_by("rel", "at").alias("rel"))
+
+
+def line_place() -> Column:
+    """Where a line stands: file, first byte of its split, place within the split. Ascends along a file, however it is split."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+
+
+def ordered_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(at, first, value): the lines of text files with their place, and whether they are the first of their file.
+
+    Files are split as usual.  Rows of a split arrive in order, so the first row of a split at byte 0 is a file's first line.
+    """
+    raw = spark.read.text(path, lineSep=separator).select(line_place().alias("at"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple | None = None
+        for batch in batches:
+            file, block = (batch.column(0).field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.ones(len(file), bool)
+            new[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
+            if len(file):
+                new[0] = seen != (file[0], block[0])
+                seen = (file[-1], block[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new & (block == 0)), batch.column(1)], names=["at", "first", "value"])
+
+    return raw.mapInArrow(run, f"at {raw.schema['at'].dataType.simpleString()}, first boolean, value string")
+
 
+def with_first_line(lines: DataFrame, first: str) -> DataFrame:
+    """lines (value) with a line before those of each task, so that each file that is written begins with it."""
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, n, value): the lines of small text files with their number in the file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
-    return rows.where(F.col("value") != "")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([first])], names=["value"])
+        yield from batches
+
+    return lines.select("value").mapInArrow(run, "value string")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    return parse_qrels(numbered_lines(spark, path))
+    return parse_qrels(ordered_lines(spark, path))
 
 
 def read_texts(spark: SparkSession, path: str, title_mode: str = "concat_space") -> DataFrame:
     """JSON lines with _id, title, text (or contents, or query): (id, title, text, composed); the last line of an id wins."""
     raw = spark.read.schema("_id string, title string, text string, contents string, query string").json(path)
     text = F.coalesce("text", "contents", "query", F.lit(""))
-    rows = raw.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), text.alias("text"), F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("at"))
+    rows = raw.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), text.alias("text"), line_place().alias("at"))
     last = rows.groupBy("id").agg(F.max_by(F.struct("title", "text"), "at").alias("x")).select("id", "x.title", "x.text")
     return last.withColumn("composed", compose(F.col("title"), F.col("text"), title_mode))
 
@@ -80,9 +118,101 @@ TURN = "struct<role:string,content:string>"
 INSTANCE = f"question_id string, question_type string, question string, question_date string, answer string, answer_session_ids array<string>, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<array<{TURN}>>"
 
 
+def _steps(fragment: str) -> tuple[tuple[int, int], tuple[int, int]]:
+    """What a fragment of JSON, up to and with a closing brace, does to (inside a string, depth) if it begins outside a
+    string, and if it begins inside one."""
+    parts = ESCAPED.sub("", fragment).split('"')
+    out = []
+    for inside in (0, 1):
+        outside = "".join(parts[inside::2])
+        ends_inside = (len(parts) - 1 + inside) & 1
+        out.append((ends_inside, outside.count("{") + outside.count("[") - outside.count("]") - (not ends_inside)))
+    return out[0], out[1]
+
+
+def json_array(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the objects of files that hold a JSON array each, as text; another value than an array is an error.
+
+    Files are split and read up to closing braces.  Whether a brace closes an object of the array depends on all that
+    stands before it: each split is summed up for both cases, beginning inside a string or outside, and the sums, a row
+    per split, are put together in order.  With the states at the splits' beginnings a second pass cuts objects out; of those that
+    cross borders the parts are joined.
+    """
+    pieces = ordered_lines(spark, path, "}")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list] = {}
+        for batch in batches:
+            for at, first, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if first and not value.lstrip().startswith("["):
+                    raise ValueError(f"{at['file']}: not a list")
+                state = seen.setdefault((at["file"], at["block"]), [(0, 0), (1, 0)])
+                steps = _steps(value)
+                for i, (inside, depth) in enumerate(state):
+                    state[i] = steps[inside][0], depth + steps[inside][1]
+        rows = [(*k, *a, *b) for k, (a, b) in seen.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "block", "in0", "d0", "in1", "d1"])
+
+    each = pieces.mapInArrow(sums, "file string, block long, in0 long, d0 long, in1 long, d1 long")
+    begins: dict[tuple, tuple] = {}
+    file, state, number = None, (0, 0), 0
+    for r in each.orderBy("file", "block").toLocalIterator():  # a row per split
+        if r["file"] != file:
+            file, state, number = r["file"], (0, 0), 0
+        begins[file, r["block"]] = *state, number
+        state, number = ((r["in0"], state[1] + r["d0"]), (r["in1"], state[1] + r["d1"]))[state[0]], number + 1
+    known = spark.sparkContext.broadcast(begins)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole objects (part 0), and of each split what stands before the first end of one (1) and after the last one (2)."""
+        key, held, ended, inside, depth, number = None, [], False, 0, 0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for at, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (at["file"], at["block"]) != key:
+                    if held:
+                        out.append((key[0], number, 2 if ended else 1, False, "".join(held)))
+                    key, held, ended = (at["file"], at["block"]), [], False
+                    inside, depth, number = known.value[key]
+                inside, step = _steps(value)[inside]
+                depth += step
+                held.append(value + "}")
+                if not inside and depth == 1:
+                    out.append((key[0], number, 0 if ended else 1, True, "".join(held)))
+                    held, ended = [], True
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["file", "split", "part", "closed", "value"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (key[0], number, 2 if ended else 1, False, "".join(held))], names=["file", "split", "part", "closed", "value"])
+
+    rows = written(pieces.mapInArrow(cut, "file string, split long, part long, closed boolean, value string"), "objects")
+    # of the rest, at most two parts a split: a part without an end goes on with the next one
+    border = rows.where("part > 0")
+    order = Window.partitionBy("file").orderBy("split", "part")
+    number = F.coalesce(F.sum(F.col("closed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = border.withColumn("number", number).groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("split", "part", "value"))).alias("p"), F.max("closed").alias("closed"))
+    crossing = joined.where("closed").select(F.array_join(F.transform("p", lambda x: x["value"]), "").alias("value"))
+    return rows.where("part = 0").select("value").unionByName(crossing).select(F.regexp_replace("value", r"^[\s,\[]+", "").alias("value"))
+
+
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of benchmark questions, each with its own sessions."""
-    return spark.read.schema(INSTANCE).option("multiLine", True).json(path)
+    return json_array(spark, path).select(F.from_json("value", INSTANCE).alias("x")).select("x.*")
+
+
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """Files that hold a JSON array each, one object a line."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([mark + value])], names=["value"])
+                mark = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct("*"))).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def haystack(instances: DataFrame) -> DataFrame:
