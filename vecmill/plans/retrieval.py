@@ -127,15 +127,15 @@ def qrels_dedup(spark, sf_dir):
     return li.groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).agg(F.max(F.struct("l_linenumber", F.round("l_quantity").cast("int").alias("rel")))["rel"].alias("rel"))
 
 
-_JUDGED = """WITH j AS (SELECT l_orderkey::VARCHAR AS query_id, l_partkey::VARCHAR AS doc_id, trunc(l_quantity)::INTEGER AS rel, l_linenumber FROM lineitem)
-SELECT query_id, doc_id, arg_max(rel, l_linenumber) AS rel FROM j GROUP BY ALL"""
+_JUDGED = """WITH j AS (SELECT l_orderkey::VARCHAR AS query_id, l_partkey::VARCHAR AS doc_id, trunc(l_quantity)::INTEGER AS rel, l_linenumber * 1000 + l_quantity AS place FROM lineitem)
+SELECT query_id, doc_id, arg_max(rel, place) AS rel FROM j GROUP BY ALL"""
 
 
 @query("qrels_files", _JUDGED)
 def qrels_files(spark, sf_dir):
     """Judgements written to text files, with headers, three and four columns and blank lines, and read again: the last line counts."""
     path = scratch_path(spark, "qrels")
-    li = table(spark, sf_dir, "lineitem").repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_quantity")
     q, d, g = (F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_quantity"))
     line = F.when(F.col("l_orderkey") % 2 == 0, F.concat_ws("\t", q, d, g)).otherwise(F.concat_ws("  ", q, F.lit("0"), d, g, F.lit("x")))
     line = F.when(F.col("l_linenumber") == 3, F.concat(F.lit(" "), line, F.lit("\n"))).otherwise(line)

@@ -66,7 +66,8 @@ def with_first_line(lines: DataFrame, first: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([first])], names=["value"])
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
 
     return lines.select("value").mapInArrow(run, "value string")
 
