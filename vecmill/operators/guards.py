@@ -9,11 +9,18 @@ windows pass, which costs time, not correctness.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecmill.operators import slots
+from vecmill.session import written
+
 PIECE = 24  # fixed value
 LEAST_WORDS, MOST_WORDS = 16, 16_384
+COPIED = "a passage was copied"
+Editor = Callable[[DataFrame], DataFrame]  # (query_id, round, slot, document) to the same rows with documents edited
 
 
 def tight(text: Column) -> Column:
@@ -58,3 +65,24 @@ def copied(documents: DataFrame, found: DataFrame, marks: DataFrame, keys: list[
 
     windows = F.filter(F.regexp_extract_all("s", F.lit(f"(?s)(?=(.{{{PIECE}}}))"), F.lit(1)), passes)
     return rows.select(*own, F.explode(windows).alias("piece")).join(found, [*keys, "piece"], "left_semi").select(*ids).distinct()
+
+
+def settled(state: DataFrame, after: DataFrame, chosen: DataFrame, found: DataFrame | None = None, marks: DataFrame | None = None, keys: list[str] | None = None, edit: Editor | None = None) -> DataFrame:
+    """The states that questions go on with, the slot that was to change, and broken: why a change was rolled back, or null.
+
+    state, after: rows of (query_id, document, ...) before and after a round's change; chosen: (query_id, round, slot).
+    edit may rewrite the changed documents before they are checked: by the rules of `slots.document_violation`, and, if
+    pieces are given (`pieces`, `filters`), for copied passages.
+    """
+    if edit is not None:
+        edited = edit(after.join(chosen, "query_id").select("query_id", "round", "slot", "document"))
+        after = written(after.drop("document").join(edited.select("query_id", "document"), "query_id").select(*state.columns), "edited")
+    old = state.select("query_id", F.struct(*state.columns).alias("old"))
+    rows = after.select("query_id", F.struct(*state.columns).alias("new")).join(old, "query_id").join(chosen.select("query_id", "slot"), "query_id")
+    rule = slots.document_violation(F.col("slot"), F.col("old.document"), F.col("old.document"), F.col("new.document"))
+    if found is None:
+        rows = rows.withColumn("broken", rule)
+    else:
+        copies = copied(after.select("query_id", "document"), found, marks, keys, ["query_id"]).withColumn("copies", F.lit(True))
+        rows = rows.join(copies, "query_id", "left").withColumn("broken", F.coalesce(rule, F.when(F.col("copies"), COPIED)))
+    return rows.select(F.when(F.col("broken").isNull(), F.col("new")).otherwise(F.col("old")).alias("s"), "slot", "broken").select("s.*", "slot", "broken")

@@ -4,35 +4,44 @@ The state is a table with a row per question.  A question leaves the active tabl
 off with a written table, so plans do not grow with the rounds and a lost executor repeats one round at most.  Ids may
 be of any type.
 
-A round's change is rendered into the slots of the question's policy document and checked against the rules of the
-slots; a change that breaks one is rolled back, and the question goes on with its old state.
+A round's change is rendered into the slots of the question's policy document and checked there: nothing but the chosen
+slot may change, it has to, and no piece of the given texts may stand in the document (`guards`).  A change that
+breaks a rule is rolled back, and the question goes on with its old state.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
 from vecmill.functions import vectors as V
-from vecmill.operators import policy, search, slots
+from vecmill.operators import guards, policy, search, slots
 from vecmill.session import written
 
-STATE = ["query_id", "q0", "q", "beta", "gamma", "lam", "t_star", "sigma", "pos_ids", "soft_ids", "eta_soft", "used"]
+STATE = ["query_id", "q0", "q", "beta", "gamma", "lam", "t_star", "sigma", "pos_ids", "soft_ids", "eta_soft", "used", "document"]
 # Weights of the moved query.
 BETA, GAMMA = 0.75, 0.15
 
 
-def start(queries: DataFrame, id_type: str = "bigint") -> DataFrame:
+class Evolved(NamedTuple):
+    evidence: DataFrame  # (query_id, doc_id, sim, score, rk)
+    log: DataFrame  # (query_id, round, gap, slot, accepted, why, top)
+    documents: DataFrame  # (query_id, document)
+
+
+def start(queries: DataFrame, id_type: str = "bigint", document: str = slots.DOCUMENT) -> DataFrame:
     """queries: (query_id, q). The state before the first round; id_type is that of the corpus' ids."""
     ids = F.array().cast(f"array<{id_type}>")
     none, zero = F.lit(None).cast("double"), F.lit(0.0)
-    return queries.select(
+    first = queries.select(
         "query_id", F.col("q").alias("q0"), "q", zero.alias("beta"), zero.alias("gamma"), zero.alias("lam"), none.alias("t_star"), none.alias("sigma"),
         ids.alias("pos_ids"), ids.alias("soft_ids"), zero.alias("eta_soft"), F.array().cast("array<string>").alias("used"),
     )
+    return first.withColumn("document", slots.rendered(F.lit(document), bodies({n: F.col(n) for n in first.columns})))
 
 
 def retrieve(state: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -70,14 +79,16 @@ def bodies(c: dict[str, Column]) -> dict[str, Column]:
     return {
         "query": slots.query_body(used("query"), F.lit(""), zero, one, c["beta"], c["gamma"], F.size(c["pos_ids"]), F.size(c["soft_ids"])),
         "rank": slots.rank_body(used("rank"), c["lam"], c["eta_soft"], zero, c["t_star"], c["sigma"], F.size(c["soft_ids"]), F.lit(0)),
+        "filter": F.lit(slots.FILTER_SAME),
     }
 
 
-def moved(state: DataFrame, hits: DataFrame, actions: DataFrame) -> DataFrame:
+def moved(state: DataFrame, hits: DataFrame, actions: DataFrame, pieces: DataFrame | None = None, marks: DataFrame | None = None, edit: guards.Editor | None = None) -> DataFrame:
     """The state after the chosen slot of each question changed, with slot and broken (why it was rolled back, or null).
 
     actions: (query_id, gap, slot). Rocchio for query, recency and penalties for rank; the sides come from clusters for
-    an alias gap, else from time.  A query slot without any side becomes a rank slot.
+    an alias gap, else from time.  A query slot without any side becomes a rank slot.  pieces, marks: of texts that must
+    not be copied; edit: see `guards.settled`.
     """
     sided = policy.signals(hits.join(actions.select("query_id", "gap"), "query_id"))
     ids = lambda side: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("side") == side, F.col("doc_id")))))
@@ -99,18 +110,20 @@ def moved(state: DataFrame, hits: DataFrame, actions: DataFrame) -> DataFrame:
         "lam": F.when(is_rank, c("u.lam")).otherwise(c("lam")), "t_star": F.coalesce("new_t", "t_star"), "sigma": F.coalesce("new_sigma", "sigma"),
         "pos_ids": c("pos1"), "soft_ids": c("neg1"), "eta_soft": F.when(is_rank, c("u.eta_soft")).otherwise(c("eta_soft")), "used": F.array_union("used", F.array("slot")),
     }
-    backbone = F.lit("")  # a table of states has no text beside the slots
-    broken = slots.violation(c("slot"), bodies({n: c(n) for n in STATE}), bodies(after), backbone, backbone)
-    rows = rows.withColumn("broken", broken)
-    kept = [F.when(c("broken").isNull(), v).otherwise(c(n)).alias(n) for n, v in after.items()]
-    return rows.select(*kept, "slot", "broken")
+    after["document"] = slots.rendered(c("document"), bodies(after))
+    rows = written(rows.select(*[v.alias(n) for n, v in after.items()], "slot"), "changed")
+    chosen = rows.select("query_id", "slot").join(actions.select("query_id", actions["round"] if "round" in actions.columns else F.lit(None).cast("int").alias("round")), "query_id")
+    return guards.settled(state, rows.select(*STATE), chosen, pieces, marks, [], edit)
 
 
-def evolve(queries: DataFrame, corpus: DataFrame, k: int = 10, max_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(evidence, log). corpus: (doc_id, e, time_days); queries: (query_id, q); log: (query_id, round, gap, slot, accepted, why, top)."""
+def run(queries: DataFrame, corpus: DataFrame, k: int = 10, max_rounds: int = 3, document: str = slots.DOCUMENT, texts: DataFrame | None = None, edit: guards.Editor | None = None) -> Evolved:
+    """Evidence, log and final documents. corpus: (doc_id, e, time_days); queries: (query_id, q); texts: (text), none of whose
+    passages may be copied."""
+    pieces = None if texts is None else written(guards.pieces(texts, []), "pieces")
+    marks = None if texts is None else written(guards.filters(pieces, []), "marks")
     corpus = written(corpus.select("doc_id", "e", F.col("time_days").cast("double").alias("time_days")), "corpus")
-    state = written(start(queries, corpus.schema["doc_id"].dataType.simpleString()), "state")
-    evidence, logs = [], []
+    state = written(start(queries, corpus.schema["doc_id"].dataType.simpleString(), document), "state")
+    evidence, logs, documents = [], [], []
     for n in range(1, max_rounds + 1):
         hits = written(policy.two_means(retrieve(state, corpus, k)), "hits")  # clustered once for diagnosis and signals
         seen = diagnosed(hits, state).join(state.select("query_id", "used"), "query_id")
@@ -120,10 +133,17 @@ def evolve(queries: DataFrame, corpus: DataFrame, k: int = 10, max_rounds: int =
         stopped = actions.where("slot is null")
         logs.append(stopped.withColumn("accepted", F.lit(True)))
         evidence.append(hits.join(stopped.select("query_id"), "query_id", "left_semi").select("query_id", "doc_id", "sim", "score", "rk"))
+        documents.append(state.join(stopped.select("query_id"), "query_id", "left_semi").select("query_id", "document"))
         going = actions.where("slot is not null")
         if n == max_rounds or going.isEmpty():
             break
-        after = written(moved(state, hits, going), "state")
+        after = written(moved(state, hits, going, pieces, marks, edit), "state")
         logs.append(going.drop("slot").join(after.select("query_id", "slot", "broken"), "query_id").withColumn("accepted", F.col("broken").isNull()).withColumn("why", F.coalesce(F.concat(F.lit("rollback: "), "broken"), "why")).drop("broken"))
         state = after.select(*STATE)
-    return reduce(DataFrame.unionByName, evidence), reduce(DataFrame.unionByName, logs).select("query_id", "round", "gap", "slot", "accepted", "why", "top")
+    log = reduce(DataFrame.unionByName, logs).select("query_id", "round", "gap", "slot", "accepted", "why", "top")
+    return Evolved(reduce(DataFrame.unionByName, evidence), log, reduce(DataFrame.unionByName, documents))
+
+
+def evolve(queries: DataFrame, corpus: DataFrame, k: int = 10, max_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(evidence, log) of `run`."""
+    return run(queries, corpus, k, max_rounds)[:2]

@@ -28,9 +28,7 @@ from vecmill.session import written
 
 # Weights of the phrase, of the noise and of a moved query.
 PHRASE_WEIGHT, NOISE_WEIGHT, BETA = 0.85, 0.15, 0.75
-COPIED = "a passage was copied"
 Encoder = Callable[[DataFrame, str, str], DataFrame]  # texts, key, text to (key, e)
-Editor = Callable[[DataFrame], DataFrame]  # (query_id, round, slot, document) to the same rows with documents edited
 
 
 class Evolved(NamedTuple):
@@ -159,20 +157,7 @@ def changed(state: DataFrame, hits: DataFrame, acts: DataFrame, encode: Encoder
     return moved.withColumn("document", slots.rendered(F.col("document"), bodies(F.col))).select(*state.columns)
 
 
-def settled(state: DataFrame, after: DataFrame, slots_: DataFrame, pieces: DataFrame, marks: DataFrame) -> DataFrame:
-    """The states that questions go on with, and broken: why a change was rolled back, or null.
-
-    after: their changed states; slots_: (query_id, slot); pieces, marks: those of the questions' texts (`guards`).
-    """
-    copies = guards.copied(after.select("query_id", "document"), pieces, marks, ["query_id"], ["query_id"]).withColumn("copies", F.lit(True))
-    old = state.select("query_id", F.struct(*state.columns).alias("old"))
-    rows = after.select("query_id", F.struct(*state.columns).alias("new")).join(old, "query_id").join(slots_, "query_id").join(copies, "query_id", "left")
-    rule = slots.document_violation(F.col("slot"), F.col("old.document"), F.col("old.document"), F.col("new.document"))
-    rows = rows.withColumn("broken", F.coalesce(rule, F.when(F.col("copies"), COPIED)))
-    return rows.select(F.when(F.col("broken").isNull(), F.col("new")).otherwise(F.col("old")).alias("s"), "broken").select("s.*", "broken")
-
-
-def run(questions: DataFrame, texts: DataFrame, k: int = 10, max_rounds: int = 3, encode: Encoder = sessions.hashed_vectors, edit: Editor | None = None) -> Evolved:
+def run(questions: DataFrame, texts: DataFrame, k: int = 10, max_rounds: int = 3, encode: Encoder = sessions.hashed_vectors, edit: guards.Editor | None = None) -> Evolved:
     """Evidence, log and final documents of all questions. encode makes vectors of phrases; edit may rewrite a changed
     document before it is checked."""
     texts = written(texts.select("query_id", "doc_id", "text", "e", F.col("time_days").cast("double").alias("time_days")), "texts")
@@ -199,10 +184,7 @@ def run(questions: DataFrame, texts: DataFrame, k: int = 10, max_rounds: int = 3
         if n == max_rounds or going.isEmpty():
             break
         after = written(changed(state, hits, going, encode), "changed")
-        if edit is not None:
-            edited = edit(after.join(going.select("query_id", "round", "slot"), "query_id").select("query_id", "round", "slot", "document"))
-            after = written(after.drop("document").join(edited.select("query_id", "document"), "query_id").select(*after.columns), "edited")
-        kept = written(settled(state, after, going.select("query_id", "slot"), pieces, marks), "state")
+        kept = written(guards.settled(state, after, going.select("query_id", "round", "slot"), pieces, marks, ["query_id"], edit).drop("slot"), "state")
         why = F.coalesce(F.concat(F.lit("rollback: "), "broken"), "why")
         logs.append(going.join(kept.select("query_id", "broken"), "query_id").withColumn("accepted", F.col("broken").isNull()).withColumn("why", why).select(*shown))
         state = kept.drop("broken")

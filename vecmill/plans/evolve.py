@@ -21,7 +21,7 @@ def _run(spark, sf_dir):
     corpus = u.select(F.col("vec_id").alias("doc_id"), F.col("u").alias("e")).join(base.dated(spark, sf_dir), "doc_id", "left")
     # dates are stretched by 40, so that thresholds of months apply to the month that the events span
     corpus = corpus.withColumn("time_days", (F.col("time_days") - 738886) * 40)
-    return loop.evolve(base.queries_of(u), corpus, k=K, max_rounds=ROUNDS)
+    return loop.run(base.queries_of(u), corpus, k=K, max_rounds=ROUNDS)
 
 
 _LOOP = sql_evolve()
@@ -30,24 +30,30 @@ _LOOP = sql_evolve()
 @query("evolve_loop", f"WITH {_LOOP} SELECT query_id, doc_id, rk, {r('score')} AS score FROM evidence")
 def evolve_loop(spark, sf_dir):
     """Final evidence of each question."""
-    hits, _ = _run(spark, sf_dir)
+    hits = _run(spark, sf_dir).evidence
     return hits.select("query_id", "doc_id", F.col("rk").cast("long").alias("rk"), S.steady(F.col("score")).alias("score"))
 
 
 @query("evolve_log", f"WITH {_LOOP} SELECT query_id, round, gap, slot, accepted, why, array_to_string(top, ',') AS top FROM log")
 def evolve_log(spark, sf_dir):
     """One row per question and round: gap, slot, whether the change was kept, reason, and the ids on top."""
-    _, log = _run(spark, sf_dir)
+    log = _run(spark, sf_dir).log
     return log.select("query_id", "round", "gap", "slot", "accepted", "why", F.array_join(F.col("top").cast("array<string>"), ",").alias("top"))
 
 
 @query("slot_adoption", f"WITH {_LOOP} SELECT coalesce(slot, 'none') AS slot, why, round, count(*) AS n FROM log GROUP BY ALL")
 def slot_adoption(spark, sf_dir):
     """How often each slot was changed, for which reason, in which round."""
-    _, log = _run(spark, sf_dir)
+    log = _run(spark, sf_dir).log
     return analytics.adoption(log)
 
 
+@query("evolve_documents", f"WITH {_LOOP} SELECT query_id, document FROM papers")
+def evolve_documents(spark, sf_dir):
+    """The policy document that each question ends with."""
+    return _run(spark, sf_dir).documents
+
+
 def talks(spark, sf_dir, cued=False):
     """Questions: the first turn of each conversation. Texts: its later turns, forty days apart.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vecmill.plans import base
+from vecmill.plans.memory_sql import sql_shown
 from vecmill.plans.statistics import sql_means, sql_two_means
 
 K, ROUNDS = 20, 3
@@ -41,6 +42,8 @@ def _round(n: int) -> list[str]:
   WHEN NOT list_contains(used, 'rank') AND NOT (gap = 'time' AND nt < 5) THEN 'rank' END AS slot FROM gk{n})""",
         f"stop{n} AS (SELECT query_id, {n} AS round, gap, slot, true AS accepted, CASE WHEN gap IN ('sufficient', 'unanswerable', 'unknown') THEN gap WHEN {n} = {ROUNDS} THEN 'max_rounds' ELSE 'no eligible slot' END AS why, top FROM act{n} WHERE slot IS NULL)",
         f"final{n} AS (SELECT query_id, doc_id, rk, score FROM {h} WHERE query_id IN (SELECT query_id FROM stop{n}))",
+        f"full{n} AS (SELECT *, '' AS focus, 0::DOUBLE AS omega, 0::DOUBLE AS eta_hard, [] AS hard_ids, [] AS div_ids, 0::DOUBLE AS delta, []::VARCHAR[] AS binds, [] AS drop_ids, false AS require_bind, 0::DOUBLE AS filter_eta FROM {s})",
+        f"paper{n} AS (SELECT query_id, document FROM {sql_shown(f'full{n}')} WHERE query_id IN (SELECT query_id FROM stop{n}))",
     ]
     if n == ROUNDS:
         return parts
@@ -85,4 +88,5 @@ def sql_evolve() -> str:
         parts += _round(n)
     parts.append("evidence AS (" + " UNION ALL ".join(f"SELECT * FROM final{n}" for n in range(1, ROUNDS + 1)) + ")")
     parts.append("log AS (" + " UNION ALL ".join([*(f"SELECT * FROM stop{n}" for n in range(1, ROUNDS + 1)), *(f"SELECT * FROM went{n}" for n in range(1, ROUNDS))]) + ")")
+    parts.append("papers AS (" + " UNION ALL ".join(f"SELECT * FROM paper{n}" for n in range(1, ROUNDS + 1)) + ")")
     return ", ".join(parts)
