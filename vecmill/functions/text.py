@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -117,7 +118,8 @@ def strip(text: Column) -> Column:
 
 
 def words(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    """A constant array: one string that is split, which is folded when the query is planned."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f") if values else F.array().cast("array<string>")
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -294,6 +296,11 @@ def json_object(text: Column, keys: list[str]) -> Column:
 SLOTS = ["QUERY", "RANK", "FILTER"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is written, and worked out, once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def slot_body(text: Column, name: str) -> Column:
     return strip(F.regexp_extract(text, rf"(?s)<!-- EVOLVE:{name}:START -->(.*?)<!-- EVOLVE:{name}:END -->", 1))
 
@@ -302,12 +309,18 @@ def with_slot(text: Column, name: str, body: Column | str) -> Column:
     """The text with one slot's body replaced; it is an error if the slot's marks are missing. Cut by position, so that a
     body may hold anything."""
     open_, close = (F.lit(f"<!-- EVOLVE:{name}:{x} -->") for x in ("START", "END"))
-    place = lambda mark, after: F.call_function("locate", mark, text, after)
-    start = place(open_, F.lit(1)) + F.length(open_)
-    end = F.when(place(open_, F.lit(1)) > 0, place(close, start)).otherwise(0)
+    place = lambda mark, t, after: F.call_function("locate", mark, t, after)
     new = F.regexp_replace(F.lit(body) if isinstance(body, str) else body, r"\s+$", "")
-    made = F.concat(F.substring(text, F.lit(1), start - 1), F.lit("\n"), new, F.lit("\n"), F.substring(text, end, F.length(text)))
-    return F.when(text.isNull() | (end > 0), made).otherwise(F.raise_error(F.lit(f"the marks of slot {name} are missing")))
+
+    def cut(t: Column) -> Column:
+        start = place(open_, t, F.lit(1))
+        return F.struct(t.alias("t"), (start + F.length(open_)).alias("a"), F.when(start > 0, place(close, t, start)).otherwise(0).alias("b"))
+
+    def joined(x: Column) -> Column:
+        made = F.concat(F.substring(x["t"], F.lit(1), x["a"] - 1), F.lit("\n"), new, F.lit("\n"), F.substring(x["t"], x["b"], F.length(x["t"])))
+        return F.when(x["t"].isNull() | (x["b"] > 0), made).otherwise(F.raise_error(F.lit(f"the marks of slot {name} are missing")))
+
+    return let(let(text, cut), joined)
 
 
 def backbone(text: Column) -> Column:

@@ -49,7 +49,7 @@ def filters(found: DataFrame, keys: list[str]) -> DataFrame:
     marked = rows.select(*keys, F.shiftright(place, 6).cast("int").alias("i"), one.alias("x"))
     empty = counts.select(*keys, F.explode(F.sequence(F.lit(0), F.col("words") - 1)).alias("i"), F.lit(0).cast("long").alias("x"))
     dense = marked.unionByName(empty).groupBy(*keys, "i").agg(F.bit_or("x").alias("x"))
-    return dense.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("bits"))
+    return dense.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("bits")).where(F.size("bits") > 0)
 
 
 def copied(documents: DataFrame, found: DataFrame, marks: DataFrame, keys: list[str], ids: list[str], text: str = "document") -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
 from vecmill.functions import vectors as V
+from vecmill.functions.text import let
 
 # Thresholds and step sizes.
 MIN_NEFF, SIM_FLOOR, SPREAD_REF, SEPARATION_REF = 5.0, 0.12, 0.35, 0.25
@@ -131,11 +130,6 @@ def filter_update(hits: DataFrame) -> DataFrame:
     return each.select("query_id", polluted.alias("polluted"), "n_unbound", F.slice(dropped, 1, DROP_CAP).alias("drop_ids"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _split(gram: Column) -> Column:
     """Clusters, 0 or 1, of rows whose inner products are given (array of arrays), by Lloyd steps.
 
@@ -147,12 +141,12 @@ def _split(gram: Column) -> Column:
     least = F.array_position(F.get(gram, 0), F.array_min(F.get(gram, 0)))
 
     def weights(far: Column, side: bool, before: Column) -> Column:
-        return _let(F.size(F.filter(far, lambda x: x == side)), lambda m: F.when(m == 0, before).otherwise(F.transform(far, lambda x: F.when(x == side, one / m).otherwise(0.0))))
+        return let(F.size(F.filter(far, lambda x: x == side)), lambda m: F.when(m == 0, before).otherwise(F.transform(far, lambda x: F.when(x == side, one / m).otherwise(0.0))))
 
     def step(s: Column, _: Column) -> Column:
         near = lambda w: F.transform(gram, lambda row: V.dot(row, w))
-        far = _let(F.struct(near(s["a"]).alias("a"), near(s["b"]).alias("b")), lambda p: _let(V.dot(p["b"], s["b"]) - V.dot(p["a"], s["a"]), lambda d: F.zip_with(p["a"], p["b"], lambda x, y: d - 2.0 * y < -2.0 * x - 1e-12)))
-        return _let(far, lambda f: F.struct(weights(f, False, s["a"]).alias("a"), weights(f, True, s["b"]).alias("b"), f.alias("far")))
+        far = let(F.struct(near(s["a"]).alias("a"), near(s["b"]).alias("b")), lambda p: let(V.dot(p["b"], s["b"]) - V.dot(p["a"], s["a"]), lambda d: F.zip_with(p["a"], p["b"], lambda x, y: d - 2.0 * y < -2.0 * x - 1e-12)))
+        return let(far, lambda f: F.struct(weights(f, False, s["a"]).alias("a"), weights(f, True, s["b"]).alias("b"), f.alias("far")))
 
     begin = F.struct(only(F.lit(1)).alias("a"), only(least).alias("b"), F.transform(places, lambda j: F.lit(False)).alias("far"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(LLOYD_STEPS)), begin, step, lambda s: F.transform(s["far"], lambda x: x.cast("int")))
