@@ -178,7 +178,7 @@ def _probe(spark, sf_dir):
     return before, seen, after, questions.select("query_id", (F.col("query_id") * 100 + 1).alias("doc_id"))
 
 
-_PROBE = memory_sql.sql_memory(rounds=2).replace("act[1] AS slot, hop", "'query' AS slot, hop").replace("FROM act1 WHERE act[1] <> ''", "FROM act1 WHERE hop <> ''")
+_PROBE = memory_sql.sql_memory(rounds=2, probe=True)
 
 
 @query("slate_probe", f"""WITH {_PROBE}, a AS (SELECT query_id, rk FROM hits1 WHERE doc_id = query_id * 100 + 1), b AS (SELECT query_id, rk FROM hits2 WHERE doc_id = query_id * 100 + 1)

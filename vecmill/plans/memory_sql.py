@@ -59,7 +59,7 @@ def sql_shown(state: str) -> str:
 _FIELDS = "question query_days task q0 q v mu omega beta gamma focus pos_ids soft_ids hard_ids eta_soft eta_hard lam t_star sigma div_ids delta binds drop_ids require_bind filter_eta used proxy last".split()
 
 
-def _round(n: int, rounds: int, forced: str) -> list[str]:
+def _round(n: int, rounds: int, forced: str, probe: bool) -> list[str]:
     s, h = f"state{n}", f"hits{n}"
     rec = "CASE WHEN t.time_days IS NULL OR t_star IS NULL OR sigma IS NULL THEN 0 ELSE exp(-greatest(0, t_star - t.time_days) / greatest(sigma, 1e-8)) END"
     parts = [
@@ -92,10 +92,11 @@ def _round(n: int, rounds: int, forced: str) -> list[str]:
         by("delta", rank="CASE WHEN task = 'multihop' THEN CASE WHEN len(others) > 0 THEN 0.12::DOUBLE ELSE 0 END ELSE delta END"), by("binds", filter_="own_binds"), by("drop_ids", filter_="drops"), by("require_bind", filter_="polluted"),
         by("filter_eta", filter_="CASE WHEN polluted OR len(drops) > 0 THEN 0.75::DOUBLE ELSE 0 END"), "list_append(used, slot) AS used", "proxy1 AS proxy", "slot AS last",
     ]
+    slot = "'query'" if probe else "act[1]"
     listed = lambda condition: f"coalesce(list(doc_id ORDER BY rk) FILTER ({condition}), [])"
     return [
         *parts,
-        f"go{n} AS MATERIALIZED (SELECT query_id, act[1] AS slot, hop, relevant_ids AS pos1, soft_ids AS soft1, hard_ids AS hard1, time_mismatch, proxy AS proxy1, CASE WHEN act[1] = 'rank' THEN task ELSE '' END AS way FROM act{n} JOIN (SELECT query_id, task FROM {s}) USING (query_id) WHERE act[1] <> '')",
+        f"go{n} AS MATERIALIZED (SELECT query_id, {slot} AS slot, hop, relevant_ids AS pos1, soft_ids AS soft1, hard_ids AS hard1, time_mismatch, proxy AS proxy1, CASE WHEN {slot} = 'rank' THEN task ELSE '' END AS way FROM act{n} JOIN (SELECT query_id, task FROM {s}) USING (query_id) WHERE {'hop' if probe else slot} <> '')",
         f"ph{n} AS MATERIALIZED (SELECT query_id, hop FROM go{n} WHERE slot = 'query')",
         f"pv{n} AS MATERIALIZED {sql_hashed(f'ph{n}', 'query_id', 'hop')}",
         f"jd{n} AS MATERIALIZED (SELECT h.*, way, list_contains(pos1, doc_id) AS relevant, list_contains(soft1, doc_id) OR list_contains(hard1, doc_id) AS negative FROM {h} h JOIN go{n} USING (query_id))",
@@ -127,7 +128,7 @@ def _round(n: int, rounds: int, forced: str) -> list[str]:
         f"""rule{n} AS MATERIALIZED (SELECT query_id, CASE forced WHEN 'backbone' THEN 'backbone changed' WHEN 'slots' THEN 'another slot changed' WHEN 'lost' THEN 'a slot is missing' END AS first_rule,
   CASE WHEN (slot <> 'query' AND q1 <> q2) OR (slot <> 'rank' AND r1 <> r2) OR (slot <> 'filter' AND f1 <> f2) THEN 'another slot changed' WHEN CASE slot WHEN 'query' THEN q1 = q2 WHEN 'rank' THEN r1 = r2 ELSE f1 = f2 END THEN 'the slot did not change' END AS rule,
   forced = 'passage' OR query_id IN (SELECT query_id FROM (SELECT query_id, regexp_replace(lower(made), '\\s+', '', 'g') AS tight FROM shown{n}) d JOIN pieces p USING (query_id) WHERE contains(tight, piece)) AS copies FROM shown{n})""",
-        f"why{n} AS MATERIALIZED (SELECT query_id, coalesce(first_rule, rule, CASE WHEN copies THEN 'a passage was copied' END) AS broken FROM rule{n})",
+        f"why{n} AS MATERIALIZED (SELECT query_id, {'NULL' if probe else "coalesce(first_rule, rule, CASE WHEN copies THEN 'a passage was copied' END)"} AS broken FROM rule{n})",
         f"state{n + 1} AS MATERIALIZED (SELECT query_id, {', '.join(f'CASE WHEN broken IS NULL THEN a.{c} ELSE b.{c} END AS {c}' for c in _FIELDS)} FROM made{n} a JOIN {s} b USING (query_id) JOIN why{n} USING (query_id))",
         f"went{n} AS (SELECT query_id, {n} AS round, covers, cause, act[1] AS slot, broken IS NULL AS accepted, coalesce('rollback: ' || broken, act[2]) AS why, hop, proxy FROM act{n} JOIN why{n} USING (query_id))",
     ]
@@ -138,9 +139,10 @@ def _round(n: int, rounds: int, forced: str) -> list[str]:
 CUED, SAID, GAPS, TASKS = "How long was it last year?", " It took long last year.", (40, 120), ["", "time", "multihop"]
 
 
-def sql_memory(rounds: int = ROUNDS, cued: bool = False, forced: str = "''") -> str:
+def sql_memory(rounds: int = ROUNDS, cued: bool = False, forced: str = "''", probe: bool = False) -> str:
     """WITH-parts evidence (query_id, doc_id, rk, score), log (query_id, round, covers, cause, slot, accepted, why, hop,
-    proxy) and papers (query_id, document). forced: SQL for the kind of violation that an editor forces on a.query_id in round {n}."""
+    proxy) and papers (query_id, document). forced: SQL for the kind of violation that an editor forces on a.query_id in round
+    {n}. probe: every question that has a phrase searches for it, unchecked."""
     distinctive = f"list_filter({sql_binds('question')}, lambda v: length(v) >= 4 AND NOT list_contains({sql_list(T.WEAK_BINDS)}, v))[1:6]"
     question = f"CASE WHEN conv_id % 2 = 1 THEN {lit(CUED)} ELSE text END" if cued else "text"
     task = f"({sql_list(TASKS)})[1 + (conv_id // 2) % 3]" if cued else "''"
@@ -160,7 +162,7 @@ def sql_memory(rounds: int = ROUNDS, cued: bool = False, forced: str = "''") ->
   {none} AS div_ids, 0::DOUBLE AS delta, []::VARCHAR[] AS binds, {none} AS drop_ids, false AS require_bind, 0::DOUBLE AS filter_eta, []::VARCHAR[] AS used, -1::DOUBLE AS proxy, '' AS last FROM asked a JOIN qe USING (query_id))""",
     ]
     for n in range(1, rounds + 1):
-        parts += [p.removeprefix(SQL_GROUPS + ",\n") for p in _round(n, rounds, forced)]
+        parts += [p.removeprefix(SQL_GROUPS + ",\n") for p in _round(n, rounds, forced, probe)]
     all_of = lambda name, last: " UNION ALL ".join(f"SELECT * FROM {name}{n}" for n in range(1, last + 1))
     parts += [f"evidence AS ({all_of('final', rounds)})", f"log AS ({all_of('stop', rounds)} UNION ALL {all_of('went', rounds - 1)})", f"papers AS ({all_of('paper', rounds)})"]
     return ", ".join(parts)
