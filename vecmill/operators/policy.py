@@ -47,7 +47,7 @@ def time_signals(hits: DataFrame) -> DataFrame:
     one = weighted.withColumn("mu", mean).withColumn("t_star", F.coalesce("query_days", quantile) if "query_days" in hits.columns else quantile)
     two = one.withColumn("sigma", F.greatest(F.sqrt(F.greatest(F.sum(F.col("w") * F.pow(F.col("time_days") - F.col("mu"), 2)).over(w) / F.sum("w").over(w), F.lit(0.0))), F.lit(SIGMA_FLOOR)))
     three = two.withColumn("kappa", S.recency(F.col("time_days"), F.col("t_star"), F.col("sigma")))
-    side = F.when((F.col("time_days") < F.col("t_star") - F.col("sigma")) & (F.col("sim") > 0), "neg").when(F.col("kappa") >= float(np.exp(-1.0)), "pos")
+    side = F.when((F.col("time_days") < F.col("t_star") - F.col("sigma")) & (F.col("sim") > 1e-12), "neg").when(F.col("kappa") >= float(np.exp(-1.0)), "pos")
     return three.withColumn("side", side)
 
 

@@ -108,7 +108,7 @@ def _round(n: int, rounds: int, forced: str, probe: bool) -> list[str]:
         f"ts{n} AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS nd, {_softmax('sim', 'query_id', '0.15')} AS w FROM jd{n} WHERE way = 'time' AND time_days IS NOT NULL)",
         f"tt{n} AS (SELECT query_id, sum(w * time_days) / sum(w) AS m FROM ts{n} GROUP BY query_id)",
         f"tv{n} AS (SELECT t.query_id, greatest(30, sqrt(greatest(0, sum(w * pow(time_days - m, 2)) / sum(w)))) AS sg FROM ts{n} t JOIN tt{n} USING (query_id) GROUP BY t.query_id)",
-        f"tk{n} AS (SELECT t.query_id, doc_id, rk, sim, query_days AS t1, sg, exp(-greatest(0, query_days - time_days) / sg) AS kappa, CASE WHEN time_days < query_days - sg AND sim > 0 THEN 'neg' WHEN exp(-greatest(0, query_days - time_days) / sg) >= exp(-1::DOUBLE) THEN 'pos' END AS side FROM ts{n} t JOIN tv{n} USING (query_id) WHERE nd >= 2)",
+        f"tk{n} AS (SELECT t.query_id, doc_id, rk, sim, query_days AS t1, sg, exp(-greatest(0, query_days - time_days) / sg) AS kappa, CASE WHEN time_days < query_days - sg AND sim > 1e-12 THEN 'neg' WHEN exp(-greatest(0, query_days - time_days) / sg) >= exp(-1::DOUBLE) THEN 'pos' END AS side FROM ts{n} t JOIN tv{n} USING (query_id) WHERE nd >= 2)",
         f"sd{n} AS MATERIALIZED (SELECT * FROM rs{n} UNION ALL SELECT * FROM tk{n})",
         f"lh{n} AS (SELECT query_id, max(t1) AS new_t, max(sg) AS new_sigma, {listed('side = ' + lit('pos'))} AS sig_pos, {listed('side = ' + lit('neg'))} AS sig_neg, avg(kappa) FILTER (side = 'pos') AS kp, coalesce(avg(kappa) FILTER (side = 'neg'), 0) AS kn, avg(sim) FILTER (side = 'pos') AS sp, coalesce(avg(sim) FILTER (side = 'neg'), 0) AS sn FROM sd{n} GROUP BY query_id)",
         f"mj{n} AS MATERIALIZED (SELECT * FROM jd{n} WHERE way = 'multihop')",
