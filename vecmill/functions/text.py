@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -269,36 +267,49 @@ def aliases(missing: Column, bag: Column, most: int = 6) -> Column:
     return F.slice(F.array_except(F.array_distinct(F.flatten(F.transform(missing, of))), missing), 1, most)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is written, and worked out, once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+OBJECT_BEGINS = r'(?s)(?=\{\s*"(?:[^"\\]|\\.)*+"\s*:)'
+JSON_PART = r'(?s)"(?:[^"\\]|\\.)*+"|[{}]|[^"{}]++'
+
+
+def _closed(text: Column) -> Column:
+    """A text that begins with a JSON object, up to the brace that closes it."""
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        return F.struct(F.when(s["open"], s["n"] + F.length(part)).otherwise(s["n"]).alias("n"), depth.alias("depth"), (s["open"] & (depth > 0)).alias("open"))
+
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(True).alias("open"))
+    return let(text, lambda t: F.substring(t, F.lit(1), F.aggregate(found(t, JSON_PART, 0), begin, step, lambda s: s["n"])))
+
+
 def json_object(text: Column, keys: list[str]) -> Column:
-    """The first JSON object in free text that has any of the keys, as text; null if there is none."""
-    def first(value: str | None) -> str | None:
-        value = value or ""
-        decoder, at = json.JSONDecoder(), value.find("{")
-        while at >= 0:
-            try:
-                found, end = decoder.raw_decode(value, at)
-                if any(k in found for k in keys):
-                    return value[at:end]
-            except json.JSONDecodeError:
-                pass
-            at = value.find("{", at + 1)
-        return None
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(first, na_action=None)
-
-    return run(text)
+    """The first JSON object in free text that has any of the keys, as it stands there; null if there is none.
 
+    An object may stand within another one or within broken JSON.  Objects are tried at each brace that a name and a colon
+    follow, by Spark's own parser, which stops at the object's end; only texts that have a key in quotes are looked at.
+    """
+    def first(t: Column) -> Column:
+        pieces = F.split(t, OBJECT_BEGINS)
 
-# A document with three marked slots.
+        def tried(parts: Column) -> Column:
+            rest = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "")
+            has = lambda x: F.startswith(x, F.lit("{")) & F.coalesce(F.arrays_overlap(F.json_object_keys(x), words(keys)), F.lit(False))
+            step = lambda s, i: F.when(s.isNotNull(), s).otherwise(let(rest(i), lambda x: F.when(has(x), x)))
+            return F.aggregate(F.sequence(F.lit(1), F.size(parts)), F.lit(None).cast("string"), step)
 
-SLOTS = ["QUERY", "RANK", "FILTER"]
+        return let(let(pieces, tried), _closed)
 
+    t = F.coalesce(text, F.lit(""))
+    return F.when(any_of([F.contains(t, F.lit(f'"{k}"')) for k in keys]), first(t))
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is written, and worked out, once."""
-    return F.get(F.transform(F.array(value), body), 0)
+
+# A document with three marked slots.
+
+SLOTS = ["QUERY", "RANK", "FILTER"]
 
 
 def slot_body(text: Column, name: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.functions import text as T
+from vecmill.operators import replay
 
 # Thresholds, and patterns that find what a question asks about.
 RELEVANT, IRRELEVANT = 0.15, 0.08
@@ -100,8 +101,8 @@ def review(hits: DataFrame) -> DataFrame:
     return each.withColumn("cause", cause).withColumn("slot", slot)
 
 
-def sane_phrases(items: Column, question: Column, texts: Column, most: int = 3) -> Column:
-    """Up to three short phrases that touch the question and are not copied out of the texts."""
+def sane_phrases(items: Column, question: Column, texts: Column, most: int = 3, touching: bool = True) -> Column:
+    """Up to three short phrases that are not copied out of the texts and, if touching, share words with the question."""
     low_q, blob = F.lower(T.question_body(question)), F.lower(texts)
     clean = F.transform(items, lambda s: F.btrim(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(" .,;:\"'`")))
     common = T.words(T.STOP + T.GENERIC)
@@ -113,6 +114,63 @@ def sane_phrases(items: Column, question: Column, texts: Column, most: int = 3)
         telling = F.exists(parts, lambda w: ~F.array_contains(common, w))
         copied = (F.length(low) >= 12) & F.contains(blob, low)
         touches = F.contains(low_q, low) | F.exists(parts, lambda w: (F.length(w) > 2) & F.contains(low_q, F.lower(w)))
-        return shape & telling & ~copied & (touches | (F.size(parts) <= 2))
+        return shape & telling & ~copied & (touches | (F.size(parts) <= 2) if touching else F.lit(True))
 
     return F.slice(F.array_distinct(F.transform(F.filter(clean, fine), F.lower)), 1, most)
+
+
+# A model may review the evidence too. Its answer is JSON with these fields, of which one at least is there.
+ANSWER = "query_intents array<string>, missing_keys array<string>, slot_decision string, slot string"
+ANSWER_KEYS = ["missing_keys", "slot_decision", "query_intents"]
+SHOWN, SHOWN_CHARS = 10, 400
+
+TASK = """You judge whether search results suffice; do not answer the question itself.
+They suffice if one of the first three states a concrete value of class %s (%s) on the question's topic.
+If none does, name what to search for: short phrases of the question's own nouns, such as [%s], never a label or a copied sentence.
+Answer with JSON alone: {"query_intents": [...], "missing_keys": [...], "slot_decision": "QUERY" or "RANK"}
+
+Question: %s
+
+Results, best first:
+%s"""
+
+
+def asked(reviewed: DataFrame, hits: DataFrame, model: str) -> DataFrame:
+    """reviewed with shown (the texts that the model sees), prompt and call_key; a blank question asks nothing."""
+    seen = F.when(F.col("rk") <= SHOWN, F.struct("rk", F.col("doc_id").cast("string").alias("id"), T.snippet(F.col("text")).alias("text")))
+    shown = hits.groupBy("query_id").agg(F.array_sort(F.array_compact(F.collect_list(seen))).alias("shown"))
+    q = reviewed.join(shown, "query_id")
+    cut = F.transform("shown", lambda x: F.struct(x["id"].alias("id"), x["rk"].alias("rank"), F.substring(x["text"], 1, SHOWN_CHARS).alias("text")))
+    body, target = T.question_body(F.col("question")), T.target_slot(F.col("question"))
+    text = F.format_string(TASK, target["cls"], target["grain"], F.col("hop"), body, F.to_json(cut))
+    q = q.withColumn("prompt", F.when(T.strip(F.col("question")) != "", text))
+    return q.withColumn("call_key", replay.call_key(F.lit(model), F.col("prompt")))
+
+
+def refined(called: DataFrame) -> DataFrame:
+    """called: `asked` rows with answers. (query_id, answered, covers, cause, slot, phrase, focus, intents) of each question.
+
+    An answer without a fitting JSON object counts as none, and the review stands as it is.  A value that the first
+    three texts assert outweighs what a model says is missing; where nothing is asserted, the question's own phrase is
+    searched for, or else the first phrase of the model that is no label.
+    """
+    found = F.from_json(T.json_object(F.col("answer"), ANSWER_KEYS), ANSWER)
+    blob = F.array_join(F.transform("shown", lambda x: x["text"]), " ")
+    none = T.words([])
+    q = called.withColumn("a", found).withColumn("said", F.col("a").isNotNull())
+    list_of = lambda name: F.transform(F.coalesce(F.col("a")[name], none), lambda x: F.coalesce(x, F.lit("")))
+    intents = sane_phrases(list_of("query_intents"), F.col("question"), F.lit(""))
+    missing = sane_phrases(list_of("missing_keys"), F.col("question"), blob, touching=False)
+    q = q.withColumn("intents", intents).withColumn("lacking", missing)
+    label = F.lower(T.target_slot(F.col("question"))["label"])
+    kept = F.filter("lacking", lambda k: ~T.is_abstract(k) & (k != label))
+    own = F.when(F.col("hop") != "", F.col("hop")).otherwise(F.coalesce(F.get(kept, F.lit(0)), F.lit("")))
+    q = q.withColumn("phrase", F.when(F.col("covers"), F.lit("")).otherwise(own))
+    more = F.col("phrase") != ""
+    # an answer takes the place of the first cause, and coverage turns what it says is missing into ranking
+    cause = F.when(more, "unrecalled").when(~F.col("covers") | F.col("said"), "rank_refine").otherwise(F.col("cause"))
+    told = F.array_join(F.when(F.size("lacking") > 0, F.col("lacking")).otherwise(F.col("intents")), " ")
+    return q.select(
+        "query_id", F.col("said").alias("answered"), "covers", cause.alias("cause"), F.when(more, "query").otherwise("rank").alias("slot"), "phrase",
+        F.when(F.col("covers"), F.when(F.col("said"), told).otherwise(F.lit(""))).otherwise(F.col("phrase")).alias("focus"), "intents",
+    )

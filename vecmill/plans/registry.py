@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-for module in ("retrieval", "statistics", "evaluation", "texts", "sessions", "configs", "reviews", "evolve", "experiment"):
+for module in ("retrieval", "statistics", "evaluation", "texts", "sessions", "configs", "reviews", "evolve", "experiment", "replays"):
     importlib.import_module(f"vecmill.plans.{module}")
