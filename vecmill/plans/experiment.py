@@ -19,15 +19,20 @@ from vecmill.sources import experiments
 # if it has the same first term.
 
 CLAIMS = [("nDCG@10", 0.0), ("Recall@5", 0.5), ("MRR@10", 0.01), ("P@3", 0.2)]
-_RUN = f"""d AS MATERIALIZED (SELECT 'd' || doc_id AS doc_id, text FROM documents WHERE text IS NOT NULL), q AS MATERIALIZED (SELECT 'i' || item_id AS query_id, text FROM benchmark),
+def sql_run(docs: str = "(SELECT 'd' || doc_id AS doc_id, text, text AS said FROM documents WHERE text IS NOT NULL)", filed: str = "", name: str = "run") -> str:
+    """WITH-parts up to the means x. docs: (doc_id, text, said), said having the term that decides relevance; filed: what is made of the run, called name."""
+    return f"""d AS MATERIALIZED {docs}, q AS MATERIALIZED (SELECT 'i' || item_id AS query_id, text FROM benchmark),
 de AS MATERIALIZED {memory_sql.sql_hashed('d', 'doc_id', 'text')}, qe AS MATERIALIZED {memory_sql.sql_hashed('q', 'query_id', 'text')},
-run AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rk FROM (SELECT query_id, doc_id, list_inner_product(qe.e, de.e) AS sim FROM qe CROSS JOIN de)) WHERE rk <= 10),
-rel AS MATERIALIZED (SELECT query_id, doc_id FROM (SELECT query_id, ({sql_terms('text')})[1] AS t FROM q) JOIN (SELECT doc_id, ({sql_terms('text')})[1] AS t FROM d) USING (t)),
-n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id), j AS (SELECT run.*, (rel.doc_id IS NOT NULL)::INT AS good FROM run LEFT JOIN rel USING (query_id, doc_id)),
+run AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rk FROM (SELECT query_id, doc_id, list_inner_product(qe.e, de.e) AS sim FROM qe CROSS JOIN de)) WHERE rk <= 10),{filed}
+rel AS MATERIALIZED (SELECT query_id, doc_id FROM (SELECT query_id, ({sql_terms('text')})[1] AS t FROM q) JOIN (SELECT doc_id, ({sql_terms('said')})[1] AS t FROM d) USING (t)),
+n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id), j AS (SELECT run.*, (rel.doc_id IS NOT NULL)::INT AS good FROM {name} run LEFT JOIN rel USING (query_id, doc_id)),
 m AS (SELECT n.query_id, n_rel, sum(CASE WHEN rk <= 10 THEN good / log2(rk + 1) END) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_rel, 10) + 1)]) AS ndcg, sum(CASE WHEN rk <= 5 THEN good END) / n_rel::DOUBLE AS recall, coalesce(1::DOUBLE / min(CASE WHEN good = 1 THEN rk END), 0) AS mrr, sum(CASE WHEN rk <= 3 THEN good END) / 3::DOUBLE AS p FROM n JOIN j USING (query_id) GROUP BY n.query_id, n_rel),
 x AS (SELECT avg(ndcg) AS ndcg, avg(recall) AS recall, avg(mrr) AS mrr, avg(p) AS p, count(*) AS n_queries FROM m)"""
 
 
+_RUN = sql_run()
+
+
 def _experiment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("query_id"), "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -168,3 +170,56 @@ def answers_once(spark, sf_dir):
     a = answers.read_answers(spark, f"{path}/out", "results", kind).groupBy("question_id").agg(F.count("*").alias("n_results"), F.max("hypothesis").alias("hypothesis"))
     b = answers.read_answers(spark, f"{path}/out", "hypotheses", kind).groupBy("question_id").agg(F.count("*").alias("n_hypotheses"))
     return a.join(b, "question_id", "full").select("question_id", "n_results", F.coalesce("n_hypotheses", F.lit(0)).alias("n_hypotheses"), F.coalesce("hypothesis", F.lit("")).alias("hypothesis"))
+
+
+# An experiment that lives in files: settings, dataset, vectors under a contract, a run, results and metrics.
+
+_CLAIMS = {"nDCG@10": 0.0, "Recall@5": 0.5, "MRR@10": 0.01, "P@3": 0.0}
+_DOCS = "(SELECT 'd' || doc_id AS doc_id, CASE WHEN trim(coalesce(source, '')) = '' THEN '' ELSE source || ' ' END || coalesce(text, '') AS text, coalesce(text, '') AS said FROM documents)"
+_FILED = "\nfiled AS MATERIALIZED (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY printf('%.6f', sim)::DOUBLE DESC, doc_id) AS rk FROM run),"
+
+
+@query("files_experiment", f"""WITH {experiment.sql_run(_DOCS, _FILED, 'filed')}, v AS (SELECT unnest(['nDCG@10', 'Recall@5', 'MRR@10', 'P@3']) AS metric, unnest([ndcg, recall, mrr, p]) AS value FROM x), c(metric, target) AS (VALUES {', '.join(f"('{m}', {t}::DOUBLE)" for m, t in _CLAIMS.items())}),
+s AS (SELECT metric, CASE WHEN abs(value - target) <= CASE WHEN metric LIKE 'Recall%' THEN 0.02 ELSE 0.01 END THEN 'PASS' ELSE 'FAIL' END AS status FROM c JOIN v USING (metric))
+SELECT 'items' AS dataset, {r('ndcg', 4)} AS primary_value, {r('recall', 4)} AS recall_5, {r('mrr', 4)} AS mrr_10, n_queries, (SELECT string_agg(status || ' ' || metric, ',' ORDER BY status || ' ' || metric) FROM s) AS claims, (SELECT bool_and(status = 'PASS') FROM s) AS ok,
+  (SELECT count(DISTINCT query_id) FROM run) AS result_lines, (SELECT count(*) FROM run) AS run_lines, 'ValueError' AS stale FROM x""")
+def files_experiment(spark, sf_dir):
+    """Every step of an experiment reads what the step before has written; vectors of another contract are refused."""
+    path = scratch_path(spark, "experiment")
+    at = lambda name: f"{path}/{name}"
+    given = {"dataset": "items", "encode": {"model": "hashing", "dim": 64, "title_mode": "concat_space"}, "top_k": 10, "primary": "NDCG@10", "claims": _CLAIMS, "cutoffs": [3, 5, 10]}
+    spark.createDataFrame([(json.dumps(given),)], "value string").coalesce(1).write.text(at("settings"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("_id"), F.col("source").alias("title"), "text")
+    q = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("_id"), "text")
+    # an older line of the same id stands before each one
+    lines = d.select(F.explode(F.array(F.struct("_id", F.lit("old").alias("title"), F.lit("an older text").alias("text")), F.struct("_id", "title", "text"))).alias("x")).select("x.*")
+    lines.write.json(at("corpus"))
+    q.write.json(at("queries"))
+    term = lambda rows, key: rows.select(F.col("_id").alias(key), F.get(T.ordered_terms(F.col("text")), F.lit(0)).alias("t"))
+    judged = term(q, "query_id").join(term(d, "doc_id"), "t").select(F.concat_ws("\t", "query_id", "doc_id", F.lit("1")).alias("value"))
+    files.with_first_line(judged, "query-id\tcorpus-id\tscore").write.text(at("qrels"))
+
+    settings = experiments.read_settings(spark, at("settings"))
+    contract, cuts = settings["encode"], settings["cutoffs"]
+    docs, asked, rel = experiments.load_dataset(spark, at("corpus"), at("queries"), at("qrels"), contract["title_mode"])
+    experiments.write_vectors(sessions.hashed_vectors(docs, "doc_id", "text", contract["dim"]), at("documents"), contract)
+    experiments.write_vectors(sessions.hashed_vectors(asked, "query_id", "text", contract["dim"]), at("questions"), contract)
+    try:
+        experiments.read_vectors(spark, at("documents"), {**contract, "title_mode": "text_only"})
+        stale = "read"
+    except ValueError as e:
+        stale = type(e).__name__
+    vectors = [experiments.read_vectors(spark, at(n), contract) for n in ("questions", "documents")]
+    hits = search.exact_search(vectors[0].withColumnRenamed("e", "q"), vectors[1], settings["top_k"])
+    files.write_run(hits, at("run"))
+    run = files.read_run(spark, at("run"))
+    experiments.write_results(run.withColumnRenamed("score", "sim"), at("results"))
+    each = metrics.per_query(run, rel, cuts)
+    claimed = spark.createDataFrame([(m, float(t)) for m, t in settings["claims"].items()], "metric string, target double")
+    count = each.count()
+    experiments.write_metrics(experiments.metrics_record(settings["dataset"], settings["primary"], metrics.macro(each, cuts), claimed, count), at("metrics"))
+    found = spark.read.schema("dataset string, primary_value double, metrics map<string,double>, claims array<string>, ok boolean, n_queries long").json(at("metrics"))
+    n_lines = experiments.read_results(spark, at("results"), "query_id string, hits map<string,double>").where("cardinality(hits) > 0").agg(F.count("*").alias("result_lines"))
+    metric = lambda m: S.steady(F.col("metrics")[m], 4)
+    row = found.join(n_lines).join(run.agg(F.count("*").alias("run_lines")))
+    return row.select("dataset", S.steady(F.col("primary_value"), 4).alias("primary_value"), metric("Recall@5").alias("recall_5"), metric("MRR@10").alias("mrr_10"), "n_queries", F.array_join("claims", ",").alias("claims"), "ok", "result_lines", "run_lines", F.lit(stale).alias("stale"))
