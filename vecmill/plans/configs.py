@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vecmill.operators import config_rules as C
 from vecmill.plans.registry import query
 from vecmill.plans.texts import lit, sql_list
+from vecmill.session import table
 from vecmill.sources.files import fingerprint
 
 GOOD = {
@@ -55,7 +56,8 @@ NAMED = {
 }
 
 
-def _errors_sql() -> str:
+def _checked_sql(table: str) -> str:
+    """table: the WITH-part cfg. WITH-parts and a select of id, family and errors."""
     e = [f"CASE WHEN {k} IS NULL THEN 'missing {k}' END" for k in C.REQUIRED]
     e += [f"CASE WHEN trim(coalesce({k}, '')) = '' THEN 'empty {k}' END" for k in C.PATHS]
     e += [f"CASE WHEN NOT coalesce(list_contains({sql_list(v)}, {k}), false) THEN 'value of {k}' END" for k, v in C.ALLOWED.items()]
@@ -78,11 +80,11 @@ def _errors_sql() -> str:
         "CASE WHEN family = 'e5' AND is_symmetric AND NOT override AND coalesce(passage_prefix, '') <> 'query: ' THEN 'e5 symmetric prefix' END",
     ]
     whens = " ".join(f"WHEN {test} THEN '{label}'" for label, test in NAMED.items())
-    return f"""WITH {_TABLE}, n AS (SELECT *, lower(coalesce(model, '') || ' ' || coalesce(query_model, '') || ' ' || coalesce(doc_model, '')) AS s FROM cfg),
+    return f"""WITH {table}, n AS (SELECT *, lower(coalesce(model, '') || ' ' || coalesce(query_model, '') || ' ' || coalesce(doc_model, '')) AS s FROM cfg),
 f AS (SELECT *, CASE {whens} END AS family FROM n) SELECT id, family, array_to_string(list_filter([{', '.join(e)}], lambda x: x IS NOT NULL), '; ') AS errors FROM f"""
 
 
-@query("config_errors", _errors_sql())
+@query("config_errors", _checked_sql(_TABLE))
 def config_errors(spark, sf_dir):
     """Every setting of the fixture with its family and all its errors."""
     return C.with_errors(settings(spark)).select("id", "family", F.array_join("errors", "; ").alias("errors"))
@@ -95,3 +97,42 @@ _CONTRACT = ["architecture", "model", "query_model", "doc_model", "pooling", "no
 def config_fingerprint(spark, sf_dir):
     """The part of a setting that decides whether stored vectors may be used, as a short hash."""
     return settings(spark).select("id", fingerprint([F.col(c) for c in _CONTRACT]).alias("fingerprint"))
+
+
+# A setting made of each part: a digit of a hash of its key and name chooses each field's value.
+
+_MODELS = ["intfloat/e5-base-v2", "own/model", "facebook/contriever", "BAAI/bge-base-en", "BAAI/bge-m3", "intfloat/e5-mistral-7b-instruct", "sebastian/tas-b", "facebook-dpr-ctx_encoder", "", None]
+CHOICES = {
+    "mode": ["reproduce", "reproduce", "explore"], "split": ["test", "test", "test", None], "title_mode": ["concat_space", "text_only", "dpr_sep", "title"], "corpus_path": ["c", "c", "c", " ", None], "is_symmetric": [False, False, True],
+    "architecture": ["auto", "auto", "dpr", "bi_encoder", "other"], "model": _MODELS, "query_model": [None, "facebook-dpr-question_encoder", ""], "doc_model": [None, "facebook-dpr-ctx_encoder"], "pooling": ["mean", "cls", "eos", "cls_pooler", "max"],
+    "normalize": [True, False, True, None], "score": ["cos_sim", "ip", "dot"], "query_max_length": [512, 32, None], "query_prefix": ["query: ", "", *C.BGE_PREFIXES, None], "passage_prefix": ["passage: ", "query: ", "", None],
+    "append_eos": [False, True], "dtype": ["float32", "float16", None], "override": [False, False, False, True], "index_type": ["flat", "flat", "hnsw", "ivf"], "main_metric": ["nDCG@10", "Recall@5", "MRR@7", "Rank@10", "P@", "Hit@1"],
+}
+
+
+def _chosen_sql() -> str:
+    fields = []
+    for n in _NAMES:
+        if n == "id":
+            fields.append("p_partkey AS id")
+        elif n in CHOICES:
+            fields.append(f"([{', '.join(_value(v, n) for v in CHOICES[n])}])[1 + ('0x' || substr(h, {list(CHOICES).index(n) + 1}, 1))::INT % {len(CHOICES[n])}] AS {n}")
+        else:
+            fields.append(f"{_value(GOOD[n], n)} AS {n}")
+    return f"cfg AS MATERIALIZED (SELECT {', '.join(fields)} FROM (SELECT p_partkey, md5(p_partkey || '|' || coalesce(p_name, '')) AS h FROM part WHERE p_partkey IS NOT NULL))"
+
+
+@query("part_settings", f"SELECT x.*, fingerprint FROM ({_checked_sql(_chosen_sql())}) x JOIN (WITH {_chosen_sql()} SELECT id, substr(sha256({' || chr(31) || '.join(f'coalesce({c}::VARCHAR, chr(0))' for c in _CONTRACT)}), 1, 16) AS fingerprint FROM cfg) USING (id)")
+def part_settings(spark, sf_dir):
+    """Settings of all kinds, one made of each part, with their families, errors and the hash of their contract."""
+    h = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("|"), F.coalesce("p_name", F.lit(""))))
+    rows = table(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey", h.alias("h"))
+    digit = lambda i: F.conv(F.substring("h", i, 1), 16, 10).cast("int")
+    fields = [F.col("p_partkey").alias("id")]
+    for name, kind in (c.split() for c in C.COLUMNS.split(", ")[1:]):
+        known = F.array(*map(F.lit, GOOD[name])) if isinstance(GOOD[name], list) else F.lit(GOOD[name])
+        if name in CHOICES:
+            known = F.get(F.array(*[F.lit(v).cast(kind) for v in CHOICES[name]]), digit(list(CHOICES).index(name) + 1) % len(CHOICES[name]))
+        fields.append(known.cast(kind).alias(name))
+    checked = C.with_errors(rows.select(*fields))
+    return checked.select("id", "family", F.array_join("errors", "; ").alias("errors"), fingerprint([F.col(c) for c in _CONTRACT]).alias("fingerprint"))
