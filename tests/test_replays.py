@@ -107,3 +107,17 @@ def test_questions_are_answered_once(spark, tmp_path, kill):
     assert read("results") == sorted(tuple(x) for x in rows.collect())
     assert read("hypotheses") == sorted(tuple(x) for x in rows.collect() if x[1])
     assert os.path.isdir(f"{out}/results/batch=0")
+
+
+def test_traces_tell_rounds_in_order(spark):
+    from vecmill.operators import trace
+
+    kind = "query_id int, round int, covers boolean, cause string, slot string, accepted boolean, why string, hop string, proxy double, top array<int>"
+    log = spark.createDataFrame([(1, 2, True, "rank_refine", None, True, "enough", "h p", 1.0625, [9, 8, 7, 5]), (1, 1, False, "unrecalled", "query", False, "missing", "h p", 0.5, [5, 6]), (2, 1, False, "rank_refine", None, True, "dead_end_stop", "", 0.0, [1])], kind)
+    gold = spark.createDataFrame([(1, 5), (1, 7)], "query_id int, doc_id int")
+    got = {x["query_id"]: x["trace"].split("\n") for x in trace.traces(log, gold, spark.createDataFrame([(1, "a  b"), (2, None)], "query_id int, question string")).collect()}
+    assert got[1] == ["question 1: a b", "round 1: gold 1, top 5,6; covered no, cause unrecalled, proxy 0.500; query (missing) rolled back", "  searched for: h p", "  flags: gold in top 3, still query", "round 2: gold 3, top 9,8,7,5; covered yes, cause rank_refine, proxy 1.063; stop (enough) kept", "end: gold 3"]
+    assert got[2] == ["question 2: ", "round 1: gold absent, top 1; covered no, cause rank_refine, proxy 0.000; stop (dead_end_stop) kept", "  flags: dead end", "end: gold absent"]
+    assert trace.traces(log.limit(0), gold, spark.createDataFrame([], "query_id int, question string")).count() == 0
+    seen = trace.rounds(log.withColumn("lacking", log["covers"]), gold).where("round = 2").first()
+    assert seen["flags"] == ["missing cleared by rule"]

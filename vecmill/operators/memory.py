@@ -33,7 +33,7 @@ Encoder = Callable[[DataFrame, str, str], DataFrame]  # texts, key, text to (key
 
 class Evolved(NamedTuple):
     evidence: DataFrame  # (query_id, doc_id, rk, sim, score)
-    log: DataFrame  # (query_id, round, covers, cause, slot, accepted, why, hop, proxy)
+    log: DataFrame  # (query_id, round, covers, cause, slot, accepted, why, hop, proxy, top)
     documents: DataFrame  # (query_id, document)
 
 
@@ -168,16 +168,17 @@ def run(questions: DataFrame, texts: DataFrame, k: int = 10, max_rounds: int = 3
     for n in range(1, max_rounds + 1):
         hits = written(retrieve(state, texts, k), "hits")
         seen = review.review(hits).drop("question").join(state.select("query_id", "used", F.col("proxy").alias("before"), "last"), "query_id")
-        facts = hits.groupBy("query_id").agg(F.max("sim").alias("top_sim"), F.sum((~F.col("bound") & (F.col("rk") <= policy.POLLUTED_TOP)).cast("int")).alias("unbound"), F.max("n_binds").alias("n_binds"))
+        top = F.transform(F.array_sort(F.collect_list(F.struct("rk", "doc_id"))), lambda x: x["doc_id"])
+        facts = hits.groupBy("query_id").agg(top.alias("top"), F.max("sim").alias("top_sim"), F.sum((~F.col("bound") & (F.col("rk") <= policy.POLLUTED_TOP)).cast("int")).alias("unbound"), F.max("n_binds").alias("n_binds"))
         seen = seen.join(facts, "query_id")
         c = F.col
         dead = (c("last") == "query") & (c("proxy") <= c("before") + 1e-6)
         filter_ok = (c("n_binds") > 0) & (c("unbound") >= policy.POLLUTED_LEAST)
         unanswerable = policy.unanswerable_gap(c("top_sim")) >= policy.UNANSWERABLE
         act = policy.next_action(c("covers"), unanswerable, F.lit(n), F.lit(max_rounds), dead, c("hop") != "", c("hop") != "", filter_ok, c("time_mismatch"), c("used"))
-        acts = written(seen.withColumn("a", act).select("query_id", F.lit(n).alias("round"), "covers", "cause", c("a.slot").alias("slot"), c("a.why").alias("why"), "hop", "proxy", "relevant_ids", "soft_ids", "hard_ids", "time_mismatch"), "acts")
+        acts = written(seen.withColumn("a", act).select("query_id", F.lit(n).alias("round"), "covers", "cause", c("a.slot").alias("slot"), c("a.why").alias("why"), "hop", "proxy", "top", "relevant_ids", "soft_ids", "hard_ids", "time_mismatch"), "acts")
         stopped, going = acts.where("slot is null"), acts.where("slot is not null")
-        shown = ["query_id", "round", "covers", "cause", "slot", "accepted", "why", "hop", "proxy"]
+        shown = ["query_id", "round", "covers", "cause", "slot", "accepted", "why", "hop", "proxy", "top"]
         logs.append(stopped.withColumn("accepted", F.lit(True)).select(*shown))
         evidence.append(hits.join(stopped.select("query_id"), "query_id", "left_semi").select("query_id", "doc_id", "rk", "sim", "score"))
         documents.append(state.join(stopped.select("query_id"), "query_id", "left_semi").select("query_id", "document"))

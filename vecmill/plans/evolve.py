@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vecmill.functions import statistics as S
 from vecmill.functions import text as T
-from vecmill.operators import analytics, guards, loop, memory, sessions
+from vecmill.operators import analytics, guards, loop, memory, sessions, trace
 from vecmill.plans import base
 from vecmill.plans.base import r
 from vecmill.plans.evolve_sql import ROUNDS, K, sql_evolve
@@ -86,7 +86,7 @@ def memory_loop(spark, sf_dir):
 def memory_log(spark, sf_dir):
     """What each round found and changed, and whether the change was kept."""
     _, log = memory.evolve(*talks(spark, sf_dir), k=5)
-    return log.withColumn("proxy", S.steady(F.col("proxy")))
+    return log.drop("top").withColumn("proxy", S.steady(F.col("proxy")))
 
 
 @query("memory_tasks", f"WITH {_CUED} SELECT e.query_id, doc_id, rk, {r('score')} AS score, task FROM evidence e JOIN asked USING (query_id)")
@@ -132,3 +132,18 @@ def guarded_log(spark, sf_dir):
     """The log of a loop whose documents an editor breaks, in a way for each question: such changes are rolled back."""
     questions, texts = talks(spark, sf_dir, True)
     return memory.run(questions, texts, k=5, edit=forced(texts)).log.select("query_id", "round", "slot", "accepted", "why")
+
+
+_TRACED = f"""{_CUED}, tops AS ({' UNION ALL '.join(f'SELECT query_id, {n} AS round, list(doc_id ORDER BY rk) AS top FROM hits{n} GROUP BY query_id' for n in (1, 2, 3))}),
+t0 AS (SELECT l.*, top, nullif(list_position(top, query_id * 100 + 1), 0) AS gold_rank, CASE WHEN starts_with(why, 'dead_end') THEN 'query-dead-end' ELSE coalesce(slot, 'stop') END AS action FROM log l JOIN tops USING (query_id, round)),
+t1 AS (SELECT *, list_filter([CASE WHEN gold_rank <= 3 AND action = 'query' THEN 'gold in top 3, still query' END, CASE WHEN gold_rank > 5 AND action = 'stop' THEN 'gold beyond 5, stopped' END, CASE WHEN gold_rank > 3 AND gold_rank <= 10 AND action = 'stop' THEN 'gold in 4 to 10, stopped' END, CASE WHEN action = 'query-dead-end' THEN 'dead end' END], lambda x: x IS NOT NULL) AS flags FROM t0),
+t2 AS (SELECT *, 'round ' || round || ': gold ' || coalesce(gold_rank::VARCHAR, 'absent') || ', top ' || array_to_string(top, ',') || '; covered ' || CASE WHEN covers THEN 'yes' ELSE 'no' END || ', cause ' || cause || ', proxy ' || printf('%.3f', floor(proxy * 1000 + 0.500001) / 1000) || '; ' || coalesce(slot, 'stop') || ' (' || why || ') ' || CASE WHEN accepted THEN 'kept' ELSE 'rolled back' END
+  || CASE WHEN slot = 'query' AND hop <> '' THEN chr(10) || '  searched for: ' || hop ELSE '' END || CASE WHEN len(flags) > 0 THEN chr(10) || '  flags: ' || array_to_string(flags, ', ') ELSE '' END AS line FROM t1)"""
+
+
+@query("memory_traces", f"WITH {_TRACED} SELECT query_id, 'question ' || query_id || ': ' || trim(regexp_replace(any_value(question), '\\s+', ' ', 'g'))[1:60] || chr(10) || string_agg(line, chr(10) ORDER BY round) || chr(10) || 'end: gold ' || coalesce(arg_max(coalesce(gold_rank::VARCHAR, 'absent'), round), 'absent') AS trace FROM t2 JOIN asked USING (query_id) GROUP BY query_id")
+def memory_traces(spark, sf_dir):
+    """What the loop did for each question, in words; gold is the conversation's second turn."""
+    questions, texts = talks(spark, sf_dir, True)
+    gold = questions.select("query_id", (F.col("query_id") * 100 + 1).alias("doc_id"))
+    return trace.traces(memory.run(questions, texts, k=5).log, gold, questions)

@@ -11,7 +11,7 @@ from vecmill.operators import harness, memory, metrics, policy, review, search,
 from vecmill.plans import base, evolve, memory_sql, texts
 from vecmill.plans.base import r, sql_hits
 from vecmill.plans.registry import query
-from vecmill.plans.texts import lit, sql_terms
+from vecmill.plans.texts import lit, sql_list, sql_terms
 from vecmill.session import table, written
 from vecmill.sources import experiments
 
@@ -162,14 +162,25 @@ def trace_flags(spark, sf_dir):
     return spark.range(208).withColumnRenamed("id", "i").select("i", F.array_join(tags, "|").alias("flags"))
 
 
-@query("relabelled", f"""WITH {texts.SQL_VERDICTS} SELECT i, i % 3 = 0 AS qa_correct_old, CASE WHEN len(packed) > 0 THEN lower(packed[-1]) = 'true' ELSE coalesce(ends_with(lower(labels[-1]), 'yes'), false) END AS qa_correct, (i % 3 = 0) <> CASE WHEN len(packed) > 0 THEN lower(packed[-1]) = 'true' ELSE coalesce(ends_with(lower(labels[-1]), 'yes'), false) END AS flipped
-FROM (SELECT i, regexp_extract_all(verdict, {lit(T.JSON_LABEL)}, 1) AS packed, {texts.SQL_LABEL_LINES} AS labels FROM v)""")
+_RELABELLED = f"""SELECT i, i % 3 = 0 AS qa_correct_old, CASE WHEN len(packed) > 0 THEN lower(packed[-1]) = 'true' ELSE coalesce(ends_with(lower(labels[-1]), 'yes'), false) END AS qa_correct, (i % 3 = 0) <> CASE WHEN len(packed) > 0 THEN lower(packed[-1]) = 'true' ELSE coalesce(ends_with(lower(labels[-1]), 'yes'), false) END AS flipped
+FROM (SELECT i, regexp_extract_all(verdict, {lit(T.JSON_LABEL)}, 1) AS packed, {texts.SQL_LABEL_LINES} AS labels FROM v)"""
+
+
+@query("relabelled", f"WITH {texts.SQL_VERDICTS} {_RELABELLED}")
 def relabelled(spark, sf_dir):
     """Labels read anew from the judge's words, and which of them changed."""
     rows = texts.rows(spark, texts.VERDICTS, "i", "judge_verdict").withColumn("qa_correct", F.col("i") % 3 == 0)
     return harness.relabelled(rows).select("i", "qa_correct_old", "qa_correct", "flipped")
 
 
+@query("relabelled_turns", f"WITH v AS (SELECT conv_id * 1000 + turn AS i, text || chr(10) || ({sql_list(texts.VERDICTS)})[1 + (conv_id + turn) % {len(texts.VERDICTS)}] AS verdict FROM conversations) {_RELABELLED}")
+def relabelled_turns(spark, sf_dir):
+    """The same for every turn of the conversations, as a judge's words before a verdict."""
+    verdict = F.get(F.array(*map(F.lit, texts.VERDICTS)), ((F.col("conv_id") + F.col("turn")) % len(texts.VERDICTS)).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("i"), F.concat("text", F.lit("\n"), verdict).alias("judge_verdict"))
+    return harness.relabelled(rows.withColumn("qa_correct", F.col("i") % 3 == 0)).select("i", "qa_correct_old", "qa_correct", "flipped")
+
+
 # Probes: each question's gold text is its conversation's second turn.
 
 
