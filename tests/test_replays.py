@@ -121,3 +121,14 @@ def test_traces_tell_rounds_in_order(spark):
     assert trace.traces(log.limit(0), gold, spark.createDataFrame([], "query_id int, question string")).count() == 0
     seen = trace.rounds(log.withColumn("lacking", log["covers"]), gold).where("round = 2").first()
     assert seen["flags"] == ["missing cleared by rule"]
+
+
+def test_done_questions_are_read_from_broken_files(spark, tmp_path):
+    from vecmill.operators.analytics import remaining
+    from vecmill.sources.files import read_done
+
+    (tmp_path / "r.jsonl").write_text('{"question_id": "a", "n": 1}\n\n{"question_id": "b"\n{"n": 2}\n{"question_id": "a"}\n{"question_id": null}\n{"question_id": "c"}\n')
+    done = read_done(spark, str(tmp_path / "r.jsonl"))
+    assert sorted(x["question_id"] for x in done.collect()) == ["a", "c"]
+    rows = spark.createDataFrame([("a",), ("b",), ("d",)], "question_id string")
+    assert sorted(x["question_id"] for x in remaining(rows, done, "question_id").collect()) == ["b", "d"]
