@@ -32,7 +32,7 @@ def exact_search_ip(spark, sf_dir):
 
 @query("exact_search_plan", _HITS_SQL)
 def exact_search_plan(spark, sf_dir):
-    """The same search as one plan of column expressions."""
+    """The same search with rows of odd vectors under the column expression, which the blocks follow in their sums."""
     u = base.units(spark, sf_dir)
     corpus = u.select(F.col("vec_id").alias("doc_id"), F.col("u").alias("e"))
     return _shown(search.search_expression(base.queries_of(u), corpus, 10))
