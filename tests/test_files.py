@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vecmill import session
 from vecmill.sources import files
 
 
@@ -35,6 +36,35 @@ def test_last_judgement_of_a_split_file(small_splits, tmp_path):
     assert {r["query_id"] for r in files.read_qrels(small_splits, str(tmp_path / "late.tsv")).collect()} == {"a", "qid"}
 
 
+def test_places_of_lines_are_numbers_in_order(small_splits, tmp_path):
+    rng = random.Random(4)
+    folder = tmp_path / "odd names"
+    folder.mkdir()
+    want, written = {}, []
+    for name in ("a b.tsv", "a%20c.tsv", "aé+.tsv", "b.tsv"):
+        lines = ["qid d r"]
+        for _ in range(800):
+            q, d, r = f"q{rng.randrange(9)}", f"d{rng.randrange(30)}", rng.randrange(1000)
+            want[q, d] = r
+            lines += [f"{q} {d} {r}", *[""] * rng.choice([0, 0, 0, 1, 9])]
+        (folder / name).write_text("\n".join(lines) + "\n")
+        written += lines
+    read = files.numbered_lines(small_splits, str(folder))
+    assert dict(read.dtypes)["at"] == "bigint" and read.where("first").count() == 4
+    assert [r["value"] for r in read.orderBy("at").collect()] == written and read.select("at").distinct().count() == len(written)
+    judged = files.read_qrels(small_splits, str(folder))
+    assert {(r["query_id"], r["doc_id"]): r["rel"] for r in judged.collect()} == want
+
+
+def test_parts_of_judgements_follow_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "PART_BYTES", 1000)
+    (tmp_path / "q.tsv").write_text("".join(f"q{i} d{i} 1\n" for i in range(2000)))
+    size = (tmp_path / "q.tsv").stat().st_size
+    read = files.read_qrels(spark, str(tmp_path / "q.tsv"))
+    assert read.rdd.getNumPartitions() == -(-size // 1000) > 4 and read.count() == 2000
+    assert "ObjectHashAggregate" not in (plan := read._jdf.queryExecution().executedPlan().toString()) and "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_last_text_of_a_split_file(small_splits, tmp_path):
     rng = random.Random(2)
     want, lines = {}, []

@@ -10,7 +10,7 @@ from vecmill.operators import search
 from vecmill.plans import base
 from vecmill.plans.base import r, sql_hits
 from vecmill.plans.registry import query
-from vecmill.session import scratch_path, table
+from vecmill.session import dealt, scratch_path, table
 from vecmill.sources import files
 
 
@@ -135,7 +135,8 @@ SELECT query_id, doc_id, arg_max(rel, place) AS rel FROM j GROUP BY ALL"""
 def qrels_files(spark, sf_dir):
     """Judgements written to text files, with headers, three and four columns and blank lines, and read again: the last line counts."""
     path = scratch_path(spark, "qrels")
-    li = table(spark, sf_dir, "lineitem").repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf_dir, "lineitem")
+    li = li.repartitionByRange(dealt(li), "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_quantity")
     q, d, g = (F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_quantity"))
     line = F.when(F.col("l_orderkey") % 2 == 0, F.concat_ws("\t", q, d, g)).otherwise(F.concat_ws("  ", q, F.lit("0"), d, g, F.lit("x")))
     line = F.when(F.col("l_linenumber") == 3, F.concat(F.lit(" "), line, F.lit("\n"))).otherwise(line)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vecmill.functions.text import strip
 from vecmill.operators.search import top_k
-from vecmill.session import written
+from vecmill.session import dealt, written
 
 ESCAPED = re.compile(r"\\.", re.DOTALL)
 
@@ -21,17 +22,20 @@ def split_line(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
-def parse_qrels(lines: DataFrame) -> DataFrame:
+def parse_qrels(lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """lines (at, first, value) to (query_id, doc_id, rel): three columns, or four with an unused second one.
 
     A header counts only as first line of its file; blank lines are skipped; of repeated judgements the last line
-    wins; a line of another shape raises when it is read.
+    wins; a line of another shape raises when it is read.  tasks: in how many parts pairs are brought together, the
+    session's number of them if None.
     """
     parts = lines.where(F.trim("value") != "").withColumn("p", split_line(F.col("value")))
     data = parts.where(~(F.col("first") & F.lower(F.get("p", F.lit(0))).isin("query-id", "qid")))
     size = F.size("p")
     fields = F.when(size == 3, F.struct(F.get("p", F.lit(0)).alias("q"), F.get("p", F.lit(1)).alias("d"), F.get("p", F.lit(2)).alias("r"))).when(size >= 4, F.struct(F.get("p", F.lit(0)).alias("q"), F.get("p", F.lit(2)).alias("d"), F.get("p", F.lit(3)).alias("r"))).otherwise(F.raise_error(F.concat(F.lit("not a judgement: "), F.col("value"))))
     rows = data.withColumn("f", fields).select("at", F.col("f.q").alias("query_id"), F.col("f.d").alias("doc_id"), F.col("f.r").cast("double").cast("int").alias("rel"))
+    if tasks is not None:
+        rows = rows.repartition(tasks, "query_id", "doc_id")
     return rows.groupBy("query_id", "doc_id").agg(F.max_by("rel", "at").alias("rel"))
 
 
@@ -61,6 +65,42 @@ def ordered_lines(spark: SparkSession, path: str, separator: str | None = None)
     return raw.mapInArrow(run, f"at {raw.schema['at'].dataType.simpleString()}, first boolean, value string")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, first, value) as of `ordered_lines`, with the place as one number: aggregates keep that in a few bytes, where the
+    name of the file would be most of a row.
+
+    High bits: the file's number by name.  Low bits: the split's first byte and the line's number there, which ascend
+    together because a line has a byte at least; the line that begins at a split's end is still read by that split.
+    """
+    raw = spark.read.text(path)
+    names = {name: i for i, name in enumerate(sorted(raw.inputFiles(), key=unquote))}
+    if len(names) > 1 << 19:
+        raise ValueError(f"{path}: too many files to number")
+    known = spark.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple | None = None
+        base = 0  # what is added to n in the split that goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, block = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            files_ = batch.column(0).dictionary_encode()
+            file = files_.indices.to_numpy()
+            numbers = np.array([known.value[x] for x in files_.dictionary.to_pylist()], np.int64)[file]
+            new = np.ones(len(n), bool)
+            new[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
+            new[0] = seen != (numbers[0], block[0])
+            seen = numbers[-1], block[-1]
+            begin = np.flatnonzero(new)
+            bases = np.concatenate([[base], (numbers[begin] << 44) + block[begin] + (block[begin] > 0) - n[begin]])
+            base = bases[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(n + bases[np.cumsum(new)]), pa.array(new & (block == 0)), batch.column(3)], names=["at", "first", "value"])
+
+    n, block = F.monotonically_increasing_id(), F.col("_metadata.file_block_start")
+    return raw.select(F.input_file_name().alias("file"), n.alias("n"), block.alias("block"), "value").mapInArrow(run, "at long, first boolean, value string")
+
+
 def with_first_line(lines: DataFrame, first: str) -> DataFrame:
     """lines (value) with a line before those of each task, so that each file that is written begins with it."""
 
@@ -73,7 +113,8 @@ def with_first_line(lines: DataFrame, first: str) -> DataFrame:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    return parse_qrels(ordered_lines(spark, path))
+    """Judgements of text files. Pairs come together in as many parts as the files have 8 MB, so that no task holds more for more files."""
+    return parse_qrels(numbered_lines(spark, path), dealt(spark.read.text(path)))
 
 
 def read_texts(spark: SparkSession, path: str, title_mode: str = "concat_space") -> DataFrame:
