@@ -239,6 +239,17 @@ def test_components_of_a_chain(spark):
     assert components.connected(chain.limit(0)).count() == 0
 
 
+def test_few_edges_are_merged_by_one_task(spark):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1300)]
+    for kind in ("long", "string", "binary"):
+        edges = spark.createDataFrame(pairs, "a long, b long").selectExpr(*[f"cast({'cast(%s as string)' % c if kind == 'binary' else c} as {kind}) {c}" for c in "ab"])
+        few = {(r["node"], r["root"]) for r in components.connected(edges).collect()}
+        assert few == {(r["node"], r["root"]) for r in components.connected(edges, few=0).collect()} and len(few) > 500
+    plan = lambda **options: components.connected(edges, **options)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan() and "MapInArrow" not in plan(few=len(few) // 4)
+
+
 def test_very_long_texts(spark):
     rng = random.Random(21)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60_000)]

@@ -135,3 +135,18 @@ def test_two_grades_have_one_threshold(spark):
     assert all(r["severity"] == r["p_toxic"] and r["grade"] == i % 2 for i, r in got.items())
     with pytest.raises(ValueError):
         toxicity.grade(docs.withColumn("grade", F.lit(1)), model, ["doc_id", "grade"])
+
+
+def test_the_driver_fits_no_model(spark, monkeypatch):
+    def here(*_args, **_options):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(languages, "fit", here)
+    monkeypatch.setattr(toxicity, "fit", here)
+    docs = spark.createDataFrame([(i, f"{'sehr gut und schön' if i % 2 else 'very good and nice'} {i}", "de" if i % 2 else "en", i % 2) for i in range(60)], "doc_id long, text string, lang string, toxic int")
+    model = languages.learn(docs, F.lit(True))
+    assert model.languages == ["de", "en"]
+    again = languages.learn(docs.repartition(7), F.lit(True))
+    assert (model.weights == again.weights).all() and (model.bias == again.bias).all()  # whatever order rows come in
+    model = toxicity.learn(docs, toxicity.graded(docs))
+    assert len(model.vocabulary) and (model.weights == toxicity.learn(docs.repartition(7), toxicity.graded(docs)).weights).all()

@@ -6,7 +6,7 @@ logistic losses wins, its share among exp(-loss) of all codewords is the score,
 are closer than `margin` in loss is flagged as ambiguous.  Up to six languages get the exhaustive code, more of them
 a fixed pseudo-random one.
 
-Scale. Counting n-grams and predicting is one pass without a shuffle.  The classifiers are fitted on the driver from
+Scale. Counting n-grams and predicting is one pass without a shuffle.  The classifiers are fitted by one task from
 a bounded sample of labelled rows: at most `sample_rows`, shared evenly by languages and chosen by a hash of id and
 text.  Whole texts are counted, in training and in prediction.
 
@@ -21,13 +21,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm.tasks import checked, text_last, with_columns
+from vecmill.llm.tasks import checked, fitted, text_last, with_columns
 from vecmill.session import prepare, table
 
 UNKNOWN = "und"
@@ -118,6 +119,19 @@ def fit(features: np.ndarray, which: np.ndarray, languages: list[str], margin: f
     return Model(languages, code, w, b - centre @ w, margin)
 
 
+def _fit_rows(languages: list[str], margin: float, batches: Iterator[pa.RecordBatch]) -> Model | None:
+    """batches: (lang, counts as half-precision numbers), in any order."""
+    sample = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    if not sample:
+        return None
+    which = np.array([languages.index(lang) for lang, _ in sample])
+    features = np.empty((len(sample), len(_WEIGHTS) << _BITS), np.float32)
+    for i, (_, x) in enumerate(sample):
+        features[i] = np.frombuffer(x, "<f2")
+    del sample
+    return fit(features, which, languages, margin)
+
+
 def learn(docs: DataFrame, labelled, sample_rows: int = 3000, margin: float = 1.0) -> Model | None:
     """Fit on at most sample_rows of the rows where `labelled` holds and text and lang are there."""
     prepare(docs.sparkSession)
@@ -139,15 +153,7 @@ def learn(docs: DataFrame, labelled, sample_rows: int = 3000, margin: float = 1.
                 if has_letter(text):
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([gram_counts(text).astype("<f2").tobytes()], pa.binary())], names=["lang", "x"])
 
-    sample = chosen.mapInArrow(run, "lang string, x binary").collect()
-    if not sample:
-        return None
-    which = np.array([languages.index(r["lang"]) for r in sample])
-    features = np.empty((len(sample), len(_WEIGHTS) << _BITS), np.float32)
-    for i, r in enumerate(sample):
-        features[i] = np.frombuffer(r["x"], "<f2")
-    del sample
-    return fit(features, which, languages, margin)
+    return fitted(chosen.mapInArrow(run, "lang string, x binary"), partial(_fit_rows, languages, margin))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1024)
         yield pa.Table.from_batches(held)
 
 
+def fitted(sample: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], object]) -> object:
+    """What fit makes of all rows of a bounded sample. One task fits; the driver, which has the least memory, gets the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+
+
 def group_starts(columns: list[np.ndarray]) -> np.ndarray:
     """Where groups of equal neighbours begin."""
     new = np.ones(len(columns[0]), bool)

@@ -11,7 +11,7 @@ grades with one threshold, and the expected severity is then the probability of
 
 Scale. One pass without a shuffle over whole texts.  Training takes at most `sample_rows` labelled rows, half of them
 toxic where there are so many, chosen by a hash of doc_id; their ids (a bounded table) are broadcast, texts are not
-shuffled.
+shuffled.  One task fits.
 
 Edge cases. A null or empty text has no words: severity is what the thresholds alone give.  Without labels, or with
 one grade only, severity is 0.  doc_id may be null or repeated; of repeated ids one text is learned from, that of the
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm.tasks import checked, text_last, with_columns
+from vecmill.llm.tasks import checked, fitted, text_last, with_columns
 from vecmill.llm.windows import Rolling, mixed
 from vecmill.session import prepare, table
 
@@ -150,6 +150,15 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("grade"))
 
 
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Model | None:
+    """batches: (grade, distinct feature hashes), in any order."""
+    rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    known = np.array([grade for grade, _ in rows])
+    if not len(known) or known.min() == known.max():
+        return None
+    return fit([np.frombuffer(words, "<u8") for _, words in rows], known)
+
+
 def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 4000) -> Model | None:
     """Fit on at most sample_rows rows of grades (doc_id, grade) and the texts of these documents."""
     prepare(docs.sparkSession)
@@ -168,12 +177,7 @@ def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 4000) -> Model
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([np.unique(features(texts[i].as_py())).astype("<u8").tobytes()], pa.binary())], names=["grade", "words"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = found.select("grade", "text").mapInArrow(run, "grade int, words binary").collect()
-    known = np.array([r["grade"] for r in rows])
-    if not len(known) or known.min() == known.max():
-        return None
-    words = [np.frombuffer(r["words"], "<u8") for r in rows]
-    return fit(words, known)
+    return fitted(found.select("grade", "text").mapInArrow(run, "grade int, words binary"), _fit_rows)
 
 
 def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
